@@ -47,8 +47,6 @@ class ChunkEncoder:
         self.known: dict[str, bytes] = {}
 
     def _learn(self, chunks: list[str]) -> None:
-        if len(self.known) + len(chunks) > CACHE_ENTRIES:
-            self.known.clear()
         plain = [c for c in chunks if c.isascii() or max(c) < "Ā"]
         rest = [c for c in chunks if not (c.isascii() or max(c) < "Ā")]
         if plain:
@@ -71,7 +69,11 @@ class ChunkEncoder:
         for lo in range(0, len(texts), 256):
             # ASCII blanks only: other white space stays inside a chunk, where the tokenizer deals with it
             split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts[lo : lo + 256]]
-            new = set().union(*split).difference(known)
+            need = set().union(*split)
+            new = need.difference(known)
+            if len(known) + len(new) > CACHE_ENTRIES:
+                known.clear()
+                new = need
             if new:
                 self._learn(sorted(new))
             out += [b"".join(map(known.__getitem__, chunks)) for chunks in split]
