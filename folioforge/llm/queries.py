@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, packing, sharding, substrings
+from . import decontamination, jaccard, packing, sharding, substrings
 from .common import table
 
 
@@ -32,5 +32,9 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packing_digest(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_sharding, op4_substring_dedup, op7_decontamination, op9_packing)}
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join_components(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_sharding, op4_substring_dedup, op7_decontamination, op9_packing, op10_ngram_jaccard_join)}
 ORACLE_SQL: dict[str, str] = {}
