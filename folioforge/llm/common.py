@@ -13,6 +13,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: The words of the word-based contracts: what lies between ASCII white space.
 #: ``bytes.split()`` splits UTF-8 text in exactly this way.
 SPACE = "[\\x20\\x09-\\x0D]+"
@@ -20,6 +22,7 @@ SPACE = "[\\x20\\x09-\\x0D]+"
 
 def pick(df: DataFrame, **names: str) -> DataFrame:
     """``pick(df, doc="doc_id")``: the named columns, renamed; the first of equal names."""
+    ship(df.sparkSession)
     cols = df.columns
     flat = df.toDF(*[f"__c{i}" for i in range(len(cols))])
     return flat.select(*[F.col(f"__c{cols.index(old)}").alias(new) for new, old in names.items()])
