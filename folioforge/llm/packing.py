@@ -19,65 +19,66 @@ from pyspark.sql import functions as F
 
 from .common import pick, stored
 
-#: Entries of a worker's cache from white-space separated chunk to its ids.
-CACHE_ENTRIES = 600_000
+#: Entries of each of the two generations of a worker's cache from white-space separated chunk to its ids.
+CACHE_ENTRIES = 500_000
+#: Punctuation that is cut off a chunk's end; a run of it is one pre-token.
+TAIL = ".,;:!?"
 _WORKER: dict[str, "ChunkEncoder"] = {}
 
 
-class ChunkEncoder:
-    """Ids of texts, equal to encoding each text whole.
+class ChunkEncoder(dict):
+    """Ids of chunks as little-endian unsigned 32-bit integers; a text's ids are those of its chunks in order.
 
     White space ends every pre-token of this tokenizer and is then dropped, so
-    a text's ids are those of its chunks in order, and chunks repeat a lot.
-    Unknown chunks of plain Latin letters are encoded together; their ids are
-    cut apart at the ids that end a pre-token. All others are encoded one by one.
+    encoding chunk by chunk equals encoding the text whole. A chunk of Latin-1
+    letters with or without punctuation behind it is one pre-token or two,
+    which go to the tokenizer's model directly; all others are encoded in full.
     """
 
     def __init__(self, path: str) -> None:
+        super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        import regex
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tok = Tokenizer.from_file(path)
-        vocab = self.tok.get_vocab()
-        self.ends = np.zeros(max(vocab.values()) + 1, bool)
-        for piece, i in vocab.items():
-            self.ends[i] = piece.endswith("</w>")
-        self.pre = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-        self.known: dict[str, bytes] = {}
-
-    def _learn(self, chunks: list[str]) -> None:
-        plain = [c for c in chunks if c.isascii() or max(c) < "Ā"]
-        rest = [c for c in chunks if not (c.isascii() or max(c) < "Ā")]
-        if plain:
-            count = self.pre.findall
-            pieces = np.fromiter((len(count(c.lower())) for c in plain), np.int64, len(plain))
-            ids = np.array(self.tok.encode(" ".join(plain), add_special_tokens=False).ids, dtype="<u4")
-            last = np.flatnonzero(self.ends[ids]) + 1
-            if len(last) == pieces.sum() and (not len(ids) or last[-1] == len(ids)):
-                cuts = np.concatenate([[0], last])[np.concatenate([[0], np.cumsum(pieces)])] * 4
-                raw = ids.tobytes()
-                self.known.update(zip(plain, [raw[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]))
-            else:
-                rest += plain
-        for c, e in zip(rest, self.tok.encode_batch(rest, add_special_tokens=False)):
-            self.known[c] = np.array(e.ids, dtype="<u4").tobytes()
+        self.model = self.tok.model
+        level = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {i: level.pre_tokenize_str(chr(i))[0][0] for i in range(0xAA, 0x100) if chr(i).isalpha()}
+        self.older: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {"": b""}
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.older.get(chunk)
+        if ids is None:
+            ids = self._ids(chunk)
+        if len(self) >= CACHE_ENTRIES:
+            self.older = dict(self)
+            self.clear()
+        self[chunk] = ids
+        return ids
+
+    def _whole(self, chunk: str) -> bytes:
+        return np.array(self.tok.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _ids(self, chunk: str) -> bytes:
+        core = chunk.rstrip(TAIL)
+        if not core.isalpha():
+            return self._whole(chunk)
+        tail = chunk[len(core) :]
+        if tail not in self.tails:
+            self.tails[tail] = self._whole(tail)
+        word = core.lower()
+        if not core.isascii():
+            if max(core) > "\u00ff":
+                return self._whole(chunk)
+            word = word.translate(self.letters)
+        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(word)]) + self.tails[tail]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        out, known = [], self.known
-        for lo in range(0, len(texts), 256):
-            # ASCII blanks only: other white space stays inside a chunk, where the tokenizer deals with it
-            split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts[lo : lo + 256]]
-            need = set().union(*split)
-            new = need.difference(known)
-            if len(known) + len(new) > CACHE_ENTRIES:
-                known.clear()
-                new = need
-            if new:
-                self._learn(sorted(new))
-            out += [b"".join(map(known.__getitem__, chunks)) for chunks in split]
-        return out
+        # ASCII blanks only: other white space stays inside a chunk, where the tokenizer deals with it
+        get = self.__getitem__
+        return [b"".join(map(get, t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))) for t in texts]
 
 
 def worker_encoder(path: str) -> ChunkEncoder:
