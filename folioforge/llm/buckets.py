@@ -21,8 +21,8 @@ PACKED_ARROW = pa.schema([("bucket", pa.int32()), ("data", pa.binary())])
 
 
 def bits_for(width: int) -> int:
-    """Bits of bucket number for about 8 buckets in each of ``width`` shuffle partitions."""
-    return max(4, min(24, (8 * width - 1).bit_length()))
+    """Bits of bucket number for two buckets or more in each of ``width`` shuffle partitions."""
+    return max(4, min(24, (2 * width - 1).bit_length()))
 
 
 def packed(records: np.ndarray, hashes: np.ndarray, bits: int, first: int = 0) -> pa.RecordBatch:
@@ -36,8 +36,8 @@ def packed(records: np.ndarray, hashes: np.ndarray, bits: int, first: int = 0) -
     return pa.RecordBatch.from_arrays([pa.array((found + first).astype(np.int32)), pa.array(rows, pa.binary())], schema=PACKED_ARROW)
 
 
-def by_bucket(sent: DataFrame, run: Callable[[int, bytes], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``run(bucket, all its bytes)`` for each bucket, one bucket in memory at a time."""
+def by_bucket(sent: DataFrame, run: Callable[[int, bytes], Iterator[pa.RecordBatch]], schema: str, finish: Callable[[], Iterator[pa.RecordBatch]] | None = None) -> DataFrame:
+    """``run(bucket, all its bytes)`` for each bucket, one bucket in memory at a time; ``finish`` ends the task."""
 
     def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, parts = None, []
@@ -50,6 +50,8 @@ def by_bucket(sent: DataFrame, run: Callable[[int, bytes], Iterator[pa.RecordBat
                 parts.append(data.as_py())
         if parts:
             yield from run(now, b"".join(parts))
+        if finish is not None:
+            yield from finish()
 
     width = int(sent.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return sent.repartition(width, "bucket").sortWithinPartitions("bucket").mapInArrow(grouped, schema)

@@ -163,15 +163,22 @@ def window_hits(texts: DataFrame, window: int, k: int, filter_bytes: int) -> Dat
         if held:
             yield from flush()
 
+    settled: list[np.ndarray] = []  # of one task: functions come to each task anew
+
     def block(bucket: int, data: bytes) -> Iterator[pa.RecordBatch]:
-        if bucket < 0:  # settled already
-            yield pa.RecordBatch.from_arrays([pa.array([bucket + (1 << bits)], pa.int32()), pa.array([data], pa.binary())], names=["bucket", "data"])
-        else:
-            hits, _ = _hits(np.frombuffer(data, WINDOW))
-            if len(hits):
-                yield packed(hits, hits["u"], bits)
+        hits = np.frombuffer(data, HIT) if bucket < 0 else _hits(np.frombuffer(data, WINDOW))[0]
+        if len(hits):
+            settled.append(hits)
+        if sum(map(len, settled)) > FLUSH:
+            yield from finish()
+
+    def finish() -> Iterator[pa.RecordBatch]:
+        if settled:
+            hits = np.concatenate(settled)
+            settled.clear()
+            yield packed(hits, hits["u"], bits)
 
-    return by_bucket(texts.mapInArrow(send, PACKED), block, PACKED)
+    return by_bucket(texts.mapInArrow(send, PACKED), block, PACKED, finish)
 
 
 def parse(hits: np.ndarray, window: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -228,7 +235,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         raise ValueError("anchors must have between 1 word and the window's words")
     docs = pick(df, doc_id=id_col, text=text_col)
     docs = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("u"))
-    copies = docs.groupBy("u").agg(F.count("*").alias("copies")).filter("copies > 1")
+    copies = stored(docs.groupBy("u").agg(F.count("*").alias("copies")).filter("copies > 1"), "copies")
     factors = stored(factored(docs.select("u", "text"), window, k, filter_bytes), "factors")
     joined = docs.join(factors, "u", "left").join(copies, "u", "left")
     out = "kept_sha256" if digest else "kept"
