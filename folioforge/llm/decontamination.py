@@ -8,7 +8,7 @@ offsets of the original text.
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,7 +20,7 @@ from .common import pick
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 #: Most bytes of benchmark text that are broadcast; the automaton takes about 60 times as much.
 MAX_BENCHMARK_BYTES = 4_000_000
-_BUILT: dict[str, tuple] = {}
+_BUILT: dict[str, "Scanner"] = {}
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -99,6 +99,20 @@ def benchmark_items(bench: DataFrame, item_col: str = "item_id", text_col: str =
     return [("" if r[0] is None else r[0], r[1]) for r in items.collect()]
 
 
+def shared_scanner(bench: DataFrame, size: int) -> Callable[[], Scanner]:
+    """A function for workers that gives the scanner, built once in each worker."""
+    shared = bench.sparkSession.sparkContext.broadcast(benchmark_items(bench))
+    key = f"{shared._jbroadcast.id()}-{size}"
+
+    def scanner() -> Scanner:
+        if key not in _BUILT:
+            _BUILT.clear()
+            _BUILT[key] = Scanner(shared.value, size)
+        return _BUILT[key]
+
+    return scanner
+
+
 def scan_documents(df: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 10, spans: bool = False) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, items (sorted as strings), and with ``spans`` the hit
     code point ranges of the original text.
@@ -107,15 +121,11 @@ def scan_documents(df: DataFrame, bench: DataFrame, id_col: str = "doc_id", text
     nothing. Repeated rows are scanned each; an empty benchmark contaminates nothing.
     """
     docs = pick(df, doc_id=id_col, text=text_col)
-    shared = docs.sparkSession.sparkContext.broadcast(benchmark_items(bench))
-    key = f"{shared._jbroadcast.id()}-{size}" if hasattr(shared, "_jbroadcast") else str(size)
+    scanner_of = shared_scanner(bench, size)
     kind = "doc_id long, n_words long, n_hit long, items array<string>" + (", spans array<array<long>>" if spans else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _BUILT:
-            _BUILT.clear()
-            _BUILT[key] = (Scanner(shared.value, size),)
-        scanner = _BUILT[key][0]
+        scanner = scanner_of()
         for batch in batches:
             n_words, n_hit, items, places = [], [], [], []
             for text in batch.column(1):
@@ -147,3 +157,17 @@ def decontamination_digest(df: DataFrame, bench: DataFrame, **how) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+def drop_contaminated(df: DataFrame, bench: DataFrame, text_col: str = "text", size: int = 10) -> DataFrame:
+    """The rows of ``df``, all columns as they are, whose texts hold no benchmark window."""
+    at = df.columns.index(text_col)
+    scanner_of = shared_scanner(bench, size)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scanner = scanner_of()
+        for batch in batches:
+            clean = [not scanner.scan(words_of(t.as_py()))[0] for t in batch.column(at)]
+            yield batch.filter(pa.array(clean, pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)

@@ -378,3 +378,20 @@ def join_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = stored(rows.select("doc_id", "n", group.alias("g"), F.col("component").isNotNull().alias("linked")), "rows")
     least = rows.filter("n > 0").groupBy("g").agg(F.min("doc_id").alias("least"))
     return rows.join(least, "g", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Rule = Rule(size=5, num=80)) -> DataFrame:
+    """One row of each component of linked documents, the one of least id (then of least text hash); all columns.
+
+    Documents without words stay. Rows with equal id and text are one document. A null id comes last.
+    """
+    at = df.columns
+    docs = pick(df, __key=id_col, __text=text_col, **{f"__{i}": c for i, c in enumerate(at)})
+    docs = docs.withColumn("u", F.xxhash64("__text")).withColumn("k", F.xxhash64("__key", "__text"))
+    parts, sizes = text_components(docs.select("u", F.col("__text").alias("text")), rule)
+    rows = docs.select(F.col("__key").alias("doc_id"), "u", "k").join(sizes.filter("n > 0"), "u").join(parts, "u", "left")
+    rows = stored(rows.select("doc_id", "u", "k", F.coalesce("component", "u").alias("g")), "group-rows")
+    first = rows.groupBy("g").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "u")).alias("first"), F.min("k").alias("low"), F.max("k").alias("high"))
+    others = rows.join(first.filter("low < high"), "g").filter(~F.col("doc_id").eqNullSafe(F.col("first.doc_id")) | (F.col("u") != F.col("first.u")))
+    left = docs.join(stored(others.select("k").distinct(), "losers"), "k", "left_anti").dropDuplicates(["k"])
+    return left.select(*[F.col(f"__{i}").alias(c) for i, c in enumerate(at)])

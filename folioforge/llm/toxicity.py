@@ -164,3 +164,19 @@ def score_documents(df: DataFrame, model: OrdinalModel, id_col: str = "doc_id",
             )
 
     return docs.mapInArrow(run, "doc_id long, severity double, grade int, p_toxic double, rejected boolean")
+
+
+def reject_toxic(df: DataFrame, model: OrdinalModel, text_col: str = "text", cut: float = 0.25) -> DataFrame:
+    """The rows of ``df``, all columns as they are, whose texts are not rejected."""
+    at = df.columns.index(text_col)
+    shared = df.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.thresholds))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, thresholds = shared.value
+        held = OrdinalModel(weights, thresholds)
+        for batch in batches:
+            if batch.num_rows:
+                above = held.above(np.array([held.score(features(t.as_py())) for t in batch.column(at)]))
+                yield batch.filter(pa.array(above[:, 0] < cut))
+
+    return df.mapInArrow(run, df.schema)
