@@ -75,7 +75,7 @@ class Filter:
 
     @staticmethod
     def places(hashes: np.ndarray, level: int, size) -> Iterator[np.ndarray]:
-        h = mix(hashes + U64(level) * U64(0xA24BAED4963EE407))
+        h = mix(hashes + U64(level * 0xA24BAED4963EE407 % (1 << 64)))
         low, step = (h & U64(0xFFFFFFFF)).astype(np.int64), (h >> U64(33)).astype(np.int64) | 1
         for i in range(PROBES):
             yield (low + i * step) % size

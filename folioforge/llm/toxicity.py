@@ -71,8 +71,8 @@ class _Rows:
         return np.bincount(self.col, g[self.row], len(self.ids))
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, least: int = 3, l1: float = 5e-5, steps: int = 150, rate: float = 0.1) -> OrdinalModel:
-    """Maximum likelihood with an L1 penalty: Adam steps with soft thresholding, so that words without a say weigh 0."""
+def fit(rows: list[np.ndarray], grades: np.ndarray, least: int = 3, l1: float = 1.0, steps: int = 150, rate: float = 0.1) -> OrdinalModel:
+    """Maximum likelihood with an L1 penalty of ``l1`` on the summed log-likelihood: Adam steps with soft thresholding, so that words without a say weigh 0."""
     top = int(grades.max(initial=0))
     x = _Rows(rows, least)
     weights = np.zeros(FEATURES, np.float64)
@@ -101,7 +101,7 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, least: int = 3, l1: float =
             m[1] += 0.001 * (g * g - m[1])
             v -= lr * (m[0] / (1 - 0.9**step)) / (np.sqrt(m[1] / (1 - 0.999**step)) + 1e-8)
         scale = np.sqrt(state[0][1] / (1 - 0.999**step)) + 1e-8
-        w = np.sign(w) * np.maximum(np.abs(w) - lr * l1 / scale, 0.0)
+        w = np.sign(w) * np.maximum(np.abs(w) - lr * l1 / x.n / scale, 0.0)
     weights[x.ids] = w
     return OrdinalModel(weights, theta[0] + np.concatenate([[0.0], np.cumsum(np.exp(theta[1:]))]))
 

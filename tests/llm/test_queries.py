@@ -1,0 +1,41 @@
+"""Registered queries against their SQL, and the pipeline's stages."""
+
+from __future__ import annotations
+
+import duckdb
+import pytest
+
+import corpus_pipeline
+from folioforge.llm.queries import ORACLE_SQL, QUERIES
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "conversations", "labels"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    exp = con.sql(ORACLE_SQL[name]).df()
+    got = QUERIES[name](spark, SF).toPandas()
+    cols = sorted(got.columns)
+    assert cols == sorted(exp.columns)
+    rows = lambda d: sorted(map(str, d[cols].astype(str).values.tolist()))
+    assert rows(got) == rows(exp)
+
+
+def test_ten_queries():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+
+
+def test_pipeline(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    columns, names = docs.columns, [n for n, _ in corpus_pipeline.STAGES]
+    assert names == ["toxicity", "line_dedup", "ngram_jaccard_join", "decontamination", "packing"]
+    for name, stage in corpus_pipeline.STAGES:
+        n = docs.count()
+        stage(spark, docs, SF).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        if name != "packing":
+            assert docs.columns == columns and 0 < docs.count() <= n
+    assert docs.agg({"sequence_id": "max"}).first()[0] >= 0
