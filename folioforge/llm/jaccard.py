@@ -8,9 +8,10 @@ document lies in the region of each pivot that is exactly its content in a part
 (distance to that pivot restricted to the part: 0); linked documents share at
 least one region, since they would otherwise differ in every part.
 
-Regions that share documents form a cell. Inside a cell, documents are the
-pivots: a pivot is compared with the cell, documents within the threshold join
-it, and others are compared only if the triangle inequality allows a link.
+Regions that share documents form a cell. A cell is cut into regions again, by
+its own rarest shingles, and there documents are the pivots: a pivot is
+compared with its region, documents within the threshold join it, and others
+are compared only if the triangle inequality allows a link.
 Cells that are too large for a task are cut into Voronoi regions of sampled
 pivots first; a document also goes to each region whose pivot is at most twice
 the threshold further than its own, so that every link lies in some region.
@@ -28,14 +29,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .buckets import PACKED, Membership, bits_for, by_bucket, packed
-from .common import pick, shuffle_width, stored
+from .common import pick, shuffle_width, stored, worker_cache
 from .components import connected
 from .hashing import mix, word_hashes
 
 U64 = np.uint64
 SIGNATURE = np.dtype([("s", "<u8"), ("u", "<u8")])
-FLUSH = 3_000_000
-_FILTER: dict[int, Membership] = {}
+FLUSH = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -134,6 +134,7 @@ def candidate_edges(texts: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]
     asked = np.dtype([("u", "<u8"), ("n", "<u8")])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("jaccard")
         seen: set[int] = set()
         held: list[np.ndarray] = []
         n = 0
@@ -187,57 +188,95 @@ def candidate_edges(texts: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]
 
 
 class Cell:
-    """Links inside one cell: pivots, triangle inequality, union-find."""
+    """Links inside one cell: regions, pivots, triangle inequality, union-find."""
+
+    #: Documents up to which a cell is one region; pivots whose distances are kept in a region.
+    SMALL, PIVOTS = 48, 8
 
     def __init__(self, sets: list[np.ndarray], rule: Rule) -> None:
         self.sets, self.rule = sets, rule
         self.size = np.array([len(s) for s in sets], np.int64)
-        self.flat = np.concatenate(sets) if sets else np.zeros(0, U64)
-        self.at = np.concatenate([[0], np.cumsum(self.size)])
         self.root = np.arange(len(sets))
+        self.edges: list[tuple[int, int]] = []
+        self.apart: set[tuple[int, int]] = set()
+
+    def roots(self, of: np.ndarray) -> np.ndarray:
+        r = self.root[of]
+        while (up := self.root[r]).tolist() != r.tolist():
+            r = up
+        self.root[of] = r
+        return r
 
     def shared(self, pivot: int, others: np.ndarray) -> np.ndarray:
         """Sizes of the intersections of ``pivot`` with ``others``."""
-        p = self.sets[pivot]
-        if len(others) * 4 > len(self.sets):
-            flat, at = self.flat, self.at
-            hit = self.inside(flat, p)
-            return np.add.reduceat(hit, at[:-1])[others] if len(flat) else np.zeros(len(others), np.int64)
         flat = np.concatenate([self.sets[i] for i in others])
         cut = np.concatenate([[0], np.cumsum(self.size[others])[:-1]])
-        return np.add.reduceat(self.inside(flat, p), cut)
+        return np.add.reduceat(self.inside(flat, self.sets[pivot]), cut)
 
     @staticmethod
     def inside(flat: np.ndarray, p: np.ndarray) -> np.ndarray:
         return (p[np.minimum(np.searchsorted(p, flat), len(p) - 1)] == flat).astype(np.int64)
 
-    def links(self, keep: int = 8) -> list[tuple[int, int]]:
+    def regions(self) -> Iterator[np.ndarray]:
+        """Groups of documents of which linked ones share at least one.
+
+        Regions belong to shingles, rarest in the cell first: a linked document shares one of the first
+        size - ceil(threshold * size) + 1 of another's.
+        """
+        flat = np.concatenate(self.sets)
+        owner = np.repeat(np.arange(len(self.sets)), self.size)
+        _, number, seen = np.unique(flat, return_inverse=True, return_counts=True)
+        order = np.lexsort((number, seen[number], owner))
+        place = np.arange(len(flat)) - np.repeat(np.cumsum(self.size) - self.size, self.size)
+        lead = self.size + (-self.rule.num * self.size // self.rule.den) + 1
+        number, owner = number[order], owner[order]
+        kept = (place < lead[owner]) & (seen[number] > 1)
+        number, owner = number[kept], owner[kept]
+        order = np.argsort(number, kind="stable")
+        cuts = np.flatnonzero(np.diff(number[order])) + 1
+        yield from (g for g in np.split(owner[order], cuts) if len(g) > 1)
+
+    def links(self) -> list[tuple[int, int]]:
         """A spanning forest of the link graph."""
-        m, rule, edges = len(self.sets), self.rule, []
-        dist = np.zeros((0, m))
-        done = np.zeros(m, bool)
-        for p in np.argsort(self.size, kind="stable"):
-            done[p] = True
-            # not yet a pivot itself (those have seen p), another component, and near enough by size and by earlier pivots
-            open_ = ~done & (self.root != self.root[p])
-            if len(dist) < keep and not len(edges) == m - 1 and open_.any() and m > 2:
-                others = np.arange(m)
-                full = True
-            else:
-                open_ &= (self.size * rule.num <= self.size[p] * rule.den) & (self.size[p] * rule.num <= self.size * rule.den)
-                if len(dist):
-                    open_ &= (np.abs(dist - dist[:, p : p + 1]) <= rule.eps + 1e-9).all(axis=0)
-                others, full = np.flatnonzero(open_), False
-            if not len(others):
+        if len(self.sets) <= self.SMALL:
+            self.join(np.arange(len(self.sets)))
+        else:
+            for region in self.regions():
+                self.join(region)
+        return self.edges
+
+    def join(self, region: np.ndarray) -> None:
+        """All links of a region but those inside a component.
+
+        Pivots are the documents outside the region's largest component, since each open pair has one of them;
+        a pivot meets the others within the window of sizes and of the distances to earlier pivots.
+        """
+        rule, roots = self.rule, self.roots(region)
+        heads, members = np.unique(roots, return_counts=True)
+        if len(heads) == 1:
+            return
+        size, dist = self.size[region], np.zeros((0, len(region)))
+        for at in np.flatnonzero(roots != heads[members.argmax()]).tolist():
+            p, roots = int(region[at]), self.roots(region)
+            open_ = (roots != roots[at]) & (size * rule.num <= size[at] * rule.den) & (size[at] * rule.num <= size * rule.den)
+            if len(dist):
+                open_ &= (np.abs(dist - dist[:, at : at + 1]) <= rule.eps + 1e-9).all(axis=0)
+            others = [q for q in region[open_].tolist() if (min(p, q), max(p, q)) not in self.apart]
+            if not others:
                 continue
-            both = self.shared(p, others)
+            full = len(others) > self.SMALL and len(dist) < self.PIVOTS
+            others = np.array(others)
+            both = self.shared(p, region if full else others)
             if full:
-                dist = np.vstack([dist, 1 - both / (self.size + self.size[p] - both)])
-            for q in others[rule.linked(both, self.size[others], self.size[p])]:
-                if self.root[q] != self.root[p]:
-                    self.root[self.root == self.root[q]] = self.root[p]
-                    edges.append((int(p), int(q)))
-        return edges
+                dist = np.vstack([dist, 1 - both / (size + size[at] - both)])
+                both = both[np.isin(region, others)]
+            linked = rule.linked(both, self.size[others], self.size[p])
+            for q in others[linked].tolist():
+                a, b = self.roots(np.array([p, q])).tolist()
+                if a != b:
+                    self.root[b] = a
+                    self.edges.append((p, q))
+            self.apart.update((min(p, q), max(p, q)) for q in others[~linked].tolist())
 
 
 def _cell_links(cells: DataFrame, rule: Rule) -> DataFrame:
@@ -267,29 +306,40 @@ def _cell_links(cells: DataFrame, rule: Rule) -> DataFrame:
 
 
 def _voronoi(cells: DataFrame, rule: Rule) -> DataFrame:
-    """Cut each cell into the regions of its pivots: (cell, u, n, text) with new cells, boundary documents in several."""
+    """Cut each cell into the regions of its pivots: (cell, u, n, text) with new cells, boundary documents in several.
+
+    A cell is dealt to several tasks by salt; its pivots go to each of them, ahead of the documents.
+    """
     order = Window.partitionBy("cell").orderBy(F.xxhash64("u", "cell"), "u")
     pivots = cells.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= rule.pivots)
-    pivots = pivots.groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("r", "text"))).alias("pivots"))
+    salts = cells.groupBy("cell").agg(F.ceil(F.sum("n") * 2 / rule.cell_shingles).cast("int").alias("salts"))
+    lead = pivots.join(salts, "cell").select("cell", F.explode(F.expr("sequence(0, salts - 1)")).alias("salt"), "r", "u", "n", "text")
+    rows = cells.join(salts, "cell").select("cell", F.pmod(F.xxhash64("u"), F.col("salts")).cast("int").alias("salt"), F.lit(1 << 30).alias("r"), "u", "n", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[int | None, list[np.ndarray]] = (None, [])
+        now, held = None, []
         for batch in batches:
             keep: list[tuple[int, int]] = []
-            for i, (cell, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(3))):
-                if held[0] != cell:
-                    held = (cell, [shingles(p["text"], rule.size) for p in batch.column(4)[i].as_py()])
+            for i, (cell, salt, r, text) in enumerate(zip(*(batch.column(j).to_pylist() for j in range(3)), batch.column(5))):
+                if (cell, salt) != now:
+                    now, held = (cell, salt), []
                 s = shingles(text.as_py(), rule.size)
-                both = np.array([int(Cell.inside(s, p).sum()) for p in held[1]])
-                d = 1 - both / (len(s) + np.array([len(p) for p in held[1]]) - both)
+                if r <= rule.pivots:
+                    held.append(s)
+                    continue
+                both = np.array([int(Cell.inside(s, p).sum()) for p in held])
+                d = 1 - both / (len(s) + np.array([len(p) for p in held]) - both)
                 keep += [(i, j) for j in np.flatnonzero(d <= d.min() + 2 * rule.eps + 1e-9).tolist()]
-            rows = batch.take(pa.array([i for i, _ in keep], pa.int64()))
-            region = np.array([j for _, j in keep], np.int64)
-            old = np.array(rows.column(0).to_pylist(), np.int64).view(U64) if keep else np.zeros(0, U64)
-            new = mix(old * U64(31) + region.astype(U64) + U64(7)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(new), rows.column(1), rows.column(2), rows.column(3)], names=["cell", "u", "n", "text"])
+            if not keep:
+                continue
+            taken = batch.take(pa.array([i for i, _ in keep], pa.int64()))
+            region = np.array([j for _, j in keep], np.uint64)
+            new = mix(taken.column(0).to_numpy(zero_copy_only=False).view(U64) * U64(31) + region + U64(7)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(new), taken.column(3), taken.column(4), taken.column(5)], names=["cell", "u", "n", "text"])
 
-    return cells.join(pivots, "cell").select("cell", "u", "n", "text", "pivots").mapInArrow(run, "cell long, u long, n long, text string")
+    width = shuffle_width(cells.sparkSession)
+    dealt = lead.union(rows).repartition(width, "cell", "salt").sortWithinPartitions("cell", "salt", "r")
+    return dealt.mapInArrow(run, "cell long, u long, n long, text string")
 
 
 def _blocks(cells: DataFrame, rule: Rule) -> DataFrame:
@@ -309,10 +359,11 @@ def links(texts: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The texts that may be in a cell, one of equal ones in a task."""
-        if token not in _FILTER:
-            _FILTER.clear()
-            _FILTER[token] = Membership(bits, shared.value)
-        known, seen = _FILTER[token], set()
+        held_filters = worker_cache("jaccard")
+        if token not in held_filters:
+            held_filters.clear()
+            held_filters[token] = Membership(bits, shared.value)
+        known, seen = held_filters[token], set()
         for batch in batches:
             keys = batch.column(0).to_numpy(zero_copy_only=False)
             may = known(mix(keys.view(U64)))
