@@ -62,3 +62,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+_CACHES: dict[str, dict] = {}
+
+
+def worker_cache(owner: str) -> dict:
+    """A dict that stays with a reused Python worker; other owners' dicts are emptied, so that a worker holds
+    one operator's tables at a time."""
+    for name, held in _CACHES.items():
+        if name != owner:
+            held.clear()
+    return _CACHES.setdefault(owner, {})

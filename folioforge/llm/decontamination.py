@@ -14,13 +14,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick
+from .common import pick, worker_cache
 
 #: UTF-8 bytes to normalised bytes: A-Z lowered, every other ASCII byte that is no letter or digit a blank.
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 #: Most bytes of benchmark text that are broadcast; the automaton takes about 60 times as much.
 MAX_BENCHMARK_BYTES = 4_000_000
-_BUILT: dict[str, "Scanner"] = {}
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -105,10 +104,11 @@ def shared_scanner(bench: DataFrame, size: int) -> Callable[[], Scanner]:
     key = f"{shared._jbroadcast.id()}-{size}"
 
     def scanner() -> Scanner:
-        if key not in _BUILT:
-            _BUILT.clear()
-            _BUILT[key] = Scanner(shared.value, size)
-        return _BUILT[key]
+        held = worker_cache("decontamination")
+        if key not in held:
+            held.clear()
+            held[key] = Scanner(shared.value, size)
+        return held[key]
 
     return scanner
 

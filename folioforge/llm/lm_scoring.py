@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .buckets import PACKED, bits_for, by_bucket, packed
-from .common import pick, shuffle_width, stored
+from .common import pick, shuffle_width, stored, worker_cache
 from .hashing import mix, word_hashes
 
 U64 = np.uint64
@@ -30,7 +30,6 @@ U64 = np.uint64
 END, START = U64(0x0E0D0E0D0E0D0E0D), U64(0x57A7757A7757A775)
 COUNT = np.dtype([("h", "<u8"), ("c", "<i8")])
 FLUSH, PROBES = 3_000_000, 3
-_TABLES: dict[int, tuple] = {}
 
 
 def tokens_of(text: str | None) -> np.ndarray:
@@ -219,10 +218,11 @@ def score_documents(
         token = two._jbroadcast.id()
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            if token not in _TABLES:
-                _TABLES.clear()
-                _TABLES[token] = (Unigrams(one.value), Filter(bits, two.value))
-            uni, grams = _TABLES[token]
+            held = worker_cache("lm_scoring")
+            if token not in held:
+                held.clear()
+                held[token] = (Unigrams(one.value), Filter(bits, two.value))
+            uni, grams = held[token]
             for batch in batches:
                 for lo in range(0, batch.num_rows, 1000):
                     yield score_batch(batch.slice(lo, 1000), uni, grams)

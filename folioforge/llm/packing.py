@@ -17,13 +17,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pick, stored
+from .common import pick, stored, worker_cache
 
 #: Entries of each of the two generations of a worker's cache from white-space separated chunk to its ids.
 CACHE_ENTRIES = 500_000
 #: Punctuation that is cut off a chunk's end; a run of it is one pre-token.
 TAIL = ".,;:!?"
-_WORKER: dict[str, "ChunkEncoder"] = {}
 
 
 class ChunkEncoder(dict):
@@ -82,9 +81,10 @@ class ChunkEncoder(dict):
 
 
 def worker_encoder(path: str) -> ChunkEncoder:
-    if path not in _WORKER:
-        _WORKER[path] = ChunkEncoder(path)
-    return _WORKER[path]
+    held = worker_cache("packing")
+    if path not in held:
+        held[path] = ChunkEncoder(path)
+    return held[path]
 
 
 def tokenised(df: DataFrame, id_col: str, text_col: str, tokenizer_path: str, end_id: int) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .buckets import PACKED, Membership, bits_for, by_bucket, packed
-from .common import pick, shuffle_width, stored
+from .common import pick, shuffle_width, stored, worker_cache
 from .hashing import prefix, runs, sliding, span, word_hashes
 
 ANCHOR = np.dtype([("a", "<u8"), ("u", "<u8"), ("p", "<u4"), ("many", "<u4")])
@@ -33,7 +33,6 @@ WINDOW = np.dtype([("w", "<u8"), ("x", "<u4"), ("p", "<u4"), ("u", "<u8")])
 HIT = np.dtype([("u", "<u8"), ("ru", "<u8"), ("p", "<u4"), ("rp", "<u4")])
 #: Words of an anchor's run, bytes of the anchor filter, records that a task gathers before it sends them.
 ANCHOR_WORDS, FILTER_BYTES, FLUSH = 16, 1 << 24, 3_000_000
-_FILTER: dict[int, Membership] = {}
 
 
 def texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]]]:
@@ -126,10 +125,11 @@ def window_hits(texts: DataFrame, window: int, k: int, filter_bytes: int) -> Dat
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Windows for the blocks (buckets from 0), and what this task could settle itself (buckets below 0)."""
-        if token not in _FILTER:
-            _FILTER.clear()
-            _FILTER[token] = Membership(bits, shared.value)
-        known = _FILTER[token]
+        held_filters = worker_cache("substrings")
+        if token not in held_filters:
+            held_filters.clear()
+            held_filters[token] = Membership(bits, shared.value)
+        known = held_filters[token]
         held: list[np.ndarray] = []
         n = 0
 

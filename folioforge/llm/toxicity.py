@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick
+from .common import pick, worker_cache
 
 #: UTF-8 bytes of the words: A-Z lowered, every other ASCII byte that is no letter or digit a blank.
 LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -131,6 +131,7 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sample = marks.groupBy("doc_id").agg(F.max("grade").cast("int").alias("grade")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("toxicity")
         for batch in batches:
             ids = [features(t.as_py()).astype("<i4").tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), batch.column(2)], names=["doc_id", "ids", "grade"])
@@ -153,6 +154,7 @@ def score_documents(df: DataFrame, model: OrdinalModel, id_col: str = "doc_id",
     shared = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.thresholds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("toxicity")
         weights, thresholds = shared.value
         held = OrdinalModel(weights, thresholds)
         for batch in batches:
@@ -172,6 +174,7 @@ def reject_toxic(df: DataFrame, model: OrdinalModel, text_col: str = "text", cut
     shared = df.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.thresholds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("toxicity")
         weights, thresholds = shared.value
         held = OrdinalModel(weights, thresholds)
         for batch in batches:
