@@ -212,13 +212,13 @@ def alternatives_topk(spark: SparkSession, d: str) -> DataFrame:
     return relational.top_per_key(offers(spark, d), ["part"], [F.desc("price"), "ads_id", "line"], 2, "rank").select("part", "ads_id", "line", "price", "rank")
 
 
-@query(f"""WITH {OFFERS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY ads_id ORDER BY CASE WHEN supplier % 3 = 0 THEN 0 ELSE 1 END, price DESC, line) AS place_no FROM offers),
+@query(f"""WITH {OFFERS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY ads_id ORDER BY CASE WHEN supplier % 3 = 0 THEN 0 ELSE 1 END, price DESC, line, part) AS place_no FROM offers),
 c AS (SELECT ads_id, supplier % 7 AS image_url, min(place_no) AS f, array_to_string(list(part ORDER BY place_no), ',') AS isbns FROM r GROUP BY 1, 2)
 SELECT ads_id, CAST(image_url AS VARCHAR) AS image_url, isbns, CAST(row_number() OVER (PARTITION BY ads_id ORDER BY f) AS INT) AS place FROM c""")
 def cover_group_collect(spark: SparkSession, d: str) -> DataFrame:
     """TK6, AG12."""
     rows = offers(spark, d).select(
-        "ads_id", F.col("part").alias("isbn13"), (F.col("supplier") % 7).cast("string").alias("image_url"), (F.col("supplier") % 3 == 0).alias("is_pipeline"), F.col("price").alias("title_similarity"), F.col("line").alias("ord")
+        "ads_id", F.col("part").alias("isbn13"), (F.col("supplier") % 7).cast("string").alias("image_url"), (F.col("supplier") % 3 == 0).alias("is_pipeline"), F.col("price").alias("title_similarity"), (F.col("line").cast("long") * 1_000_000_000 + F.col("part")).alias("ord")
     )
     return relational.cover_plan(rows, "ads_id", 3).select("ads_id", "image_url", F.array_join(F.transform("isbns", lambda x: x.cast("string")), ",").alias("isbns"), "place")
 
