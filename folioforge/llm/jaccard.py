@@ -12,14 +12,16 @@ Regions that share documents form a cell. A cell is cut into regions again, by
 its own rarest shingles, and there documents are the pivots: a pivot is
 compared with its region, documents within the threshold join it, and others
 are compared only if the triangle inequality allows a link.
-Cells that are too large for a task are cut into Voronoi regions of sampled
-pivots first; a document also goes to each region whose pivot is at most twice
+Cells that are too large for a task are cut by size first (the empty set is the
+pivot of the metric that counts differing shingles), then, for ``rounds`` above
+0, into Voronoi regions of sampled pivots; a document also goes to each region whose pivot is at most twice
 the threshold further than its own, so that every link lies in some region.
-Regions that pivots cannot cut any more are compared block by block.
+What is still too large is compared block by block.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -48,10 +50,11 @@ class Rule:
     #: Ratio of a size class's ends; parts beyond the least that a class needs.
     growth: float = 1.5
     spare: float = 1.1
-    #: Most shingles of one cell in a task; pivots of a larger one; rounds of cutting.
+    #: Most shingles of one cell in a task; pivots of a larger one; rounds of Voronoi cutting (none by default:
+    #: where distances to all pivots are alike, the windows send a document to every region).
     cell_shingles: int = 4_000_000
     pivots: int = 16
-    rounds: int = 2
+    rounds: int = 0
 
     @property
     def eps(self) -> float:
@@ -305,6 +308,15 @@ def _cell_links(cells: DataFrame, rule: Rule) -> DataFrame:
     return cells.select("cell", "u", "text").repartition(width, "cell").sortWithinPartitions("cell", "u").mapInArrow(run, "a long, b long")
 
 
+def _size_bands(cells: DataFrame, rule: Rule) -> DataFrame:
+    """Cut each cell by size, which is the distance to the empty set when differing shingles are counted: linked
+    sets are of one band or of neighbouring ones, so a document also goes to the band above its own."""
+    width = math.log(rule.den / rule.num)
+    low = F.floor(F.log(F.col("n").cast("double")) / width)
+    high = F.floor((F.log(F.col("n").cast("double")) + width) / width + 1e-9)
+    return cells.withColumn("band", F.explode(F.sequence(low, high))).select(F.xxhash64("cell", "band").alias("cell"), "u", "n", "text")
+
+
 def _voronoi(cells: DataFrame, rule: Rule) -> DataFrame:
     """Cut each cell into the regions of its pivots: (cell, u, n, text) with new cells, boundary documents in several.
 
@@ -330,12 +342,12 @@ def _voronoi(cells: DataFrame, rule: Rule) -> DataFrame:
                 both = np.array([int(Cell.inside(s, p).sum()) for p in held])
                 d = 1 - both / (len(s) + np.array([len(p) for p in held]) - both)
                 keep += [(i, j) for j in np.flatnonzero(d <= d.min() + 2 * rule.eps + 1e-9).tolist()]
-            if not keep:
-                continue
-            taken = batch.take(pa.array([i for i, _ in keep], pa.int64()))
-            region = np.array([j for _, j in keep], np.uint64)
-            new = mix(taken.column(0).to_numpy(zero_copy_only=False).view(U64) * U64(31) + region + U64(7)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(new), taken.column(3), taken.column(4), taken.column(5)], names=["cell", "u", "n", "text"])
+            for lo in range(0, len(keep), 500):  # a document may go to many regions
+                part = keep[lo : lo + 500]
+                taken = batch.take(pa.array([i for i, _ in part], pa.int64()))
+                region = np.array([j for _, j in part], np.uint64)
+                new = mix(taken.column(0).to_numpy(zero_copy_only=False).view(U64) * U64(31) + region + U64(7)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(new), taken.column(3), taken.column(4), taken.column(5)], names=["cell", "u", "n", "text"])
 
     width = shuffle_width(cells.sparkSession)
     dealt = lead.union(rows).repartition(width, "cell", "salt").sortWithinPartitions("cell", "salt", "r")
@@ -379,10 +391,10 @@ def links(texts: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     weights = members.groupBy("cell").agg(F.sum("n").alias("w"))
     found = _cell_links(members.join(weights.filter(F.col("w") <= rule.cell_shingles), "cell", "left_semi"), rule)
     large = members.join(weights.filter(F.col("w") > rule.cell_shingles), "cell", "left_semi").dropDuplicates(["cell", "u"])
-    for _ in range(rule.rounds):
+    for cut_by in (_size_bands, *[_voronoi] * rule.rounds):
         if large.isEmpty():
             break
-        cut = stored(_voronoi(large, rule), "voronoi")
+        cut = stored(cut_by(large, rule), "cut")
         weights = cut.groupBy("cell").agg(F.sum("n").alias("w"))
         found = found.union(_cell_links(cut.join(weights.filter(F.col("w") <= rule.cell_shingles), "cell", "left_semi"), rule))
         large = cut.join(weights.filter(F.col("w") > rule.cell_shingles), "cell", "left_semi")
@@ -391,7 +403,7 @@ def links(texts: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     return stored(found, "links"), sizes
 
 
-def _member_filter(cells: DataFrame, bits: int, nbytes: int = 1 << 24) -> dict[int, bytes]:
+def _member_filter(cells: DataFrame, bits: int, nbytes: int = 1 << 22) -> dict[int, bytes]:
     """Segments of a Bloom filter of fixed size that holds the texts in cells."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -23,7 +23,7 @@ from .common import pick, worker_cache
 LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 FEATURES = 1 << 20
 #: Bound of the labelled sample that the model is fitted on (the rows of least hash of their id).
-SAMPLE_ROWS = 20_000
+SAMPLE_ROWS = 10_000
 
 
 def features(text: str | None) -> np.ndarray:
@@ -62,7 +62,7 @@ class _Rows:
         number = np.cumsum(kept) - 1
         owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
         use = kept[inverse]
-        self.col, self.row, self.n = number[inverse][use], owner[use], len(rows)
+        self.col, self.row, self.n = number[inverse][use].astype(np.int32), owner[use].astype(np.int32), len(rows)
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, w[self.col], self.n)
