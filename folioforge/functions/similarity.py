@@ -34,14 +34,19 @@ def work_prefix_match(a: Column, b: Column) -> Column:
     return prefix_match(T.normalize_match(a), T.normalize_match(b))
 
 
-def token_similarity(a: Column, b: Column) -> Column:
-    """SIM1: shared over the larger set; a safe prefix gives 0.9 at least, containment of 0.85 its own value."""
-    x, y = T.similarity_tokens(a), T.similarity_tokens(b)
-    both, low, high = _shared(x, y).cast("double"), F.least(F.size(x), F.size(y)), F.greatest(F.size(x), F.size(y))
+def counted_similarity(shared: Column, n: Column, m: Column, match: Column) -> Column:
+    """SIM1 of sets of n and m tokens with so many in common; ``match`` tells that a title is the other's safe prefix."""
+    both, low, high = shared.cast("double"), F.least(n, m), F.greatest(n, m)
     strict = both / high
     inside = F.when(low >= 2, both / low).otherwise(0.0)
     rest = F.when(inside >= 0.85, F.greatest(strict, inside)).otherwise(strict)
-    return F.when(low == 0, 0.0).otherwise(F.when(expanded_title_match(a, b), F.greatest(strict, F.lit(0.9))).otherwise(rest))
+    return F.when(low == 0, 0.0).otherwise(F.when(match, F.greatest(strict, F.lit(0.9))).otherwise(rest))
+
+
+def token_similarity(a: Column, b: Column) -> Column:
+    """SIM1: shared over the larger set; a safe prefix gives 0.9 at least, containment of 0.85 its own value."""
+    x, y = T.similarity_tokens(a), T.similarity_tokens(b)
+    return counted_similarity(_shared(x, y), F.size(x), F.size(y), expanded_title_match(a, b))
 
 
 def jaccard(x: Column, y: Column) -> Column:

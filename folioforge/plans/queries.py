@@ -12,7 +12,7 @@ from ..functions import text as T
 from ..operators import classify, ledger, merge, relational
 from ..sources import pages
 from ..streaming import queue
-from .tables import best_offers, book_states, offers, pairs, priced_books, read
+from .tables import best_offers, book_states, line_similarities, offers, pairs, priced_books, read
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -501,14 +501,16 @@ def titles_compatible(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def token_similarity(spark: SparkSession, d: str) -> DataFrame:
-    """SIM1 (prefix and containment rules; tested on literal cases)."""
-    return pairs(spark, d).select("doc_id", similarity.token_similarity(F.col("a"), F.col("b")).alias("similarity"))
+    """SIM1 (prefix and containment rules): each document's best similarity of any of its lines to any benchmark item."""
+    best = line_similarities(spark, d).groupBy("doc_id").agg(F.max("similarity").alias("similarity"))
+    ids = read(spark, d, "documents").select(F.col("doc_id").alias("id")).distinct()
+    return ids.join(best, F.col("id").eqNullSafe(F.col("doc_id")), "left").select(F.col("id").alias("doc_id"), F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
 
 
 @query()
 def candidate_score_top10(spark: SparkSession, d: str) -> DataFrame:
-    """SIM3, AG9, WN4, JN5: documents' titles against the benchmark items that share a rare word with them."""
-    rows = pairs(spark, d).withColumn("score", similarity.candidate_score([similarity.token_similarity(F.col("a"), F.col("b"))], F.lit(None).cast("double"), F.lit(False)))
+    """SIM3, AG9, WN4, JN5: for each benchmark item, the best of all documents of which a line has a similarity above 0 to it."""
+    rows = line_similarities(spark, d).withColumn("score", similarity.candidate_score([F.col("similarity")], F.lit(None).cast("double"), F.lit(False)))
     return relational.top_per_key(rows, ["item_id"], [F.desc("score"), "doc_id"], 10, "rank").select("item_id", "doc_id", "score", "rank")
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import isbn
+from ..functions import isbn, similarity
+from ..functions import text as T
 from ..operators.merge import best_offer
 
 
@@ -62,3 +63,28 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("b"))
     n = F.pmod(F.col("doc_id"), F.lit(40))
     return docs.withColumn("item_id", n.cast("long")).join(items, "item_id")
+
+
+def line_similarities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, item_id, similarity): each document against every benchmark item that has a similarity above 0 to its
+    first line.
+
+    Lines and items meet on each token they share, however frequent, or on the first 12 characters of their main
+    titles; no other pair has a similarity above 0.
+    """
+    lines = read(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n")[0].alias("title")).distinct()
+    lines = lines.withColumn("code", F.xxhash64("title"))
+
+    def sides(df: DataFrame, key: str, size: str, main: str) -> tuple[DataFrame, DataFrame]:
+        """A row for each token, and a row for the main title if it is long enough."""
+        each = df.select(key, T.similarity_tokens(F.col("title")).alias("tokens"), T.normalize_unicode(T.main_title(F.col("title"))).alias(main)).withColumn(size, F.size("tokens"))
+        return each.select(key, size, F.explode("tokens").alias("token")), each.filter((F.length(main) >= 12) & (F.col(size) > 0)).select(key, size, main, F.substring(main, 1, 12).alias("start"))
+
+    items = read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("title"))
+    tokens, mains = sides(lines.select("code", "title").dropDuplicates(["code"]), "code", "n", "x")
+    item_tokens, item_mains = sides(items, "item_id", "m", "y")
+    shared = tokens.join(item_tokens, "token").select("code", "item_id", "n", "m", F.lit(1).alias("shared"), F.lit(False).alias("match"))
+    started = mains.join(item_mains, "start").filter(similarity.prefix_match(F.col("x"), F.col("y"))).select("code", "item_id", "n", "m", F.lit(0).alias("shared"), F.lit(True).alias("match"))
+    met = shared.union(started).groupBy("code", "item_id", "n", "m").agg(F.sum("shared").alias("shared"), F.max("match").alias("match"))
+    scored = met.select("code", "item_id", similarity.counted_similarity(F.col("shared"), F.col("n"), F.col("m"), F.col("match")).alias("similarity"))
+    return lines.select("doc_id", "code").join(scored, "code").groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"))
