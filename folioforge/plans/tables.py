@@ -66,13 +66,13 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_similarities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, item_id, similarity): each document against every benchmark item that has a similarity above 0 to its
-    first line.
+    """(doc_id, item_id, similarity): each document against every benchmark item that has a similarity above 0 to one of
+    its lines; the similarity is that of its best line.
 
     Lines and items meet on each token they share, however frequent, or on the first 12 characters of their main
     titles; no other pair has a similarity above 0.
     """
-    lines = read(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n")[0].alias("title")).distinct()
+    lines = read(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n", -1)).alias("title")).distinct()
     lines = lines.withColumn("code", F.xxhash64("title"))
 
     def sides(df: DataFrame, key: str, size: str, main: str) -> tuple[DataFrame, DataFrame]:

@@ -24,7 +24,7 @@ def tables(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("candidates"))
     spark.createDataFrame(DOCS, "doc_id long, text string").write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame(ITEMS, "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
-    docs = spark.createDataFrame([(i, line) for i, t in DOCS if t is not None for line in t.split("\n")[:1]], "doc_id long, a string")
+    docs = spark.createDataFrame([(i, line) for i, t in DOCS if t is not None for line in t.split("\n")], "doc_id long, a string")
     pairs = docs.crossJoin(spark.createDataFrame(ITEMS, "item_id long, b string"))
     exact = {}
     for r in pairs.select("doc_id", "item_id", similarity.token_similarity(F.col("a"), F.col("b")).alias("s")).collect():
@@ -41,4 +41,4 @@ def test_token_similarity(spark, tables):
 def test_candidate_score_top10(spark, tables):
     path, exact = tables
     got = {(r.doc_id, r.item_id) for r in QUERIES["candidate_score_top10"](spark, path).collect()}
-    assert got == {k for k, s in exact.items() if s > 0} and {(None, 120), (2, 77), (6, 121)} <= got
+    assert got == {k for k, s in exact.items() if s > 0} and {(None, 120), (1, 77), (6, 121)} <= got
