@@ -50,6 +50,12 @@ LAYOUTS = (
 )
 #: Role names of other layouts.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant"}
+#: Characters of a turn up to which it goes through JSON, whose parser takes no string of more than 20,000,000.
+JSON_CHARS = 1_000_000
+
+
+def common_role(role: Column) -> Column:
+    return reduce(lambda c, x: F.when(role == x[0], F.lit(x[1])).otherwise(c), ROLES.items(), role)
 
 
 def field_paths(v: Column) -> Column:
@@ -81,8 +87,7 @@ def canonical_turns(df: DataFrame, record_col: str = "record", id_col: str = "co
     turns = reduce(lambda other, k: F.when(F.col("print") == k[1], F.expr(k[0].turns)).otherwise(other), reversed(known), empty)
     name = reduce(lambda other, k: F.when(F.col("print") == k[1], F.lit(k[0].name)).otherwise(other), reversed(known), F.lit(None).cast("string"))
     rows = base.select("conv_id", "turn", name.alias("layout"), F.posexplode_outer(turns).alias("place", "t"))
-    role = reduce(lambda c, x: F.when(F.col("t.role") == x[0], F.lit(x[1])).otherwise(c), ROLES.items(), F.col("t.role"))
-    return rows.select("conv_id", "turn", "place", role.alias("role"), F.col("t.text").alias("text"), "layout")
+    return rows.select("conv_id", "turn", "place", common_role(F.col("t.role")).alias("role"), F.col("t.text").alias("text"), "layout")
 
 
 #: The template's marks: a turn is OPEN role CLOSE text END. Every control string of it and of common chat
@@ -148,8 +153,11 @@ def chat_digest(df: DataFrame, id_col: str = "conv_id", turn_col: str = "turn",
     Turns with the same number stand in order of role and text. An empty table gives no rows.
     """
     rows = pick(df, conv_id=id_col, turn=turn_col, role=role_col, text=text_col)
-    record = F.to_json(F.struct(text_or_empty("role").alias("role"), text_or_empty("text").alias("text")))
-    out = format_turns(canonical_turns(rows.select(F.col("conv_id").cast("long"), "turn", record.alias("record"))))
+    rows = rows.select(F.col("conv_id").cast("long"), "turn", text_or_empty("role").alias("role"), text_or_empty("text").alias("text"))
+    long = F.length("role") + F.length("text") > JSON_CHARS
+    records = rows.filter(~long).select("conv_id", "turn", F.to_json(F.struct("role", "text")).alias("record"))
+    whole = rows.filter(long).select("conv_id", "turn", F.lit(0).alias("place"), common_role(F.col("role")).alias("role"), "text")
+    out = format_turns(canonical_turns(records).drop("layout").union(whole))
     out = out.select("conv_id", "formatted", read_back(F.col("formatted")).alias("turns"), masked_text(F.col("formatted"), F.col("loss_mask")).alias("loss"))
     text = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return out.select(
