@@ -1,4 +1,4 @@
-"""Exact Jaccard join of documents' word shingles in metric space.
+"""Exact Jaccard join of shingle sets in metric space.
 
 Jaccard distance is a metric, but between most documents it is nearly 1, so
 documents as first pivots would tell nothing apart. The first pivots are
@@ -8,15 +8,21 @@ document lies in the region of each pivot that is exactly its content in a part
 (distance to that pivot restricted to the part: 0); linked documents share at
 least one region, since they would otherwise differ in every part.
 
-Regions that share documents form a cell. A cell is cut into regions again, by
-its own rarest shingles, and there documents are the pivots: a pivot is
-compared with its region, documents within the threshold join it, and others
-are compared only if the triangle inequality allows a link.
-Cells that are too large for a task are cut by size first (the empty set is the
-pivot of the metric that counts differing shingles), then, for ``rounds`` above
-0, into Voronoi regions of sampled pivots; a document also goes to each region whose pivot is at most twice
-the threshold further than its own, so that every link lies in some region.
-What is still too large is compared block by block.
+Regions that share documents form a cell. A cell is cut recursively into the
+Voronoi regions of sampled document pivots: a document within the core radius of
+a pivot belongs to its nearest one, those beyond all cores form the far region,
+and boundary documents are replicated by the triangle inequality into each region
+whose pivot is at most twice the threshold further than their own and not beyond
+core radius plus threshold. Every link then lies in some region (see
+:func:`regions_of`), and the regions are joined in the same way, down to small
+ones, in which each pivot meets what the triangle inequality leaves open. What
+pivots do not cut (a dense ball) is joined by its rarest shingles and then in the
+same way.
+
+Cells too large for a task are cut by size first (the empty set is the pivot of
+the metric that counts differing shingles), then into Voronoi regions over all
+tasks, for up to ``rounds`` rounds; what is still too large is compared block by
+block.
 """
 
 from __future__ import annotations
@@ -24,6 +30,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +45,8 @@ from .hashing import mix, word_hashes
 U64 = np.uint64
 SIGNATURE = np.dtype([("s", "<u8"), ("u", "<u8")])
 FLUSH = 1_000_000
+#: Texts whose keys are made at once.
+TEXTS = 256
 
 
 @dataclass(frozen=True)
@@ -50,16 +59,45 @@ class Rule:
     #: Ratio of a size class's ends; parts beyond the least that a class needs.
     growth: float = 1.5
     spare: float = 1.1
-    #: Most shingles of one cell in a task; pivots of a larger one; rounds of Voronoi cutting (none by default:
-    #: where distances to all pivots are alike, the windows send a document to every region).
-    cell_shingles: int = 4_000_000
-    pivots: int = 16
-    rounds: int = 0
+    #: Most shingles of one cell in a task; sampled pivots of a cell; rounds of Voronoi cutting over all tasks; radius
+    #: of a pivot's core in thresholds.
+    cell_shingles: int = 1_000_000
+    pivots: int = 64
+    rounds: int = 4
+    core: float = 2.0
+    #: Whether the numbers of shingles of all texts are wanted.
+    sized: bool = True
 
     @property
     def eps(self) -> float:
         return 1 - self.num / self.den
 
+    def sets(self, text: str | None) -> np.ndarray:
+        """Sorted distinct shingle hashes of a text."""
+        return shingles(text, self.size)
+
+    #: What travels to a region.
+    record: ClassVar[np.dtype] = SIGNATURE
+
+    def records(self, texts: list[str | None], us: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of shingles, and a record for each region that one of the texts (with keys ``us``) lies in."""
+        starts, sizes, keys = classes(self), [], []
+        for t in texts:
+            s = self.sets(t)
+            sizes.append(len(s))
+            keys.append(signatures(s, starts, self) if len(s) else s)
+        out = np.zeros(sum(map(len, keys)), SIGNATURE)
+        out["s"], out["u"] = np.concatenate(keys), np.repeat(us, [len(k) for k in keys])
+        return np.array(sizes, np.int64), out
+
+    def settle(self, records: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Of one task's records: candidate edges, and the records that regions still need."""
+        return _edges(records)
+
+    def edges(self, records: list[np.ndarray]) -> np.ndarray:
+        """Candidate edges of whole regions: linked texts are joined by a path of them."""
+        return _edges(records)[0]
+
     def linked(self, both, a, b):
         return self.den * both >= self.num * (a + b - both)
 
@@ -130,9 +168,8 @@ def _pairs(pairs: np.ndarray) -> pa.RecordBatch:
 
 
 def candidate_edges(texts: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
-    """(a, b): texts that share a region with its least text, and (u, n): each text's number of shingles."""
+    """(a, b): texts joined to those they share a region with, and (u, n): each text's number of shingles (if ``sized``)."""
     bits = bits_for(shuffle_width(texts.sparkSession))
-    starts = classes(rule)
     sizes, settled = -(1 << bits), -(2 << bits)  # first buckets of (u, n) rows and of edges that a task found itself
     asked = np.dtype([("u", "<u8"), ("n", "<u8")])
 
@@ -143,7 +180,7 @@ def candidate_edges(texts: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]
         n = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            pairs, ask = _edges(held)
+            pairs, ask = rule.settle(held)
             yield packed(ask, ask["s"], bits)
             if len(pairs):
                 rows = np.zeros(len(pairs), SIGNATURE)
@@ -151,26 +188,22 @@ def candidate_edges(texts: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]
                 yield packed(rows, mix(rows["s"]), bits, settled)
 
         for batch in batches:
-            counts = []
-            for u, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if u in seen:
-                    continue
-                seen.add(u)
-                s = shingles(text.as_py(), rule.size)
-                counts.append((u & (2**64 - 1), len(s)))
-                if len(s):
-                    keys = signatures(s, starts, rule)
-                    r = np.zeros(len(keys), SIGNATURE)
-                    r["s"], r["u"] = keys, u & (2**64 - 1)
-                    held.append(r)
-                    n += len(r)
+            us = batch.column(0).to_numpy(zero_copy_only=False).view(U64)
+            fresh = [i for i, u in enumerate(us.tolist()) if not (u in seen or seen.add(u))]
+            for lo in range(0, len(fresh), TEXTS):
+                part = fresh[lo : lo + TEXTS]
+                own = us[part]
+                counts, r = rule.records(batch.column(1).take(pa.array(part, pa.int64())).to_pylist(), own)
+                if rule.sized:
+                    rows = np.zeros(len(part), asked)
+                    rows["u"], rows["n"] = own, counts
+                    yield packed(rows, rows["u"], bits, sizes)
+                held.append(r)
+                n += len(r)
                 if n > FLUSH:
                     yield from flush()
                     held, n = [], 0
-            if counts:
-                rows = np.array(counts, asked)
-                yield packed(rows, rows["u"], bits, sizes)
-        if held:
+        if n:
             yield from flush()
 
     kind = "a long, b long, n long"
@@ -180,7 +213,7 @@ def candidate_edges(texts: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]
             rows = np.unique(np.frombuffer(data, asked))
             yield pa.RecordBatch.from_arrays([pa.array(rows["u"].copy().view(np.int64)), pa.nulls(len(rows), pa.int64()), pa.array(rows["n"].astype(np.int64))], names=["a", "b", "n"])
             return
-        pairs = np.unique(np.frombuffer(data, U64).reshape(-1, 2), axis=0) if bucket < 0 else _edges([np.frombuffer(data, SIGNATURE)])[0]
+        pairs = np.unique(np.frombuffer(data, U64).reshape(-1, 2), axis=0) if bucket < 0 else rule.edges([np.frombuffer(data, rule.record)])
         if len(pairs):
             p = pairs.view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(p[:, 0])), pa.array(np.ascontiguousarray(p[:, 1])), pa.nulls(len(p), pa.int64())], names=["a", "b", "n"])
@@ -190,6 +223,47 @@ def candidate_edges(texts: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]
     return found.filter("b is not null").select("a", "b"), found.filter("b is null").select(F.col("a").alias("u"), "n")
 
 
+def regions_of(dist: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+    """(document, region) for distances to pivots (documents by pivots); the region after the last is the far one.
+
+    Let t be the threshold and r the core radius. A document whose nearest pivot is within r has that as its own, else
+    it is far. It goes to each region k with dist[k] <= nearest + 2t and dist[k] <= r + t, and to the far region if it
+    is far. Linked x and y meet: if both are far, in the far region; else let x have own pivot i, then
+    dist(y, i) <= dist(x, i) + t <= r + t, and dist(x, i) is at most x's distance to y's nearest pivot, which is at
+    most y's plus t, so that dist(y, i) <= nearest(y) + 2t.
+    """
+    nearest, radius = dist.min(axis=1), rule.core * rule.eps
+    near = (dist <= nearest[:, None] + 2 * rule.eps + 1e-9) & (dist <= radius + rule.eps + 1e-9)
+    return np.nonzero(np.concatenate([near, (nearest > radius)[:, None]], axis=1))
+
+
+class Pivots:
+    """Sampled sets, thinned so that none lies in another's core, with an index from shingle to pivots."""
+
+    def __init__(self, sets: list[np.ndarray], rule: Rule) -> None:
+        self.rule, kept = rule, []
+        for s in sets:
+            both = np.array([Cell.inside(s, p).sum() for p in kept])
+            if len(s) and (not kept or (1 - both / (len(s) + np.array([len(p) for p in kept]) - both)).min() > rule.core * rule.eps):
+                kept.append(s)
+        self.size = np.array([len(p) for p in kept], np.int64)
+        flat, owner = np.concatenate(kept), np.repeat(np.arange(len(kept)), self.size)
+        order = np.argsort(flat, kind="stable")
+        self.owner = owner[order]
+        self.value, self.first, self.many = np.unique(flat[order], return_index=True, return_counts=True)
+
+    def distances(self, flat: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Jaccard distances of sets (on end in ``flat``, of ``size`` shingles each, none empty) to all pivots."""
+        at = np.minimum(np.searchsorted(self.value, flat), len(self.value) - 1)
+        hit = np.flatnonzero(self.value[at] == flat)
+        doc, at = np.repeat(np.arange(len(size)), size)[hit], at[hit]
+        times = self.many[at]
+        step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        pivot = self.owner[np.repeat(self.first[at], times) + step]
+        both = np.bincount(np.repeat(doc, times) * len(self.size) + pivot, minlength=len(size) * len(self.size)).reshape(len(size), len(self.size))
+        return 1 - both / (size[:, None] + self.size[None, :] - both)
+
+
 class Cell:
     """Links inside one cell: regions, pivots, triangle inequality, union-find."""
 
@@ -201,6 +275,7 @@ class Cell:
         self.size = np.array([len(s) for s in sets], np.int64)
         self.root = np.arange(len(sets))
         self.edges: list[tuple[int, int]] = []
+        self.cuts = 0
         self.apart: set[tuple[int, int]] = set()
 
     def roots(self, of: np.ndarray) -> np.ndarray:
@@ -220,34 +295,52 @@ class Cell:
     def inside(flat: np.ndarray, p: np.ndarray) -> np.ndarray:
         return (p[np.minimum(np.searchsorted(p, flat), len(p) - 1)] == flat).astype(np.int64)
 
-    def regions(self) -> Iterator[np.ndarray]:
-        """Groups of documents of which linked ones share at least one.
+    def regions(self, of: np.ndarray) -> Iterator[np.ndarray]:
+        """Groups of the documents ``of``, of which linked ones share at least one.
 
-        Regions belong to shingles, rarest in the cell first: a linked document shares one of the first
+        Groups belong to shingles, rarest first: a linked document shares one of the first
         size - ceil(threshold * size) + 1 of another's.
         """
-        flat = np.concatenate(self.sets)
-        owner = np.repeat(np.arange(len(self.sets)), self.size)
+        flat = np.concatenate([self.sets[i] for i in of])
+        size = self.size[of]
+        owner = np.repeat(np.arange(len(of)), size)
         _, number, seen = np.unique(flat, return_inverse=True, return_counts=True)
         order = np.lexsort((number, seen[number], owner))
-        place = np.arange(len(flat)) - np.repeat(np.cumsum(self.size) - self.size, self.size)
-        lead = self.size + (-self.rule.num * self.size // self.rule.den) + 1
+        place = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+        lead = size + (-self.rule.num * size // self.rule.den) + 1
         number, owner = number[order], owner[order]
         kept = (place < lead[owner]) & (seen[number] > 1)
         number, owner = number[kept], owner[kept]
         order = np.argsort(number, kind="stable")
         cuts = np.flatnonzero(np.diff(number[order])) + 1
-        yield from (g for g in np.split(owner[order], cuts) if len(g) > 1)
+        yield from (of[g] for g in np.split(owner[order], cuts) if len(g) > 1)
 
     def links(self) -> list[tuple[int, int]]:
-        """A spanning forest of the link graph."""
-        if len(self.sets) <= self.SMALL:
-            self.join(np.arange(len(self.sets)))
-        else:
-            for region in self.regions():
+        """A spanning forest of the link graph: Voronoi regions of pivots, recursively."""
+        todo = [np.arange(len(self.sets))]
+        while todo:
+            region = todo.pop()
+            if len(region) <= self.SMALL:
                 self.join(region)
+                continue
+            parts = self.voronoi(region)
+            if sum(map(len, parts)) > 1.5 * len(region) or max(map(len, parts)) > 0.9 * len(region):  # pivots cut nothing off
+                for part in self.regions(region):
+                    self.join(part)
+            else:
+                todo += [p for p in parts if len(p) > 1]
         return self.edges
 
+    def voronoi(self, region: np.ndarray) -> list[np.ndarray]:
+        """The regions of sampled pivots, and the far region."""
+        self.cuts += 1
+        sets = [self.sets[i] for i in region]
+        step = max(1, len(sets) // min(self.rule.pivots, math.isqrt(len(sets))))
+        pivots = Pivots(sets[self.cuts % step :: step], self.rule)
+        doc, part = regions_of(pivots.distances(np.concatenate(sets), self.size[region]), self.rule)
+        order = np.argsort(part, kind="stable")
+        return np.split(region[doc[order]], np.flatnonzero(np.diff(part[order])) + 1)
+
     def join(self, region: np.ndarray) -> None:
         """All links of a region but those inside a component.
 
@@ -301,7 +394,7 @@ def _cell_links(cells: DataFrame, rule: Rule) -> DataFrame:
                     now, keys, sets = cell, [], []
                 if not keys or keys[-1] != u:
                     keys.append(u)
-                    sets.append(shingles(text.as_py(), rule.size))
+                    sets.append(rule.sets(text.as_py()))
         yield from close()
 
     width = shuffle_width(cells.sparkSession)
@@ -329,20 +422,19 @@ def _voronoi(cells: DataFrame, rule: Rule) -> DataFrame:
     rows = cells.join(salts, "cell").select("cell", F.pmod(F.xxhash64("u"), F.col("salts")).cast("int").alias("salt"), F.lit(1 << 30).alias("r"), "u", "n", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
+        now, held, pivots = None, [], None
         for batch in batches:
             keep: list[tuple[int, int]] = []
             for i, (cell, salt, r, text) in enumerate(zip(*(batch.column(j).to_pylist() for j in range(3)), batch.column(5))):
                 if (cell, salt) != now:
-                    now, held = (cell, salt), []
-                s = shingles(text.as_py(), rule.size)
+                    now, held, pivots = (cell, salt), [], None
+                s = rule.sets(text.as_py())
                 if r <= rule.pivots:
                     held.append(s)
                     continue
-                both = np.array([int(Cell.inside(s, p).sum()) for p in held])
-                d = 1 - both / (len(s) + np.array([len(p) for p in held]) - both)
-                keep += [(i, j) for j in np.flatnonzero(d <= d.min() + 2 * rule.eps + 1e-9).tolist()]
-            for lo in range(0, len(keep), 500):  # a document may go to many regions
+                pivots = pivots or Pivots(held, rule)
+                keep += [(i, j) for j in regions_of(pivots.distances(s, np.array([len(s)])), rule)[1].tolist()]
+            for lo in range(0, len(keep), 500):  # a document may go to several regions
                 part = keep[lo : lo + 500]
                 taken = batch.take(pa.array([i for i, _ in part], pa.int64()))
                 region = np.array([j for _, j in part], np.uint64)
@@ -370,7 +462,7 @@ def links(texts: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     cells = stored(connected(near).select(F.col("node").alias("u"), F.col("component").alias("cell")), "cells")
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The texts that may be in a cell, one of equal ones in a task."""
+        """The texts that may be in a cell, one of equal ones in a task, with their numbers of shingles."""
         held_filters = worker_cache("jaccard")
         if token not in held_filters:
             held_filters.clear()
@@ -380,13 +472,15 @@ def links(texts: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
             keys = batch.column(0).to_numpy(zero_copy_only=False)
             may = known(mix(keys.view(U64)))
             take = [i for i in np.flatnonzero(may).tolist() if not (keys[i] in seen or seen.add(keys[i]))]
-            if take:
-                yield batch.take(pa.array(take, pa.int64()))
+            for lo in range(0, len(take), TEXTS):
+                part = batch.take(pa.array(take[lo : lo + TEXTS], pa.int64()))
+                n = [len(rule.sets(t.as_py())) for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), part.column(1)], names=["u", "n", "text"])
 
     bits = bits_for(shuffle_width(spark))
     shared = spark.sparkContext.broadcast(_member_filter(cells, bits))
     token = shared._jbroadcast.id()
-    members = texts.mapInArrow(once, "u long, text string").join(cells, "u").join(sizes, "u")
+    members = texts.mapInArrow(once, "u long, n long, text string").join(cells, "u")
     members = stored(members.select("cell", "u", "n", "text"), "members")  # a text comes once from each task that read it
     weights = members.groupBy("cell").agg(F.sum("n").alias("w"))
     found = _cell_links(members.join(weights.filter(F.col("w") <= rule.cell_shingles), "cell", "left_semi"), rule)

@@ -195,10 +195,34 @@ def test_substring_dedup(docs, odd, none):
 
 
 def test_factors_are_greedy():
-    rows = [(9, 1, 5, 0), (9, 1, 6, 1), (9, 1, 7, 2), (9, 2, 8, 2), (9, 1, 20, 9)]
-    hits = np.array([(u, ru, p, rp) for u, ru, p, rp in rows], substrings.HIT)
-    ((u, factors),) = list(substrings.parse(hits, 4))
-    assert u == 9 and factors.tolist() == [[5, 6, 1, 0], [8, 4, 2, 2], [20, 4, 1, 9]]
+    """Matches that go on at one reference are one factor; then the furthest is taken, others within it are not."""
+    rows = [(9, 1, 5, 0, 4), (9, 1, 6, 1, 4), (9, 1, 7, 2, 4), (9, 2, 8, 2, 4), (9, 3, 6, 6, 4), (9, 1, 20, 9, 4), (8, 2, 8, 0, 4)]
+    matches = np.array(rows, substrings.FACTOR)
+    got = {u: f.tolist() for u, f in substrings.parse(matches)}
+    assert got == {9: [[5, 6, 1, 0], [8, 4, 2, 2], [20, 4, 1, 9]], 8: [[8, 4, 2, 0]]}
+
+
+def test_block_factors_against_all_pairs_of_places():
+    """Places of one anchor: each window over it that stands at another place lies in a factor, no other does."""
+    window, k, rng = 7, 3, np.random.default_rng(5)
+    texts = [rng.integers(1, 3, 40).astype(np.uint64) for _ in range(12)]
+    r = []
+    for u, h in enumerate(texts):
+        at = np.array([i for i in range(38) if (h[i : i + 3] == [1, 2, 1]).all()], np.int64)
+        r.append(substrings.places(u, h, at, np.full(len(at), 77, np.uint64), window - k, window, k))
+    r = np.concatenate(r)
+    seen = Counter(tuple(h[i : i + window].tolist()) for h in texts for i in range(40 - window + 1))
+    for found in (substrings.factors_in_block(r, window, k), np.concatenate([substrings.settle(r, window, k)[0], substrings.factors_in_block(substrings.settle(r, window, k)[1], window, k)])):
+        got = {(int(f["u"]), int(p)) for f in found for p in range(f["p"], f["p"] + f["n"] - window + 1)}
+        exp = {(int(x["u"]), int(p)) for x in r for p in range(max(0, int(x["p"]) - window + k), int(x["p"]) + 1) if p + window <= 40 and seen[tuple(texts[int(x["u"])][p : p + window].tolist())] > 1}
+        assert exp <= got and got
+        for f in found:
+            a, b = texts[int(f["u"])], texts[int(f["ru"])]
+            assert f["n"] >= window and (f["u"], f["p"]) != (f["ru"], f["rp"]) and (a[f["p"] : f["p"] + f["n"]] == b[f["rp"] : f["rp"] + f["n"]]).all()
+
+
+def test_frequent_anchors_are_dealt_out(docs):
+    assert bag(substrings.substring_digest(docs, hot=2)) == bag(substrings.substring_digest(docs))
 
 
 # --- language model
@@ -223,7 +247,7 @@ def test_lm_scoring(docs, odd, none):
 def test_filter_never_counts_too_low():
     h = np.array([RNG.getrandbits(64) for _ in range(3000)], np.uint64)
     c = np.array([RNG.choice([1, 2, 3, 9, 500]) for _ in h])
-    f = lm_scoring.Filter(4, [(i, lm_scoring.Filter.segment(h[(h >> np.uint64(60)) == i], c[(h >> np.uint64(60)) == i], 10)) for i in range(16)])
+    f = lm_scoring.Filter.of(4, [(i, lm_scoring.Filter.segment(h[(h >> np.uint64(60)) == i], c[(h >> np.uint64(60)) == i], 10)) for i in range(16)])
     q = lm_scoring.LEVEL_COUNT[lm_scoring.levels(c)]
     assert (f.counts(h) >= q).all() and (f.counts(h) == q).mean() > 0.95
 
