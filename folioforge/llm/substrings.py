@@ -1,17 +1,25 @@
 """Substring deduplication by relative Lempel-Ziv parsing.
 
-The reference is the corpus itself, indexed in blocks: a block answers for the
-windows (runs of ``window`` words) whose hash falls into its range, with one
-reference place for each window that stands at two places or more. Documents
-are factored greedily against all blocks: a factor grows while the next window
-continues the same reference. The windows across a factor's end are looked up
-like all others, so no repeated window is missed where two factors meet.
-
-So that not every window has to travel, windows are first sieved by winnowing:
-of the short runs in a window, the one of least hash is its anchor, and equal
-windows have equal anchors. A window whose anchor stands at one place only is
-unique. Repeated anchors go to all tasks as a Bloom filter of fixed size: false
-alarms cost time and change no result.
+The reference is the corpus itself, indexed in blocks. So that not every word has
+to travel, texts are first sieved by winnowing: of the short runs of words in a
+window, the one of least hash is its anchor, and equal windows have equal
+anchors. A window whose anchor stands at one place only is unique. Repeated
+anchors go to all tasks as a Bloom filter of fixed size: false alarms cost time
+and change no result.
+
+What is left goes to the reference blocks: a block holds the words around all
+places of the anchors in its range and indexes them as a suffix array. Each place
+is factored greedily against its block: the longest match from the first word on
+is a factor, found by comparing words with the neighbours in the suffix array;
+the parse then goes on at the first window that crosses the factor's end. Places
+of very frequent anchors are dealt out window by window instead, so that no block
+gathers them all.
+
+The factors of a text come together from all blocks. Those that continue each
+other at the same reference are one; of the others, the greedy parse takes the one
+that reaches furthest, again and again, with its part before the last factor's
+end, so that windows across the boundary of two factors are kept. Factors of a
+window or more are the duplicate spans.
 """
 
 from __future__ import annotations
@@ -26,13 +34,16 @@ from pyspark.sql import functions as F
 
 from .buckets import PACKED, Membership, bits_for, by_bucket, packed
 from .common import pick, shuffle_width, stored, worker_cache
-from .hashing import prefix, runs, sliding, span, word_hashes
+from .hashing import mix, prefix, runs, sliding, span, word_hashes
 
 ANCHOR = np.dtype([("a", "<u8"), ("u", "<u8"), ("p", "<u4"), ("many", "<u4")])
-WINDOW = np.dtype([("w", "<u8"), ("x", "<u4"), ("p", "<u4"), ("u", "<u8")])
-HIT = np.dtype([("u", "<u8"), ("ru", "<u8"), ("p", "<u4"), ("rp", "<u4")])
+FACTOR = np.dtype([("u", "<u8"), ("ru", "<u8"), ("p", "<u4"), ("rp", "<u4"), ("n", "<u4")])
 #: Words of an anchor's run, bytes of the anchor filter, records that a task gathers before it sends them.
-ANCHOR_WORDS, FILTER_BYTES, FLUSH = 16, 1 << 24, 3_000_000
+ANCHOR_WORDS, FILTER_BYTES, FLUSH = 16, 1 << 24, 2_000_000
+#: Places from which on an anchor's places are dealt out window by window; share of the filter's bytes for these.
+HOT, HOT_SHARE = 2048, 16
+#: In ``many``: the anchor has several places; the lower bits count them.
+SEVERAL = np.uint32(1 << 31)
 
 
 def texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]]]:
@@ -54,18 +65,21 @@ def anchors(h: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndarray,
 
 
 def _anchor_records(parts: list[np.ndarray]) -> np.ndarray:
-    """One record per anchor hash; ``many`` where it has several places."""
+    """One record per anchor hash with the number of its places; SEVERAL is set where they are not one and the same."""
     r = np.concatenate(parts)
     r = r[np.lexsort((r["p"], r["u"], r["a"]))]
     new = np.flatnonzero(np.concatenate([[True], r["a"][1:] != r["a"][:-1]]))
     last = np.concatenate([new[1:], [len(r)]]) - 1
     out = r[new].copy()
-    out["many"] = np.maximum.reduceat(r["many"], new) | (r["u"][new] != r["u"][last]) | (r["p"][new] != r["p"][last])
+    several = np.maximum.reduceat(r["many"], new) >= SEVERAL
+    several |= (r["u"][new] != r["u"][last]) | (r["p"][new] != r["p"][last])
+    count = np.minimum(np.add.reduceat((r["many"] & ~SEVERAL).astype(np.int64), new), 1 << 30)
+    out["many"] = count.astype(np.uint32) | np.where(several, SEVERAL, np.uint32(0))
     return out
 
 
-def anchor_filter(texts: DataFrame, window: int, k: int, filter_bytes: int) -> tuple[int, dict[int, bytes]]:
-    """Bits and segments of the filter of the anchors that stand at two places or more."""
+def anchor_filters(texts: DataFrame, window: int, k: int, filter_bytes: int, hot: int) -> tuple[int, dict[int, bytes], dict[int, bytes]]:
+    """Bits and segments of the filters of the anchors that stand at two places or more, and at more than ``hot``."""
     bits = bits_for(shuffle_width(texts.sparkSession))
     nbytes = max(64, filter_bytes >> bits)
 
@@ -78,7 +92,7 @@ def anchor_filter(texts: DataFrame, window: int, k: int, filter_bytes: int) -> t
             a, _, marked = anchors(word_hashes(words), window, k)
             at = np.flatnonzero(marked)
             r = np.zeros(len(at), ANCHOR)
-            r["a"], r["u"], r["p"] = a[at], u, at
+            r["a"], r["u"], r["p"], r["many"] = a[at], u, at, 1
             held.append(r)
             n += len(r)
             if n > FLUSH:
@@ -91,53 +105,120 @@ def anchor_filter(texts: DataFrame, window: int, k: int, filter_bytes: int) -> t
 
     def segment(bucket: int, data: bytes) -> Iterator[pa.RecordBatch]:
         r = _anchor_records([np.frombuffer(data, ANCHOR)])
-        many = r["a"][r["many"] > 0]
+        many = r["a"][r["many"] >= SEVERAL]
+        often = r["a"][(r["many"] >= SEVERAL) & ((r["many"] & ~SEVERAL) > hot)]
         if len(many):
-            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([Membership.part(many, nbytes)], pa.binary())], names=["bucket", "data"])
+            both = [Membership.part(many, nbytes), Membership.part(often, max(64, nbytes // HOT_SHARE)) if len(often) else None]
+            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), *[pa.array([x], pa.binary()) for x in both]], names=["bucket", "data", "often"])
 
-    found = by_bucket(texts.mapInArrow(send, PACKED), segment, PACKED)
-    return bits, {r[0]: bytes(r[1]) for r in found.collect()}  # filter_bytes in total at most
+    found = by_bucket(texts.mapInArrow(send, PACKED), segment, PACKED + ", often binary").collect()  # of fixed size
+    return bits, {r[0]: bytes(r[1]) for r in found}, {r[0]: bytes(r[2]) for r in found if r[2] is not None}
 
 
-def _hits(r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of window records: a hit for each record whose window has a second place, and one record per window."""
-    r = r[np.lexsort((r["p"], r["u"], r["x"], r["w"]))]
-    new = np.concatenate([[True], (r["w"][1:] != r["w"][:-1]) | (r["x"][1:] != r["x"][:-1])])
+def place_type(window: int, k: int) -> np.dtype:
+    """Words around a place of an anchor: ``w[lo:hi]``, with the place at window - k. ``key`` says whose place it is."""
+    return np.dtype([("key", "<u8"), ("w", "<u4", 2 * window - k), ("lo", "<u2"), ("hi", "<u2"), ("u", "<u8"), ("p", "<u4")])
+
+
+def places(u: int, h: np.ndarray, at: np.ndarray, keys: np.ndarray, before: int, window: int, k: int) -> np.ndarray:
+    """Places ``at`` of a text of word hashes ``h`` with up to ``before`` words before each."""
+    middle = window - k
+    r = np.zeros(len(at), place_type(window, k))
+    where = at[:, None] + np.arange(-middle, window)
+    fits = (where >= np.maximum(0, at - before)[:, None]) & (where < len(h))
+    r["w"] = np.where(fits, h[np.clip(where, 0, len(h) - 1)].astype(np.uint32), 0)
+    r["lo"], r["hi"] = middle - np.minimum(at, before), middle + np.minimum(window, len(h) - at)
+    r["key"], r["u"], r["p"] = keys, u, at
+    return r
+
+
+def settle(r: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of one task's places: factors of those that have equal words around them, and one place of each kind."""
+    kind = np.ascontiguousarray(r).view(np.uint8).reshape(len(r), -1)[:, : r.dtype.fields["u"][1]]
+    kind = np.ascontiguousarray(kind).view(f"V{kind.shape[1]}").ravel()
+    order = np.argsort(kind, kind="stable")
+    r, kind = r[order], kind[order]
+    new = np.concatenate([[True], kind[1:] != kind[:-1]])
     first = np.flatnonzero(new)
     group = np.cumsum(new) - 1
-    last = np.concatenate([first[1:], [len(r)]]) - 1
-    many = (r["u"][first] != r["u"][last]) | (r["p"][first] != r["p"][last])
-    keep = many[group]
-    mine, lead, tail = r[keep], r[first[group]][keep], r[last[group]][keep]
-    own = (mine["u"] == lead["u"]) & (mine["p"] == lead["p"])
-    out = np.zeros(len(mine), HIT)
-    out["u"], out["p"] = mine["u"], mine["p"]
-    out["ru"], out["rp"] = np.where(own, tail["u"], lead["u"]), np.where(own, tail["p"], lead["p"])
-    return out, r[first]
-
-
-def window_hits(texts: DataFrame, window: int, k: int, filter_bytes: int) -> DataFrame:
-    """Packed HIT records, by bucket of the text key."""
+    size = np.diff(np.concatenate([first, [len(r)]]))
+    mine = np.flatnonzero((size[group] > 1) & (r["hi"].astype(np.int64) - r["lo"] >= window))
+    other = np.where(first[group[mine]] == mine, mine + 1, first[group[mine]])
+    start = r["lo"][mine].astype(np.int64)
+    return _factors(r, mine, other, start, r["hi"][mine] - start, window - k), r[first]
+
+
+def _factors(r: np.ndarray, mine: np.ndarray, other: np.ndarray, start: np.ndarray, words: np.ndarray, middle: int) -> np.ndarray:
+    out = np.zeros(len(mine), FACTOR)
+    out["u"], out["ru"], out["n"] = r["u"][mine], r["u"][other], words
+    out["p"], out["rp"] = r["p"][mine] + start - middle, r["p"][other] + start - middle
+    return out
+
+
+def factors_in_block(r: np.ndarray, window: int, k: int) -> np.ndarray:
+    """Greedy factors of all places of a block, against the others with the same key.
+
+    A place's parse stands at an offset of its words. The words from there on are looked up in the suffix array of
+    that offset; the longest match is with a neighbour. A match of a window or more is a factor, and the parse goes on
+    at the first window across its end; else it goes on by a word. Only windows that contain the place's anchor count.
+    """
+    _, one = np.unique(r[["key", "u", "p"]], return_index=True)
+    r = r[one]
+    _, group, size = np.unique(r["key"], return_inverse=True, return_counts=True)
+    keep = size[group] > 1
+    r, group = r[keep], group[keep]
+    lo, hi, middle = r["lo"].astype(np.int64), r["hi"].astype(np.int64), window - k
+    stands, found = lo.copy(), []
+    for o in range(middle + 1):
+        asks = (stands == o) & (hi - o >= window)
+        if not asks.any():
+            continue
+        asked = np.zeros(len(size), bool)
+        asked[group[asks]] = True
+        index = np.flatnonzero(asked[group] & (lo <= o) & (hi - o >= window))
+        rest = r["w"][index, o:]
+        sorts = np.concatenate([group[index].astype("<u4")[:, None], rest], axis=1)
+        order = np.argsort(np.ascontiguousarray(sorts).view(f"V{sorts.shape[1] * 4}").ravel(), kind="stable")
+        index, rest = index[order], rest[order]
+        differ = rest[1:] != rest[:-1]
+        same = np.where(differ.any(axis=1), differ.argmax(axis=1), rest.shape[1])
+        same = np.minimum(same, np.minimum(hi[index[1:]], hi[index[:-1]]) - o)
+        same[group[index[1:]] != group[index[:-1]]] = 0
+        up, down = np.concatenate([[0], same]), np.concatenate([same, [0]])
+        longest, at = np.maximum(up, down), np.arange(len(index))
+        other = index[np.clip(np.where(up >= down, at - 1, at + 1), 0, len(index) - 1)]
+        mine = asks[index]
+        index, longest, other = index[mine], longest[mine], other[mine]
+        hit = longest >= window
+        found.append(_factors(r, index[hit], other[hit], np.full(int(hit.sum()), o), longest[hit], middle))
+        stands[index] = np.where(hit, o + longest - window + 1, o + 1)
+    return np.concatenate(found) if found else np.zeros(0, FACTOR)
+
+
+def block_factors(texts: DataFrame, window: int, k: int, filter_bytes: int, hot: int) -> DataFrame:
+    """Packed FACTOR records, by bucket of the text key."""
     spark = texts.sparkSession
-    bits, parts = anchor_filter(texts, window, k, filter_bytes)
-    shared = spark.sparkContext.broadcast(parts)
+    bits, parts, often = anchor_filters(texts, window, k, filter_bytes, hot)
+    shared = spark.sparkContext.broadcast((parts, often))
     token = shared._jbroadcast.id()
+    kind = place_type(window, k)
+    most = max(1000, FLUSH * 24 // kind.itemsize)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Windows for the blocks (buckets from 0), and what this task could settle itself (buckets below 0)."""
+        """Places for the blocks (buckets from 0), and what this task could settle itself (buckets below 0)."""
         held_filters = worker_cache("substrings")
         if token not in held_filters:
             held_filters.clear()
-            held_filters[token] = Membership(bits, shared.value)
-        known = held_filters[token]
+            held_filters[token] = tuple(Membership(bits, x) for x in shared.value)
+        known, frequent = held_filters[token]
         held: list[np.ndarray] = []
         n = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            hits, ask = _hits(np.concatenate(held))
-            yield packed(ask, ask["w"], bits)
-            if len(hits):
-                yield packed(hits, hits["u"], bits, -(1 << bits))
+            factors, ask = settle(np.concatenate(held), window, k)
+            yield packed(ask, mix(ask["key"]), bits)
+            if len(factors):
+                yield packed(factors, factors["u"], bits, -(1 << bits))
 
         for u, words in texts_of(batches):
             if len(words) < window:
@@ -148,69 +229,88 @@ def window_hits(texts: DataFrame, window: int, k: int, filter_bytes: int) -> Dat
             at = at[known(a[at])]
             if not len(at):
                 continue
-            starts = at[:, None] - np.arange(window - k + 1)[None, :]
-            fits = (starts >= 0) & (starts < len(least))
-            fits &= least[np.where(fits, starts, 0)] == a[at][:, None]
-            starts = np.unique(starts[fits])
-            r = np.zeros(len(starts), WINDOW)
-            r["w"], r["u"], r["p"] = span(prefix(h), starts, starts + window), u, starts
-            r["x"] = (span(prefix(h, 1), starts, starts + window, 1) >> np.uint64(32)).astype(np.uint32)
-            held.append(r)
-            n += len(r)
-            if n > FLUSH:
+            apart = frequent(a[at])
+            held.append(places(u, h, at[~apart], a[at[~apart]], window - k, window, k))
+            n += len(held[-1])
+            at = at[apart]
+            if len(at):
+                starts = at[:, None] - np.arange(window - k + 1)[None, :]
+                fits = (starts >= 0) & (starts < len(least))
+                fits &= least[np.where(fits, starts, 0)] == a[at][:, None]
+                starts = np.unique(starts[fits])
+                held.append(places(u, h, starts, span(prefix(h), starts, starts + window), 0, window, k))
+                n += len(held[-1])
+            if n > most:
                 yield from flush()
                 held, n = [], 0
-        if held:
+        if n:
             yield from flush()
 
     settled: list[np.ndarray] = []  # of one task: functions come to each task anew
 
     def block(bucket: int, data: bytes) -> Iterator[pa.RecordBatch]:
-        hits = np.frombuffer(data, HIT) if bucket < 0 else _hits(np.frombuffer(data, WINDOW))[0]
-        if len(hits):
-            settled.append(hits)
+        factors = np.frombuffer(data, FACTOR) if bucket < 0 else factors_in_block(np.frombuffer(data, kind), window, k)
+        if len(factors):
+            settled.append(factors)
         if sum(map(len, settled)) > FLUSH:
             yield from finish()
 
     def finish() -> Iterator[pa.RecordBatch]:
         if settled:
-            hits = np.concatenate(settled)
+            factors = np.concatenate(settled)
             settled.clear()
-            yield packed(hits, hits["u"], bits)
+            yield packed(factors, factors["u"], bits)
 
     return by_bucket(texts.mapInArrow(send, PACKED), block, PACKED, finish)
 
 
-def parse(hits: np.ndarray, window: int) -> Iterator[tuple[int, np.ndarray]]:
+def parse(matches: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(text key, factors) for each text: rows (start, words, reference key as signed, reference start).
 
-    A factor takes in the next window while that one is the next at the same reference.
+    Matches that overlap or touch and continue at the same reference are one. Then, from the first word on, the
+    factor is the match that covers the word after the last factor's end (or starts next) and reaches furthest.
     """
-    r = hits[np.lexsort((hits["rp"], hits["ru"], hits["p"], hits["u"]))]
-    one = np.concatenate([[True], (r["u"][1:] != r["u"][:-1]) | (r["p"][1:] != r["p"][:-1])])
-    r = r[one]
-    goes_on = (r["u"][1:] == r["u"][:-1]) & (r["p"][1:] == r["p"][:-1] + 1) & (r["ru"][1:] == r["ru"][:-1]) & (r["rp"][1:] == r["rp"][:-1] + 1)
-    first = np.flatnonzero(np.concatenate([[True], ~goes_on]))
-    size = np.diff(np.concatenate([first, [len(r)]])) + window - 1
-    factors = np.stack([r["p"][first].astype(np.int64), size.astype(np.int64), r["ru"][first].view(np.int64), r["rp"][first].astype(np.int64)], axis=1)
-    keys, cut = np.unique(r["u"][first], return_index=True)
-    for i, u in enumerate(keys):
-        yield int(u), factors[cut[i] : cut[i + 1] if i + 1 < len(cut) else None]
-
-
-def factored(texts: DataFrame, window: int = 35, k: int = ANCHOR_WORDS, filter_bytes: int = FILTER_BYTES) -> DataFrame:
+    shift = matches["rp"].astype(np.int64) - matches["p"].astype(np.int64)
+    order = np.lexsort((matches["p"], shift, matches["ru"], matches["u"]))
+    m, shift = matches[order], shift[order]
+    start = m["p"].astype(np.int64)
+    stop = start + m["n"]
+    line = np.concatenate([[True], (m["u"][1:] != m["u"][:-1]) | (m["ru"][1:] != m["ru"][:-1]) | (shift[1:] != shift[:-1])])
+    far = 1 << 34  # apart from all places of a text, so that running maxima do not cross lines
+    reach = np.maximum.accumulate(stop + np.cumsum(line) * far) - np.cumsum(line) * far
+    first = np.flatnonzero(line | np.concatenate([[True], start[1:] > reach[:-1]]))
+    last = np.concatenate([first[1:], [len(m)]]) - 1
+    rows = np.stack([start[first], reach[last] - start[first], m["ru"][first].view(np.int64), start[first] + shift[first]], axis=1)
+    keys = m["u"][first]
+    order = np.lexsort((-rows[:, 1], rows[:, 0], keys))
+    rows, keys = rows[order], keys[order]
+    cut = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    for i, j in zip(cut.tolist(), [*cut[1:].tolist(), len(keys)]):
+        taken, best, covered = [], None, 0
+        for row in rows[i:j].tolist():
+            if best is not None and row[0] > covered:  # no other match covers the next word
+                taken.append(best)
+                covered, best = best[0] + best[1], None
+            if best is None and row[0] > covered:
+                covered = row[0]
+            if row[0] + row[1] > (best[0] + best[1] if best is not None else covered):
+                best = row
+        yield int(keys[i]), np.array([*taken, best] if best is not None else taken, np.int64)
+
+
+def factored(texts: DataFrame, window: int = 35, k: int = ANCHOR_WORDS, filter_bytes: int = FILTER_BYTES, hot: int = HOT) -> DataFrame:
     """(u, factors binary): the factors of each text that has any, as rows of four 64-bit integers.
 
-    ``texts`` has a 64-bit text key and the text. The factors are whole windows
-    of the text that also stand elsewhere in other texts or in the text itself.
+    ``texts`` has a 64-bit text key and the text. The factors are runs of a window of words or more
+    that also stand elsewhere, in other texts or in the text itself.
     """
 
     def per_text(bucket: int, data: bytes) -> Iterator[pa.RecordBatch]:
-        found = list(parse(np.frombuffer(data, HIT), window))
+        found = list(parse(np.frombuffer(data, FACTOR)))
         keys = np.array([u for u, _ in found], np.uint64).view(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([f.tobytes() for _, f in found], pa.binary())], names=["u", "factors"])
 
-    return by_bucket(window_hits(texts, window, k, filter_bytes), per_text, "u long, factors binary")
+    return by_bucket(block_factors(texts, window, k, filter_bytes, hot), per_text, "u long, factors binary")
 
 
 def covered(factors: bytes | None, n: int) -> np.ndarray:
@@ -223,7 +323,7 @@ def covered(factors: bytes | None, n: int) -> np.ndarray:
     return np.cumsum(step[:n]) > 0
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, k: int = ANCHOR_WORDS, filter_bytes: int = FILTER_BYTES, digest: bool = False) -> DataFrame:
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, k: int = ANCHOR_WORDS, filter_bytes: int = FILTER_BYTES, hot: int = HOT, digest: bool = False) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, and the kept words joined by blanks (``digest``: their SHA-256).
 
     A word goes if a window of ``window`` words over it also starts anywhere
@@ -236,7 +336,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     docs = pick(df, doc_id=id_col, text=text_col)
     docs = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("u"))
     copies = stored(docs.groupBy("u").agg(F.count("*").alias("copies")).filter("copies > 1"), "copies")
-    factors = stored(factored(docs.select("u", "text"), window, k, filter_bytes), "factors")
+    factors = stored(factored(docs.select("u", "text"), window, k, filter_bytes, hot), "factors")
     joined = docs.join(factors, "u", "left").join(copies, "u", "left")
     out = "kept_sha256" if digest else "kept"
 
