@@ -29,7 +29,7 @@ U64 = np.uint64
 #: Token ids beside the hashes of words.
 END, START = U64(0x0E0D0E0D0E0D0E0D), U64(0x57A7757A7757A775)
 COUNT = np.dtype([("h", "<u8"), ("c", "<i8")])
-FLUSH, PROBES = 3_000_000, 3
+FLUSH, PROBES = 1_000_000, 3
 
 
 def tokens_of(text: str | None) -> np.ndarray:
@@ -62,15 +62,22 @@ def held_out(doc_id, folds: int = 7, fold: int = 2) -> bool:
 
 
 class Filter:
-    """Segments of a log-frequency Bloom filter, by the top bits of the n-gram hash."""
+    """Segments of a log-frequency Bloom filter, by the top bits of the n-gram hash.
 
-    def __init__(self, bits: int, parts: list[tuple[int, bytes]]) -> None:
+    ``sizes`` has the bytes of each segment, ``raw`` the segments on end; it is read in place.
+    """
+
+    def __init__(self, bits: int, sizes: dict[int, int], raw: bytes) -> None:
         self.shift = U64(64 - bits)
         self.size = np.zeros(1 << bits, np.int64)
-        for i, p in parts:
-            self.size[i] = len(p) * 8
+        for i, n in sizes.items():
+            self.size[i] = n * 8
         self.at = np.cumsum(self.size) - self.size
-        self.raw = np.frombuffer(b"".join(p for _, p in sorted(parts)) or b"\0", np.uint8)
+        self.raw = np.frombuffer(raw or b"\0", np.uint8)
+
+    @classmethod
+    def of(cls, bits: int, parts: list[tuple[int, bytes]]) -> Filter:
+        return cls(bits, {i: len(p) for i, p in parts}, b"".join(p for _, p in sorted(parts)))
 
     @staticmethod
     def places(hashes: np.ndarray, level: int, size) -> Iterator[np.ndarray]:
@@ -163,15 +170,21 @@ def ngram_counts(docs: DataFrame, bits_per_entry: int, folds: int, fold: int) ->
 
 
 class Unigrams:
-    """Exact counts by token hash."""
+    """Exact counts by token hash, from arrays that are read in place."""
 
-    def __init__(self, parts: list[bytes]) -> None:
-        r = np.sort(np.frombuffer(b"".join(parts), COUNT), order="h") if parts else np.zeros(0, COUNT)
-        self.h, self.c = np.ascontiguousarray(r["h"]), np.ascontiguousarray(r["c"])
+    def __init__(self, h: np.ndarray, c: np.ndarray) -> None:
+        self.h, self.c = h, c
         self.total, self.distinct = int(self.c.sum()), len(self.h)
         end = np.searchsorted(self.h, END)
         self.texts = int(self.c[end]) if end < len(self.h) and self.h[end] == END else 0
 
+    @staticmethod
+    def sorted(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes in order and their counts."""
+        r = np.frombuffer(b"".join(parts), COUNT)
+        order = np.argsort(r["h"], kind="stable")
+        return r["h"][order], r["c"][order]
+
     def __call__(self, tokens: np.ndarray) -> np.ndarray:
         if not len(self.h):
             return np.zeros(len(tokens), np.int64)
@@ -198,7 +211,7 @@ def score_documents(
     vocabulary = found.filter("bucket < 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     if vocabulary > max_unigram_bytes:
         raise ValueError(f"the vocabulary takes {vocabulary} bytes, more than {max_unigram_bytes}")
-    one = spark.sparkContext.broadcast([bytes(r[0]) for r in found.filter("bucket < 0").select("data").collect()])
+    one = spark.sparkContext.broadcast(Unigrams.sorted([bytes(r[0]) for r in found.filter("bucket < 0").select("data").collect()]))
     passes: list[list[int]] = [[]]
     size = 0
     for bucket, n in found.filter("bucket >= 0").select("bucket", "n").orderBy("bucket").collect():  # one row per bucket
@@ -207,13 +220,17 @@ def score_documents(
             size = 0
         passes[-1].append(bucket)
         size += n
-    rows = docs.withColumn("row", F.monotonically_increasing_id()) if len(passes) > 1 else docs.withColumn("row", F.lit(0).cast("long"))
+    if len(passes) > 1:  # stored, so that each pass sees the same numbers
+        rows = stored(docs.withColumn("row", F.monotonically_increasing_id()), "rows").select("doc_id", "text", "row")
+    else:
+        rows = docs.withColumn("row", F.lit(0).cast("long"))
     kind = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
     def scored(buckets: list[int], lead: bool) -> DataFrame:
         low, high = (buckets[0], buckets[-1]) if buckets else (0, -1)
         segments = found.filter((F.col("bucket") >= low) & (F.col("bucket") <= high)).select("bucket", "data").collect()
-        two = spark.sparkContext.broadcast([(r[0], bytes(r[1])) for r in segments])
+        segments = sorted((r[0], r[1]) for r in segments)
+        two = spark.sparkContext.broadcast(({i: len(p) for i, p in segments}, b"".join(p for _, p in segments)))
         del segments
         token = two._jbroadcast.id()
 
@@ -221,11 +238,11 @@ def score_documents(
             held = worker_cache("lm_scoring")
             if token not in held:
                 held.clear()
-                held[token] = (Unigrams(one.value), Filter(bits, two.value))
+                held[token] = (Unigrams(*one.value), Filter(bits, *two.value))
             uni, grams = held[token]
             for batch in batches:
-                for lo in range(0, batch.num_rows, 1000):
-                    yield score_batch(batch.slice(lo, 1000), uni, grams)
+                for lo in range(0, batch.num_rows, 500):
+                    yield score_batch(batch.slice(lo, 500), uni, grams)
 
         def score_batch(batch: pa.RecordBatch, uni: Unigrams, grams: Filter) -> pa.RecordBatch:
             ids = batch.column(0).to_pylist()
