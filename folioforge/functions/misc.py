@@ -40,8 +40,9 @@ def content_name(c: Column) -> Column:
 
 
 def idempotency_key(run_id: Column, body: Column) -> Column:
-    """HS2: by run id, else by the body's hash."""
-    return F.coalesce(F.concat(F.lit("apify-webhook-run:"), first_filled(run_id)), F.concat(F.lit("apify-webhook-body:"), F.sha2(F.coalesce(body, F.lit("")), 256)))
+    """HS2: by run id, else by the hash of the body with its fields in order; a body that is no JSON is hashed as it is."""
+    ordered = F.coalesce(F.to_json(F.try_parse_json(body)), body, F.lit(""))
+    return F.coalesce(F.concat(F.lit("apify-webhook-run:"), first_filled(run_id)), F.concat(F.lit("apify-webhook-body:"), F.sha2(ordered, 256)))
 
 
 #: Names of fields whose values are never kept, and the caps of kept metadata.

@@ -95,7 +95,7 @@ def accepted_number(row: dict[str, Column], cfg: Config = DEFAULT) -> Column:
 
 
 def candidate_class(isbn: Column, valid: Column, conf: Column, promoted: Column | None = None, cfg: Config = DEFAULT) -> Column:
-    """CLS2: struct(status, candidate_status, review_status) by confidence."""
+    """CLS2: struct(status, candidate_status, review_status, skip_reason) by confidence; what is sent has no skip reason."""
     c = F.coalesce(conf, F.lit(0.0))
     promoted = F.lit(False) if promoted is None else promoted
     ladder = lambda a, b, w, p, m, st: F.when(~filled(isbn), a).when(~F.coalesce(valid, F.lit(True)), b).when(c < cfg.weak_isbn, w).when((c < cfg.strong_isbn) & promoted, p).when(c < cfg.strong_isbn, m).otherwise(st)
@@ -157,7 +157,7 @@ def accepted_resolution(row: dict[str, Column], strong_candidates: Column, exact
         .when(~author & (strong_candidates > 1) & ~exact_candidate, "ambiguous_without_author")
         .when(~author & (zero("best_title_similarity") < 0.9), "title_below_0.9_without_author")
         .when(author & (zero("best_title_similarity") < 0.65), "title_below_0.65")
-        .when(generic_title(title), "generic_title")
+        .when(generic_title(row["title"]), "generic_title")
     )
 
 
@@ -189,11 +189,11 @@ def crop_may_override(compatible: Column, level: Column, old_confidence: Column,
     return ~compatible & (level == "good") & (F.coalesce(old_confidence, F.lit(0.0)) < 0.5) & (F.coalesce(crop_confidence, F.lit(0.0)) >= 0.7)
 
 
-def ai_candidate_safe(ai_confidence: Column, title_sim: Column, author_sim: Column, has_author: Column, score: Column) -> Column:
-    """CLS10: enough confidence, title and score; a very good title makes up for a wrong author."""
+def ai_candidate_safe(ai_confidence: Column, title_sim: Column, author_sim: Column, has_author: Column) -> Column:
+    """CLS10: enough confidence and title; a very good title makes up for a wrong author."""
     title = F.coalesce(title_sim, F.lit(0.0))
     wrong_author = has_author & (F.coalesce(author_sim, F.lit(0.0)) == 0)
-    return (F.coalesce(ai_confidence, F.lit(0.0)) >= 0.3) & (title >= F.when(wrong_author, 0.9).otherwise(0.65)) & (F.coalesce(score, F.lit(0.0)) >= 0.5)
+    return (F.coalesce(ai_confidence, F.lit(0.0)) >= 0.3) & (title >= F.when(wrong_author, 0.9).otherwise(0.65))
 
 
 def strict_candidates(candidates: Column, query_title: Column) -> Column:
@@ -491,7 +491,7 @@ def needs_review_row(candidate_status: Column, review_status: Column) -> Column:
 # --- failures, webhooks, URLs
 
 #: Stages in which a form scenario failed.
-FORM_STAGES = ("form_not_found", "input_not_found", "fill_failed", "submit_failed", "post_submit", "no_rows")
+FORM_STAGES = ("input_missing", "fill_error", "fill_unverified", "submit_missing")
 
 
 def modal_blocked(stage: Column, fill_stage: Column, cookie_visible: Column) -> Column:

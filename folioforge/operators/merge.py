@@ -162,3 +162,12 @@ def status_backfill(df: DataFrame) -> DataFrame:
         .when(p > 0, "momox_price_found").when(p.isNotNull() & F.startswith(st, F.lit("momox_")), "momox_no_offer").otherwise("not_sent")
     )
     return df.withColumn("momox_status", value)
+
+
+def assign_resolution(books: DataFrame, found: DataFrame, keys: Sequence[str], keep: Sequence[str] = ("isbn",)) -> DataFrame:
+    """JS5: the fields of a resolution are set as one from ``found``; books without one lose them, but for ``keep``."""
+    names = [c for c in found.columns if c not in keys]
+    new = found.select(*keys, *[F.col(c).alias(f"__n_{c}") for c in names], F.lit(True).alias("__hit"))
+    j = books.join(new, list(keys), "left")
+    values = {c: F.when(F.col("__hit"), F.col(f"__n_{c}")).otherwise(F.col(c) if c in keep else F.lit(None)) for c in names}
+    return j.withColumns(values).select(*books.columns)

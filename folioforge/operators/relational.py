@@ -265,3 +265,20 @@ def first_source(*sources: tuple[DataFrame, str], keys: Keys) -> DataFrame:
         out = out.unionByName(p, allowMissingColumns=True)
     best = F.min("__s").over(Window.partitionBy(*keys))
     return out.withColumn("__b", best).filter("__s = __b").drop("__s", "__b")
+
+
+def union_first(first: DataFrame, second: DataFrame, keys: Sequence[str | Column], order: Sequence) -> DataFrame:
+    """ST3: rows of both, one for each key; those of ``first`` come before those of ``second``."""
+    both = first.withColumn("__s", F.lit(0)).unionByName(second.withColumn("__s", F.lit(1)))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("__s", *order))
+    return both.withColumn("__rn", rank).filter("__rn = 1").drop("__s", "__rn")
+
+
+def best_medium(candidates: DataFrame, keys: Keys, last: str, cfg: Config = DEFAULT) -> DataFrame:
+    """TK8: the best candidate of medium confidence: by confidence, lookup score, title and catalogue similarity.
+
+    Takes confidence, lookup_score, title_sim, catalog_sim, valid, source; ``last`` breaks ties.
+    """
+    strong = (F.col("source") == "visible_isbn") | (F.col("confidence") >= cfg.catalog_strong)
+    medium = candidates.filter(F.coalesce("valid", F.lit(True)) & ~F.coalesce(strong, F.lit(False)) & (F.col("confidence") >= cfg.catalog_medium))
+    return first_wins(medium, keys, [F.desc(c) for c in ("confidence", "lookup_score", "title_sim", "catalog_sim")] + [F.col(last)])

@@ -61,7 +61,7 @@ def resolved(books: DataFrame, candidates: DataFrame, suggested: DataFrame, chec
     seen = I.normalize(F.col("visible_isbn"))
     visible = books.select("book_id", seen.alias("isbn"), F.lit("visible_isbn").alias("isbn_source"), F.lit(1.0).alias("isbn_confidence"), F.lit(0).alias("p")).filter("isbn is not null")
     search = candidates.filter("selected").select("book_id", "isbn", F.lit("isbnsearch").alias("isbn_source"), F.col("score").alias("isbn_confidence"), F.lit(1).alias("p"))
-    safe = classify.ai_candidate_safe(F.col("ai_confidence"), F.col("title_similarity"), F.col("author_similarity"), F.col("has_author"), F.col("score"))
+    safe = classify.ai_candidate_safe(F.col("ai_confidence"), F.col("title_similarity"), F.col("author_similarity"), F.col("has_author")) & (F.coalesce("score", F.lit(0.0)) >= 0.5)
     ai = relational.top_per_key(suggested.filter("source = 'ai'").filter(safe), ["ads_id"], [F.desc(F.col("score") + 0.1 * F.col("ai_confidence")), "book_id", "isbn"], cfg.recovery_per_ad)
     of = lambda df, name, p: df.select("book_id", I.resolve(F.col("isbn"))["isbn13"].alias("isbn"), F.lit(name).alias("isbn_source"), F.col("score").alias("isbn_confidence"), F.lit(p).alias("p"))
     every = visible.union(search).union(of(ai, "ai_verified", 2)).union(of(suggested.filter("source = 'volumes'"), "volumes", 3)).filter("isbn is not null")

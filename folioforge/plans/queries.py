@@ -1,4 +1,7 @@
-"""Registered queries over the driver's tables, each with DuckDB SQL for the same rows where SQL can express it."""
+"""Registered queries over the driver's tables, each with DuckDB SQL for the same rows where SQL can express it.
+
+The queries of the ladders, sources and flows are in modules of their own, which register with the same table.
+"""
 
 from __future__ import annotations
 
@@ -10,24 +13,11 @@ from pyspark.sql import functions as F
 from ..functions import isbn, misc, numbers, price, similarity
 from ..functions import text as T
 from ..operators import classify, ledger, merge, relational
+from ..shipping import shared_dir
 from ..sources import pages
 from ..streaming import queue
-from .tables import best_offers, book_states, line_similarities, offers, pairs, priced_books, read
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
+from .registry import ORACLE_SQL, QUERIES, query
+from .tables import best_offers, book_states, line_similarities, offers, priced_books, read, shared_tokens
 
 # --- SQL fragments
 
@@ -82,7 +72,6 @@ BACKEND_SQL = """CASE
   WHEN status <> 'isbn_invalid' AND (candidate_status IN ('strong_candidate', 'medium_candidate') OR status IN ('isbn_strong', 'isbn_medium') OR not_sent_reason IN ('catalog_no_match', 'not_eligible')) THEN 'needs_admin_review'
   ELSE 'provider_not_sent' END"""
 ASCII_SQL = lambda x: f"trim(regexp_replace(regexp_replace(lower(strip_accents({x})), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
-PAIRS_SQL = "pairs AS (SELECT doc_id, item_id, split_part(d.text, chr(10), 1) AS a, b.text AS b FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40)"
 DEC = "CAST({} AS DECIMAL(12,2))"
 
 
@@ -397,12 +386,9 @@ def active_job_per_key(spark: SparkSession, d: str) -> DataFrame:
 
 def _streamed(spark: SparkSession, d: str, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """All events through a stream into a Parquet sink of the shared folder."""
-    import tempfile
     import uuid
 
-    held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    root = held.get() if held.isDefined() else spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="folioforge-stream-")
-    out = f"{root}/stream-{uuid.uuid4().hex}"
+    out = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     schema = read(spark, d, "events").schema
     rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
     run = make(rows).writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
@@ -481,25 +467,42 @@ def normalize_match_text(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").select("doc_id", T.normalize_match(F.col("text")).alias("norm"))
 
 
-_TOKENS = lambda x: f"list_distinct(list_filter(string_split({ASCII_SQL(x)}, ' '), lambda t: length(t) > 1))"
+def _shared_sql(tokens: str) -> str:
+    """(doc_id, item_id, n, m, shared) for each document and benchmark item with a token in common."""
+    each = lambda t, k: f"SELECT {k}, len(w) AS {'n' if k == 'doc_id' else 'm'}, unnest(w) AS token FROM (SELECT {k}, {tokens} AS w FROM {t})"
+    return f"a AS ({each('documents', 'doc_id')}), b AS ({each('benchmark', 'item_id')}), c AS (SELECT doc_id, item_id, n, m, count(*) AS shared FROM a JOIN b USING (token) GROUP BY ALL)"
 
 
-@query(f"WITH {PAIRS_SQL}, t AS (SELECT doc_id, {_TOKENS('a')} AS x, {_TOKENS('b')} AS y FROM pairs), c AS (SELECT doc_id, len(list_intersect(x, y)) AS i, len(x) AS n, len(y) AS m FROM t) SELECT doc_id, CASE WHEN n = 0 OR m = 0 THEN 0.0 ELSE round(CAST(i AS DOUBLE) / (n + m - i), 3) END AS similarity FROM c")
-def title_jaccard(spark: SparkSession, d: str) -> DataFrame:
-    """SIM4."""
-    return pairs(spark, d).select("doc_id", similarity.union_title_similarity(F.col("a"), F.col("b")).alias("similarity"))
+_TOKENS = f"list_distinct(list_filter(string_split({ASCII_SQL('text')}, ' '), lambda t: length(t) > 1))"
+_STOPPED = f"list_distinct(list_filter(string_split({ASCII_SQL('text')}, ' '), lambda t: length(t) > 0 AND NOT list_contains({list(T.STOP_TITLE)!r}, t)))"
 
 
-_STOPPED = lambda x: f"list_distinct(list_filter(string_split({ASCII_SQL(x)}, ' '), lambda t: length(t) > 0 AND NOT list_contains({list(T.STOP_TITLE)!r}, t)))"
+@query(f"WITH {_shared_sql(_TOKENS)}, s AS (SELECT doc_id, round(CAST(shared AS DOUBLE) / (n + m - shared), 3) AS similarity FROM c) SELECT d.doc_id, coalesce(max(similarity), 0) AS similarity FROM documents d LEFT JOIN s ON s.doc_id = d.doc_id GROUP BY 1")
+def title_jaccard(spark: SparkSession, d: str) -> DataFrame:
+    """SIM4: the best similarity of each whole document to any benchmark item."""
+    met = shared_tokens(spark, d, lambda c: T.token_set(T.normalize_ascii(c), 2))
+    score = F.round(F.col("shared").cast("double") / (F.col("n") + F.col("m") - F.col("shared")), 3)
+    best = met.groupBy("doc_id").agg(F.max(score).alias("similarity"))
+    return read(spark, d, "documents").select("doc_id").join(best, "doc_id", "left").select("doc_id", F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
 
 
-@query(f"WITH {PAIRS_SQL}, t AS (SELECT doc_id, {_STOPPED('a')} AS x, {_STOPPED('b')} AS y FROM pairs) SELECT doc_id, least(len(x), len(y)) > 0 AND len(list_intersect(x, y)) * 2 >= least(len(x), len(y)) AS compatible FROM t")
+@query(f"WITH {_shared_sql(_STOPPED)}, s AS (SELECT doc_id, count(*) AS items FROM c WHERE shared * 2 >= least(n, m) GROUP BY 1) SELECT d.doc_id, coalesce(items, 0) AS compatible_items FROM documents d LEFT JOIN s ON s.doc_id = d.doc_id")
 def titles_compatible(spark: SparkSession, d: str) -> DataFrame:
-    """SIM5."""
-    return pairs(spark, d).select("doc_id", similarity.titles_compatible(F.col("a"), F.col("b")).alias("compatible"))
+    """SIM5: with how many benchmark items each whole document is compatible."""
+    met = shared_tokens(spark, d, T.title_tokens).filter(F.col("shared") * 2 >= F.least("n", "m"))
+    items = met.groupBy("doc_id").agg(F.count("*").alias("items"))
+    return read(spark, d, "documents").select("doc_id").join(items, "doc_id", "left").select("doc_id", F.coalesce("items", F.lit(0)).alias("compatible_items"))
+
+
+_NORM = lambda x: f"trim(regexp_replace(regexp_replace(strip_accents(lower({x})), '[^\\p{{L}}\\p{{N}}\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
+_SIDE = lambda t: f"list_distinct(list_filter(string_split({_NORM(t)}, ' '), lambda w: length(w) >= 2 AND NOT list_contains({list(T.STOP_SIMILARITY)!r}, w))) AS w, {_NORM(f'string_split_regex({t}, {chr(39)}[:;(\\[]{chr(39)})[1]')} AS p"
+_LINE_SQL = f"""l AS (SELECT DISTINCT doc_id, unnest(string_split(text, chr(10))) AS t FROM documents), x AS (SELECT t, {_SIDE('t')} FROM (SELECT DISTINCT t FROM l)), y AS (SELECT item_id, {_SIDE('text')} FROM benchmark),
+c AS (SELECT t, item_id, CAST(len(list_intersect(x.w, y.w)) AS DOUBLE) AS i, least(len(x.w), len(y.w)) AS low, greatest(len(x.w), len(y.w)) AS high, least(length(x.p), length(y.p)) >= 12 AND (x.p = y.p OR starts_with(x.p, y.p || ' ') OR starts_with(y.p, x.p || ' ')) AS pre FROM x, y),
+s AS (SELECT t, item_id, CASE WHEN low = 0 THEN 0.0 WHEN pre THEN greatest(i / high, 0.9) WHEN low >= 2 AND i / low >= 0.85 THEN greatest(i / high, i / low) ELSE i / high END AS sim FROM c),
+b AS (SELECT doc_id, item_id, max(sim) AS similarity FROM l JOIN s USING (t) GROUP BY 1, 2)"""
 
 
-@query()
+@query(f"WITH {_LINE_SQL} SELECT doc_id, max(similarity) AS similarity FROM b GROUP BY 1")
 def token_similarity(spark: SparkSession, d: str) -> DataFrame:
     """SIM1 (prefix and containment rules): each document's best similarity of any of its lines to any benchmark item."""
     best = line_similarities(spark, d).groupBy("doc_id").agg(F.max("similarity").alias("similarity"))
@@ -507,7 +510,7 @@ def token_similarity(spark: SparkSession, d: str) -> DataFrame:
     return ids.join(best, F.col("id").eqNullSafe(F.col("doc_id")), "left").select(F.col("id").alias("doc_id"), F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
 
 
-@query()
+@query(f"WITH {_LINE_SQL}, o AS (SELECT item_id, doc_id, floor(least(1.0, similarity * 0.8 + CASE WHEN similarity >= 0.9 THEN 0.1 ELSE 0 END) * 100 + 0.5) / 100 AS score FROM b WHERE similarity > 0) SELECT item_id, doc_id, score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM o QUALIFY rank <= 10")
 def candidate_score_top10(spark: SparkSession, d: str) -> DataFrame:
     """SIM3, AG9, WN4, JN5: for each benchmark item, the best of all documents of which a line has a similarity above 0 to it."""
     rows = line_similarities(spark, d).withColumn("score", similarity.candidate_score([F.col("similarity")], F.lit(None).cast("double"), F.lit(False)))
@@ -524,7 +527,8 @@ def price_text_parse(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("part", "raw", price.french_price(F.col("raw")).alias("strict"), price.lax_price(F.col("raw")).alias("lax"))
 
 
-@query()
+@query("""SELECT p_partkey AS ads_id, v - 1 AS ord, p_name AS title, NULL AS author, v AS volume, CAST((p_size * 100 + 1) // 2 AS DECIMAL(10,2)) / 100 AS price, true AS distributed, 2 AS group_size FROM part, (SELECT unnest([1, 2]) AS v)
+  UNION ALL SELECT p_partkey, 1000, p_brand, 'Auteur', NULL, 2.50, false, 1 FROM part""")
 def description_price_lines(spark: SparkSession, d: str) -> DataFrame:
     """PR5, PR6: two lines in each part's description."""
     text = F.concat_ws("\n", F.concat(F.lit("- "), F.col("p_name"), F.lit(" tome 1 et 2 : "), F.col("p_size").cast("string"), F.lit(" €")), F.concat(F.lit("« "), F.col("p_brand"), F.lit(" » Auteur / 2,50€")), F.lit("Envoi rapide possible 3€"))
@@ -571,7 +575,7 @@ def page_host(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "pages").select("page_id", pages.host(F.col("url")).alias("host"))
 
 
-@query()
+@query("""SELECT page_id, nullif(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')), '') AS title, len(regexp_extract_all(html, '(?i)<a\\s[^>]*?href=["'']([^"'']*)["'']', 1)) AS links FROM pages""")
 def page_links_and_title(spark: SparkSession, d: str) -> DataFrame:
     """SRC3 in shape: title and links of each page."""
     return read(spark, d, "pages").select("page_id", pages.page_title(F.col("html")).alias("title"), F.size(pages.page_links(F.col("html"))).cast("long").alias("links"))
@@ -583,14 +587,17 @@ def dedupe_by_hash(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("text_hash")).groupBy("text_hash").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
 
 
-@query("SELECT doc_id, 'apify-webhook-body:' || sha256(text) AS key FROM documents WHERE doc_id % 2 = 1 UNION ALL SELECT doc_id, 'apify-webhook-run:' || CAST(doc_id AS VARCHAR) FROM documents WHERE doc_id % 2 = 0")
+@query("SELECT p_partkey AS part, CASE WHEN p_partkey % 3 = 0 THEN 'apify-webhook-run:' || p_partkey ELSE 'apify-webhook-body:' || sha256('{\"a\":' || p_size || ',\"b\":{\"c\":\"x\",\"d\":[2,1]}}') END AS key FROM part")
 def idempotency_key(spark: SparkSession, d: str) -> DataFrame:
-    """HS2."""
-    run = F.when(F.col("doc_id") % 2 == 0, F.col("doc_id").cast("string"))
-    return read(spark, d, "documents").select("doc_id", misc.idempotency_key(run, F.col("text")).alias("key"))
+    """HS2: by run id, else by the body; the same fields in another order, at any depth, are the same body."""
+    size = F.col("p_size").cast("string")
+    one = F.concat(F.lit('{"b":{"d":[2,1],"c":"x"}, "a": '), size, F.lit("}"))
+    other = F.concat(F.lit('{"a":'), size, F.lit(',"b":{"c":"x","d":[2,1]}}'))
+    run = F.when(F.col("p_partkey") % 3 == 0, F.col("p_partkey").cast("string"))
+    return read(spark, d, "part").select(F.col("p_partkey").alias("part"), misc.idempotency_key(run, F.when(F.col("p_partkey") % 2 == 0, one).otherwise(other)).alias("key"))
 
 
-@query()
+@query("SELECT event_id, replace(props, ' ', '') AS metadata FROM events")
 def redact_metadata(spark: SparkSession, d: str) -> DataFrame:
     """JS1."""
     from ..shipping import ship
@@ -627,3 +634,8 @@ def predicate_forms(spark: SparkSession, d: str) -> DataFrame:
     ev = read(spark, d, "events").filter(F.col("event_type").isin("error", "purchase") & ~F.col("event_type").eqNullSafe("error"))
     seen = F.sum("value").over(Window.partitionBy("user_id").orderBy("ts", "event_id")).isNotNull()
     return ev.select("event_id", "event_type", "value", seen.alias("seen"))
+
+
+from . import flow_queries, ladder_queries, source_queries, text_queries  # noqa: E402, F401  they register their queries
+
+__all__ = ["ORACLE_SQL", "QUERIES"]

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import isbn, similarity
@@ -57,12 +59,11 @@ def book_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, item_id, a, b): documents' first lines against the benchmark item of the same number, as title pairs."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", F.split(F.col("text"), "\n")[0].alias("a"))
-    items = read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("b"))
-    n = F.pmod(F.col("doc_id"), F.lit(40))
-    return docs.withColumn("item_id", n.cast("long")).join(items, "item_id")
+def shared_tokens(spark: SparkSession, sf_dir: str, tokens: Callable[[Column], Column]) -> DataFrame:
+    """(doc_id, item_id, n, m, shared): each document and benchmark item with a token in common, the sizes of their
+    token sets and how many they share. Whole texts; counted on the map side before the shuffle."""
+    each = lambda name, key, size: read(spark, sf_dir, name).select(key, tokens(F.col("text")).alias("w")).select(key, F.size("w").alias(size), F.explode("w").alias("token"))
+    return each("documents", "doc_id", "n").join(each("benchmark", "item_id", "m"), "token").groupBy("doc_id", "item_id", "n", "m").agg(F.count("*").alias("shared"))
 
 
 def line_similarities(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,8 @@
-"""Sending this package to executors whose Python path does not hold it."""
+"""Sending this package to executors whose Python path does not hold it, and the folder that all executors share."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -24,3 +25,18 @@ def ship(spark: SparkSession) -> None:
                 z.write(p, p.relative_to(root.parent))
         context.addPyFile(str(target))
     _SHIPPED.add(context.applicationId)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share: ``spark.checkpoint.dir``. Where it is unset, a local one on a local master;
+    on a cluster that raises, since other executors would not see it."""
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if held.isDefined():
+        return held.get()
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set: a cluster needs a folder that all executors share")
+        path = tempfile.mkdtemp(prefix="folioforge-")
+    spark.sparkContext.setCheckpointDir(path)
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
