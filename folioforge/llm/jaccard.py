@@ -76,6 +76,9 @@ class Rule:
         """Sorted distinct shingle hashes of a text."""
         return shingles(text, self.size)
 
+    def all_sets(self, texts: list[str | None]) -> list[np.ndarray]:
+        return [self.sets(t) for t in texts]
+
     #: What travels to a region.
     record: ClassVar[np.dtype] = SIGNATURE
 
@@ -98,6 +101,10 @@ class Rule:
         """Candidate edges of whole regions: linked texts are joined by a path of them."""
         return _edges(records)[0]
 
+    def cells(self, near: DataFrame) -> DataFrame:
+        """(u, cell) from the candidate edges."""
+        return connected(near).select(F.col("node").alias("u"), F.col("component").alias("cell"))
+
     def linked(self, both, a, b):
         return self.den * both >= self.num * (a + b - both)
 
@@ -280,7 +287,7 @@ class Cell:
 
     def roots(self, of: np.ndarray) -> np.ndarray:
         r = self.root[of]
-        while (up := self.root[r]).tolist() != r.tolist():
+        while not np.array_equal(up := self.root[r], r):
             r = up
         self.root[of] = r
         return r
@@ -316,6 +323,14 @@ class Cell:
         yield from (of[g] for g in np.split(owner[order], cuts) if len(g) > 1)
 
     def links(self) -> list[tuple[int, int]]:
+        """Links that join what the link graph joins: one comparison for two documents, else Voronoi regions of
+        pivots, recursively."""
+        if len(self.sets) == 2:
+            both = self.inside(self.sets[0], self.sets[1]).sum()
+            return [(0, 1)] if self.rule.linked(both, *self.size.tolist()) else []
+        return self._links()
+
+    def _links(self) -> list[tuple[int, int]]:
         """A spanning forest of the link graph: Voronoi regions of pivots, recursively."""
         todo = [np.arange(len(self.sets))]
         while todo:
@@ -388,13 +403,15 @@ def _cell_links(cells: DataFrame, rule: Rule) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i, _ in found], pa.int64()), pa.array([keys[j] for _, j in found], pa.int64())], names=["a", "b"])
 
         for batch in batches:
-            for cell, u, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                if cell != now:
-                    yield from close()
-                    now, keys, sets = cell, [], []
-                if not keys or keys[-1] != u:
-                    keys.append(u)
-                    sets.append(rule.sets(text.as_py()))
+            for lo in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(lo, TEXTS)
+                for cell, u, found in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), rule.all_sets(part.column(2).to_pylist())):
+                    if cell != now:
+                        yield from close()
+                        now, keys, sets = cell, [], []
+                    if not keys or keys[-1] != u:
+                        keys.append(u)
+                        sets.append(found)
         yield from close()
 
     width = shuffle_width(cells.sparkSession)
@@ -459,7 +476,7 @@ def links(texts: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     """(a, b): links that span the components of the link graph of ``texts`` (u long, text), and (u, n)."""
     spark = texts.sparkSession
     near, sizes = candidate_edges(texts, rule)
-    cells = stored(connected(near).select(F.col("node").alias("u"), F.col("component").alias("cell")), "cells")
+    cells = stored(rule.cells(near), "cells")
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The texts that may be in a cell, one of equal ones in a task, with their numbers of shingles."""
@@ -474,7 +491,7 @@ def links(texts: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
             take = [i for i in np.flatnonzero(may).tolist() if not (keys[i] in seen or seen.add(keys[i]))]
             for lo in range(0, len(take), TEXTS):
                 part = batch.take(pa.array(take[lo : lo + TEXTS], pa.int64()))
-                n = [len(rule.sets(t.as_py())) for t in part.column(1)]
+                n = [len(x) for x in rule.all_sets(part.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), part.column(1)], names=["u", "n", "text"])
 
     bits = bits_for(shuffle_width(spark))

@@ -429,3 +429,100 @@ def test_layouts(spark):
         got[r.conv_id].append((r.role, r.text))
     assert all(got[i] == [("user", "hi"), ("assistant", "yo")] for i in range(5))
     assert all(got[i] == [(None, None)] for i in (5, 6, 7))
+
+
+def test_layouts_with_other_fields(spark):
+    """Other fields at any depth, empty lists, and records that no layout knows."""
+    records = [
+        '{"id":7,"prompt":"hi","response":"yo","meta":{"a":{"b":[1,{"c":2}]}}}', '{"messages":[{"role":"user","content":"hi","meta":{"x":{"y":1}}},{"role":"assistant","content":"yo"}],"n":[[1]]}', '{"messages":[]}',
+        '{"a-b c":1,"completion":"yo","prompt":"hi"}',
+    ]
+    df = spark.createDataFrame([(i, 0, r) for i, r in enumerate(records)], "conv_id long, turn int, record string")
+    got = defaultdict(list)
+    for r in chat.canonical_turns(df).orderBy("conv_id", "place").collect():
+        got[r.conv_id].append((r.role, r.text))
+    assert {i: got[i] for i in got} == {i: [("user", "hi"), ("assistant", "yo")] for i in (0, 1, 3)}
+    assert chat.format_turns(chat.canonical_turns(df)).count() == 3
+    bad = spark.createDataFrame([(1, 0, '{"unknown":1}')], "conv_id long, turn int, record string")
+    with pytest.raises(Exception, match="no known layout"):
+        chat.format_turns(chat.canonical_turns(bad)).collect()
+    with pytest.raises(ValueError, match="no layout"):
+        chat.turns_of_columns(bad, "conv_id", "turn", {"record": "record"})
+    pairs = spark.createDataFrame([(1, 0, "hi", "yo")], "conv_id long, turn int, prompt string, completion string")
+    rows = chat.turns_of_columns(pairs, "conv_id", "turn", {"prompt": "prompt", "completion": "completion"}).orderBy("place").collect()
+    assert [(r.role, r.text) for r in rows] == [("user", "hi"), ("assistant", "yo")]
+
+
+def test_lm_score_against_counts(docs):
+    """The model's log10 probability from exact bigram counts at the filter's levels; a roomy filter has no false alarms."""
+    low = lambda t: [*(t or "").encode().lower().split(), None]
+    held = lambda d: zlib.crc32(b"" if d is None else str(d).encode()) % 7 == 2
+    train = [low(t) for d, t in ROWS if not held(d)]
+    one = Counter(w for t in train for w in t)
+    two = Counter(p for t in train for p in zip([b"<s>", *t[:-1]], t))
+    n, v, texts, prior = sum(one.values()), len(one), one[None], 200.0
+
+    def score(t):
+        out = 0.0
+        for a, b in zip([b"<s>", *t[:-1]], t):
+            context = texts if a == b"<s>" else one[a]
+            c = two[(a, b)]
+            level = 0.0 if not c else float(lm_scoring.LEVEL_COUNT[c.bit_length()])
+            out += math.log10((min(level, context) + prior * (one[b] + 1) / (n + v + 1)) / (context + prior))
+        return out
+
+    got = Counter((r.doc_id, r.n_tokens, round(r.score, 5)) for r in lm_scoring.score_documents(docs, bits_per_entry=128).collect())
+    assert got == Counter((d, len(low(t)), round(score(low(t)), 5)) for d, t in ROWS)
+
+
+def test_fingerprints_against_terms(spark):
+    """Parts, likeness and lexicon against plain sets."""
+    rows = [(i, prose(RNG.randint(5, 60))) for i in range(80)] + [(80, None), (81, ""), (82, ". , !")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    split = lambda t: set("".join(c if c.isalnum() else " " for c in (t or "").lower()).split())
+    seen = Counter(w for _, t in rows for w in split(t))
+    lex = {r.term: r.parts for r in fingerprints.lexicon(df.fillna("", ["text"]), 0.01, 0.5).collect() if r.term}
+    assert set(lex) == {w for w, c in seen.items() if max(2, 0.01 * len(rows)) <= c <= 0.5 * len(rows)}
+    parts = lambda t: {(j, tuple(sorted(w for w in split(t) if j in lex.get(w, [])))) for j in {j for w in split(t) for j in lex.get(w, [])}} or {(-1, t or "")}
+
+    def near(a, b):
+        return len(a & b) / len({j for j, _ in a | b})
+
+    got = {r.doc_id: r for r in fingerprints.fingerprint_documents(df, low=0.01, high=0.5).collect()}
+    prints, full = {}, [t or "" for _, t in rows]
+    for i, t in enumerate(full):
+        follow, h = full[(i + 1) % len(full)], len(t) // 2
+        own, changed = parts(t), parts(t[: len(t) - h] + follow[:h])
+        assert got[i].near_edited == pytest.approx(near(own, changed)) and got[i].near_next == pytest.approx(near(own, parts(follow)))
+        prints.setdefault(frozenset(own), set()).add(got[i].fingerprint)
+    assert all(len(p) == 1 for p in prints.values()) and len(set.union(*prints.values())) == len(prints)
+
+
+def test_edits_stay_nearer_than_other_texts(spark):
+    out = fingerprints.fingerprint_documents(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).agg({"near_edited": "avg", "near_next": "avg"}).first()
+    assert out["avg(near_edited)"] > 0.15 and out["avg(near_next)"] < 0.05
+
+
+def test_voronoi_regions_hold_every_link():
+    """Regions of pivots share each linked pair, and cutting by them gives the components of brute force."""
+    rng = np.random.default_rng(3)
+    for rule in (jaccard.Rule(), jaccard.Rule(num=80)):
+        sets = []
+        for _ in range(30):
+            base = rng.integers(0, 2**63, rng.integers(20, 60)).astype(np.uint64)
+            for _ in range(rng.integers(1, 12)):
+                s = base.copy()
+                s[rng.integers(0, len(s), rng.integers(0, len(s) // 6 + 1))] = rng.integers(0, 2**63)
+                sets.append(np.unique(s))
+        cell = jaccard.Cell(sets, rule)
+        linked = [(i, j) for i in range(len(sets)) for j in range(i) if rule.linked(len(np.intersect1d(sets[i], sets[j])), len(sets[i]), len(sets[j]))]
+        parts = [set(p.tolist()) for p in cell.voronoi(np.arange(len(sets)))]
+        assert len(parts) > 2 and all(any(i in p and j in p for p in parts) for i, j in linked)
+        exact, found = Union(len(sets)), Union(len(sets))
+        for a, b in linked:
+            exact.join(a, b)
+        cell = jaccard.Cell(sets, rule)
+        for a, b in cell.links():
+            found.join(a, b)
+        same = lambda u: sorted(sorted(i for i in range(len(sets)) if u.find(i) == r) for r in {u.find(i) for i in range(len(sets))})
+        assert same(exact) == same(found) and cell.cuts > 0
