@@ -1,93 +1,135 @@
 """Chat formatting by schema fingerprints, in DataFrame operations alone.
 
-A record's layout is the set of its nested field paths; its fingerprint is the
-hash of the sorted paths. A registry maps fingerprints to declarative mappings
-(SQL expressions over the record), which bring prompt, instruction and message
-layouts into one form: rows of (conversation, position, role, text). These are
-written with a template that marks turns and escapes control strings so that
-the texts can be read back exactly.
+A record's layout is the set of its nested field paths, as far as any layout
+names them; its fingerprint is the hash of the sorted paths. A registry maps
+fingerprints to declarative mappings (SQL expressions over the record's fields),
+which bring prompt, instruction and message layouts into one form: rows of
+(conversation, position, role, text). Records are JSON, or rows whose columns are
+the fields: then the fingerprint is that of the table's schema and no value goes
+through JSON. The rows are written with a template that marks turns and escapes
+control strings so that the texts can be read back exactly.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StructType
 
 from .common import pick, text_or_empty
 
 
 @dataclass(frozen=True)
 class Layout:
-    """Field paths, and an SQL expression for ``array<struct<role string, text string>>`` over the variant ``v``."""
+    """Field paths, and an SQL expression for ``array<struct<role string, text string>>`` in which ``{field}`` and
+    ``{field:type}`` stand for a field of the record."""
 
     name: str
     paths: tuple[str, ...]
     turns: str
 
+    def over(self, get) -> Column:
+        """The turns, where ``get(field, type)`` gives the SQL of a field."""
+        return F.expr(re.sub(r"\{(\w+)(?::([^}]+))?\}", lambda m: get(m[1], m[2] or "string"), self.turns))
+
 
 def _pair(first: str, second: str) -> str:
-    get = lambda p: f"variant_get(v, '{p}', 'string')"
-    return f"array(named_struct('role', 'user', 'text', {first}), named_struct('role', 'assistant', 'text', {get(second)}))"
+    return f"array(named_struct('role', 'user', 'text', {first}), named_struct('role', 'assistant', 'text', {second}))"
 
 
-def _list(path: str, role: str, text: str) -> str:
+def _list(field: str, role: str, text: str) -> str:
     kind = f"array<struct<{role} string, {text} string>>"
-    return f"transform(variant_get(v, '{path}', '{kind}'), x -> named_struct('role', x.{role}, 'text', x.{text}))"
+    return f"transform({{{field}:{kind}}}, x -> named_struct('role', x.{role}, 'text', x.{text}))"
 
 
-#: The layouts that are known from the start. ``paths`` have no array marks and no types.
+#: The layouts that are known from the start. ``paths`` have no array marks and no types; a list without entries has
+#: only its own path.
 LAYOUTS = (
-    Layout("turn row", ("role", "text"), "array(named_struct('role', variant_get(v, '$.role', 'string'), 'text', variant_get(v, '$.text', 'string')))"),
-    Layout("prompt", ("completion", "prompt"), _pair("variant_get(v, '$.prompt', 'string')", "$.completion")),
-    Layout("prompt response", ("prompt", "response"), _pair("variant_get(v, '$.prompt', 'string')", "$.response")),
-    Layout("instruction", ("instruction", "output"), _pair("variant_get(v, '$.instruction', 'string')", "$.output")),
-    Layout("instruction input", ("input", "instruction", "output"), _pair("concat_ws('\\n', variant_get(v, '$.instruction', 'string'), nullif(variant_get(v, '$.input', 'string'), ''))", "$.output")),
-    Layout("messages", ("messages", "messages.content", "messages.role"), _list("$.messages", "role", "content")),
-    Layout("conversations", ("conversations", "conversations.from", "conversations.value"), _list("$.conversations", "from", "value")),
+    Layout("turn row", ("role", "text"), "array(named_struct('role', {role}, 'text', {text}))"),
+    Layout("prompt", ("completion", "prompt"), _pair("{prompt}", "{completion}")),
+    Layout("prompt response", ("prompt", "response"), _pair("{prompt}", "{response}")),
+    Layout("instruction", ("instruction", "output"), _pair("{instruction}", "{output}")),
+    Layout("instruction input", ("input", "instruction", "output"), _pair("concat_ws('\\n', {instruction}, nullif({input}, ''))", "{output}")),
+    Layout("messages", ("messages", "messages.content", "messages.role"), _list("messages", "role", "content")),
+    Layout("no messages", ("messages",), _list("messages", "role", "content")),
+    Layout("conversations", ("conversations", "conversations.from", "conversations.value"), _list("conversations", "from", "value")),
+    Layout("no conversations", ("conversations",), _list("conversations", "from", "value")),
 )
 #: Role names of other layouts.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant"}
-#: Characters of a turn up to which it goes through JSON, whose parser takes no string of more than 20,000,000.
-JSON_CHARS = 1_000_000
 
 
 def common_role(role: Column) -> Column:
     return reduce(lambda c, x: F.when(role == x[0], F.lit(x[1])).otherwise(c), ROLES.items(), role)
 
 
-def field_paths(v: Column) -> Column:
-    """Sorted distinct field paths of a variant, two levels of objects deep and through arrays of objects."""
-    schema = F.schema_of_variant(v)  # OBJECT<a: STRING, b: ARRAY<OBJECT<c: STRING>>>
-    # a nested object's fields become "b{c: ,}" and then paths "b" and "b.c"
-    inner = F.regexp_extract_all(schema, F.lit(r"(\w+): (?:ARRAY<)?OBJECT<([^<>]*)>"), F.lit(1))
-    fields = F.regexp_extract_all(schema, F.lit(r"(\w+): (?:ARRAY<)?OBJECT<([^<>]*)>"), F.lit(2))
-    names = lambda text: F.regexp_extract_all(text, F.lit(r"(\w+): "), F.lit(1))
-    nested = F.flatten(F.zip_with(inner, fields, lambda p, f: F.transform(names(f), lambda x: F.concat(p, F.lit("."), x))))
-    flat = names(F.regexp_replace(schema, r"OBJECT<[^<>]*>(?=[>,])", "X"))
-    return F.array_sort(F.array_distinct(F.concat(flat, nested)))
+def known_paths(layouts: tuple[Layout, ...]) -> list[str]:
+    return sorted({p for layout in layouts for p in layout.paths})
+
+
+def field_paths(v: Column, layouts: tuple[Layout, ...] = LAYOUTS) -> Column:
+    """Sorted field paths of a variant that some layout names; other fields, at any depth, do not matter.
+
+    A nested path is looked up in an object and in the first object of a list.
+    """
+
+    def there(path: str) -> Column:
+        outer, _, inner = path.partition(".")
+        at = [f"$.{outer}.{inner}", f"$.{outer}[0].{inner}"] if inner else [f"$.{outer}"]
+        return F.coalesce(*[F.when(F.try_variant_get(v, p, "variant").isNotNull(), F.lit(path)) for p in at])
+
+    return F.array_compact(F.array(*[there(p) for p in known_paths(layouts)]))
+
+
+def schema_paths(schema: StructType, layouts: tuple[Layout, ...] = LAYOUTS) -> list[str]:
+    """The same of a table whose columns are the fields."""
+
+    def below(kind: DataType, at: str) -> list[str]:
+        inner = kind.elementType if isinstance(kind, ArrayType) else kind
+        return [at, *[p for f in inner.fields for p in below(f.dataType, f"{at}.{f.name}")]] if isinstance(inner, StructType) else [at]
+
+    return sorted({p for f in schema.fields for p in below(f.dataType, f.name)} & set(known_paths(layouts)))
 
 
 def fingerprint(paths: Column) -> Column:
     return F.xxhash64(F.array_join(paths, "\n"))
 
 
+def _selected(rows: DataFrame, print_: Column, layouts: tuple[Layout, ...], get) -> DataFrame:
+    """(conv_id, turn, place, role, text, layout) by the mapping that the fingerprint selects."""
+    known = [(layout, fingerprint(F.array(*[F.lit(p) for p in sorted(layout.paths)]))) for layout in layouts]
+    turns = reduce(lambda other, k: F.when(print_ == k[1], k[0].over(get)).otherwise(other), reversed(known), F.expr("cast(null as array<struct<role: string, text: string>>)"))
+    name = reduce(lambda other, k: F.when(print_ == k[1], F.lit(k[0].name)).otherwise(other), reversed(known), F.lit(None).cast("string"))
+    rows = rows.select("conv_id", "turn", name.alias("layout"), turns.alias("turns")).filter("turns is null or size(turns) > 0")
+    rows = rows.select("conv_id", "turn", "layout", F.posexplode_outer("turns").alias("place", "t"))
+    return rows.select("conv_id", "turn", "place", common_role(F.col("t.role")).alias("role"), F.col("t.text").alias("text"), "layout")
+
+
 def canonical_turns(df: DataFrame, record_col: str = "record", id_col: str = "conv_id", order_col: str = "turn", layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
-    """(conv_id, turn, place, role, text, layout) of JSON records, one or more turns each.
+    """(conv_id, turn, place, role, text, layout) of JSON records, a row for each turn.
 
-    A record that is no JSON object or has an unknown layout gives one row with null layout, role and text.
+    A record that is no JSON object, is beyond the parser's limit or has an unknown layout gives one row with null
+    layout, role and text, which :func:`format_turns` refuses. A list without entries gives no row.
     ``turn`` is the record's place in its conversation; ``place`` the turn's place in the record.
     """
     base = pick(df, conv_id=id_col, turn=order_col, record=record_col).withColumn("v", F.try_parse_json("record"))
-    base = base.withColumn("print", fingerprint(field_paths(F.col("v"))))
-    known = [(layout, fingerprint(F.array(*[F.lit(p) for p in sorted(layout.paths)]))) for layout in layouts]
-    empty = F.expr("cast(null as array<struct<role: string, text: string>>)")
-    turns = reduce(lambda other, k: F.when(F.col("print") == k[1], F.expr(k[0].turns)).otherwise(other), reversed(known), empty)
-    name = reduce(lambda other, k: F.when(F.col("print") == k[1], F.lit(k[0].name)).otherwise(other), reversed(known), F.lit(None).cast("string"))
-    rows = base.select("conv_id", "turn", name.alias("layout"), F.posexplode_outer(turns).alias("place", "t"))
-    return rows.select("conv_id", "turn", "place", common_role(F.col("t.role")).alias("role"), F.col("t.text").alias("text"), "layout")
+    base = base.withColumn("print", fingerprint(field_paths(F.col("v"), layouts)))
+    return _selected(base, F.col("print"), layouts, lambda field, kind: f"try_variant_get(v, '$.{field}', '{kind}')")
+
+
+def turns_of_columns(df: DataFrame, id_col: str, order_col: str, fields: dict[str, str], layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
+    """As :func:`canonical_turns` of rows whose columns are the fields (``fields``: field to column). The table's schema
+    has the fingerprint, and no value goes through JSON. An unknown layout raises ValueError."""
+    base = pick(df, conv_id=id_col, turn=order_col, **{f"f_{f}": c for f, c in fields.items()})
+    paths = schema_paths(StructType([base.schema[f"f_{f}"].__class__(f, base.schema[f"f_{f}"].dataType) for f in fields]), layouts)
+    layout = {tuple(sorted(x.paths)): x for x in layouts}.get(tuple(paths))
+    if layout is None:
+        raise ValueError(f"no layout has the fields {', '.join(paths) or 'of this table'}")
+    return _selected(base, fingerprint(F.array(*[F.lit(p) for p in paths])), (layout,), lambda field, kind: f"cast(f_{field} as {kind})")
 
 
 #: The template's marks: a turn is OPEN role CLOSE text END. Every control string of it and of common chat
@@ -110,8 +152,12 @@ def format_turns(turns: DataFrame) -> DataFrame:
     points of ``formatted`` for each assistant text.
 
     ``turns`` has conv_id, turn, place, role, text. Turns stand in order of turn, place, role and text; null
-    roles and texts count as empty; a null conversation id is one conversation.
+    roles and texts count as empty; a null conversation id is one conversation. Where ``turns`` has the column layout
+    and it is null, the record is of no known layout: that raises, since its texts would be lost.
     """
+    if "layout" in turns.columns:
+        lost = F.raise_error(F.concat(F.lit("a record of conversation "), F.coalesce(F.col("conv_id").cast("string"), F.lit("null")), F.lit(" has no known layout")))
+        turns = turns.withColumn("role", F.when(F.col("layout").isNull(), lost.cast("string")).otherwise(F.col("role")))
     rows = turns.select("conv_id", "turn", "place", escape(text_or_empty("role")).alias("role"), escape(text_or_empty("text")).alias("text"))
     head = F.concat(F.lit(OPEN), F.col("role"), F.lit(CLOSE))
     rows = rows.withColumn("head", F.length(head)).withColumn("whole", F.concat(head, F.col("text"), F.lit(END)))
@@ -154,10 +200,7 @@ def chat_digest(df: DataFrame, id_col: str = "conv_id", turn_col: str = "turn",
     """
     rows = pick(df, conv_id=id_col, turn=turn_col, role=role_col, text=text_col)
     rows = rows.select(F.col("conv_id").cast("long"), "turn", text_or_empty("role").alias("role"), text_or_empty("text").alias("text"))
-    long = F.length("role") + F.length("text") > JSON_CHARS
-    records = rows.filter(~long).select("conv_id", "turn", F.to_json(F.struct("role", "text")).alias("record"))
-    whole = rows.filter(long).select("conv_id", "turn", F.lit(0).alias("place"), common_role(F.col("role")).alias("role"), "text")
-    out = format_turns(canonical_turns(records).drop("layout").union(whole))
+    out = format_turns(turns_of_columns(rows, "conv_id", "turn", {"role": "role", "text": "text"}))
     out = out.select("conv_id", "formatted", read_back(F.col("formatted")).alias("turns"), masked_text(F.col("formatted"), F.col("loss_mask")).alias("loss"))
     text = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return out.select(
