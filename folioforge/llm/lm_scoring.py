@@ -179,9 +179,9 @@ class Unigrams:
         self.texts = int(self.c[end]) if end < len(self.h) and self.h[end] == END else 0
 
     @staticmethod
-    def sorted(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def sorted(parts: Iterator[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Hashes in order and their counts."""
-        r = np.frombuffer(b"".join(parts), COUNT)
+        r = np.concatenate([np.zeros(0, COUNT), *[np.frombuffer(p, COUNT) for p in parts]])
         order = np.argsort(r["h"], kind="stable")
         return r["h"][order], r["c"][order]
 
@@ -211,7 +211,7 @@ def score_documents(
     vocabulary = found.filter("bucket < 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     if vocabulary > max_unigram_bytes:
         raise ValueError(f"the vocabulary takes {vocabulary} bytes, more than {max_unigram_bytes}")
-    one = spark.sparkContext.broadcast(Unigrams.sorted([bytes(r[0]) for r in found.filter("bucket < 0").select("data").collect()]))
+    one = spark.sparkContext.broadcast(Unigrams.sorted(r[0] for r in found.filter("bucket < 0").select("data").toLocalIterator()))
     passes: list[list[int]] = [[]]
     size = 0
     for bucket, n in found.filter("bucket >= 0").select("bucket", "n").orderBy("bucket").collect():  # one row per bucket
@@ -228,8 +228,8 @@ def score_documents(
 
     def scored(buckets: list[int], lead: bool) -> DataFrame:
         low, high = (buckets[0], buckets[-1]) if buckets else (0, -1)
-        segments = found.filter((F.col("bucket") >= low) & (F.col("bucket") <= high)).select("bucket", "data").collect()
-        segments = sorted((r[0], r[1]) for r in segments)
+        segments = found.filter((F.col("bucket") >= low) & (F.col("bucket") <= high)).select("bucket", "data").toLocalIterator()
+        segments = sorted((r[0], bytes(r[1])) for r in segments)
         two = spark.sparkContext.broadcast(({i: len(p) for i, p in segments}, b"".join(p for _, p in segments)))
         del segments
         token = two._jbroadcast.id()
