@@ -7,13 +7,12 @@ column names behave like frames that hold just those columns.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shipping import ship
+from ..shipping import shared_dir, ship
 
 #: The words of the word-based contracts: what lies between ASCII white space.
 #: ``bytes.split()`` splits UTF-8 text in exactly this way.
@@ -23,23 +22,22 @@ SPACE = "[\\x20\\x09-\\x0D]+"
 def pick(df: DataFrame, **names: str) -> DataFrame:
     """``pick(df, doc="doc_id")``: the named columns, renamed; the first of equal names."""
     ship(df.sparkSession)
+    bounded_batches(df.sparkSession)
     cols = df.columns
     flat = df.toDF(*[f"__c{i}" for i in range(len(cols))])
     return flat.select(*[F.col(f"__c{cols.index(old)}").alias(new) for new, old in names.items()])
 
 
-def text_or_empty(name: str) -> Column:
-    return F.coalesce(F.col(name), F.lit(""))
+def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Arrow batches of fewer rows than Spark's 10,000, unless the session says how many: a batch of whole documents
+    is held by the JVM and by Python at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, rows)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a local one where it is unset."""
-    held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if held.isDefined():
-        return held.get()
-    path = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="folioforge-")
-    spark.sparkContext.setCheckpointDir(path)
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+def text_or_empty(name: str) -> Column:
+    return F.coalesce(F.col(name), F.lit(""))
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
