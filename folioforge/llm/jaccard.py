@@ -79,6 +79,10 @@ class Rule:
     def all_sets(self, texts: list[str | None]) -> list[np.ndarray]:
         return [self.sets(t) for t in texts]
 
+    def weights(self, texts: list[str | None]) -> list[int]:
+        """Numbers of shingles, or bounds of them."""
+        return [len(x) for x in self.all_sets(texts)]
+
     #: What travels to a region.
     record: ClassVar[np.dtype] = SIGNATURE
 
@@ -418,10 +422,24 @@ def _cell_links(cells: DataFrame, rule: Rule) -> DataFrame:
     return cells.select("cell", "u", "text").repartition(width, "cell").sortWithinPartitions("cell", "u").mapInArrow(run, "a long, b long")
 
 
+def _counted(cells: DataFrame, rule: Rule) -> DataFrame:
+    """``cells`` with exact numbers of shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(lo, TEXTS)
+                n = [len(x) for x in rule.all_sets(part.column(3).to_pylist())]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), part.column(3)], names=["cell", "u", "n", "text"])
+
+    return cells.select("cell", "u", "n", "text").mapInArrow(run, "cell long, u long, n long, text string")
+
+
 def _size_bands(cells: DataFrame, rule: Rule) -> DataFrame:
     """Cut each cell by size, which is the distance to the empty set when differing shingles are counted: linked
     sets are of one band or of neighbouring ones, so a document also goes to the band above its own."""
     width = math.log(rule.den / rule.num)
+    cells = _counted(cells, rule)
     low = F.floor(F.log(F.col("n").cast("double")) / width)
     high = F.floor((F.log(F.col("n").cast("double")) + width) / width + 1e-9)
     return cells.withColumn("band", F.explode(F.sequence(low, high))).select(F.xxhash64("cell", "band").alias("cell"), "u", "n", "text")
@@ -491,7 +509,7 @@ def links(texts: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
             take = [i for i in np.flatnonzero(may).tolist() if not (keys[i] in seen or seen.add(keys[i]))]
             for lo in range(0, len(take), TEXTS):
                 part = batch.take(pa.array(take[lo : lo + TEXTS], pa.int64()))
-                n = [len(x) for x in rule.all_sets(part.column(1).to_pylist())]
+                n = rule.weights(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), part.column(1)], names=["u", "n", "text"])
 
     bits = bits_for(shuffle_width(spark))
