@@ -23,15 +23,19 @@ from .common import pick, stored, worker_cache
 CACHE_ENTRIES = 500_000
 #: Punctuation that is cut off a chunk's end; a run of it is one pre-token.
 TAIL = ".,;:!?"
+#: Texts on which a tokenizer that can be taken chunk by chunk gives the same ids as on the whole text.
+PROBES = ("Two words", "Ends. Here, THERE", "two  blanks\n\tand lines ", " it's 3.14 don't, x'll.", "É à la Ærø ß µm 日本. 'quoted' (a-b) a/b <|endoftext|>", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaa bbbb")
 
 
 class ChunkEncoder(dict):
     """Ids of chunks as little-endian unsigned 32-bit integers; a text's ids are those of its chunks in order.
 
-    White space ends every pre-token of this tokenizer and is then dropped, so
+    Where white space ends every pre-token of a tokenizer and is then dropped,
     encoding chunk by chunk equals encoding the text whole. A chunk of Latin-1
     letters with or without punctuation behind it is one pre-token or two,
     which go to the tokenizer's model directly; all others are encoded in full.
+    Whether a tokenizer is of that kind is tried on PROBES; texts of any other
+    kind are encoded whole (``chunked`` is then false).
     """
 
     def __init__(self, path: str) -> None:
@@ -46,6 +50,10 @@ class ChunkEncoder(dict):
         self.letters = {i: level.pre_tokenize_str(chr(i))[0][0] for i in range(0xAA, 0x100) if chr(i).isalpha()}
         self.older: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {"": b""}
+        try:
+            self.chunked = all(self._by_chunks(t) == self._whole(t) for t in PROBES)
+        except Exception:  # a model without the methods that chunks go to
+            self.chunked = False
 
     def __missing__(self, chunk: str) -> bytes:
         ids = self.older.get(chunk)
@@ -75,9 +83,13 @@ class ChunkEncoder(dict):
         return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(word)]) + self.tails[tail]
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.chunked:
+            return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
+        return list(map(self._by_chunks, texts))
+
+    def _by_chunks(self, text: str) -> bytes:
         # ASCII blanks only: other white space stays inside a chunk, where the tokenizer deals with it
-        get = self.__getitem__
-        return [b"".join(map(get, t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))) for t in texts]
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")))
 
 
 def worker_encoder(path: str) -> ChunkEncoder:
