@@ -50,6 +50,15 @@ def scored_candidates(books: DataFrame, found: DataFrame, cfg: Config = DEFAULT)
     return ranked.withColumn("selected", F.col("rank") == 1)
 
 
+def scored_pages(rows: DataFrame, asked: DataFrame, key: str, title_weight: float = 0.8, author_weight: float = 0.2) -> DataFrame:
+    """SRC5, SIM3: rows read from result pages (0.8 and 0.2) or detail pages (0.85 and 0.15) with their score against
+    the title and author that were asked for. ``asked`` has the key, asked_title and asked_author."""
+    j = rows.join(asked, key)
+    title = similarity.token_similarity(F.col("asked_title"), F.col("title"))
+    author = similarity.token_similarity(F.col("asked_author"), F.col("authors"))
+    return j.withColumn("score", similarity.candidate_score([title], author, classify.filled(F.col("asked_author")), title_weight, author_weight))
+
+
 def resolved(books: DataFrame, candidates: DataFrame, suggested: DataFrame, checked: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """RS1: (book_id, isbn, isbn_source, isbn_confidence): the first source that gives a number.
 

@@ -396,11 +396,12 @@ def _streamed(spark: SparkSession, d: str, make: Callable[[DataFrame], DataFrame
     return spark.read.parquet(f"{out}/rows")
 
 
-@query("SELECT DISTINCT user_id, event_type FROM events")
+@query("SELECT DISTINCT user_id, event_type, CAST(CAST(ts AS DATE) AS VARCHAR) AS day FROM events")
 def stream_idempotent_ingest(spark: SparkSession, d: str) -> DataFrame:
-    """QS1 on a stream: the key is user and event type."""
-    keyed = lambda ev: ev.select("ts", "user_id", "event_type", F.concat_ws("|", F.col("user_id").cast("string"), "event_type").alias("key"))
-    return _streamed(spark, d, lambda ev: queue.stream_once(keyed(ev), "key", "ts", "3650 days")).select("user_id", "event_type")
+    """QS1 on a stream: the key is user, event type and day, so that a key's state can go two days after it."""
+    day = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd")
+    keyed = lambda ev: ev.select("ts", "user_id", "event_type", day.alias("day"), F.concat_ws("|", F.col("user_id").cast("string"), "event_type", day).alias("key"))
+    return _streamed(spark, d, lambda ev: queue.stream_once(keyed(ev), "key", "ts", "2 days")).select("user_id", "event_type", "day")
 
 
 @query(_ACTIVE)

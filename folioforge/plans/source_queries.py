@@ -225,3 +225,16 @@ def catalogue_pages(spark: SparkSession, d: str) -> DataFrame:
     img = F.when(m == 2, joined('<img srcset="', url, ' 1x, https://x.test/a.jpg 2x">')).when(m == 3, '<img src="https://x.test/logo.png">').otherwise(joined('<img src="', url, '">'))
     page = joined("<html><body><ul><li>", img, '<span data-cy="listing-title">', F.col("p_name"), "</span></li></ul></body></html>")
     return pages.catalog_pages(parts(spark, d).select("part", page.alias("html")), "part", "html").select("part", "isbn13")
+
+
+@query(f"SELECT p_partkey AS part, {_ISBN} AS isbn, CASE p_partkey % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.85 ELSE 0.95 END AS score FROM part")
+def scored_detail_pages(spark: SparkSession, d: str) -> DataFrame:
+    """SRC5, SIM3: detail pages scored against what was asked: title and author, title with another author, title alone."""
+    from ..sources import pages
+    from . import pipelines
+
+    name = joined("grand livre numero", F.col("part").cast("string"))
+    page = joined('<html><body><div class="bookinfo"><h1>', name, "</h1><p>ISBN-13: ", F.col("isbn"), "</p><p>Author: Ann Bee</p></div></body></html>")
+    p = parts(spark, d).select("part", page.alias("html"), name.alias("asked_title"), F.when(F.col("part") % 3 == 0, "Ann Bee").when(F.col("part") % 3 == 1, "Zoe Cay").alias("asked_author"))
+    rows = pages.detail_pages(p, "part", "html")
+    return pipelines.scored_pages(rows, p.select("part", "asked_title", "asked_author"), "part", 0.85, 0.15).select("part", "isbn", "score")

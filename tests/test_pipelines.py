@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from folioforge.plans import pipelines as P
@@ -74,3 +75,14 @@ def test_crops_and_guarded_map(spark):
 
     out = P.guarded_map(spark.createDataFrame([(1,), (2,), (3,)], "k long").coalesce(1), call, "k long, v long", ["k"])
     assert Counter((r.k, r.v, r.error) for r in out.collect()) == Counter([(1, 10, None), (2, None, "ValueError: bad"), (3, 30, None)])
+
+
+def test_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from folioforge import shipping
+
+    gone = SimpleNamespace(isDefined=lambda: False)
+    context = SimpleNamespace(_jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: gone)), master="spark://host:7077")
+    with pytest.raises(ValueError, match="shared|share"):
+        shipping.shared_dir(SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda k, d: None)))
