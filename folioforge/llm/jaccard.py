@@ -6,7 +6,9 @@ therefore small sets: the universe of shingles is cut into more parts than two
 linked documents can differ in, and the content of a part is a pivot. A
 document lies in the region of each pivot that is exactly its content in a part
 (distance to that pivot restricted to the part: 0); linked documents share at
-least one region, since they would otherwise differ in every part.
+least one region, since they would otherwise differ in every part. There are more
+parts than that, so a document leaves out its most frequent regions, as many as
+it can spare: a passage that many documents have does not bring them together.
 
 Regions that share documents form a cell. A cell is cut recursively into the
 Voronoi regions of sampled document pivots: a document within the core radius of
@@ -37,13 +39,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .buckets import PACKED, Membership, bits_for, by_bucket, packed
+from .buckets import PACKED, PACKED_ARROW, Membership, bits_for, by_bucket, packed
 from .common import pick, shuffle_width, stored, worker_cache
 from .components import connected
 from .hashing import mix, word_hashes
 
 U64 = np.uint64
-SIGNATURE = np.dtype([("s", "<u8"), ("u", "<u8")])
+#: A text in a region: how many of its most frequent regions it can do without, and flags (see NEXT and LARGE).
+SIGNATURE = np.dtype([("s", "<u8"), ("u", "<u8"), ("slack", "<u4")])
+REGION = np.dtype([("u", "<u8"), ("s", "<u8"), ("texts", "<u4"), ("slack", "<u4")])
+#: Flags of ``slack``: the region is of the size class above the text's own; the text stands for many of its task.
+NEXT, LARGE = np.uint32(1 << 31), np.uint32(1 << 30)
+SPARE = np.uint32((1 << 30) - 1)
+PAIR = np.dtype([("a", "<u8"), ("b", "<u8")])
 FLUSH = 1_000_000
 #: Texts whose keys are made at once.
 TEXTS = 256
@@ -58,7 +66,7 @@ class Rule:
     den: int = 100
     #: Ratio of a size class's ends; parts beyond the least that a class needs.
     growth: float = 1.5
-    spare: float = 1.1
+    spare: float = 1.3
     #: Most shingles of one cell in a task; sampled pivots of a cell; rounds of Voronoi cutting over all tasks; radius
     #: of a pivot's core in thresholds.
     cell_shingles: int = 1_000_000
@@ -67,6 +75,10 @@ class Rule:
     core: float = 2.0
     #: Whether the numbers of shingles of all texts are wanted.
     sized: bool = True
+    #: Whether regions are ranked by their texts, and each text keeps its rarest.
+    ranked: bool = True
+    #: Texts of a region from which on a task sends one for all of them.
+    many: int = 64
 
     @property
     def eps(self) -> float:
@@ -88,25 +100,71 @@ class Rule:
 
     def records(self, texts: list[str | None], us: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of shingles, and a record for each region that one of the texts (with keys ``us``) lies in."""
-        starts, sizes, keys = classes(self), [], []
-        for t in texts:
+        starts, sizes, parts = classes(self), [], []
+        for t, u in zip(texts, us.tolist()):
             s = self.sets(t)
             sizes.append(len(s))
-            keys.append(signatures(s, starts, self) if len(s) else s)
-        out = np.zeros(sum(map(len, keys)), SIGNATURE)
-        out["s"], out["u"] = np.concatenate(keys), np.repeat(us, [len(k) for k in keys])
-        return np.array(sizes, np.int64), out
+            for key, slack in signatures(s, starts, self) if len(s) else ():
+                r = np.zeros(len(key), SIGNATURE)
+                r["s"], r["u"], r["slack"] = key, u, slack
+                parts.append(r)
+        return np.array(sizes, np.int64), np.concatenate(parts) if parts else np.zeros(0, SIGNATURE)
 
     def settle(self, records: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Of one task's records: candidate edges, and the records that regions still need."""
-        return _edges(records)
+        """Of one task's records: candidate edges, and the records that regions still need.
+
+        A region of more than ``many`` of the task's texts is kept by all of them, and one text is sent for them. What
+        they keep so, they need not count among the regions that they do without.
+        """
+        r = np.concatenate(records)
+        r = r[np.argsort(r["s"], kind="stable")]
+        new = np.concatenate([[True], r["s"][1:] != r["s"][:-1]])
+        size = np.diff(np.concatenate([np.flatnonzero(new), [len(r)]]))
+        large = size[np.cumsum(new) - 1] > self.many
+        heads, mine, rest = r[large & new], r[large], r[~large]
+        if len(mine):
+            heads["slack"] |= LARGE
+            both = np.concatenate([mine, rest])
+            owner = np.stack([both["u"], (both["slack"] & NEXT).astype(U64)], axis=1)
+            _, at = np.unique(owner, axis=0, return_inverse=True)
+            kept = np.bincount(at[: len(mine)].ravel(), minlength=int(at.max()) + 1)[at[len(mine) :].ravel()]
+            slack = np.maximum(0, (rest["slack"] & SPARE).astype(np.int64) - kept).astype(np.uint32)
+            rest["slack"] = (rest["slack"] & NEXT) | slack
+        return np.stack([mine["u"], mine["s"]], axis=1), np.concatenate([heads, rest])
+
+    def shared(self, records: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Of whole regions: the edges (text, region) of texts that stand for many, and what the other texts of
+        regions of two or more need to know of them."""
+        r = np.concatenate(records)
+        r = r[np.lexsort((r["slack"] & SPARE, ~(r["slack"] & LARGE), r["u"], r["s"]))]
+        r = r[np.concatenate([[True], (r["s"][1:] != r["s"][:-1]) | (r["u"][1:] != r["u"][:-1])])]
+        first = np.flatnonzero(np.concatenate([[True], r["s"][1:] != r["s"][:-1]]))
+        size = np.diff(np.concatenate([first, [len(r)]]))
+        large = (r["slack"] & LARGE) > 0
+        texts = np.repeat(size + np.add.reduceat(large.astype(np.int64), first) * self.many, size)
+        r, large, texts = (x[texts > 1] for x in (r, large, texts))
+        out = np.zeros(int((~large).sum()), REGION)
+        out["u"], out["s"], out["slack"], out["texts"] = r["u"][~large], r["s"][~large], r["slack"][~large], np.minimum(texts[~large], 1 << 31)
+        return np.stack([r["u"][large], r["s"][large]], axis=1), out
 
     def edges(self, records: list[np.ndarray]) -> np.ndarray:
-        """Candidate edges of whole regions: linked texts are joined by a path of them."""
-        return _edges(records)[0]
+        """Edges (text, region) of the regions that each text keeps.
+
+        Linked texts differ in at most D regions of a class, so that each may keep its D + 1 rarest ones (in one
+        order of all regions): the rarest of those that both lie in is among them. The regions that a text is alone
+        in come first, and ``slack`` is the number of its others that it leaves out.
+        """
+        r = np.concatenate(records)
+        r = r[np.lexsort((r["s"], r["texts"], r["slack"] & NEXT, r["u"]))]
+        new = np.concatenate([[True], (r["u"][1:] != r["u"][:-1]) | ((r["slack"][1:] & NEXT) != (r["slack"][:-1] & NEXT))])
+        first = np.flatnonzero(new)
+        size = np.diff(np.concatenate([first, [len(r)]]))
+        keep = np.repeat(size, size) - np.repeat(np.minimum.reduceat(r["slack"] & SPARE, first).astype(np.int64), size)
+        r = r[np.arange(len(r)) - np.repeat(first, size) < keep]
+        return np.stack([r["u"], r["s"]], axis=1)
 
     def cells(self, near: DataFrame) -> DataFrame:
-        """(u, cell) from the candidate edges."""
+        """(u, cell) from the candidate edges; regions are nodes too."""
         return connected(near).select(F.col("node").alias("u"), F.col("component").alias("cell"))
 
     def linked(self, both, a, b):
@@ -138,9 +196,9 @@ def classes(rule: Rule) -> np.ndarray:
     return np.array(out)
 
 
-def signatures(sets: np.ndarray, starts: np.ndarray, rule: Rule) -> np.ndarray:
-    """Region keys of one set: one for each part of the universe that it has shingles in, in its size
-    class and, where a linked set may be in the next class, in that class too."""
+def signatures(sets: np.ndarray, starts: np.ndarray, rule: Rule) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(region keys, slack) of one set in its size class and, where a linked set may be in the next class, in that class
+    too: a key for each part of the universe that it has shingles in. The slack is how many of them it can do without."""
     n = len(sets)
     own = int(np.searchsorted(starts, n, side="right")) - 1
     out = []
@@ -154,28 +212,18 @@ def signatures(sets: np.ndarray, starts: np.ndarray, rule: Rule) -> np.ndarray:
         order = np.argsort(part, kind="stable")
         found, first = np.unique(part[order], return_index=True)
         content = np.add.reduceat(mix(sets)[order], first)
-        if len(found) <= rule.most_apart(max(partner, n), n):  # so few that all of them could differ: empty parts count too
+        apart = rule.most_apart(max(partner, n), n)
+        if len(found) <= apart:  # so few that all of them could differ: empty parts count too
             full = np.zeros(parts, U64)
             full[found] = content
             found, content = np.arange(parts), full
-        out.append(mix(content ^ mix(found.astype(U64) + U64(c) * U64(1 << 32) + U64(1))))
-    return np.concatenate(out)
+        key = mix(content ^ mix(found.astype(U64) + U64(c) * U64(1 << 32) + U64(1)))
+        out.append((key, np.full(len(key), np.uint32(max(0, len(key) - apart - 1)) | (NEXT if c > own else np.uint32(0)), np.uint32)))
+    return out
 
 
-def _edges(records: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Of signature records: (u, least u of the region) for each text that is not the least, and one record per region."""
-    r = np.concatenate(records)
-    r = r[np.lexsort((r["u"], r["s"]))]
-    new = np.concatenate([[True], r["s"][1:] != r["s"][:-1]])
-    first = np.flatnonzero(new)
-    lead = r["u"][first][np.cumsum(new) - 1]
-    pairs = np.unique(np.stack([r["u"], lead], axis=1)[r["u"] != lead], axis=0)
-    return pairs, r[first]
-
-
-def _pairs(pairs: np.ndarray) -> pa.RecordBatch:
-    p = pairs.view(np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(p[:, 0])), pa.array(np.ascontiguousarray(p[:, 1]))], names=["a", "b"])
+def as_records(pairs: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(pairs).view(PAIR).ravel()
 
 
 def candidate_edges(texts: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
@@ -194,9 +242,7 @@ def candidate_edges(texts: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]
             pairs, ask = rule.settle(held)
             yield packed(ask, ask["s"], bits)
             if len(pairs):
-                rows = np.zeros(len(pairs), SIGNATURE)
-                rows["s"], rows["u"] = pairs[:, 0], pairs[:, 1]
-                yield packed(rows, mix(rows["s"]), bits, settled)
+                yield packed(as_records(pairs), mix(pairs[:, 0]), bits, settled)
 
         for batch in batches:
             us = batch.column(0).to_numpy(zero_copy_only=False).view(U64)
@@ -219,17 +265,49 @@ def candidate_edges(texts: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]
 
     kind = "a long, b long, n long"
 
+    def rows(u: np.ndarray, b: np.ndarray | None, n: np.ndarray | None) -> pa.RecordBatch:
+        signed = lambda x: pa.array(np.ascontiguousarray(x).view(np.int64))
+        return pa.RecordBatch.from_arrays([signed(u), pa.nulls(len(u), pa.int64()) if b is None else signed(b), pa.nulls(len(u), pa.int64()) if n is None else pa.array(n.astype(np.int64))], names=["a", "b", "n"])
+
+    def told(bucket: int, data: bytes) -> Iterator[pa.RecordBatch]:
+        """What comes as it is: sizes, and edges that are settled."""
+        if bucket >= sizes:
+            r = np.unique(np.frombuffer(data, asked))
+            yield rows(r["u"], None, r["n"])
+        else:
+            pairs = np.unique(np.frombuffer(data, U64).reshape(-1, 2), axis=0)
+            yield rows(pairs[:, 0], pairs[:, 1], None)
+
     def block(bucket: int, data: bytes) -> Iterator[pa.RecordBatch]:
-        if sizes <= bucket < 0:
-            rows = np.unique(np.frombuffer(data, asked))
-            yield pa.RecordBatch.from_arrays([pa.array(rows["u"].copy().view(np.int64)), pa.nulls(len(rows), pa.int64()), pa.array(rows["n"].astype(np.int64))], names=["a", "b", "n"])
+        if bucket < 0:
+            yield from told(bucket, data)
+            return
+        pairs = rule.edges([np.frombuffer(data, REGION if rule.ranked else rule.record)])
+        if len(pairs):
+            yield rows(pairs[:, 0], pairs[:, 1], None)
+
+    waiting: list[np.ndarray] = []  # of one task: functions come to each task anew
+
+    def regions(bucket: int, data: bytes) -> Iterator[pa.RecordBatch]:
+        if bucket < 0:
+            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([data], pa.binary())], schema=PACKED_ARROW)
             return
-        pairs = np.unique(np.frombuffer(data, U64).reshape(-1, 2), axis=0) if bucket < 0 else rule.edges([np.frombuffer(data, rule.record)])
+        pairs, found = rule.shared([np.frombuffer(data, rule.record)])
         if len(pairs):
-            p = pairs.view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(p[:, 0])), pa.array(np.ascontiguousarray(p[:, 1])), pa.nulls(len(p), pa.int64())], names=["a", "b", "n"])
+            yield packed(as_records(pairs), mix(pairs[:, 0]), bits, settled)
+        waiting.append(found)
+        if sum(map(len, waiting)) > FLUSH:
+            yield from finish()
+
+    def finish() -> Iterator[pa.RecordBatch]:
+        if sum(map(len, waiting)):
+            found = np.concatenate(waiting)
+            yield packed(found, mix(found["u"]), bits)
+        waiting.clear()
 
     sent = texts.mapInArrow(send, PACKED)
+    if rule.ranked:
+        sent = by_bucket(sent, regions, PACKED, finish)
     found = stored(by_bucket(sent, block, kind), "regions")
     return found.filter("b is not null").select("a", "b"), found.filter("b is null").select(F.col("a").alias("u"), "n")
 

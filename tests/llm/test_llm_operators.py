@@ -273,9 +273,9 @@ def brute_components(rows, size, num):
     return Counter((d, len(sets[i]), least[u.find(i)] if sets[i] else d) for i, (d, _) in enumerate(rows))
 
 
-@pytest.mark.parametrize(("size", "num", "cell"), [(3, 90, 4_000_000), (5, 80, 4_000_000), (3, 90, 900), (3, 90, 1500)])
-def test_jaccard_components(docs, size, num, cell):
-    rule = jaccard.Rule(size=size, num=num, cell_shingles=cell, rounds=int(cell < 1000))
+@pytest.mark.parametrize(("size", "num", "cell", "many"), [(3, 90, 4_000_000, 64), (5, 80, 4_000_000, 64), (3, 90, 900, 64), (3, 90, 1500, 64), (3, 90, 4_000_000, 2), (5, 80, 4_000_000, 3)])
+def test_jaccard_components(docs, size, num, cell, many):
+    rule = jaccard.Rule(size=size, num=num, cell_shingles=cell, rounds=int(cell < 1000), many=many)
     assert bag(jaccard.join_components(docs, rule=rule)) == brute_components(ROWS, size, num)
 
 
@@ -297,7 +297,8 @@ def test_signatures_meet_for_every_linked_pair():
             for x in (b, c):
                 both = len(set(a.tolist()) & set(x.tolist()))
                 if rule.linked(both, len(a), len(x)):
-                    assert np.intersect1d(jaccard.signatures(a, starts, rule), jaccard.signatures(x, starts, rule)).size
+                    keys = lambda s: np.concatenate([k for k, _ in jaccard.signatures(s, starts, rule)])
+                    assert np.intersect1d(keys(a), keys(x)).size
 
 
 def test_components(spark):
@@ -554,3 +555,33 @@ def test_toxicity_edges(spark):
     got = toxicity.score_documents(df, model).collect()
     assert Counter(r.doc_id for r in got) == Counter(i for i, _ in rows) and len({r.severity for r in got}) == 1
     assert toxicity.reject_toxic(df, model, cut=0.9).columns == df.columns and toxicity.reject_toxic(df, model, cut=0.9).count() == len(rows)
+
+
+def test_rarest_regions_keep_every_link():
+    """Linked texts keep a region in common whatever else is frequent; with a task's large regions settled or not."""
+    rng = np.random.default_rng(11)
+    words = [f"w{i}" for i in range(3000)]
+    passage = " ".join(rng.choice(words, 60))
+    texts = []
+    for _ in range(60):
+        own = list(rng.choice(words, rng.integers(5, 120)))
+        for _ in range(rng.integers(1, 4)):
+            w = own.copy()
+            for i in rng.integers(0, len(w), rng.integers(0, max(1, len(w) // 25) + 1)):
+                w[i] = str(rng.choice(words))
+            texts.append(" ".join(w) + (" " + passage if rng.random() < 0.6 else ""))
+    us = np.arange(1, len(texts) + 1, dtype=np.uint64)
+    for rule in (jaccard.Rule(size=5, num=80), jaccard.Rule(), jaccard.Rule(size=5, num=80, many=5)):
+        sets = [rule.sets(t) for t in texts]
+        edges, sent = [], []
+        for half in (slice(0, None, 2), slice(1, None, 2)):
+            pairs, rest = rule.settle([rule.records(texts[half], us[half])[1]])
+            edges.append(pairs)
+            sent.append(rest)
+        pairs, shared = rule.shared(sent)
+        edges += [pairs, rule.edges([shared])]
+        of = defaultdict(set)
+        for u, region in np.concatenate(edges).tolist():
+            of[u].add(region)
+        linked = [(i, j) for i in range(len(texts)) for j in range(i) if rule.linked(len(np.intersect1d(sets[i], sets[j])), len(sets[i]), len(sets[j]))]
+        assert len(linked) > 20 and all(of[i + 1] & of[j + 1] for i, j in linked)
