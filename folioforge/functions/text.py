@@ -41,8 +41,17 @@ def first_filled(*cols: Column) -> Column:
     return F.coalesce(*[F.when(c != "", c) for c in cols])
 
 
-def strip_accents(c: Column) -> Column:
-    return F.regexp_replace(F.translate(c, ACCENTED, PLAIN), "[̀-ͯ]", "")
+#: Combining marks, which go with the accents.
+MARKS = "".join(map(chr, range(0x300, 0x370)))
+
+
+def strip_accents(c: Column, drop: str = "") -> Column:
+    """Letters without accents, wide blanks as plain ones, and without the characters ``drop``: one pass over the text."""
+    return F.translate(c, BLANKS + ACCENTED + MARKS + drop, " " * len(BLANKS) + PLAIN)
+
+
+def raw(c: Column) -> Column:
+    return F.coalesce(c.cast("string"), F.lit(""))
 
 
 def squeeze(c: Column) -> Column:
@@ -51,13 +60,12 @@ def squeeze(c: Column) -> Column:
 
 def normalize_unicode(c: Column) -> Column:
     """Lower case without diacritics; all but letters, digits and blanks become blanks (TX1)."""
-    bare = F.regexp_replace(strip_accents(F.lower(text(c))), "[\\^`¨¯´·¸]", "")
-    return squeeze(F.regexp_replace(bare, "[^\\p{L}\\p{N}\\s]", " "))
+    return F.trim(F.regexp_replace(strip_accents(F.lower(raw(c)), "^`¨¯´·¸"), "[^\\p{L}\\p{N}]+", " "))
 
 
 def normalize_ascii(c: Column) -> Column:
     """Lower case without accents; all but a-z, 0-9 and white space become blanks (TX2, TX3)."""
-    return squeeze(F.regexp_replace(F.lower(strip_accents(text(c))), "[^a-z0-9\\s]", " "))
+    return F.trim(F.regexp_replace(F.lower(strip_accents(raw(c))), "[^a-z0-9]+", " "))
 
 
 def padded_corpus(*cols: Column) -> Column:
@@ -67,9 +75,9 @@ def padded_corpus(*cols: Column) -> Column:
 
 
 def _spelled(c: Column, words: tuple[tuple[str, str], ...]) -> Column:
-    start = F.replace(F.replace(F.lower(text(c)), F.lit("œ"), F.lit("oe")), F.lit("æ"), F.lit("ae"))
+    start = F.replace(F.replace(F.lower(raw(c)), F.lit("œ"), F.lit("oe")), F.lit("æ"), F.lit("ae"))
     out = reduce(lambda x, w: F.replace(x, F.lit(w[0]), F.lit(w[1])), words, strip_accents(start))
-    return F.trim(F.regexp_replace(F.regexp_replace(out, "['’`´]", " "), "[^a-z0-9]+", " "))
+    return F.trim(F.regexp_replace(out, "[^a-z0-9]+", " "))
 
 
 def normalize_match(c: Column) -> Column:
@@ -84,7 +92,7 @@ def normalize_title(c: Column) -> Column:
 
 def normalize_author(c: Column) -> Column:
     """Runs of all but a-z and 0-9 become one blank (TX7)."""
-    return F.trim(F.regexp_replace(strip_accents(F.lower(text(c))), "[^a-z0-9]+", " "))
+    return F.trim(F.regexp_replace(strip_accents(F.lower(raw(c))), "[^a-z0-9]+", " "))
 
 
 def normalize_wording(c: Column) -> Column:
