@@ -297,7 +297,7 @@ def provider_batch_update(spark: SparkSession, d: str) -> DataFrame:
     books = p.select(F.col("p_partkey").alias("isbn"), dec(1).alias("momox_price"), F.lit("momox_pending").alias("momox_status"), dec(5).alias("gibert_price"), dec(2).alias("cost"), dec(None).alias("profit_momox"), dec(None).alias("best_resale_price"), F.lit(None).cast("string").alias("best_resale_platform"))
     rows = p.select(F.col("p_partkey").alias("isbn"), F.when(m == 0, F.col("p_size").cast("decimal(10,2)")).when(m == 2, dec(0)).alias("price"), F.when(m == 0, "momox_price_found").when(m == 1, "momox_failed").otherwise("momox_no_offer").alias("status"))
     out = merge.apply_provider_rows(books, rows, "momox")
-    return out.select(F.col("isbn").alias("part"), F.col("momox_price").alias("price"), F.col("momox_status").alias("status"), F.col("profit_momox").alias("profit"), F.col("best_resale_platform").alias("platform"))
+    return out.select(F.col("isbn").alias("part"), F.col("momox_price").alias("price"), F.col("momox_status").alias("status"), F.col("profit_momox").cast("decimal(10,2)").alias("profit"), F.col("best_resale_platform").alias("platform"))
 
 
 @query("SELECT p_partkey AS book_id, CASE WHEN p_partkey % 4 = 0 THEN 'rejected' ELSE 'new' END AS admin_status, CASE WHEN p_partkey % 4 = 0 THEN 'rejected' ELSE p_brand END AS candidate_status FROM part")
@@ -417,7 +417,7 @@ def guarded_calls(spark: SparkSession, d: str) -> DataFrame:
 
 
 
-@query("""WITH b AS (SELECT o_orderkey AS book_id, o_custkey, o_orderkey % 4 AS m FROM orders) SELECT book_id, CASE m WHEN 0 THEN 'visible_isbn' WHEN 1 THEN 'isbnsearch' WHEN 2 THEN 'ai_verified' ELSE 'volumes' END AS isbn_source, CASE m WHEN 0 THEN 1.0 WHEN 1 THEN 0.9 WHEN 2 THEN 0.6 ELSE 0.55 END AS isbn_confidence FROM b WHERE NOT (m = 3 AND o_custkey % 2 = 0)""")
+@query("""WITH b AS (SELECT o_orderkey AS book_id, o_custkey, o_orderkey % 4 AS m FROM orders) SELECT book_id, CASE m WHEN 0 THEN 'visible_isbn' WHEN 1 THEN 'isbnsearch' WHEN 2 THEN 'ai_verified' ELSE 'volumes' END AS isbn_source, CAST(CASE m WHEN 0 THEN 1.0 WHEN 1 THEN 0.9 WHEN 2 THEN 0.6 ELSE 0.55 END AS DOUBLE) AS isbn_confidence FROM b WHERE NOT (m = 3 AND o_custkey % 2 = 0)""")
 def resolution_cascade(spark: SparkSession, d: str) -> DataFrame:
     """RS1: visible number, then the search's best, then a model's suggestion that passes its gate, then the volumes source; numbers without a page are dropped."""
     from ..functions import isbn
@@ -460,7 +460,7 @@ def recovered_suggestions(spark: SparkSession, d: str) -> DataFrame:
     return pipelines.recovered(held, said, looked, seen).select(F.col("book_id").alias("part"), "outcome")
 
 
-@query("SELECT p_partkey AS part, CASE WHEN p_partkey % 2 = 0 THEN 'i' || p_partkey ELSE 'old' END AS isbn, CASE WHEN p_partkey % 2 = 0 THEN 't' END AS lookup_title, CASE WHEN p_partkey % 2 = 0 THEN 0.5 END AS lookup_score FROM part")
+@query("SELECT p_partkey AS part, CASE WHEN p_partkey % 2 = 0 THEN 'i' || p_partkey ELSE 'old' END AS isbn, CASE WHEN p_partkey % 2 = 0 THEN 't' END AS lookup_title, CAST(CASE WHEN p_partkey % 2 = 0 THEN 0.5 END AS DOUBLE) AS lookup_score FROM part")
 def assigned_resolution(spark: SparkSession, d: str) -> DataFrame:
     """JS5: a resolution's fields are set as one, and cleared as one; the number of a book without one stays."""
     k = F.col("p_partkey")

@@ -330,7 +330,7 @@ _MONEY = {"credits": turn(1, 0, 30, 45, None), "usd": turn(3, 0.004, 1, None), "
 
 
 @query(f"""WITH {made_sql(_MONEY)} SELECT ads_id, line, CAST(round(CAST(credits AS DECIMAL(18,6)) / nullif(units, 0), 4) AS DOUBLE) AS credits_per_unit, CAST(round(CAST(usd AS DECIMAL(18,6)) / nullif(units, 0), 6) AS DOUBLE) AS usd_per_unit,
-  round((coalesce(tokens_in, 0) * 0.4 + coalesce(tokens_out, 0) * 1.6) / 1000000, 6) AS token_usd, CASE raw WHEN '12.5' THEN 12.5 WHEN '1e3' THEN 1000.0 END AS number, CASE raw WHEN '12.5' THEN 12.5 WHEN '1e3' THEN 1000.0 ELSE 0.0 END AS or_zero FROM r""")
+  round((coalesce(tokens_in, 0) * 0.4 + coalesce(tokens_out, 0) * 1.6) / 1000000, 6) AS token_usd, CAST(CASE raw WHEN '12.5' THEN 12.5 WHEN '1e3' THEN 1000.0 END AS DOUBLE) AS number, CAST(CASE raw WHEN '12.5' THEN 12.5 WHEN '1e3' THEN 1000.0 ELSE 0.0 END AS DOUBLE) AS or_zero FROM r""")
 def unit_costs(spark: SparkSession, d: str) -> DataFrame:
     """AG18, NM2, NM4, PR4."""
     from ..operators import ledger

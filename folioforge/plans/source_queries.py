@@ -28,7 +28,7 @@ def joined(*c: Column | str) -> Column:
 _M = "p_partkey % 6"
 
 
-@query(f"""SELECT p_partkey AS part, CAST(p_partkey AS VARCHAR) AS ads_id, p_name AS title, CASE {_M} WHEN 0 THEN CAST(p_size AS DECIMAL(10,2)) WHEN 1 THEN CAST(p_size AS DECIMAL(10,2)) + 0.5 ELSE NULL END AS price,
+@query(f"""SELECT p_partkey AS part, CAST(p_partkey AS VARCHAR) AS ads_id, p_name AS title, CAST(CASE {_M} WHEN 0 THEN p_size WHEN 1 THEN p_size + 0.5 END AS DECIMAL(10,2)) AS price,
   CASE WHEN {_M} IN (0, 2) THEN 2 WHEN {_M} = 1 THEN 1 ELSE 0 END AS pictures, CASE WHEN {_M} IN (0, 2) THEN 'a' WHEN {_M} = 1 THEN 'first' END AS first_picture, CASE WHEN {_M} = 0 THEN 'Lyon' WHEN {_M} = 1 THEN 'Paris' END AS location FROM part WHERE {_M} < 4""")
 def listing_payloads(spark: SparkSession, d: str) -> DataFrame:
     """SRC1, PR1, JS2: bare arrays, items and data envelopes, bodies without any, pictures with blanks."""
@@ -52,7 +52,7 @@ def payload_run_info(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""SELECT p_partkey AS part, {_ISBN} AS isbn, CASE {_M} WHEN 0 THEN 'offer' WHEN 1 THEN 'no_offer' WHEN 2 THEN 'no_offer' WHEN 3 THEN 'failed' WHEN 4 THEN 'failed' ELSE 'offer' END AS status,
-  CASE WHEN {_M} IN (0, 5) THEN CAST(p_size AS DECIMAL(10,2)) + 0.25 WHEN {_M} IN (1, 2) THEN 0 END AS price, CASE {_M} WHEN 3 THEN 'boom' WHEN 4 THEN 'provider returned HTTP 429' END AS error, CASE WHEN {_M} NOT IN (3, 4) THEN 'small' END AS image FROM part""")
+  CAST(CASE WHEN {_M} IN (0, 5) THEN p_size + 0.25 WHEN {_M} IN (1, 2) THEN 0 END AS DECIMAL(10,2)) AS price, CASE {_M} WHEN 3 THEN 'boom' WHEN 4 THEN 'provider returned HTTP 429' END AS error, CASE WHEN {_M} NOT IN (3, 4) THEN 'small' END AS image FROM part""")
 def provider_a_responses(spark: SparkSession, d: str) -> DataFrame:
     """SRC8: offers, answers without offer, failures; results in the first execute step or beside it."""
     m = F.col("m")
@@ -112,7 +112,7 @@ def source_failover(spark: SparkSession, d: str) -> DataFrame:
     return relational.first_source((p.filter("part % 2 = 0"), "first"), (p.filter("part % 3 = 0").withColumn("v", -F.col("v")), "second"), keys=["part"]).select("part", "source_name", "v")
 
 
-@query("SELECT p_partkey AS part, ord, title, author, x1 FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey, lower(title), lower(coalesce(author, '')) ORDER BY ord) AS n FROM (SELECT p_partkey, 0 AS ord, p_name AS title, 'Ann' AS author, 1.0 AS x1 FROM part UNION ALL SELECT p_partkey, 1, p_name, 'ann', 0.5 FROM part UNION ALL SELECT p_partkey, 3, p_brand, NULL, 0.0 FROM part)) WHERE n = 1")
+@query("SELECT p_partkey AS part, ord, title, author, CAST(x1 AS DOUBLE) AS x1 FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey, lower(title), lower(coalesce(author, '')) ORDER BY ord) AS n FROM (SELECT p_partkey, 0 AS ord, p_name AS title, 'Ann' AS author, 1.0 AS x1 FROM part UNION ALL SELECT p_partkey, 1, p_name, 'ann', 0.5 FROM part UNION ALL SELECT p_partkey, 3, p_brand, NULL, 0.0 FROM part)) WHERE n = 1")
 def detected_book_responses(spark: SparkSession, d: str) -> DataFrame:
     """SRC16: trimmed, boxes clamped, equal books once, books without title left out."""
     box = lambda *v: F.array(*[F.lit(x) for x in v])
@@ -198,10 +198,10 @@ def detail_pages(spark: SparkSession, d: str) -> DataFrame:
     return pages.detail_pages(parts(spark, d).select("part", page.alias("html")), "part", "html").select("part", "isbn", "title", "authors", "publisher", "published")
 
 
-_OFFER_PRICE = "CASE WHEN p_partkey % 3 = 0 THEN 0.0 ELSE p_size + 0.5 END"
+_OFFER_PRICE = "CAST(CASE WHEN p_partkey % 3 = 0 THEN 0.0 ELSE p_size + 0.5 END AS DOUBLE)"
 
 
-@query(f"SELECT p_partkey AS part, {_ISBN} AS isbn, p_name AS title, {_OFFER_PRICE} AS price, CASE WHEN p_partkey % 3 = 0 THEN 'gibert_non_repris' ELSE 'gibert_price_found' END AS status, p_size + 0.5 AS total, 2.25 AS voucher, '1' AS item_count FROM part")
+@query(f"SELECT p_partkey AS part, {_ISBN} AS isbn, p_name AS title, {_OFFER_PRICE} AS price, CASE WHEN p_partkey % 3 = 0 THEN 'gibert_non_repris' ELSE 'gibert_price_found' END AS status, CAST(p_size + 0.5 AS DOUBLE) AS total, CAST(2.25 AS DOUBLE) AS voucher, '1' AS item_count FROM part")
 def provider_b_pages(spark: SparkSession, d: str) -> DataFrame:
     """SRC6, SRC7: rows of the offer table with price or refusal, and the totals that the page states."""
     from ..sources import pages
@@ -227,7 +227,7 @@ def catalogue_pages(spark: SparkSession, d: str) -> DataFrame:
     return pages.catalog_pages(parts(spark, d).select("part", page.alias("html")), "part", "html").select("part", "isbn13")
 
 
-@query(f"SELECT p_partkey AS part, {_ISBN} AS isbn, CASE p_partkey % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.85 ELSE 0.95 END AS score FROM part")
+@query(f"SELECT p_partkey AS part, {_ISBN} AS isbn, CAST(CASE p_partkey % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.85 ELSE 0.95 END AS DOUBLE) AS score FROM part")
 def scored_detail_pages(spark: SparkSession, d: str) -> DataFrame:
     """SRC5, SIM3: detail pages scored against what was asked: title and author, title with another author, title alone."""
     from ..sources import pages
