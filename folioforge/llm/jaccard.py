@@ -330,11 +330,12 @@ class Pivots:
     """Sampled sets, thinned so that none lies in another's core, with an index from shingle to pivots."""
 
     def __init__(self, sets: list[np.ndarray], rule: Rule) -> None:
-        self.rule, kept = rule, []
-        for s in sets:
+        self.rule, kept, self.place = rule, [], []
+        for i, s in enumerate(sets):
             both = np.array([Cell.inside(s, p).sum() for p in kept])
             if len(s) and (not kept or (1 - both / (len(s) + np.array([len(p) for p in kept]) - both)).min() > rule.core * rule.eps):
                 kept.append(s)
+                self.place.append(i)
         self.size = np.array([len(p) for p in kept], np.int64)
         flat, owner = np.concatenate(kept), np.repeat(np.arange(len(kept)), self.size)
         order = np.argsort(flat, kind="stable")
@@ -342,15 +343,18 @@ class Pivots:
         self.value, self.first, self.many = np.unique(flat[order], return_index=True, return_counts=True)
 
     def distances(self, flat: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Jaccard distances of sets (on end in ``flat``, of ``size`` shingles each, none empty) to all pivots."""
+        both = self.shared(flat, size)
+        return 1 - both / (size[:, None] + self.size[None, :] - both)
+
+    def shared(self, flat: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Shingles that sets (on end in ``flat``, of ``size`` shingles each, none empty) share with each pivot."""
         at = np.minimum(np.searchsorted(self.value, flat), len(self.value) - 1)
         hit = np.flatnonzero(self.value[at] == flat)
         doc, at = np.repeat(np.arange(len(size)), size)[hit], at[hit]
         times = self.many[at]
         step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
         pivot = self.owner[np.repeat(self.first[at], times) + step]
-        both = np.bincount(np.repeat(doc, times) * len(self.size) + pivot, minlength=len(size) * len(self.size)).reshape(len(size), len(self.size))
-        return 1 - both / (size[:, None] + self.size[None, :] - both)
+        return np.bincount(np.repeat(doc, times) * len(self.size) + pivot, minlength=len(size) * len(self.size)).reshape(len(size), len(self.size))
 
 
 class Cell:
@@ -401,8 +405,13 @@ class Cell:
         kept = (place < lead[owner]) & (seen[number] > 1)
         number, owner = number[kept], owner[kept]
         order = np.argsort(number, kind="stable")
-        cuts = np.flatnonzero(np.diff(number[order])) + 1
-        yield from (of[g] for g in np.split(owner[order], cuts) if len(g) > 1)
+        owner = owner[order]
+        first = np.flatnonzero(np.concatenate([[True], np.diff(number[order]) > 0])) if len(owner) else order
+        stop = np.concatenate([first[1:], [len(owner)]])
+        roots = self.roots(of)[owner]
+        if len(owner):  # groups that are one component already need no more
+            open_ = np.minimum.reduceat(roots, first) < np.maximum.reduceat(roots, first)
+            yield from (of[owner[a:b]] for a, b in zip(first[open_].tolist(), stop[open_].tolist()))
 
     def links(self) -> list[tuple[int, int]]:
         """Links that join what the link graph joins: one comparison for two documents, else Voronoi regions of
@@ -417,6 +426,8 @@ class Cell:
         todo = [np.arange(len(self.sets))]
         while todo:
             region = todo.pop()
+            if len(np.unique(self.roots(region))) == 1:
+                continue
             if len(region) <= self.SMALL:
                 self.join(region)
                 continue
@@ -433,11 +444,23 @@ class Cell:
         self.cuts += 1
         sets = [self.sets[i] for i in region]
         step = max(1, len(sets) // min(self.rule.pivots, math.isqrt(len(sets))))
-        pivots = Pivots(sets[self.cuts % step :: step], self.rule)
-        doc, part = regions_of(pivots.distances(np.concatenate(sets), self.size[region]), self.rule)
+        sampled = np.arange(len(sets))[self.cuts % step :: step]
+        pivots, size = Pivots([sets[i] for i in sampled], self.rule), self.size[region]
+        both = pivots.shared(np.concatenate(sets), size)
+        for k, i in enumerate(pivots.place):  # the distances are known: what is within the threshold is linked
+            self.link(int(region[sampled[i]]), region[self.rule.linked(both[:, k], size, pivots.size[k])])
+        doc, part = regions_of(1 - both / (size[:, None] + pivots.size[None, :] - both), self.rule)
         order = np.argsort(part, kind="stable")
         return np.split(region[doc[order]], np.flatnonzero(np.diff(part[order])) + 1)
 
+    def link(self, p: int, others: np.ndarray) -> None:
+        """``p`` is linked with the others: edges where that joins something."""
+        for q in others.tolist():
+            a, b = self.roots(np.array([p, q])).tolist()
+            if a != b:
+                self.root[b] = a
+                self.edges.append((p, q))
+
     def join(self, region: np.ndarray) -> None:
         """All links of a region but those inside a component.
 
@@ -464,11 +487,7 @@ class Cell:
                 dist = np.vstack([dist, 1 - both / (size + size[at] - both)])
                 both = both[np.isin(region, others)]
             linked = rule.linked(both, self.size[others], self.size[p])
-            for q in others[linked].tolist():
-                a, b = self.roots(np.array([p, q])).tolist()
-                if a != b:
-                    self.root[b] = a
-                    self.edges.append((p, q))
+            self.link(p, others[linked])
             self.apart.update((min(p, q), max(p, q)) for q in others[~linked].tolist())
 
 
@@ -485,6 +504,11 @@ def _cell_links(cells: DataFrame, rule: Rule) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i, _ in found], pa.int64()), pa.array([keys[j] for _, j in found], pa.int64())], names=["a", "b"])
 
         for batch in batches:
+            if not batch.num_rows:
+                continue
+            cells_, us = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            once = np.concatenate([[True], (cells_[1:] != cells_[:-1]) | (us[1:] != us[:-1])])  # a text comes from each task that read it
+            batch = batch.take(pa.array(np.flatnonzero(once)))
             for lo in range(0, batch.num_rows, TEXTS):
                 part = batch.slice(lo, TEXTS)
                 for cell, u, found in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), rule.all_sets(part.column(2).to_pylist())):
