@@ -467,3 +467,63 @@ def assigned_resolution(spark: SparkSession, d: str) -> DataFrame:
     books = read(spark, d, "part").select(k.alias("book_id"), F.lit("old").alias("isbn"), F.lit("stale").alias("lookup_title"), F.lit(0.1).alias("lookup_score"))
     found = read(spark, d, "part").filter("p_partkey % 2 = 0").select(k.alias("book_id"), F.concat(F.lit("i"), k).alias("isbn"), F.lit("t").alias("lookup_title"), F.lit(0.5).alias("lookup_score"))
     return merge.assign_resolution(books, found, ["book_id"], ["isbn"]).select(F.col("book_id").alias("part"), "isbn", "lookup_title", "lookup_score")
+
+
+@query("SELECT event_id, replace(props, ' ', '') AS metadata, CAST(greatest(0, least(100, event_id % 150 - 20)) AS BIGINT) AS progress, CASE WHEN event_type = 'error' THEN 'error' ELSE 'info' END AS severity, CASE WHEN c_custkey % 3 = 0 THEN c_nationkey END AS parent FROM events LEFT JOIN customer ON c_custkey = user_id")
+def job_event_log(spark: SparkSession, d: str) -> DataFrame:
+    """SNK12: events to append, with their job's parent, metadata made safe and progress within bounds."""
+    ev = read(spark, d, "events").select("event_id", F.col("user_id").alias("job_id"), F.col("props").alias("metadata"), (F.col("event_id") % 150 - 20).cast("long").alias("progress"), F.when(F.col("event_type") == "error", "error").alias("severity"), F.lit(0).alias("parent_job_id"))
+    jobs = read(spark, d, "customer").select(F.col("c_custkey").alias("job_id"), F.when(F.col("c_custkey") % 3 == 0, F.col("c_nationkey")).alias("parent_job_id"))
+    return pipelines.job_events(ev, jobs).select("event_id", "metadata", "progress", "severity", F.col("parent_job_id").alias("parent"))
+
+
+@query(f"""WITH {_O}, f AS (SELECT ads_id, part, min(CAST(line AS BIGINT) * 1000000000 + part) AS ord FROM o GROUP BY 1, 2), c AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY ads_id ORDER BY ord) <= 3), g AS (SELECT ads_id, count(*) FILTER (part % 2 = 0) AS n, max(part) FILTER (part % 2 = 0) AS p FROM c GROUP BY 1)
+SELECT ads_id AS book_id, CASE n WHEN 0 THEN 'no_match' WHEN 1 THEN 'selected_exact_isbn' ELSE 'selected_cover_ambiguous_isbn' END AS decision, CASE WHEN n = 1 THEN p END AS isbn13, CAST(n AS INT) AS cluster_size FROM g""")
+def compared_covers(spark: SparkSession, d: str) -> DataFrame:
+    """JN6, JN7, TK6, CLS22: the first three covers of a book are compared (the cap is the feature), then its numbers are decided."""
+    o = offers(spark, d)
+    found = o.select(F.col("ads_id").alias("book_id"), F.col("part").alias("isbn13"), F.concat(F.lit("u"), "part").alias("image_url"), F.lit(False).alias("is_pipeline"), F.lit(0.5).alias("title_similarity"), (F.col("line").cast("long") * 1_000_000_000 + F.col("part")).alias("ord"))
+    found = relational.first_wins(found, ["book_id", "isbn13"], ["ord"])
+    even = F.col("p_partkey") % 2 == 0
+    compared = read(spark, d, "part").select(F.concat(F.lit("u"), "p_partkey").alias("image_url"), F.when(even, 0.95).otherwise(0.3).alias("similarity"), F.lit(0.9).alias("confidence"), F.when(even, "match").otherwise("mismatch").alias("match_status"))
+    return pipelines.cover_decisions(found, compared)
+
+
+_VERIFIED = {"score": share(2), "ai": share(3)}
+
+
+@query(f"WITH {made_sql(_VERIFIED)} SELECT ads_id, line FROM r ORDER BY score + 0.1 * ai DESC, k, ads_id, line LIMIT 50")
+def ai_verified_order(spark: SparkSession, d: str) -> DataFrame:
+    """TK10: score and a tenth of the model's confidence (the limit is the feature)."""
+    return relational.queue_head(made(spark, d, _VERIFIED), [F.desc(F.col("score") + F.lit(0.1) * F.col("ai")), "k", "ads_id", "line"], 50).select("ads_id", "line")
+
+
+_LOOKUPS = {**{f"i{n}": turn(n, "a", "b", None, "") for n in (1, 3, 5)}, **{f"j{n}": turn(n + 1, None, "a", "c") for n in (1, 3, 5)}, **{f"s{n}": share(n + 6) for n in (1, 3, 5)}}
+
+
+@query(f"""WITH {made_sql(_LOOKUPS)}, c AS ({' UNION ALL '.join(f'SELECT rid, {n} AS n, i{n} AS i, j{n} AS j, s{n} AS s FROM r' for n in (1, 3, 5))}), g AS (SELECT rid, n, coalesce(nullif(i, ''), nullif(j, '')) AS number FROM c WHERE coalesce(i, j, '') <> '' AND s >= 0.5 QUALIFY row_number() OVER (PARTITION BY rid, coalesce(nullif(i, ''), nullif(j, '')) ORDER BY n) = 1)
+SELECT ads_id, line, coalesce(numbers, '') AS numbers FROM r LEFT JOIN (SELECT rid, string_agg(number, ',' ORDER BY n) AS numbers FROM g GROUP BY 1) USING (rid)""")
+def strong_lookup_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """JS4: candidates with a number and enough score, the first of each number."""
+    from ..functions import misc
+
+    each = F.array(*[F.struct(F.col(f"i{n}").alias("isbn"), F.col(f"j{n}").alias("isbn13"), F.col(f"s{n}").alias("score")) for n in (1, 3, 5)])
+    numbers = F.transform(misc.strong_lookups(F.col("c")), lambda c: F.coalesce(F.when(c["isbn"] != "", c["isbn"]), c["isbn13"]))
+    return made(spark, d, _LOOKUPS).withColumn("c", each).select("ads_id", "line", F.array_join(numbers, ",").alias("numbers"))
+
+
+@query("SELECT s.event_id, epoch_us(e.ts) AS ended_us FROM events s JOIN events e ON s.user_id = e.user_id AND s.event_type = 'view' AND e.event_type = 'click' AND e.ts >= s.ts AND e.ts <= s.ts + INTERVAL 30 DAY")
+def completed_runs(spark: SparkSession, d: str) -> DataFrame:
+    """QS9: starts with their completion by run id, within thirty days."""
+    ev = read(spark, d, "events").withColumn("run_id", F.col("user_id"))
+    out = queue.stream_runs(ev.filter("event_type = 'view'").select("run_id", "event_id", "ts"), ev.filter("event_type = 'click'").select("run_id", "ts"), "30 days")
+    return out.select("event_id", F.unix_micros("ended_at").alias("ended_us"))
+
+
+@query("SELECT event_id AS job_id, CASE WHEN user_id % 4 < 2 THEN 'queued' ELSE 'failed' END AS new_status FROM events WHERE event_type = 'signup' AND ts < (SELECT max(ts) FROM events) - INTERVAL 120 MINUTE")
+def runs_without_callback(spark: SparkSession, d: str) -> DataFrame:
+    """QS8: runs that no callback ended in two hours; the clock is the newest event."""
+    ev = read(spark, d, "events").withColumn("locked_at", F.col("ts").cast("timestamp"))
+    as_of = ev.agg(F.max("locked_at")).first()[0]
+    jobs = ev.select(F.col("event_id").alias("job_id"), F.when(F.col("event_type") == "signup", "running").otherwise("processed").alias("status"), "locked_at", (F.col("user_id") % 4).alias("attempts"))
+    return queue.stale(jobs, F.lit(as_of), 120, 2).select("job_id", "new_status")

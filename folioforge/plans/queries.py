@@ -531,7 +531,7 @@ def price_text_parse(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT p_partkey AS ads_id, v - 1 AS ord, p_name AS title, NULL AS author, v AS volume, CAST(round(CAST(p_size AS DECIMAL(10,2)) / 2, 2) AS DECIMAL(10,2)) AS price, true AS distributed, 2 AS group_size FROM part, (SELECT unnest([1, 2]) AS v)
   UNION ALL SELECT p_partkey, 1000, p_brand, 'Auteur', NULL, CAST(2.50 AS DECIMAL(10,2)), false, 1 FROM part""")
 def description_price_lines(spark: SparkSession, d: str) -> DataFrame:
-    """PR5, PR6: two lines in each part's description."""
+    """PR5, PR6, UD3: two lines in each part's description, a row for each entry."""
     text = F.concat_ws("\n", F.concat(F.lit("- "), F.col("p_name"), F.lit(" tome 1 et 2 : "), F.col("p_size").cast("string"), F.lit(" €")), F.concat(F.lit("« "), F.col("p_brand"), F.lit(" » Auteur / 2,50€")), F.lit("Envoi rapide possible 3€"))
     rows = read(spark, d, "part").select(F.col("p_partkey").alias("ads_id"), text.alias("description"))
     return price.description_entries(rows).select("ads_id", "ord", "title", "author", "volume", "price", "distributed", "group_size")
