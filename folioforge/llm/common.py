@@ -8,7 +8,9 @@ column names behave like frames that hold just those columns.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +38,14 @@ def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
         spark.conf.set(key, rows)
 
 
+def kept_rows(df: DataFrame, keep: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """The rows of ``df`` that ``keep`` leaves in its Arrow batches; all columns as they are, whatever their names."""
+    ship(df.sparkSession)
+    bounded_batches(df.sparkSession)
+    flat = df.toDF(*[f"__c{i}" for i in range(len(df.columns))])
+    return flat.mapInArrow(keep, flat.schema).toDF(*df.columns)
+
+
 def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, worker_cache
+from .common import kept_rows, pick, worker_cache
 
 #: UTF-8 bytes to normalised bytes: A-Z lowered, every other ASCII byte that is no letter or digit a blank.
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -170,4 +170,4 @@ def drop_contaminated(df: DataFrame, bench: DataFrame, text_col: str = "text", s
             clean = [not scanner.scan(words_of(t.as_py()))[0] for t in batch.column(at)]
             yield batch.filter(pa.array(clean, pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return kept_rows(df, run)

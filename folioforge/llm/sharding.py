@@ -46,7 +46,9 @@ def shard_of(key: Column, shards: int) -> Column:
 
 def with_shard(df: DataFrame, key: str = "doc_id", shards: int = 8, name: str = "shard") -> DataFrame:
     """All rows and columns of ``df`` with their shard; no shuffle. A column called ``name`` is replaced."""
-    return df.withColumn(name, shard_of(df[key], shards))
+    cols = df.columns
+    flat, stay = df.toDF(*[f"__c{i}" for i in range(len(cols))]), [i for i, c in enumerate(cols) if c != name]
+    return flat.select(*[f"__c{i}" for i in stay], shard_of(F.col(f"__c{cols.index(key)}"), shards).alias("__shard")).toDF(*[cols[i] for i in stay], name)
 
 
 def write_shards(df: DataFrame, path: str, key: str = "doc_id", shards: int = 8) -> None:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, worker_cache
+from .common import kept_rows, pick, worker_cache
 
 #: UTF-8 bytes of the words: A-Z lowered, every other ASCII byte that is no letter or digit a blank.
 LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -182,4 +182,4 @@ def reject_toxic(df: DataFrame, model: OrdinalModel, text_col: str = "text", cut
                 above = held.above(np.array([held.score(features(t.as_py())) for t in batch.column(at)]))
                 yield batch.filter(pa.array(above[:, 0] < cut))
 
-    return df.mapInArrow(run, df.schema)
+    return kept_rows(df, run)

@@ -585,3 +585,14 @@ def test_rarest_regions_keep_every_link():
             of[u].add(region)
         linked = [(i, j) for i in range(len(texts)) for j in range(i) if rule.linked(len(np.intersect1d(sets[i], sets[j])), len(sets[i]), len(sets[j]))]
         assert len(linked) > 20 and all(of[i + 1] & of[j + 1] for i, j in linked)
+
+
+def test_rows_with_clashing_names_stay_whole(odd, spark):
+    """Operators that return their input's rows, on columns that differ by case alone."""
+    bench = spark.createDataFrame([(1, ROWS[10][1][40:400])], "item_id long, text string")
+    clean = decontamination.drop_contaminated(odd, bench)
+    assert clean.columns == odd.columns and 0 < len(clean.collect()) < len(ROWS)
+    model = toxicity.OrdinalModel(np.zeros(toxicity.FEATURES), np.array([1.0, 2.0]))
+    assert len(toxicity.reject_toxic(odd, model, cut=0.9).collect()) == len(ROWS)
+    sharded = sharding.with_shard(odd, shards=5)
+    assert sorted(sharded.columns) == sorted(odd.columns) and {r["shard"] for r in sharded.collect()} <= set(range(5))
