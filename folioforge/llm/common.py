@@ -11,6 +11,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,3 +83,16 @@ def worker_cache(owner: str) -> dict:
         if name != owner:
             held.clear()
     return _CACHES.setdefault(owner, {})
+
+
+def text_slices(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows whose texts have about ``most`` bytes together, one row at least."""
+    sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist()
+    lo = held = 0
+    for i, n in enumerate(sizes):
+        if held and held + n > most:
+            yield batch.slice(lo, i - lo)
+            lo, held = i, 0
+        held += n
+    if lo < batch.num_rows:
+        yield batch.slice(lo)

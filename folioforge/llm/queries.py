@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination, fingerprints, jaccard, lines, lm_scoring, packing, sharding, substrings, toxicity
+from . import alignment, chat, decontamination, fingerprints, jaccard, lines, lm_scoring, packing, search, sharding, substrings, toxicity
 from .common import table
 
 
@@ -62,6 +62,14 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join_components(table(spark, sf_dir, "documents"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment_digest(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -75,6 +83,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_toxicity,
         op9_packing,
         op10_ngram_jaccard_join,
+        op11_ranked_search,
+        op13_token_alignment,
     )
 }
 OP3_SQL = """
@@ -143,4 +153,25 @@ reach(r, to_r) AS (SELECT r, r FROM d UNION SELECT reach.r, links.b FROM reach J
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, min(o.doc_id) AS component_id
 FROM d JOIN reach USING (r) JOIN d o ON o.r = reach.to_r LEFT JOIN n ON n.r = d.r GROUP BY d.r, d.doc_id, n.n
 """
-ORACLE_SQL: dict[str, str] = {"op3_chat_formatting": OP3_SQL, "op4_substring_dedup": OP4_SQL, "op7_decontamination": OP7_SQL, "op10_ngram_jaccard_join": OP10_SQL}
+#: Every document that holds a term of the item, scored in full.
+OP11_SQL = """
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w
+  FROM documents
+), b AS (
+  SELECT row_number() OVER () AS b, item_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w
+  FROM benchmark
+), q AS (SELECT b, item_id, term, count(*) AS times FROM (SELECT b, item_id, unnest(w) AS term FROM b) GROUP BY ALL),
+totals AS (SELECT count(*) AS texts, CAST(sum(len(w)) AS BIGINT) AS total FROM d WHERE len(w) > 0),
+p AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(texts) + 2) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS weight FROM p, totals GROUP BY term),
+m AS (SELECT r, doc_id, 75 + (25 * CAST(len(w) AS BIGINT) * texts) // total AS m FROM d, totals WHERE len(w) > 0),
+scores AS (
+  SELECT q.b, q.item_id, m.doc_id, CAST(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * m.m))) AS BIGINT) AS score
+  FROM q JOIN p USING (term) JOIN weights USING (term) JOIN m USING (r) GROUP BY q.b, q.item_id, m.r, m.doc_id
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 20
+"""
+ORACLE_SQL: dict[str, str] = {"op3_chat_formatting": OP3_SQL, "op4_substring_dedup": OP4_SQL, "op7_decontamination": OP7_SQL, "op10_ngram_jaccard_join": OP10_SQL, "op11_ranked_search": OP11_SQL}
