@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, chat, decontamination, fingerprints, jaccard, lines, lm_scoring, packing, search, sharding, substrings, toxicity
+from . import alignment, chat, decontamination, fingerprints, jaccard, lines, lm_scoring, packing, pii, search, sharding, substrings, toxicity
 from .common import table
 
 
@@ -66,6 +66,11 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.personal_data_digest(docs, pii.train(docs))
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.alignment_digest(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
 
@@ -84,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_packing,
         op10_ngram_jaccard_join,
         op11_ranked_search,
+        op12_personal_data,
         op13_token_alignment,
     )
 }
