@@ -637,6 +637,6 @@ def predicate_forms(spark: SparkSession, d: str) -> DataFrame:
     return ev.select("event_id", "event_type", "value", seen.alias("seen"))
 
 
-from . import flow_queries, ladder_queries, source_queries, text_queries  # noqa: E402, F401  they register their queries
+from . import flow_queries, ladder_queries, source_queries, text_queries, vector_queries  # noqa: E402, F401  they register their queries
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
