@@ -188,6 +188,41 @@ def raw(x: np.ndarray, kind: str = "<i4") -> bytes:
     return x.astype(kind).tobytes()
 
 
+def narrow(rows: np.ndarray) -> bytes:
+    """Rows of numbers from 0 on, each in the least width that holds it, behind its width in bytes."""
+    out = []
+    for x in rows:
+        width = next(w for w in (1, 2, 4, 8) if int(x.max(initial=0)) < 1 << (8 * w - (w == 8)))
+        out += [bytes([width]), x.astype(f"<u{width}").tobytes()]
+    return b"".join(out)
+
+
+def wide(data: bytes, rows: int, n: int) -> np.ndarray:
+    """The numbers of :func:`narrow`."""
+    out, at = np.empty((rows, n), np.int64), 0
+    for i in range(rows):
+        width = data[at]
+        out[i] = np.frombuffer(data, f"<u{width}", n, at + 1)
+        at += 1 + width * n
+    return out
+
+
+def planes(x: np.ndarray) -> bytes:
+    """Numbers below 2 ** 32, byte by byte: all lowest bytes, then all second ones, as far as there are any."""
+    held = x.astype("<u4").view(np.uint8).reshape(-1, 4)
+    used = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+    return b"".join(held[:, i].tobytes() for i in range(used)) + bytes([used])
+
+
+def from_planes(data: bytes) -> np.ndarray:
+    used = data[-1]
+    out = np.frombuffer(data, np.uint8, len(data) - 1).reshape(used, -1)
+    held = np.zeros(out.shape[1], np.int64)
+    for i in range(used):
+        held |= out[i].astype(np.int64) << (8 * i)
+    return held
+
+
 _CHUNKS = "kind int, chunk long, bucket int, doc_id long, ids binary, segments array<string>, times binary"
 
 
@@ -208,13 +243,13 @@ def chunked(docs: DataFrame, first_path: str, second_path: str, bits: int, chunk
             for x in local[lo : lo + 500]:
                 now = place[x]
                 np.add.at(times, now, 1)
-                packed.append(raw(now))
+                packed.append(planes(now))
             yield rows(0, chunk, [None] * len(packed), ids[lo : lo + 500], packed, [None] * len(packed), [None] * len(packed))
         found, start = np.unique(bucket[order], return_index=True)
         stop = [*start[1:].tolist(), len(order)]
         order = order.tolist()
         for b, x, y in zip(found.tolist(), start.tolist(), stop):
-            yield rows(1, chunk, [b], [None], [None], [[names[i] for i in order[x:y]]], [raw(times[x:y], "<i8")])
+            yield rows(1, chunk, [b], [None], [None], [[names[i] for i in order[x:y]]], [narrow(times[None, x:y])])
 
     def rows(kind: int, chunk: int, bucket: list, doc_id: list, ids: list, segments: list, times: list) -> pa.RecordBatch:
         n = len(bucket)
@@ -265,7 +300,7 @@ def aligned(lists: DataFrame, first_path: str, second_path: str) -> DataFrame:
         found = Aligned(list(numbers), worker_encoders(first_path, second_path))
         sums = np.zeros(len(found.pairs), np.int64)
         np.add.at(sums, found.link_pair, total[found.link_segment])
-        return row(kind=0, bucket=bucket, stats=b"".join(map(raw, found.stats)), groups=found.groups, link_segment=raw(found.link_segment), link_pair=raw(found.link_pair), pairs=found.pairs, totals=sums)
+        return row(kind=0, bucket=bucket, stats=narrow(np.stack(found.stats)), groups=found.groups, link_segment=raw(found.link_segment), link_pair=raw(found.link_pair), pairs=found.pairs, totals=sums)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, numbers, times = None, Numbers(), []
@@ -276,7 +311,7 @@ def aligned(lists: DataFrame, first_path: str, second_path: str) -> DataFrame:
                 now, numbers, times = bucket, Numbers(), []
             for chunk, segments, n in zip(part.column(1).to_pylist(), part.column(2), part.column(3).to_pylist()):
                 place = np.fromiter(map(numbers.__getitem__, segments.as_py()), np.int64, len(segments))
-                times.append((place, np.frombuffer(n, "<i8")))
+                times.append((place, wide(n, 1, len(place))[0]))
                 yield row(kind=2, bucket=bucket, chunk=chunk, place=raw(place))
         if now is not None:
             yield finish(now, numbers, times)
@@ -319,7 +354,7 @@ def results(held: DataFrame, counts: DataFrame) -> DataFrame:
                     totals.append((rows.column(3).to_numpy(), rows.column(4).to_numpy(zero_copy_only=False)))
                 else:
                     if table is None:
-                        stats = np.frombuffer(held["stats"].as_py(), "<i4").reshape(4, -1).astype(np.int64)
+                        stats = wide(held["stats"].as_py(), 4, len(held["groups"]))
                         segment, pair = (np.frombuffer(held[c].as_py(), "<i4") for c in ("link_segment", "link_pair"))
                         total, best = (np.concatenate(x) for x in zip(*totals)) if totals else (np.zeros(0, np.int64), np.zeros(0, bool))
                         more = np.zeros((2, stats.shape[1]), np.int64)
@@ -328,7 +363,7 @@ def results(held: DataFrame, counts: DataFrame) -> DataFrame:
                         table, groups = np.concatenate([stats, more]), held["groups"].values
                     for chunk, place in zip(rows.column(2).to_pylist(), rows.column(5).to_pylist()):
                         place = np.frombuffer(place, "<i4")
-                        out = [0], [chunk], [bucket], [raw(table[:, place], "<i8")]
+                        out = [0], [chunk], [bucket], [narrow(table[:, place])]
                         taken = groups.take(pa.array(place))
                         texts = pa.ListArray.from_arrays(pa.array([0, len(taken)], pa.int32()), taken)
                         yield pa.RecordBatch.from_arrays([*(pa.array(v, f.type) for v, f in zip(out, schema)), texts], schema=schema)
@@ -349,13 +384,13 @@ def composed(docs: DataFrame, found: DataFrame) -> DataFrame:
                 now, parts, groups, table = chunk, [np.zeros((len(STATS), 0), np.int64)], [], None
             kinds = part.column(1).to_numpy()
             for row in part.filter(pa.array(kinds == 0)).select(["stats", "groups"]).to_pylist():
-                parts.append(np.frombuffer(row["stats"], "<i8").reshape(len(STATS), -1))
+                parts.append(wide(row["stats"], len(STATS), len(row["groups"])))
                 groups += row["groups"]
             rows = part.filter(pa.array(kinds == 1))
             if rows.num_rows:
                 if table is None:
                     table, parts = np.concatenate(parts, axis=1), []
-                ids = [np.frombuffer(x, "<i4") for x in rows.column(6).to_pylist()]
+                ids = list(map(from_planes, rows.column(6).to_pylist()))
                 sums = np.array([table[:, x].sum(axis=1) for x in ids], np.int64).reshape(-1, len(STATS))
                 text = [hashlib.sha256(";".join(map(groups.__getitem__, x.tolist())).encode()).hexdigest() if n else "" for x, n in zip(ids, sums[:, 0].tolist())]
                 yield pa.RecordBatch.from_arrays([rows.column(5), *(pa.array(sums[:, i]) for i in range(len(STATS))), pa.array(text, pa.string())], names=["doc_id", *STATS, "groups_sha256"])
