@@ -63,18 +63,32 @@ def bbox_signed_area(box: Column) -> Column:
     return F.when(F.size(box) == 4, to_number(side(2, 0) * side(3, 1)))
 
 
-def crop_rectangle(box: Column, width: Column, height: Column, pad: float = 0.08) -> Column:
-    """struct(left, top, width, height) in pixels of a padded box, clamped to the image; null without area."""
-    w, h = F.abs(_side(box, 2) - _side(box, 0)), F.abs(_side(box, 3) - _side(box, 1))
-    x0, y0 = F.least(_side(box, 0), _side(box, 2)), F.least(_side(box, 1), _side(box, 3))
-    left, right = clamp01(x0 - w * pad), clamp01(x0 + w + w * pad)
-    top, bottom = clamp01(y0 - h * pad), clamp01(y0 + h + h * pad)
-    px = lambda v, n: F.floor(v * n + 0.5).cast("int")
-    out = F.struct(px(left, width).alias("left"), px(top, height).alias("top"), px(right - left, width).alias("width"), px(bottom - top, height).alias("height"))
-    return F.when((w > 0) & (h > 0), out)
+def crop_rectangle(box: Column, width: Column, height: Column, pad: float = 0.15) -> Column:
+    """struct(left, top, width, height) in pixels of a padded box, inside the image, one pixel a side at least (NM5).
+
+    Corners come in any order. A box that is not four finite numbers is the whole image (a null among four counts as 0);
+    null for an image without size.
+    """
+    side = lambda i: F.coalesce(_side(box, i), F.lit(0.0))
+    usable = F.coalesce((F.size(box) == 4) & F.forall(box, lambda v: v.isNull() | to_number(v.cast("double")).isNotNull()), F.lit(False))
+    at = lambda i: F.when(usable, side(i)).otherwise(F.lit(float(i // 2)))
+    px = lambda v: F.floor(v + 0.5).cast("int")
+
+    def along(lo: Column, hi: Column, size: Column) -> tuple[Column, Column]:
+        a, b = F.least(lo, hi), F.greatest(lo, hi)
+        start, stop = clamp01(a - (b - a) * pad), clamp01(b + (b - a) * pad)
+        first = F.least(px(start * size), (size - 1).cast("int"))
+        return first, F.least(F.greatest(F.lit(1), px((stop - start) * size)), size.cast("int") - first)
+
+    (left, across), (top, down) = along(at(0), at(2), width), along(at(1), at(3), height)
+    out = F.struct(left.alias("left"), top.alias("top"), across.alias("width"), down.alias("height"))
+    return F.when((width > 0) & (height > 0), out)
+
+
+#: Turn in degrees of an orientation that a detection may state; any other needs none. Fixed values.
+TURNS = {"vertical_up": -90, "vertical_down": 90}
 
 
 def rotation(orientation: Column) -> Column:
-    """Degrees that bring a spine upright."""
-    o = F.lower(F.coalesce(orientation, F.lit("")))
-    return F.when(o.contains("270") | o.contains("counter") | o.contains("left"), 90).when(o.contains("180") | o.contains("upside"), 180).when(o.contains("90") | o.contains("clockwise") | o.contains("right"), 270).otherwise(0)
+    """Degrees by which a crop is turned so that its spine can be read (NM5)."""
+    return F.coalesce(*[F.when(orientation == name, turn) for name, turn in TURNS.items()], F.lit(0))

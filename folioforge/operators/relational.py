@@ -87,10 +87,14 @@ def best_candidates(books: DataFrame, candidates: DataFrame, query: str = "query
     return ranked.withColumn("selected", F.col("rank") == 1)
 
 
-def merge_flags(candidates: DataFrame, key: Keys, order: str, flag: str, attributes: Sequence[str]) -> DataFrame:
-    """AG11, ST2: one row per key, the union of flags (sorted) and the first value of each attribute that is there."""
-    first = [F.min_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in attributes]
-    return candidates.groupBy(*key).agg(F.array_sort(F.collect_set(flag)).alias("flags"), *first, F.min(order).alias(order))
+def merge_flags(candidates: DataFrame, key: Keys, order: Sequence[str], flag: str, attributes: Sequence[str]) -> DataFrame:
+    """AG11, ST2: one row per key, the union of flags (sorted) and the first value of each attribute that is there.
+
+    ``order`` names columns without nulls; rows that tie in all of them should have equal attributes.
+    """
+    place = F.struct(*order)
+    first = [F.min_by(c, F.when(F.col(c).isNotNull(), place)).alias(c) for c in attributes]
+    return candidates.groupBy(*key).agg(F.array_sort(F.collect_set(flag)).alias("flags"), *first)
 
 
 def cover_plan(candidates: DataFrame, group: str, cap: int, cfg: Config = DEFAULT) -> DataFrame:
@@ -282,3 +286,31 @@ def best_medium(candidates: DataFrame, keys: Keys, last: str, cfg: Config = DEFA
     strong = (F.col("source") == "visible_isbn") | (F.col("confidence") >= cfg.catalog_strong)
     medium = candidates.filter(F.coalesce("valid", F.lit(True)) & ~F.coalesce(strong, F.lit(False)) & (F.col("confidence") >= cfg.catalog_medium))
     return first_wins(medium, keys, [F.desc(c) for c in ("confidence", "lookup_score", "title_sim", "catalog_sim")] + [F.col(last)])
+
+
+def choose_in_order(rows: DataFrame, group: Keys, owner: str, order: Sequence[str], item: str, per_owner: int, per_group: int) -> DataFrame:
+    """JN25, WN8: rows taken one by one in ``order``, where a choice rules out later ones.
+
+    A row is taken unless its item was taken before in its group, or its owner has ``per_owner`` rows, or its group
+    ``per_group``. ``order`` begins with the owner's place, so that an owner's rows follow each other; its columns break
+    all ties. Items are not null. A fold over each group's sorted rows; before it, each owner's rows are cut to the first of
+    each item and to ``per_owner + per_group``, of which earlier owners can take ``per_group`` at most.
+    """
+    once = first_wins(rows, [*group, owner, item], order)
+    useful = top_per_key(once, [*group, owner], order, per_owner + per_group)
+    names = [c for c in useful.columns if c not in group]
+    row = F.struct(*[F.col(c).alias(f"__o{i}") for i, c in enumerate(order)], F.struct(*names).alias("row"))
+    gathered = useful.groupBy(*group).agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    kinds = {c: useful.schema[c].dataType.simpleString() for c in (owner, item)}
+    fields = ", ".join(f"`{c}`: {useful.schema[c].dataType.simpleString()}" for c in names)
+    start = F.struct(F.lit(None).cast(kinds[owner]).alias("owner"), F.lit(0).alias("n"), F.array().cast(f"array<{kinds[item]}>").alias("taken"), F.array().cast(f"array<struct<{fields}>>").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        used = F.when(acc["owner"].eqNullSafe(x["row"][owner]), acc["n"]).otherwise(0)
+        good = (used < per_owner) & (F.size(acc["out"]) < per_group) & ~F.array_contains(acc["taken"], x["row"][item])
+        one = F.when(good, 1).otherwise(0)
+        grown = lambda old, new: F.concat(old, F.when(good, F.array(new)).otherwise(F.slice(F.array(new), 1, 0)))
+        return F.struct(x["row"][owner].alias("owner"), (used + one).alias("n"), grown(acc["taken"], x["row"][item]).alias("taken"), grown(acc["out"], x["row"]).alias("out"))
+
+    taken = gathered.select(*group, F.posexplode(F.aggregate("rows", start, step, lambda acc: acc["out"])).alias("place", "row"))
+    return taken.select(*group, (F.col("place") + 1).alias("place"), "row.*")

@@ -119,15 +119,6 @@ def composite_key_update(spark: SparkSession, d: str) -> DataFrame:
     return merge.merge(p, change, ["part", "isbn", "title"], {}, insert=False).select("part", "isbn", "title", "note")
 
 
-@query(f"WITH {_O}, r AS (SELECT ads_id, part AS isbn, max(price) AS score FROM o WHERE part % 2 = 0 GROUP BY 1, 2), f AS (SELECT * FROM r WHERE isbn % 3 <> 0) SELECT ads_id, isbn FROM f QUALIFY row_number() OVER (PARTITION BY ads_id ORDER BY score DESC, isbn) <= 2")
-def mismatch_alternatives(spark: SparkSession, d: str) -> DataFrame:
-    """JN25: exact-title candidates that the listing does not hold yet, two a book (the cap is the feature)."""
-    rows = offers(spark, d).groupBy(F.col("ads_id"), F.col("part").alias("isbn")).agg(F.max("price").alias("score"))
-    found = rows.select(F.col("ads_id").alias("book_id"), "isbn", "score", (F.col("isbn") % 2 == 0).alias("exact_title_match"))
-    wrong = rows.select("ads_id", F.col("ads_id").alias("book_id")).distinct()
-    return pipelines.mismatch_alternatives(wrong, found, rows.filter("isbn % 3 = 0").select("ads_id", "isbn")).select("ads_id", "isbn")
-
-
 # --- aggregates and order
 
 
@@ -163,11 +154,10 @@ def model_usage(spark: SparkSession, d: str) -> DataFrame:
 _MERGED = {"isbn": "CAST(floor(k / 3) AS BIGINT) % 50", "flag": turn(1, "isbnsearch", "volumes", "ai"), "title": turn(2, None, "t1", "t2"), "price": turn(7, None, 1, 2)}
 
 
-@query(f"WITH {made_sql(_MERGED)}, g AS (SELECT *, ads_id * 100 + line AS ord FROM r) SELECT isbn, array_to_string(list_sort(list_distinct(list(flag))), ',') AS flags, arg_min(title, ord) FILTER (title IS NOT NULL) AS title, arg_min(price, ord) FILTER (price IS NOT NULL) AS price FROM g GROUP BY 1")
+@query(f"WITH {made_sql(_MERGED)}, g AS (SELECT * FROM r) SELECT isbn, array_to_string(list_sort(list_distinct(list(flag))), ',') AS flags, first(title ORDER BY ads_id, line, k) FILTER (title IS NOT NULL) AS title, first(price ORDER BY ads_id, line, k) FILTER (price IS NOT NULL) AS price FROM g GROUP BY 1")
 def merged_flags(spark: SparkSession, d: str) -> DataFrame:
     """AG11, ST2: the union of provenance flags, the first value of each attribute that is there."""
-    rows = made(spark, d, _MERGED).withColumn("ord", F.col("ads_id") * 100 + F.col("line"))
-    return relational.merge_flags(rows, ["isbn"], "ord", "flag", ["title", "price"]).select("isbn", F.array_join("flags", ",").alias("flags"), "title", "price")
+    return relational.merge_flags(made(spark, d, _MERGED), ["isbn"], ["ads_id", "line", "k"], "flag", ["title", "price"]).select("isbn", F.array_join("flags", ",").alias("flags"), "title", "price")
 
 
 _RUNS = {"processing_status": turn(1, "processed", "error", "rejected_non_book", "processed"), "detected": turn(3, 0, 1, 5, None), "accepted": turn(5, 0, 1)}
@@ -350,14 +340,6 @@ def finished_jobs(spark: SparkSession, d: str) -> DataFrame:
     return queue.succeed(jobs, jobs.filter("job_id % 3 = 0"), F.lit("2030-01-01").cast("timestamp")).select("job_id", "status", "progress", F.col("error_code").isNotNull().alias("has_error"))
 
 
-@query(f"WITH {_JOB} SELECT job_id, CASE WHEN attempts < 3 THEN 'queued' ELSE 'failed' END AS status, CASE WHEN attempts < 3 THEN least(600, greatest(1, attempts) * 30) END AS wait FROM j WHERE status = 'failed'")
-def retried_jobs(spark: SparkSession, d: str) -> DataFrame:
-    """QS6, DT3, PRD13."""
-    as_of = F.lit("2030-01-01 00:00:00").cast("timestamp")
-    out = queue.after_failure(_jobs(spark, d).filter("status = 'failed'"), as_of)
-    return out.select("job_id", "status", (F.unix_timestamp("next_run_at") - F.unix_timestamp(as_of)).alias("wait"))
-
-
 @query(f"WITH {_JOB} SELECT job_id, 'processing' AS status, attempts + 1 AS attempts FROM j WHERE status = 'queued' ORDER BY attempts DESC, ts, job_id LIMIT 25")
 def claimed_jobs(spark: SparkSession, d: str) -> DataFrame:
     """QS4, JN14, TK1: the claim, with what it changes (the number claimed is the feature)."""
@@ -518,12 +500,3 @@ def completed_runs(spark: SparkSession, d: str) -> DataFrame:
     ev = read(spark, d, "events").withColumn("run_id", F.col("user_id"))
     out = queue.stream_runs(ev.filter("event_type = 'view'").select("run_id", "event_id", "ts"), ev.filter("event_type = 'click'").select("run_id", "ts"), "30 days")
     return out.select("event_id", F.unix_micros("ended_at").alias("ended_us"))
-
-
-@query("SELECT event_id AS job_id, CASE WHEN user_id % 4 < 2 THEN 'queued' ELSE 'failed' END AS new_status FROM events WHERE event_type = 'signup' AND ts < (SELECT max(ts) FROM events) - INTERVAL 120 MINUTE")
-def runs_without_callback(spark: SparkSession, d: str) -> DataFrame:
-    """QS8: runs that no callback ended in two hours; the clock is the newest event."""
-    ev = read(spark, d, "events").withColumn("locked_at", F.col("ts").cast("timestamp"))
-    as_of = ev.agg(F.max("locked_at")).first()[0]
-    jobs = ev.select(F.col("event_id").alias("job_id"), F.when(F.col("event_type") == "signup", "running").otherwise("processed").alias("status"), "locked_at", (F.col("user_id") % 4).alias("attempts"))
-    return queue.stale(jobs, F.lit(as_of), 120, 2).select("job_id", "new_status")

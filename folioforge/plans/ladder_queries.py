@@ -306,24 +306,28 @@ def final_state_counts(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-_BOXES = {"x0": share(1), "y0": share(7), "x1": share(3), "y1": share(11), "orientation": turn(5, "rotated 90 clockwise", "rotated 270", "upside down", "left", "right", "normal", None), "w": turn(13, 800, 1200), "h": turn(17, 600, 1000), "boxed": turn(19, True, True, True, False)}
+_BOXES = {"x0": share(1), "y0": share(7), "x1": share(3), "y1": share(11), "orientation": turn(5, "vertical_up", "vertical_down", "horizontal", "tilted", "", None), "w": turn(13, 800, 1200), "h": turn(17, 600, 1000), "boxed": turn(19, True, True, True, False)}
 _AREA = "abs(x1 - x0) * abs(y1 - y0)"
 _SIGNED = "greatest(0.0, x1 - x0) * greatest(0.0, y1 - y0)"
 
 
 
-@query(f"""WITH {made_sql(_BOXES)}, z AS (SELECT *, CASE WHEN boxed THEN {_AREA} END AS area, CASE WHEN boxed THEN {_SIGNED} END AS signed FROM r) SELECT ads_id, line, round(area, 9) AS area, coalesce(area >= 0.003 AND area < 0.98, false) AS worthy,
+@query(f"""WITH {made_sql(_BOXES)}, z AS (SELECT *, CASE WHEN boxed THEN {_AREA} END AS area, CASE WHEN boxed THEN {_SIGNED} END AS signed, CASE WHEN boxed THEN least(x0, x1) ELSE 0.0 END AS a, CASE WHEN boxed THEN greatest(x0, x1) ELSE 1.0 END AS b,
+  CASE WHEN boxed THEN least(y0, y1) ELSE 0.0 END AS c, CASE WHEN boxed THEN greatest(y0, y1) ELSE 1.0 END AS e FROM r),
+p AS (SELECT *, greatest(0.0, least(1.0, a - (b - a) * 0.15)) AS pa, greatest(0.0, least(1.0, b + (b - a) * 0.15)) AS pb, greatest(0.0, least(1.0, c - (e - c) * 0.15)) AS pc, greatest(0.0, least(1.0, e + (e - c) * 0.15)) AS pe FROM z),
+q AS (SELECT *, CAST(least(floor(pa * w + 0.5), w - 1) AS INT) AS lx, CAST(least(floor(pc * h + 0.5), h - 1) AS INT) AS ty FROM p)
+SELECT ads_id, line, round(area, 9) AS area, coalesce(area >= 0.003 AND area < 0.98, false) AS worthy,
   CASE WHEN coalesce(area, 0) < 0.05 THEN 'poor' WHEN area < 0.3 THEN 'risky' ELSE 'good' END AS level, CASE WHEN coalesce(signed, 0) < 0.05 THEN 'tiny' WHEN signed < 0.3 THEN 'borderline' ELSE 'large' END AS size,
-  CASE WHEN boxed AND x0 <> x1 AND y0 <> y1 THEN CAST(floor(greatest(0.0, least(1.0, least(x0, x1) - abs(x1 - x0) * 0.08)) * w + 0.5) AS INT) END AS "left",
-  CASE orientation WHEN 'rotated 90 clockwise' THEN 270 WHEN 'rotated 270' THEN 90 WHEN 'upside down' THEN 180 WHEN 'left' THEN 90 WHEN 'right' THEN 270 ELSE 0 END AS turn FROM z""")
+  lx AS "left", ty AS top, CAST(least(greatest(1, floor((pb - pa) * w + 0.5)), w - lx) AS INT) AS width, CAST(least(greatest(1, floor((pe - pc) * h + 0.5)), h - ty) AS INT) AS height,
+  CASE orientation WHEN 'vertical_up' THEN -90 WHEN 'vertical_down' THEN 90 ELSE 0 END AS turn FROM q""")
 def box_measures(spark: SparkSession, d: str) -> DataFrame:
     """CLS25, CLS35, NM5: each row's own box."""
     df = made(spark, d, _BOXES).withColumn("box", F.when(F.col("boxed"), F.array("x0", "y0", "x1", "y1")))
     box = F.col("box")
     return df.select(
         "ads_id", "line", F.round(numbers.bbox_area(box), 9).alias("area"), classify.crop_worthy(box).alias("worthy"), classify.crop_level(box).alias("level"), classify.crop_class(box).alias("size"),
-        numbers.crop_rectangle(box, F.col("w"), F.col("h"))["left"].alias("left"), numbers.rotation(F.col("orientation")).alias("turn"),
-    )
+        numbers.crop_rectangle(box, F.col("w"), F.col("h")).alias("crop"), numbers.rotation(F.col("orientation")).alias("turn"),
+    ).select("ads_id", "line", "area", "worthy", "level", "size", "crop.*", "turn")
 
 
 _MONEY = {"credits": turn(1, 0, 30, 45, None), "usd": turn(3, 0.004, 1, None), "units": turn(5, 0, 1, 7, 30), "tokens_in": turn(2, 1000, 123456, None), "tokens_out": turn(7, 10, 9999, None), "raw": turn(11, "12.5", "abc", "NaN", "", None, "1e3")}

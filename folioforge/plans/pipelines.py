@@ -200,13 +200,28 @@ def crop_files(crops: DataFrame, most: int = 5) -> DataFrame:
     return kept.withColumn("file", F.concat(T.safe_path(F.col("ads_id")), F.lit("/"), F.col("content"), F.lit(".jpg")))
 
 
-def mismatch_alternatives(mismatched: DataFrame, candidates: DataFrame, stored_rows: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """JN25: for books whose picture does not match, exact-title candidates that the listing lacks, capped per book
-    and per listing."""
-    rows = mismatched.join(candidates.filter("exact_title_match"), "book_id")
-    fresh = relational.not_exists(rows, stored_rows.select("ads_id", "isbn"), ["ads_id", "isbn"])
-    per_book = relational.top_per_key(fresh, ["ads_id", "book_id"], [F.desc("score"), "isbn"], cfg.mismatch_per_book)
-    return relational.top_per_key(per_book, ["ads_id"], [F.desc("score"), "book_id", "isbn"], cfg.mismatch_per_ad)
+def mismatch_alternatives(books: DataFrame, candidates: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """JN25: new rows for the other editions of books that a provider priced by a picture of another edition.
+
+    ``books`` has ads_id, book_id, isbn, provider_match_status, both prices and what the new row takes over
+    (lookup_title, cost, source_image_url); ``candidates`` has book_id, ord, isbn13, isbn10, isbn, title and both title flags. Only
+    books of status mismatch with a price above 0 count, in order of book_id; only candidates of the same title, with or
+    without its article, in order of ord. A number that the listing holds, or that a book before has taken, is passed
+    over. Two a book and four a listing (configuration).
+    """
+    priced = (F.coalesce("momox_price", F.lit(0)) > 0) | (F.coalesce("gibert_price", F.lit(0)) > 0)
+    wrong = books.filter((F.col("provider_match_status") == "mismatch") & priced).drop("isbn", "provider_match_status", "momox_price", "gibert_price")
+    same = F.coalesce("exact_title_match", F.lit(False)) | F.coalesce("article_insensitive_title_match", F.lit(False))
+    # the first number that is stated is taken, as it is, and made a 13-digit one
+    number = I.normalize(T.first_filled(F.col("isbn13"), F.col("isbn"), F.col("isbn10")))
+    found = candidates.filter(same).select("book_id", "ord", number.alias("number"), F.col("title").alias("candidate_title")).filter("number is not null")
+    held = books.select("ads_id", I.normalize(F.col("isbn")).alias("number")).filter("number is not null").distinct()
+    fresh = relational.not_exists(wrong.join(found, "book_id"), held, ["ads_id", "number"])
+    taken = relational.choose_in_order(fresh, ["ads_id"], "book_id", ["book_id", "ord"], "number", cfg.mismatch_per_book, cfg.mismatch_per_ad)
+    new = {"isbn": F.col("number"), "title": T.first_filled(F.col("candidate_title"), F.col("lookup_title"), F.col("title")), "lookup_title": T.first_filled(F.col("candidate_title"), F.col("lookup_title"))}
+    fixed = {"status": "isbn_alternative_candidate", "candidate_status": "alternative_edition", "review_status": "manual_review", "admin_status": "pending_edition_choice", "isbn_source": "image_mismatch_alternative", "momox_status": "momox_pending", "gibert_status": "gibert_pending"}
+    prices = {c: F.lit(0) for c in ("momox_price", "gibert_price", "best_resale_price")}
+    return taken.withColumns(new | {c: F.lit(v) for c, v in fixed.items()} | prices).drop("number", "candidate_title", "ord")
 
 
 def verified_images(rows: DataFrame, verdicts: DataFrame, cfg: Config = DEFAULT) -> DataFrame:

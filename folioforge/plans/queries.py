@@ -123,10 +123,10 @@ def missing_items(spark: SparkSession, d: str) -> DataFrame:
     return relational.missing(read(spark, d, "part").select(F.col("p_partkey").alias("part")), found, "part")
 
 
-@query(f"WITH {OFFERS_SQL}, f AS (SELECT part, price, ads_id, line FROM offers WHERE supplier % 5 = 0 QUALIFY row_number() OVER (PARTITION BY part ORDER BY ads_id, line) = 1) SELECT p_partkey AS part, CASE WHEN f.part IS NULL THEN CAST(0 AS DECIMAL(12,2)) ELSE f.price END AS price, CASE WHEN f.part IS NULL THEN 'gibert_missing' ELSE 'gibert_price_found' END AS status FROM part LEFT JOIN f ON f.part = p_partkey")
+@query(f"WITH {OFFERS_SQL}, f AS (SELECT part, price, ads_id, line FROM offers WHERE supplier % 5 = 0 QUALIFY row_number() OVER (PARTITION BY part ORDER BY ads_id, line, price) = 1) SELECT p_partkey AS part, CASE WHEN f.part IS NULL THEN CAST(0 AS DECIMAL(12,2)) ELSE f.price END AS price, CASE WHEN f.part IS NULL THEN 'gibert_missing' ELSE 'gibert_price_found' END AS status FROM part LEFT JOIN f ON f.part = p_partkey")
 def requested_with_default(spark: SparkSession, d: str) -> DataFrame:
     """JN1, JN3."""
-    own = relational.first_wins(offers(spark, d).filter("supplier % 5 = 0"), ["part"], ["ads_id", "line"]).select("part", "price", F.lit("gibert_price_found").alias("status"))
+    own = relational.first_wins(offers(spark, d).filter("supplier % 5 = 0"), ["part"], ["ads_id", "line", "price"]).select("part", "price", F.lit("gibert_price_found").alias("status"))
     asked = read(spark, d, "part").select(F.col("p_partkey").alias("part"))
     return relational.with_default(asked, own, "part", {"price": F.lit(0).cast("decimal(12,2)"), "status": F.lit("gibert_missing")})
 
@@ -319,15 +319,6 @@ def queue_claim_order(spark: SparkSession, d: str) -> DataFrame:
     return relational.queue_head(rows, ["o_orderpriority", "o_orderdate", "o_orderkey"], 200).select("o_orderkey", "o_orderpriority")
 
 
-@query("SELECT event_id, CASE WHEN user_id % 4 < 3 THEN 'queued' ELSE 'failed' END AS new_status FROM events WHERE event_type IN ('view', 'click') AND ts < (SELECT max(ts) FROM events) - INTERVAL 90 MINUTE")
-def stale_lock_reset(spark: SparkSession, d: str) -> DataFrame:
-    """QS7; the clock is the newest event."""
-    ev = read(spark, d, "events")
-    as_of = ev.agg(F.max(F.col("ts").cast("timestamp"))).first()[0]
-    jobs = ev.select("event_id", F.when(F.col("event_type").isin("view", "click"), "processing").otherwise("queued").alias("status"), F.col("ts").cast("timestamp").alias("locked_at"), (F.col("user_id") % 4).alias("attempts"))
-    return queue.stale(jobs, F.lit(as_of)).select("event_id", "new_status")
-
-
 @query("SELECT event_id, max(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS progress, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1 AS first_of_type FROM events")
 def event_timeline_running_progress(spark: SparkSession, d: str) -> DataFrame:
     """WN7."""
@@ -637,6 +628,6 @@ def predicate_forms(spark: SparkSession, d: str) -> DataFrame:
     return ev.select("event_id", "event_type", "value", seen.alias("seen"))
 
 
-from . import flow_queries, ladder_queries, source_queries, text_queries, vector_queries  # noqa: E402, F401  they register their queries
+from . import flow_queries, ladder_queries, queue_queries, source_queries, text_queries, vector_queries  # noqa: E402, F401  they register their queries
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -69,16 +69,83 @@ def succeed(jobs: DataFrame, done: DataFrame, as_of: Column) -> DataFrame:
     return mark(jobs, done, ["job_id"], {"status": F.lit("processed"), "progress": F.lit(100), "finished_at": as_of, "locked_at": null("locked_at"), "error_code": null("error_code")})
 
 
-def after_failure(jobs: DataFrame, as_of: Column, most: int = 3) -> DataFrame:
-    """QS6: failed jobs are queued again with a delay while attempts are left; else they stay failed."""
+def _freed(jobs: DataFrame, on: Column, as_of: Column, changes: dict[str, Column]) -> DataFrame:
+    """Jobs for which ``on`` holds get ``changes``, lose their lock and are marked as changed; others stay as they are."""
+    null = {c: F.lit(None).cast(jobs.schema[c].dataType) for c in ("locked_by", "locked_at")}
+    hit = F.coalesce(on, F.lit(False))
+    return jobs.withColumns({c: F.when(hit, v).otherwise(F.col(c)) for c, v in (changes | null | {"updated_at": as_of}).items()})
+
+
+def after_failure(jobs: DataFrame, failures: DataFrame, as_of: Column, most: int = 3) -> DataFrame:
+    """QS6: jobs after the failures of their runs (job_id, error_code, message).
+
+    While attempts are left a job is queued again after a delay, else it has failed for good. Either way its lock is
+    freed, stage, error and time of change are set, progress stays (30 where there is none). Only queued or
+    running jobs change.
+    """
+    said = failures.select("job_id", F.col("error_code").alias("__code"), F.col("message").alias("__message"))
+    j = jobs.join(said, "job_id", "left")
+    on = F.col("__code").isNotNull() & F.col("status").isin("queued", "processing")
     again = F.col("attempts") < most
-    return jobs.withColumn("status", F.when(again, "queued").otherwise("failed")).withColumn("next_run_at", F.when(again, F.timestamp_seconds(F.unix_timestamp(as_of) + retry_delay_seconds(F.col("attempts")))))
+    state = F.when(again, "queued").otherwise("failed")
+    changes = {
+        "status": state, "stage": state, "progress": F.coalesce("progress", F.lit(30)), "error_code": F.col("__code"), "error_message": F.substring("__message", 1, 2000),
+        "next_run_at": F.when(again, F.timestamp_seconds(F.unix_timestamp(as_of) + retry_delay_seconds(F.col("attempts")))).otherwise(F.col("next_run_at")),
+        "finished_at": F.when(again, F.col("finished_at")).otherwise(as_of),
+    }
+    return _freed(j, on, as_of, changes).drop("__code", "__message")
 
 
-def stale(jobs: DataFrame, as_of: Column, minutes: int = 90, most: int = 3) -> DataFrame:
-    """QS7, QS8: running jobs whose lock is older than ``minutes``: queued again, or failed without attempts left."""
-    old = jobs.filter(F.col("status").isin("processing", "running") & (F.col("locked_at") < as_of - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(minutes))))
-    return old.withColumn("new_status", F.when(F.col("attempts") < most, "queued").otherwise("failed")).withColumn("stage", F.lit("stale_reset"))
+def after_stale_lock(jobs: DataFrame, as_of: Column, minutes: int = 90, most: int = 3) -> DataFrame:
+    """QS7: running payload jobs whose lock is older than ``minutes``.
+
+    With attempts left they are queued at once, with an error that says so, and keep stage and progress. Without, they
+    have failed, and keep an error that they had.
+    """
+    old = F.col("locked_at") < as_of - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(minutes))
+    on = (F.col("type") == "apify_payload_processing") & (F.col("status") == "processing") & old
+    again = F.col("attempts") < most
+    keep = lambda c, again_, failed: F.when(again, again_).otherwise(F.coalesce(F.col(c), failed))
+    changes = {
+        "status": F.when(again, "queued").otherwise("failed"), "stage": F.when(again, F.col("stage")).otherwise("failed"),
+        "progress": F.when(again, F.col("progress")).otherwise(F.coalesce("progress", F.lit(30))),
+        "error_code": keep("error_code", F.lit("stale_lock_requeued"), F.lit("attempts_exhausted_stale_lock")),
+        "error_message": keep("error_message", F.lit("Processing job lock was stale and has been requeued."), F.lit("Stale lock with max attempts reached; failed and released.")),
+        "next_run_at": F.when(again, as_of).otherwise(F.col("next_run_at")), "finished_at": F.when(again, F.col("finished_at")).otherwise(as_of),
+    }
+    return _freed(jobs, on, as_of, changes)
+
+
+#: Types of jobs that wait for a callback. Fixed values.
+START_TYPES = ("apify_start_manual_ad", "apify_start_search_page")
+#: States in which an external run has ended.
+ENDED = ("SUCCEEDED", "FAILED", "ABORTED", "TIMED-OUT")
+
+
+def after_missing_callback(jobs: DataFrame, as_of: Column, minutes: int = 120) -> DataFrame:
+    """QS8: started runs that no callback ended in ``minutes`` from their start have failed for good, however many attempts are left."""
+    old = F.col("started_at") < as_of - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(minutes))
+    on = F.col("type").isin(*START_TYPES) & (F.col("status") == "processing") & F.col("stage").isin("starting_apify", "apify_running") & old
+    code = "apify_run_stale_no_webhook"
+    text = "Apify run did not deliver a webhook before APIFY_RUN_STALE_MS; releasing the Apify queue."
+    return _freed(jobs, on, as_of, {"status": F.lit("failed"), "stage": F.lit("failed"), "error_code": F.lit(code), "error_message": F.lit(text), "finished_at": as_of})
+
+
+def after_run_check(jobs: DataFrame, runs: DataFrame, as_of: Column, after_seconds: int = 180, grace_seconds: int = 120) -> DataFrame:
+    """QS8: active runs against their recorded state (apify_run_id, run_status, run_finished_at).
+
+    Runs started more than ``after_seconds`` ago take over the stated status; those that ended more than
+    ``grace_seconds`` ago, or at no stated time, without a callback have failed for good.
+    """
+    said = runs.select("apify_run_id", F.upper(F.trim("run_status")).alias("__status"), F.col("run_finished_at").alias("__ended"))
+    j = jobs.join(said, "apify_run_id", "left")
+    ago = lambda n: as_of - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(n))
+    active = F.col("type").isin(*START_TYPES) & (F.col("status") == "processing") & (F.col("stage") == "apify_running") & (F.col("started_at") < ago(after_seconds)) & (F.coalesce("__status", F.lit("")) != "")
+    j = j.withColumns({"updated_at": F.when(active & ~F.col("__status").eqNullSafe(F.col("apify_status")), as_of).otherwise(F.col("updated_at")), "apify_status": F.when(active, F.col("__status")).otherwise(F.col("apify_status"))})
+    over = active & F.col("__status").isin(*ENDED) & (F.col("__ended").isNull() | (F.col("__ended") <= ago(grace_seconds)))
+    text = F.concat(F.lit("Apify run "), F.col("apify_run_id"), F.lit(" ended with status "), F.col("__status"), F.lit(" but no supported webhook completed the job; failed to release the Apify queue."))
+    changes = {"status": F.lit("failed"), "stage": F.lit("failed"), "error_code": F.lit("apify_run_terminal_no_webhook"), "error_message": text, "finished_at": as_of}
+    return _freed(j, over, as_of, changes).drop("__status", "__ended").select(*jobs.columns)
 
 
 def merged_result(old: Column, new: Column) -> Column:

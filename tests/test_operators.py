@@ -177,7 +177,6 @@ def test_queue(spark):
         [(1, "processing", 1, now - timedelta(minutes=100), 0, now, None, 3), (2, "processing", 3, now - timedelta(minutes=100), 0, now, None, 3), (3, "queued", 0, None, 5, now, None, 3), (4, "queued", 0, None, 9, now, now + timedelta(hours=1), 3)],
         "job_id int, status string, attempts int, locked_at timestamp, priority int, created_at timestamp, next_run_at timestamp, progress int",
     )
-    assert bag(queue.stale(jobs, F.lit(now)).select("job_id", "new_status")) == Counter([(1, "queued"), (2, "failed")])
     assert [r.job_id for r in queue.claim(jobs, F.lit(now)).collect()] == [3]
     assert [r[0] for r in spark.range(1).select(queue.retry_delay_seconds(F.lit(50))).collect()] == [600]
     ev = spark.createDataFrame([(1, 1, "enqueue"), (1, 2, "enqueue"), (1, 3, "end"), (1, 4, "enqueue"), (2, 1, "end"), (2, 2, "enqueue")], "k int, o int, kind string")
