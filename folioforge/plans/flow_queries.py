@@ -492,11 +492,3 @@ def strong_lookup_candidates(spark: SparkSession, d: str) -> DataFrame:
     each = F.array(*[F.struct(F.col(f"i{n}").alias("isbn"), F.col(f"j{n}").alias("isbn13"), F.col(f"s{n}").alias("score")) for n in (1, 3, 5)])
     numbers = F.transform(misc.strong_lookups(F.col("c")), lambda c: F.coalesce(F.when(c["isbn"] != "", c["isbn"]), c["isbn13"]))
     return made(spark, d, _LOOKUPS).withColumn("c", each).select("ads_id", "line", F.array_join(numbers, ",").alias("numbers"))
-
-
-@query("SELECT s.event_id, epoch_us(e.ts) AS ended_us FROM events s JOIN events e ON s.user_id = e.user_id AND s.event_type = 'view' AND e.event_type = 'click' AND e.ts >= s.ts AND e.ts <= s.ts + INTERVAL 30 DAY")
-def completed_runs(spark: SparkSession, d: str) -> DataFrame:
-    """QS9: starts with their completion by run id, within thirty days."""
-    ev = read(spark, d, "events").withColumn("run_id", F.col("user_id"))
-    out = queue.stream_runs(ev.filter("event_type = 'view'").select("run_id", "event_id", "ts"), ev.filter("event_type = 'click'").select("run_id", "ts"), "30 days")
-    return out.select("event_id", F.unix_micros("ended_at").alias("ended_us"))

@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from ..functions import isbn, misc, numbers, price, similarity
 from ..functions import text as T
 from ..operators import classify, ledger, merge, relational
-from ..shipping import shared_dir
 from ..sources import pages
 from ..streaming import queue
+from .queue_queries import ROCKS, streamed
 from .registry import ORACLE_SQL, QUERIES, query
 from .tables import best_offers, book_states, line_similarities, offers, priced_books, read, shared_tokens
 
@@ -375,30 +375,18 @@ def active_job_per_key(spark: SparkSession, d: str) -> DataFrame:
     return queue.accepted_jobs(_job_events(read(spark, d, "events")), "user_id", ["event_id"]).select("user_id", "event_id")
 
 
-def _streamed(spark: SparkSession, d: str, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """All events through a stream into a Parquet sink of the shared folder."""
-    import uuid
-
-    out = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    schema = read(spark, d, "events").schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    run = make(rows).writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.read.parquet(f"{out}/rows")
-
-
 @query("SELECT DISTINCT user_id, event_type, CAST(CAST(ts AS DATE) AS VARCHAR) AS day FROM events")
 def stream_idempotent_ingest(spark: SparkSession, d: str) -> DataFrame:
     """QS1 on a stream: the key is user, event type and day, so that a key's state can go two days after it."""
     day = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd")
     keyed = lambda ev: ev.select("ts", "user_id", "event_type", day.alias("day"), F.concat_ws("|", F.col("user_id").cast("string"), "event_type", day).alias("key"))
-    return _streamed(spark, d, lambda ev: queue.stream_once(keyed(ev), "key", "ts", "2 days")).select("user_id", "event_type", "day")
+    return streamed(spark, d, lambda ev: queue.stream_once(keyed(ev), "key", "ts", "2 days")).select("user_id", "event_type", "day")
 
 
 @query(_ACTIVE)
 def stream_active_job(spark: SparkSession, d: str) -> DataFrame:
     """QS3 on a stream."""
-    return _streamed(spark, d, lambda ev: queue.stream_active_jobs(_job_events(ev), "user_id", "event_id", timeout_ms=None))
+    return streamed(spark, d, lambda ev: queue.stream_active_jobs(_job_events(ev), "user_id", "event_id"), **ROCKS)
 
 
 # --- scalars

@@ -126,3 +126,93 @@ def mismatch_alternatives(spark: SparkSession, d: str) -> DataFrame:
     out = pipelines.mismatch_alternatives(books, found)
     back = F.substring("isbn", 4, 9).cast("long")
     return out.select("ads_id", "book_id", "place", back.alias("number"), F.col("isbn_source").alias("source"))
+
+
+# --- streams
+
+#: Roles of event types in a job's life.
+_KINDS = {"view": "claim", "signup": "start", "error": "fail", "click": "done"}
+_KIND = "CASE event_type " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in _KINDS.items()) + " ELSE 'other' END"
+
+
+def streamed(spark: SparkSession, d: str, make, **conf: str) -> DataFrame:
+    """All events through a stream into a Parquet sink of the shared folder."""
+    import uuid
+
+    from ..shipping import shared_dir
+
+    out = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    rows = spark.readStream.schema(read(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        run = make(rows).writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
+        run.awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    return spark.read.parquet(f"{out}/rows")
+
+
+ROCKS = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+
+_LIFE = f"""WITH RECURSIVE e AS (SELECT user_id AS job, epoch_us(ts) AS tm, {_KIND} AS kind, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events WHERE user_id IS NOT NULL),
+-- one step: what the deadline does before the event (twice, for a lock that goes stale and is then dropped), then the event
+fold(job, i, status, attempts, deadline, x1, x1_at, x1_n, x2, x2_at, x2_n, change, tm, n) AS (
+  SELECT DISTINCT job, CAST(0 AS BIGINT), CAST(NULL AS VARCHAR), 0, CAST(0 AS BIGINT), CAST(NULL AS VARCHAR), CAST(0 AS BIGINT), 0, CAST(NULL AS VARCHAR), CAST(0 AS BIGINT), 0, CAST(NULL AS VARCHAR), CAST(0 AS BIGINT), 0 FROM e
+  UNION ALL
+  SELECT job, i, CASE change WHEN 'claimed' THEN 'processing' WHEN 'started' THEN 'running' WHEN 'retried' THEN 'queued' WHEN 'failed' THEN NULL WHEN 'processed' THEN NULL ELSE s2 END,
+    CASE WHEN change IN ('claimed', 'started') THEN a2 + 1 WHEN change IN ('failed', 'processed') THEN 0 ELSE a2 END,
+    CASE change WHEN 'claimed' THEN tm + 5400000000 WHEN 'started' THEN tm + 7200000000 WHEN 'retried' THEN tm + 604800000000 WHEN 'failed' THEN 0 WHEN 'processed' THEN 0 ELSE d2 END,
+    x1, x1_at, x1_n, x2, x2_at, x2_n, change, tm, CASE WHEN change IN ('claimed', 'started') THEN a2 + 1 ELSE a2 END
+  FROM (SELECT *, CASE WHEN kind = 'claim' AND coalesce(s2, 'queued') = 'queued' THEN 'claimed' WHEN kind = 'start' AND coalesce(s2, 'queued') = 'queued' THEN 'started'
+      WHEN kind = 'fail' AND s2 IN ('processing', 'running') THEN CASE WHEN a2 < 3 THEN 'retried' ELSE 'failed' END WHEN kind = 'done' AND s2 IN ('processing', 'running') THEN 'processed' END AS change
+    FROM (SELECT *, CASE WHEN x2 IS NOT NULL THEN NULL ELSE s1 END AS s2, CASE WHEN x2 IS NOT NULL THEN 0 ELSE a1 END AS a2, CASE WHEN x2 IS NOT NULL THEN 0 ELSE d1 END AS d2, d1 AS x2_at, a1 AS x2_n
+      FROM (SELECT *, CASE WHEN x1 = 'stale_requeued' AND d1 <= tm THEN 'dropped' END AS x2
+        FROM (SELECT *, CASE WHEN x1 = 'stale_requeued' THEN 'queued' WHEN x1 IS NOT NULL THEN NULL ELSE status END AS s1, CASE WHEN x1 = 'stale_requeued' OR x1 IS NULL THEN attempts ELSE 0 END AS a1,
+            CASE WHEN x1 = 'stale_requeued' THEN deadline + 604800000000 WHEN x1 IS NOT NULL THEN 0 ELSE deadline END AS d1, deadline AS x1_at, attempts AS x1_n
+          FROM (SELECT e.job, e.i, e.tm, e.kind, fold.status, fold.attempts, fold.deadline,
+              CASE WHEN fold.status IS NULL OR fold.deadline > e.tm THEN NULL WHEN fold.status = 'running' THEN 'no_callback' WHEN fold.status = 'queued' THEN 'dropped' WHEN fold.attempts < 3 THEN 'stale_requeued' ELSE 'stale_failed' END AS x1
+            FROM fold JOIN e ON e.job = fold.job AND e.i = fold.i + 1)))))
+), last AS (SELECT * FROM fold QUALIFY row_number() OVER (PARTITION BY job ORDER BY i DESC) = 1), mark AS (SELECT max(tm) - 600000000 AS mark FROM e),
+-- after the last event the watermark decides
+t1 AS (SELECT job, deadline AS tm, CASE WHEN status = 'running' THEN 'no_callback' WHEN status = 'queued' THEN 'dropped' WHEN attempts < 3 THEN 'stale_requeued' ELSE 'stale_failed' END AS change, attempts AS n FROM last, mark WHERE status IS NOT NULL AND deadline <= mark),
+t2 AS (SELECT job, tm + 604800000000 AS tm, 'dropped' AS change, n FROM t1, mark WHERE change = 'stale_requeued' AND tm + 604800000000 <= mark),
+every AS (SELECT job, tm, change, n FROM fold WHERE change IS NOT NULL UNION ALL SELECT job, x1_at, x1, x1_n FROM fold WHERE x1 IS NOT NULL UNION ALL SELECT job, x2_at, x2, x2_n FROM fold WHERE x2 IS NOT NULL UNION ALL SELECT * FROM t1 UNION ALL SELECT * FROM t2)
+SELECT job, tm AS at_us, change, n AS attempts, CASE change WHEN 'retried' THEN tm + 1000000 * least(600, 30 * greatest(1, n)) WHEN 'stale_requeued' THEN tm END AS next_run_us FROM every"""
+
+
+@query(_LIFE)
+def stream_job_lifecycle(spark: SparkSession, d: str) -> DataFrame:
+    """QS6, QS7, QS8 on a stream: retries, stale locks and missing callbacks by event-time timers."""
+    from ..streaming import lifecycle
+
+    kind = F.lit("other")
+    for name, role in _KINDS.items():
+        kind = F.when(F.col("event_type") == name, role).otherwise(kind)
+    return streamed(spark, d, lambda ev: lifecycle.transitions(ev.select(F.col("user_id").alias("job"), "event_id", kind.alias("kind"), "ts")), **ROCKS)
+
+
+_STARTS = "s AS (SELECT event_id, event_id // 6 AS run_id, ts FROM events WHERE event_type IN ('view', 'signup')), f AS (SELECT event_id // 6 AS run_id, ts FROM events WHERE event_type = 'click')"
+
+
+@query(f"""WITH {_STARTS}, mark AS (SELECT least((SELECT max(ts) FROM s), (SELECT max(ts) FROM f)) - INTERVAL 10 MINUTE AS mark)
+SELECT s.event_id, s.run_id, epoch_us(f.ts) AS ended_us FROM s LEFT JOIN f ON s.run_id = f.run_id AND f.ts >= s.ts AND f.ts <= s.ts + INTERVAL 15 MINUTE, mark WHERE f.ts IS NOT NULL OR s.ts + INTERVAL 15 MINUTE < mark""")
+def stream_run_ends(spark: SparkSession, d: str) -> DataFrame:
+    """QS9 on a stream: both sides with watermarks; starts with their ends, and those for which none can come any more."""
+
+    def make(ev: DataFrame) -> DataFrame:
+        ev = ev.withColumn("run_id", F.floor(F.col("event_id") / 6).cast("long"))
+        starts, ends = ev.filter("event_type in ('view', 'signup')").select("run_id", "event_id", "ts"), ev.filter("event_type = 'click'").select("run_id", "ts")
+        return queue.stream_runs(starts, ends, "15 minutes").select("event_id", "run_id", F.unix_micros("ended_at").alias("ended_us"))
+
+    return streamed(spark, d, make)
+
+
+@query(f"WITH {_STARTS} SELECT s.event_id, min(epoch_us(f.ts)) AS ended_us FROM s LEFT JOIN f ON s.run_id = f.run_id AND f.ts >= s.ts AND f.ts <= s.ts + INTERVAL 15 MINUTE GROUP BY 1")
+def completed_runs(spark: SparkSession, d: str) -> DataFrame:
+    """QS9 in batch: every start with its first end."""
+    ev = read(spark, d, "events").withColumn("run_id", F.floor(F.col("event_id") / 6).cast("long"))
+    runs = queue.stream_runs(ev.filter("event_type in ('view', 'signup')").select("run_id", "event_id", "ts"), ev.filter("event_type = 'click'").select("run_id", "ts"), "15 minutes")
+    return queue.first_ends(runs).select("event_id", F.unix_micros("ended_at").alias("ended_us"))

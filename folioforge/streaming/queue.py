@@ -8,10 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.relational import first_wins, unless_any
 from ..shipping import ship
@@ -174,37 +173,52 @@ def stream_once(events: DataFrame, key: str, ts: str, late: str = "1 hour") -> D
     return events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
 
 
-def stream_runs(starts: DataFrame, ends: DataFrame, within: str = "2 hours") -> DataFrame:
-    """QS9: starts with their end by run id, the end ``within`` that time; both have run_id and ts."""
-    s = starts.withColumn("started_at", F.col("ts").cast("timestamp")).drop("ts").withWatermark("started_at", within).alias("s")
-    e = ends.withColumn("ended_at", F.col("ts").cast("timestamp")).select(F.col("run_id").alias("end_run_id"), "ended_at").withWatermark("ended_at", within).alias("e")
+def stream_runs(starts: DataFrame, ends: DataFrame, within: str = "2 hours", late: str = "10 minutes") -> DataFrame:
+    """QS9: every start with its end by run id, or without one: (columns of ``starts``, started_at, ended_at).
+
+    Both have run_id and ts. An end counts from its start until ``within`` after it. On a stream a start without end
+    comes out once the watermark, ``late`` behind the newest of the slower side, has passed the time that an end
+    would have had; state is kept that long. Several ends of a run give a row each: the first is the run's, see
+    :func:`first_ends`. Null run ids and times have no end, and on a stream null times are dropped.
+    """
+    s = starts.withColumn("started_at", F.col("ts").cast("timestamp")).drop("ts").withWatermark("started_at", late).alias("s")
+    e = ends.select(F.col("run_id").alias("end_run_id"), F.col("ts").cast("timestamp").alias("ended_at")).withWatermark("ended_at", late).alias("e")
     on = (F.col("run_id") == F.col("end_run_id")) & (F.col("ended_at") >= F.col("started_at")) & (F.col("ended_at") <= F.expr(f"started_at + interval {within}"))
-    return s.join(e, on)
+    return s.join(e, on, "leftOuter").drop("end_run_id")
 
 
-def stream_active_jobs(events: DataFrame, key: str, order: str, start: str = "enqueue", timeout_ms: int | None = 7_200_000) -> DataFrame:
-    """QS3 on a stream: accepted starts (key, order); the state of a key is whether its job is active, and ends by
-    timeout (None: never; a bounded run needs that to come to its end). ``key`` and ``order`` are long columns, ``kind`` names the event; inside a micro-batch events go
-    in order."""
-    ship(events.sparkSession)
+def first_ends(runs: DataFrame, keys: Sequence[str] = ("run_id", "started_at")) -> DataFrame:
+    """QS9 in batch: the first end of each start of :func:`stream_runs`; a partial aggregate, no pairs."""
+    rest = [c for c in runs.columns if c not in (*keys, "ended_at")]
+    return runs.groupBy(*keys, *rest).agg(F.min("ended_at").alias("ended_at"))
+
+
+class ActiveJobs(StatefulProcessor):
+    """One flag a key, there while its job is active: state follows the active jobs."""
+
+    def __init__(self, key: str, order: str, start: str) -> None:
+        self.key, self.order, self.start = key, order, start
 
-    def fold(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        active = bool(state.get[0]) if state.exists else False
-        rows = pd.concat(list(frames)).sort_values(order)
-        taken = []
-        for o, kind in zip(rows[order], rows["kind"]):
-            if kind == start:
-                if not active:
-                    taken.append(o)
-                active = True
-            else:
-                active = False
-        state.update((active,))
-        if timeout_ms is not None:
-            state.setTimeoutDuration(timeout_ms)
-        yield pd.DataFrame({key: [k[0]] * len(taken), order: taken})
-
-    return events.select(key, order, "kind").groupBy(key).applyInPandasWithState(fold, f"{key} long, {order} long", "active boolean", "append", GroupStateTimeout.NoTimeout if timeout_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("active", "active boolean")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        active = self.state.exists()
+        for r in sorted(rows, key=lambda r: r[self.order]):
+            if r["kind"] == self.start and not active:
+                yield Row(**{self.key: key[0], self.order: r[self.order]})
+            active = r["kind"] == self.start
+        if active:
+            self.state.update((True,))
+        else:
+            self.state.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def stream_active_jobs(events: DataFrame, key: str, order: str, start: str = "enqueue") -> DataFrame:
+    """QS3 on a stream: accepted starts (key, order). ``key`` and ``order`` are long columns, ``kind`` names the event; inside
+    a micro-batch a key's events go in order. Needs the RocksDB state store."""
+    ship(events.sparkSession)
+    return events.select(key, order, "kind").groupBy(key).transformWithState(ActiveJobs(key, order, start), f"{key} long, {order} long", "Append", "None")
