@@ -48,10 +48,11 @@ def no_downgrade(final: Sequence[str], pending: Sequence[str]) -> Policy:
     return lambda old, new: F.when(old.isin(*final) & (new.isin(*pending) | new.isNull()), old).otherwise(F.coalesce(new, old))
 
 
-def merge(target: DataFrame, source: DataFrame, keys: Sequence[str], policy: dict[str, Policy], default: Policy = keep_if_null, insert: bool = True) -> DataFrame:
+def merge(target: DataFrame, source: DataFrame, keys: Sequence[str], policy: dict[str, Policy], default: Policy = keep_if_null, insert: bool = True, null_keys: bool = True) -> DataFrame:
     """All target rows with what the source says of them, and the source's new rows if ``insert``.
 
-    Keys are compared null-safe. Rows that the source does not have stay as they are, whatever the policy.
+    Keys are compared null-safe, or with ``null_keys`` false plainly: then a null key meets nothing, and a target that is
+    bucketed by the keys (:func:`bucketed`) is read where it lies and not shuffled. Rows that the source does not have stay as they are, whatever the policy.
     The source has one row a key.
     """
     t = target.withColumn("__in_target", F.lit(True))
@@ -59,7 +60,7 @@ def merge(target: DataFrame, source: DataFrame, keys: Sequence[str], policy: dic
     s = source.select(*[F.col(c).alias(f"__s_{c}") for c in source.columns], F.lit(True).alias("__in_source"))
     same = F.lit(True)
     for k in keys:
-        same = same & t[k].eqNullSafe(s[f"__s_{k}"])
+        same = same & (t[k].eqNullSafe(s[f"__s_{k}"]) if null_keys else t[k] == s[f"__s_{k}"])
     joined = t.join(s, same, "full_outer" if insert else "left")
     out = [F.when(F.col("__in_target"), F.col(k)).otherwise(F.col(f"__s_{k}")).alias(k) for k in keys]
     for c in names:
@@ -72,6 +73,14 @@ def merge(target: DataFrame, source: DataFrame, keys: Sequence[str], policy: dic
     return joined.select(*out)
 
 
+def bucketed(df: DataFrame, name: str, keys: Sequence[str], buckets: int, path: str) -> DataFrame:
+    """``df`` as table ``name`` under ``path``, dealt by the keys and sorted in each bucket: merges and joins on all the
+    keys then move the other side alone."""
+    dealt = df.repartition(buckets, *keys)  # one file a bucket
+    dealt.write.format("parquet").bucketBy(buckets, *keys).sortBy(*keys).option("path", path).mode("overwrite").saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def insert_if_absent(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFrame:
     """SNK11, QS1: source rows whose key the target lacks are added; others change nothing."""
     fresh = source.join(target.select(*keys), list(keys), "left_anti")

@@ -216,3 +216,59 @@ def completed_runs(spark: SparkSession, d: str) -> DataFrame:
     ev = read(spark, d, "events").withColumn("run_id", F.floor(F.col("event_id") / 6).cast("long"))
     runs = queue.stream_runs(ev.filter("event_type in ('view', 'signup')").select("run_id", "event_id", "ts"), ev.filter("event_type = 'click'").select("run_id", "ts"), "15 minutes")
     return queue.first_ends(runs).select("event_id", F.unix_micros("ended_at").alias("ended_us"))
+
+
+# --- sinks
+
+
+def _in_files(spark: SparkSession, d: str, out: str, n: int) -> DataFrame:
+    """The events as a stream of ``n`` files, a file a micro-batch."""
+    ev = read(spark, d, "events")
+    ev.repartition(n, F.col("event_id") % n).write.parquet(f"{out}/in")
+    return spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/in")
+
+
+@query("""WITH c AS (SELECT user_id, CAST(sum(CAST(value AS DECIMAL(18,6))) FILTER (event_type = 'purchase') AS DOUBLE) AS usd, count(*) FILTER (event_type = 'purchase') AS costs FROM events GROUP BY 1),
+n AS (SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1)
+SELECT user_id, n.event_id AS last_event, n.event_type AS last_type, usd, costs FROM n JOIN c USING (user_id)""")
+def stream_committed_totals(spark: SparkSession, d: str) -> DataFrame:
+    """SNK1, SNK13: micro-batches merged into listings, and costs with their totals, in one commit a batch."""
+    import uuid
+
+    from ..shipping import shared_dir
+    from ..streaming import sinks
+
+    out = f"{shared_dir(spark)}/sink-{uuid.uuid4().hex}"
+    store = sinks.Store(spark, f"{out}/store", 8)
+    rows = lambda b: b.groupBy("user_id").agg(F.max(F.struct("event_id", "event_type")).alias("l")).select("user_id", "l.*")
+    paid = lambda b: b.filter("event_type = 'purchase'").select(F.col("user_id").alias("ads_id"), "event_id", F.col("value").alias("amount_usd"))
+    newest, costs = sinks.newest(["user_id"], "event_id"), sinks.costs()
+    totals = costs["cost_totals"]
+    tables = {
+        "users": sinks.Merged(newest.keys, newest.change, rows), "cost_events": sinks.Appended(paid),
+        "cost_totals": sinks.Merged(totals.keys, totals.change, lambda b: totals.rows(paid(b))),
+    }
+    empty = lambda schema: spark.createDataFrame([], schema)
+    store.create({"users": (empty("user_id long, event_id long, event_type string"), tables["users"]), "cost_events": (empty("ads_id long, event_id long, amount_usd double"), tables["cost_events"]), "cost_totals": (empty("ads_id long, usd decimal(28,6), events long"), tables["cost_totals"])})
+    stream = _in_files(spark, d, out, 3)
+    stream.writeStream.foreachBatch(store.sink(tables)).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    sums = store.read("cost_events").groupBy("ads_id").agg(F.count("*").alias("costs"))  # as many events as the totals say
+    both = store.read("cost_totals").join(sums, "ads_id").filter("events = costs").select(F.col("ads_id").alias("user_id"), F.col("usd").cast("double").alias("usd"), "costs")
+    out = store.read("users").join(both, "user_id", "left")
+    return out.select("user_id", F.col("event_id").alias("last_event"), F.col("event_type").alias("last_type"), "usd", F.coalesce("costs", F.lit(0)).alias("costs"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'new' ELSE o_orderstatus END AS status, CASE WHEN o_orderkey % 6 = 0 THEN 0 ELSE o_totalprice END AS total FROM orders UNION ALL SELECT -o_orderkey, 'new', CASE WHEN o_orderkey % 2 = 0 THEN 0 END FROM orders WHERE o_orderkey % 3 = 0")
+def bucketed_merge(spark: SparkSession, d: str) -> DataFrame:
+    """SNK2: a merge into a target that is bucketed by its key and stays where it is."""
+    import uuid
+
+    from ..operators import merge
+    from ..shipping import shared_dir
+
+    o = read(spark, d, "orders")
+    name = f"orders_{uuid.uuid4().hex}"
+    target = merge.bucketed(o.select("o_orderkey", F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("total")), name, ["o_orderkey"], int(spark.conf.get("spark.sql.shuffle.partitions")), f"{shared_dir(spark)}/{name}")
+    some = o.filter("o_orderkey % 3 = 0").withColumn("k", F.explode(F.array("o_orderkey", -F.col("o_orderkey"))))
+    source = some.select(F.col("k").alias("o_orderkey"), F.lit("new").alias("status"), F.when(F.col("o_orderkey") % 2 == 0, 0.0).alias("total"))
+    return merge.merge(target, source, ["o_orderkey"], {}, null_keys=False)
