@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 
 from ..functions import isbn, misc, numbers, price, similarity
 from ..functions import text as T
-from ..operators import classify, ledger, merge, relational
+from ..operators import classify, ledger, merge, relational, set_join
 from ..sources import pages
 from ..streaming import queue
 from .queue_queries import ROCKS, streamed
 from .registry import ORACLE_SQL, QUERIES, query
-from .tables import best_offers, book_states, line_similarities, offers, priced_books, read, shared_tokens
+from .tables import best_offers, book_states, line_measure, line_sides, offers, priced_books, read, token_sides
 
 # --- SQL fragments
 
@@ -460,17 +460,15 @@ _STOPPED = f"list_distinct(list_filter(string_split({ASCII_SQL('text')}, ' '), l
 @query(f"WITH {_shared_sql(_TOKENS)}, s AS (SELECT doc_id, round(CAST(shared AS DOUBLE) / (n + m - shared), 3) AS similarity FROM c) SELECT d.doc_id, coalesce(max(similarity), 0) AS similarity FROM documents d LEFT JOIN s ON s.doc_id = d.doc_id GROUP BY 1")
 def title_jaccard(spark: SparkSession, d: str) -> DataFrame:
     """SIM4: the best similarity of each whole document to any benchmark item."""
-    met = shared_tokens(spark, d, lambda c: T.token_set(T.normalize_ascii(c), 2))
-    score = F.round(F.col("shared").cast("double") / (F.col("n") + F.col("m") - F.col("shared")), 3)
-    best = met.groupBy("doc_id").agg(F.max(score).alias("similarity"))
+    best = set_join.best_of_left(*token_sides(spark, d, lambda c: T.token_set(T.normalize_ascii(c), 2)))
+    best = best.select(F.col("l").alias("doc_id"), F.round("score", 3).alias("similarity"))
     return read(spark, d, "documents").select("doc_id").join(best, "doc_id", "left").select("doc_id", F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
 
 
 @query(f"WITH {_shared_sql(_STOPPED)}, s AS (SELECT doc_id, count(*) AS items FROM c WHERE shared * 2 >= least(n, m) GROUP BY 1) SELECT d.doc_id, coalesce(items, 0) AS compatible_items FROM documents d LEFT JOIN s ON s.doc_id = d.doc_id")
 def titles_compatible(spark: SparkSession, d: str) -> DataFrame:
     """SIM5: with how many benchmark items each whole document is compatible."""
-    met = shared_tokens(spark, d, T.title_tokens).filter(F.col("shared") * 2 >= F.least("n", "m"))
-    items = met.groupBy("doc_id").agg(F.count("*").alias("items"))
+    items = set_join.overlapping(*token_sides(spark, d, T.title_tokens)).groupBy(F.col("l").alias("doc_id")).agg(F.count("*").alias("items"))
     return read(spark, d, "documents").select("doc_id").join(items, "doc_id", "left").select("doc_id", F.coalesce("items", F.lit(0)).alias("compatible_items"))
 
 
@@ -485,7 +483,8 @@ b AS (SELECT doc_id, item_id, max(sim) AS similarity FROM l JOIN s USING (t) GRO
 @query(f"WITH {_LINE_SQL} SELECT doc_id, max(similarity) AS similarity FROM b GROUP BY 1")
 def token_similarity(spark: SparkSession, d: str) -> DataFrame:
     """SIM1 (prefix and containment rules): each document's best similarity of any of its lines to any benchmark item."""
-    best = line_similarities(spark, d).groupBy("doc_id").agg(F.max("similarity").alias("similarity"))
+    left, right, members, started = line_sides(spark, d)
+    best = set_join.best_by_group(left, right, members, line_measure, started).select(F.col("g").alias("doc_id"), F.col("score").alias("similarity"))
     ids = read(spark, d, "documents").select(F.col("doc_id").alias("id")).distinct()
     return ids.join(best, F.col("id").eqNullSafe(F.col("doc_id")), "left").select(F.col("id").alias("doc_id"), F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
 
@@ -493,7 +492,10 @@ def token_similarity(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_LINE_SQL}, o AS (SELECT item_id, doc_id, floor(least(1.0, similarity * 0.8 + CASE WHEN similarity >= 0.9 THEN 0.1 ELSE 0 END) * 100 + 0.5) / 100 AS score FROM b WHERE similarity > 0) SELECT item_id, doc_id, score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM o QUALIFY rank <= 10")
 def candidate_score_top10(spark: SparkSession, d: str) -> DataFrame:
     """SIM3, AG9, WN4, JN5: for each benchmark item, the best of all documents of which a line has a similarity above 0 to it."""
-    rows = line_similarities(spark, d).withColumn("score", similarity.candidate_score([F.col("similarity")], F.lit(None).cast("double"), F.lit(False)))
+    left, right, members, started = line_sides(spark, d)
+    score = lambda c: similarity.candidate_score([c], F.lit(None).cast("double"), F.lit(False))
+    top = set_join.top_by_right(left, right, members, line_measure, 10, started, score)
+    rows = top.select(F.col("r").alias("item_id"), F.col("g").alias("doc_id"), score(F.col("score")).alias("score"))
     return relational.top_per_key(rows, ["item_id"], [F.desc("score"), "doc_id"], 10, "rank").select("item_id", "doc_id", "score", "rank")
 
 

@@ -59,33 +59,29 @@ def book_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def shared_tokens(spark: SparkSession, sf_dir: str, tokens: Callable[[Column], Column]) -> DataFrame:
-    """(doc_id, item_id, n, m, shared): each document and benchmark item with a token in common, the sizes of their
-    token sets and how many they share. Whole texts; counted on the map side before the shuffle."""
-    each = lambda name, key, size: read(spark, sf_dir, name).select(key, tokens(F.col("text")).alias("w")).select(key, F.size("w").alias(size), F.explode("w").alias("token"))
-    return each("documents", "doc_id", "n").join(each("benchmark", "item_id", "m"), "token").groupBy("doc_id", "item_id", "n", "m").agg(F.count("*").alias("shared"))
+def token_sides(spark: SparkSession, sf_dir: str, tokens: Callable[[Column], Column]) -> tuple[DataFrame, DataFrame]:
+    """(l, tokens) of the documents and (r, tokens) of the benchmark items: whole texts; ids are distinct and not null."""
+    each = lambda name, key, to: read(spark, sf_dir, name).filter(F.col(key).isNotNull()).select(F.col(key).alias(to), tokens(F.col("text")).alias("tokens"))
+    return each("documents", "doc_id", "l"), each("benchmark", "item_id", "r")
 
 
-def line_similarities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, item_id, similarity): each document against every benchmark item that has a similarity above 0 to one of
-    its lines; the similarity is that of its best line.
+def line_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Lines of documents and benchmark items as token sets, for :mod:`folioforge.operators.set_join`.
 
-    Lines and items meet on each token they share, however frequent, or on the first 12 characters of their main
-    titles; no other pair has a similarity above 0.
+    (l, tokens) of the distinct lines, (r, tokens) of the items, (g, l) of the documents that have a line, and (l, r, score) of
+    the pairs of which one's main title is the other's start; these meet on its first 12 characters.
     """
-    lines = read(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n", -1)).alias("title")).distinct()
-    lines = lines.withColumn("code", F.xxhash64("title"))
-
-    def sides(df: DataFrame, key: str, size: str, main: str) -> tuple[DataFrame, DataFrame]:
-        """A row for each token, and a row for the main title if it is long enough."""
-        each = df.select(key, T.similarity_tokens(F.col("title")).alias("tokens"), T.normalize_unicode(T.main_title(F.col("title"))).alias(main)).withColumn(size, F.size("tokens"))
-        return each.select(key, size, F.explode("tokens").alias("token")), each.filter((F.length(main) >= 12) & (F.col(size) > 0)).select(key, size, main, F.substring(main, 1, 12).alias("start"))
-
-    items = read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("title"))
-    tokens, mains = sides(lines.select("code", "title").dropDuplicates(["code"]), "code", "n", "x")
-    item_tokens, item_mains = sides(items, "item_id", "m", "y")
-    shared = tokens.join(item_tokens, "token").select("code", "item_id", "n", "m", F.lit(1).alias("shared"), F.lit(False).alias("match"))
-    started = mains.join(item_mains, "start").filter(similarity.prefix_match(F.col("x"), F.col("y"))).select("code", "item_id", "n", "m", F.lit(0).alias("shared"), F.lit(True).alias("match"))
-    met = shared.union(started).groupBy("code", "item_id", "n", "m").agg(F.sum("shared").alias("shared"), F.max("match").alias("match"))
-    scored = met.select("code", "item_id", similarity.counted_similarity(F.col("shared"), F.col("n"), F.col("m"), F.col("match")).alias("similarity"))
-    return lines.select("doc_id", "code").join(scored, "code").groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"))
+    lines = read(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n", -1)).alias("title")).distinct().withColumn("l", F.xxhash64("title"))
+    items = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("r"), F.col("text").alias("title"))
+    sided = lambda df, key: df.select(key, T.similarity_tokens(F.col("title")).alias("tokens"), T.normalize_unicode(T.main_title(F.col("title"))).alias("main"))
+    left, right = sided(lines.select("l", "title").dropDuplicates(["l"]), "l"), sided(items, "r")
+    long = lambda df, key, size, main: df.filter((F.length("main") >= 12) & (F.size("tokens") > 0)).select(key, F.size("tokens").alias(size), F.col("tokens").alias(f"{size}_tokens"), F.col("main").alias(main), F.substring("main", 1, 12).alias("start"))
+    started = long(left, "l", "n", "x").join(long(right, "r", "m", "y"), "start").filter(similarity.prefix_match(F.col("x"), F.col("y")))
+    shared = F.size(F.array_intersect("n_tokens", "m_tokens"))
+    scored = started.select("l", "r", similarity.counted_similarity(shared, F.col("n"), F.col("m"), F.lit(True)).alias("score"))
+    return left.select("l", "tokens"), right.select("r", "tokens"), lines.select(F.col("doc_id").alias("g"), "l"), scored
+
+
+def line_measure(shared: Column, n: Column, m: Column) -> Column:
+    """SIM1 of two lines by the tokens they share; pairs that start alike are scored beside it."""
+    return similarity.counted_similarity(shared, n, m, F.lit(False))
