@@ -109,7 +109,7 @@ def best_by_group(left: DataFrame, right: DataFrame, members: DataFrame, measure
 
 def top_by_right(left: DataFrame, right: DataFrame, members: DataFrame, measure: Measure, k: int, extra: DataFrame | None = None, rank_by: Callable[[Column], Column] = lambda score: score) -> DataFrame:
     """(r, g, score): pairs of a right set and a group, scored by the group's best set, with all pairs of a score above 0
-    whose ``rank_by`` (which does not fall as the score grows) reaches the k-th best of the right set, and maybe more."""
+    whose ``rank_by`` (which does not fall as the score grows) reaches the k-th best of the right set; of others maybe some, by a set that need not be their best."""
     sets, seeds = _seeded(left, right, measure, extra)
     by_group = lambda pairs: pairs.join(members, "l").groupBy("r", "g").agg(F.max("score").alias("score")).filter("score > 0")
     kth = F.row_number().over(Window.partitionBy("r").orderBy(F.desc("score"), "g"))
