@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import json
 import re
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import first_filled, text
+from .text import first_filled, let, text
 
 
 def absolute_url(url: Column, base: str) -> Column:
@@ -46,40 +43,44 @@ def idempotency_key(run_id: Column, body: Column) -> Column:
 
 
 #: Names of fields whose values are never kept, and the caps of kept metadata.
-SENSITIVE = re.compile(r"(token|secret|cookie|authorization|auth|password|passwd|api[-_]?key|bearer|credential|webhookurl)", re.I)
+SENSITIVE = "(?i)(token|secret|cookie|authorization|auth|password|passwd|api[-_]?key|bearer|credential|webhookurl)"
 MOST_CHARS, MOST_ITEMS, MOST_DEPTH, MOST_JSON = 500, 25, 4, 6000
 
 
-def _redacted(value, depth: int = 0):
-    if isinstance(value, str):
-        return value if len(value) <= MOST_CHARS else value[:MOST_CHARS] + "…[truncated]"
-    if value is None or isinstance(value, (bool, int, float)):
-        return value
-    if depth >= MOST_DEPTH:
-        return "[depth-capped]"
-    if isinstance(value, list):
-        return [_redacted(v, depth + 1) for v in value[:MOST_ITEMS]]
-    return {k: "[redacted]" if SENSITIVE.search(k) else _redacted(v, depth + 1) for k, v in value.items()}
+def _quoted(c: Column) -> Column:
+    """A text as JSON."""
+    whole = F.to_json(F.struct(c.alias("x")))
+    return F.substring(whole, F.lit(6), F.length(whole) - 6)
 
 
-def redact(raw: str | None) -> str:
-    try:
-        kept = _redacted(json.loads(raw or "{}"))
-    except ValueError:
-        kept = {}
-    out = json.dumps(kept if isinstance(kept, dict) else {}, separators=(",", ":"), ensure_ascii=False)
-    return out if len(out) <= MOST_JSON else '{"truncated":true,"note":"metadata exceeded size cap"}'
+def _safe(v: Column, depth: int) -> Column:
+    """JSON of a variant without secrets, its containers at most :data:`MOST_DEPTH` deep."""
+    kind = F.schema_of_variant(v)
+    said = F.try_variant_get(v, "$", "string")
+    short = F.when(F.length(said) > MOST_CHARS, _quoted(F.concat(F.substring(said, 1, MOST_CHARS), F.lit("…[truncated]")))).otherwise(F.to_json(v))
+    if depth >= MOST_DEPTH:
+        return F.when(F.startswith(kind, F.lit("OBJECT")) | F.startswith(kind, F.lit("ARRAY")), '"[depth-capped]"').when(kind == "STRING", short).otherwise(F.to_json(v))
+    fields, items = F.map_entries(F.try_variant_get(v, "$", "map<string,variant>")), F.slice(F.try_variant_get(v, "$", "array<variant>"), 1, MOST_ITEMS)
+    field = lambda e: F.concat(_quoted(e["key"]), F.lit(":"), F.when(e["key"].rlike(SENSITIVE), F.lit('"[redacted]"')).otherwise(_safe(e["value"], depth + 1)))
+    inside = lambda lo, parts, hi: F.concat(F.lit(lo), F.array_join(parts, ","), F.lit(hi))
+    return (
+        F.when(F.startswith(kind, F.lit("OBJECT")), inside("{", F.transform(fields, field), "}"))
+        .when(F.startswith(kind, F.lit("ARRAY")), inside("[", F.transform(items, lambda x: _safe(x, depth + 1)), "]"))
+        .when(kind == "STRING", short)
+        .otherwise(F.to_json(v))
+    )
 
 
 def safe_metadata(c: Column) -> Column:
-    """JS1: JSON metadata with secrets redacted and sizes capped; the structure is recursive, hence a pandas UDF."""
-
-    @F.pandas_udf("string")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            yield s.map(redact)
-
-    return run(c)
+    """JS1: JSON metadata with secrets redacted, long texts and lists cut and deep values left out; fields in order of name.
+
+    What is no object or list, or no JSON (a field twice included), is ``{}``; what is still too long says so. Lengths are in
+    characters. Variants all the way, so no Python runs.
+    """
+    held = F.try_parse_json(c)
+    kind = F.schema_of_variant(held)
+    whole = F.when(F.startswith(kind, F.lit("OBJECT")) | F.startswith(kind, F.lit("ARRAY")), _safe(held, 0)).otherwise("{}")
+    return let(whole, lambda j: F.when(F.length(j) > MOST_JSON, '{"note":"metadata exceeded size cap","truncated":true}').otherwise(j))
 
 
 def best_title(corrected: Column, title: Column, raw: Column) -> Column:

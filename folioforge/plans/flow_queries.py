@@ -451,14 +451,6 @@ def assigned_resolution(spark: SparkSession, d: str) -> DataFrame:
     return merge.assign_resolution(books, found, ["book_id"], ["isbn"]).select(F.col("book_id").alias("part"), "isbn", "lookup_title", "lookup_score")
 
 
-@query("SELECT event_id, replace(props, ' ', '') AS metadata, CAST(greatest(0, least(100, event_id % 150 - 20)) AS BIGINT) AS progress, CASE WHEN event_type = 'error' THEN 'error' ELSE 'info' END AS severity, CASE WHEN c_custkey % 3 = 0 THEN c_nationkey END AS parent FROM events LEFT JOIN customer ON c_custkey = user_id")
-def job_event_log(spark: SparkSession, d: str) -> DataFrame:
-    """SNK12: events to append, with their job's parent, metadata made safe and progress within bounds."""
-    ev = read(spark, d, "events").select("event_id", F.col("user_id").alias("job_id"), F.col("props").alias("metadata"), (F.col("event_id") % 150 - 20).cast("long").alias("progress"), F.when(F.col("event_type") == "error", "error").alias("severity"), F.lit(0).alias("parent_job_id"))
-    jobs = read(spark, d, "customer").select(F.col("c_custkey").alias("job_id"), F.when(F.col("c_custkey") % 3 == 0, F.col("c_nationkey")).alias("parent_job_id"))
-    return pipelines.job_events(ev, jobs).select("event_id", "metadata", "progress", "severity", F.col("parent_job_id").alias("parent"))
-
-
 @query(f"""WITH {_O}, f AS (SELECT ads_id, part, min(CAST(line AS BIGINT) * 1000000000 + part) AS ord FROM o GROUP BY 1, 2), c AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY ads_id ORDER BY ord) <= 3), g AS (SELECT ads_id, count(*) FILTER (part % 2 = 0) AS n, max(part) FILTER (part % 2 = 0) AS p FROM c GROUP BY 1)
 SELECT ads_id AS book_id, CASE n WHEN 0 THEN 'no_match' WHEN 1 THEN 'selected_exact_isbn' ELSE 'selected_cover_ambiguous_isbn' END AS decision, CASE WHEN n = 1 THEN p END AS isbn13, CAST(n AS INT) AS cluster_size FROM g""")
 def compared_covers(spark: SparkSession, d: str) -> DataFrame:

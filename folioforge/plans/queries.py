@@ -579,15 +579,6 @@ def idempotency_key(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "part").select(F.col("p_partkey").alias("part"), misc.idempotency_key(run, F.when(F.col("p_partkey") % 2 == 0, one).otherwise(other)).alias("key"))
 
 
-@query("SELECT event_id, replace(props, ' ', '') AS metadata FROM events")
-def redact_metadata(spark: SparkSession, d: str) -> DataFrame:
-    """JS1."""
-    from ..shipping import ship
-
-    ship(spark)
-    return read(spark, d, "events").select("event_id", misc.safe_metadata(F.col("props")).alias("metadata"))
-
-
 @query(f"WITH {PRICED_SQL} SELECT ads_id, part, CAST(CASE WHEN a IS NULL AND b IS NULL THEN -1 WHEN coalesce(a, 0) > 0 OR coalesce(b, 0) > 0 THEN 100 + least(20, CAST(floor(abs(CAST(coalesce(a, 0) AS DOUBLE) - CAST(coalesce(b, 0) AS DOUBLE)) + 0.5) AS INT)) ELSE -1 END AS INT) AS priority FROM priced")
 def verify_priority(spark: SparkSession, d: str) -> DataFrame:
     """CLS32, TK9."""
@@ -618,6 +609,6 @@ def predicate_forms(spark: SparkSession, d: str) -> DataFrame:
     return ev.select("event_id", "event_type", "value", seen.alias("seen"))
 
 
-from . import flow_queries, ladder_queries, queue_queries, source_queries, text_queries, vector_queries  # noqa: E402, F401  they register their queries
+from . import flow_queries, ladder_queries, metadata_queries, queue_queries, source_queries, text_queries, vector_queries  # noqa: E402, F401  they register their queries
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

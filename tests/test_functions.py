@@ -116,6 +116,6 @@ def test_misc(spark):
     assert values(spark, [("/x",), ("//h/x",), ("http://a",), ("y",), ("",)], misc.absolute_url(A, "https://b")) == ["https://b/x", "https://h/x", "http://a", "https://b/y", None]
     assert values(spark, [("a?b>",)], misc.url_safe_base64(A)) == ["YT9iPg"]
     assert values(spark, [("Paris, 1998.",), ("x1998",), (None,)], misc.year_in(A)) == [1998, None, None]
-    assert misc.redact('{"apiKey":"x","a":{"token":1,"b":[1,2]}}') == '{"apiKey":"[redacted]","a":{"token":"[redacted]","b":[1,2]}}'
-    assert misc.redact("broken") == "{}" and misc.redact(None) == "{}"
+    safe = values(spark, [('{"apiKey":"x","a":{"token":1,"b":[1,2]}}',), ("broken",), (None,), ("[1,{\"auth\":2}]",), ("null",)], misc.safe_metadata(A))
+    assert safe == ['{"a":{"b":[1,2],"token":"[redacted]"},"apiKey":"[redacted]"}', "{}", "{}", '[1,{"auth":"[redacted]"}]', "{}"]
     assert values(spark, [("r", "b"), (None, "b")], misc.idempotency_key(A, B))[0] == "apify-webhook-run:r"
