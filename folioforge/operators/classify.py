@@ -94,8 +94,12 @@ def accepted_number(row: dict[str, Column], cfg: Config = DEFAULT) -> Column:
     return filled(row["isbn"]) & F.coalesce(row["isbn_is_valid"], F.lit(True)) & ((conf >= cfg.strong_isbn) | medium_promoted(row, cfg))
 
 
+#: Why a candidate is not simply sent: no number, a bad one, low confidence, promoted from the middle. Fixed values.
+SKIP_REASONS = ("No valid ISBN found", "Invalid ISBN", "ISBN confidence below Momox threshold", "Medium ISBN promoted: main title prefix + author match")
+
+
 def candidate_class(isbn: Column, valid: Column, conf: Column, promoted: Column | None = None, cfg: Config = DEFAULT) -> Column:
-    """CLS2: struct(status, candidate_status, review_status, skip_reason) by confidence; what is sent has no skip reason."""
+    """CLS2: struct(status, candidate_status, review_status, skip_reason) by confidence; medium and strong candidates have no skip reason."""
     c = F.coalesce(conf, F.lit(0.0))
     promoted = F.lit(False) if promoted is None else promoted
     ladder = lambda a, b, w, p, m, st: F.when(~filled(isbn), a).when(~F.coalesce(valid, F.lit(True)), b).when(c < cfg.weak_isbn, w).when((c < cfg.strong_isbn) & promoted, p).when(c < cfg.strong_isbn, m).otherwise(st)
@@ -103,6 +107,7 @@ def candidate_class(isbn: Column, valid: Column, conf: Column, promoted: Column
         ladder("isbn_not_found", "isbn_invalid", "isbn_weak", "isbn_medium_promoted", "isbn_medium", "isbn_strong").alias("status"),
         ladder("no_isbn", "no_isbn", "weak_candidate", "medium_candidate", "medium_candidate", "strong_candidate").alias("candidate_status"),
         ladder("manual_review", "manual_review", "manual_review", "manual_review", "manual_review", "pending").alias("review_status"),
+        ladder(*SKIP_REASONS, F.lit(None), F.lit(None)).alias("skip_reason"),
     )
 
 

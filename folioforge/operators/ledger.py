@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from .classify import backend_status, provider_a_state, provider_b_state
@@ -38,9 +38,19 @@ def backend_counts(books: DataFrame) -> DataFrame:
 
 
 def decision_totals(rows: DataFrame, key: str = "ads_id") -> DataFrame:
-    """AG3: per listing, decisions by kind, rows to send and comparisons spent."""
+    """AG3: the twelve totals of a listing's decisions, in one aggregation.
+
+    ``rows`` has decision, would_send (numbers that would go to providers), union_candidates, send_isbns (counts before
+    the budget), searches (keyword searches used) and vision_usd. Avoided sends never count below 0 for a book.
+    """
     kinds = ("selected_exact_isbn", "selected_cover_ambiguous_isbn", "needs_verification", "no_match")
-    return rows.groupBy(key).agg(F.count("*").alias("books"), *[F.count_if(F.col("decision") == k).alias(k) for k in kinds], F.count_if("eligible").alias("to_send"), F.coalesce(F.sum("compared"), F.lit(0)).alias("compared"))
+    total = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(name)
+    sends = F.coalesce(F.size("would_send"), F.lit(0))
+    return rows.groupBy(key).agg(
+        F.count("*").alias("detected_books"), *[F.count_if(F.col("decision") == k).alias(k) for k in kinds], F.count_if(sends > 0).alias("books_with_sends"),
+        total(sends, "total_would_send"), total("union_candidates", "total_candidates"), total(F.greatest(F.lit(0), F.col("union_candidates") - F.col("send_isbns")), "provider_sends_avoided"),
+        total("searches", "keyword_searches_used"), F.round(F.coalesce(F.sum(F.col("vision_usd").cast("decimal(18,6)")), F.lit(0)), 2).cast("decimal(18,2)").alias("est_vision_usd"), total("searches", "est_scrapfly_credits"),
+    )
 
 
 def representative(rows: DataFrame, keys: Sequence[str], image: str, order: str) -> DataFrame:
@@ -62,13 +72,16 @@ def cost_totals(events: DataFrame, *keys: str) -> DataFrame:
 
 
 def usage(calls: DataFrame, key: str = "ads_id") -> DataFrame:
-    """AG8: model use per listing: calls, tokens, USD, failures, and calls by place as a map."""
-    base = calls.groupBy(key).agg(
-        F.count("*").alias("calls"), F.sum("images").alias("images"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"),
-        F.sum(F.col("usd").cast("decimal(18,6)")).alias("usd"), F.count_if("ok").alias("ok"), F.count_if(~F.col("ok")).alias("failed"),
+    """AG8: model use per listing: calls, tokens, USD, failures, and calls by place as a map.
+
+    One pass: sums by listing and place, then by listing.
+    """
+    sums = ("images", "input_tokens", "output_tokens", "usd")
+    by_site = calls.withColumn("usd", F.col("usd").cast("decimal(18,6)")).groupBy(key, "site").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in sums], F.count_if("ok").alias("ok"), F.count_if(~F.col("ok")).alias("failed"))
+    return by_site.groupBy(key).agg(
+        F.sum("n").alias("calls"), *[F.sum(c).alias(c) for c in sums], F.sum("ok").alias("ok"), F.sum("failed").alias("failed"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("site").isNotNull(), F.struct("site", "n"))))).alias("by_site"),
     )
-    sites = calls.groupBy(key, "site").agg(F.count("*").alias("n")).groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("site", "n")))).alias("by_site"))
-    return base.join(sites, key)
 
 
 def equal_shares(runs: DataFrame, members: DataFrame, run: str = "run_id", member: str = "ads_id") -> DataFrame:
@@ -90,12 +103,36 @@ def single_price(df: DataFrame, *keys: str, price: str = "price") -> DataFrame:
     return df.groupBy(*keys).agg(F.when(F.min(price) == F.max(price), F.max(price)).alias(price))
 
 
-def run_counters(ads: DataFrame) -> DataFrame:
-    """AG13, AG14, AG15: one row of counts over processed listings."""
-    return ads.agg(
-        F.count("*").alias("received"), F.count_if(F.col("processing_status") == "processed").alias("processed"), F.count_if(F.col("processing_status") == "error").alias("failed"),
-        F.count_if(F.col("processing_status") == "rejected_non_book").alias("rejected"), F.coalesce(F.sum("detected"), F.lit(0)).alias("detected"), F.coalesce(F.sum("accepted"), F.lit(0)).alias("accepted"),
-    )
+#: Counters of a run that are sums of a listing's numbers.
+SUMMED = ("books_detected", "books_accepted", "books_rejected", "books_needs_review", "books_skipped_already_processed", "books_duplicate_skipped", "momox_triggered", "momox_errors", "momox_fallback_triggered", "gibert_triggered", "gibert_errors")
+
+
+def run_counters(ads: DataFrame) -> dict[str, Column]:
+    """AG13: the seventeen counters of a run over its listings, as aggregates.
+
+    A listing has outcome (processed, no_image, non_book, error, retry or already_processed), read (whether a model
+    read it) and the numbers in :data:`SUMMED`. All but a retry and what was done before count as processed.
+    """
+    is_ = lambda *o: F.col("outcome").isin(*o)
+    counts = {
+        "ads_to_process": F.count_if(~is_("already_processed")), "skipped_already_processed_ads": F.count_if(is_("already_processed")), "skipped_no_image": F.count_if(is_("no_image")),
+        "early_rejected_non_book": F.count_if(is_("non_book")), "openai_processed": F.count_if("read"), "ads_processed": F.count_if(is_("processed", "no_image", "non_book", "error")), "ads_kept_new_for_retry": F.count_if(is_("retry")),
+    }
+    return counts | {c: F.coalesce(F.sum(c), F.lit(0)).cast("long") for c in SUMMED}
+
+
+def counted_write(ads: DataFrame, path: str) -> tuple[dict[str, int], DataFrame]:
+    """AG13, UD7: writes the listings and counts the run in the same pass: (counters, errors of the run).
+
+    The counters are observed while rows go by, so the input is read once; the errors, an array ``errors`` of
+    structs (step, error) in each listing, are rows of the written table.
+    """
+    seen = Observation("run")
+    kinds = run_counters(ads)
+    ads.observe(seen, *[c.alias(n) for n, c in kinds.items()]).write.parquet(path)
+    written = ads.sparkSession.read.schema(ads.schema).parquet(path)
+    errors = written.select("ads_id", F.explode("errors").alias("e")).select("ads_id", "e.step", F.substring("e.error", 1, 2000).alias("error"))
+    return {n: int(seen.get[n]) for n in kinds}, errors
 
 
 def histogram(df: DataFrame, *keys: str) -> DataFrame:

@@ -146,6 +146,58 @@ def apply_provider_rows(books: DataFrame, rows: DataFrame, provider: str, key: S
     ).drop("__p", "__st")
 
 
+def _as_price(c: Column) -> Column:
+    """A number of two decimals; 0 for what is none."""
+    return F.coalesce(c.try_cast("decimal(10,2)"), F.lit(0).cast("decimal(10,2)"))
+
+
+#: States in which provider A has answered for good, and marks of rows that stand for several editions. Fixed values.
+FINAL_A = ("momox_price_found", "momox_price_found_needs_review", "momox_title_mismatch", "momox_no_price", "momox_not_real_offer")
+EDITION_MARKS = ("duplicate_selected", "duplicate_alternative", "selected_edition", "alternative_edition")
+
+
+def apply_provider_b_batch(books: DataFrame, rows: DataFrame, as_of: Column) -> DataFrame:
+    """SNK5: provider B's batch rows (book_id, price, title, image_url, status) on the books.
+
+    A row always has a price, 0 if none is stated. Title and picture are kept where the row has none. A price makes the
+    book one with an offer; without any, and with provider A's final answer, it has none at all; rows that stand
+    for an edition keep their mark. A price makes the book new again unless a human or an edition choice decides.
+    """
+    got = rows.select("book_id", _as_price(F.col("price")).alias("__p"), F.col("title").alias("__t"), F.col("image_url").alias("__i"), F.col("status").alias("__s"), F.lit(True).alias("__hit"))
+    j = books.join(got, "book_id", "left")
+    best = best_offer(F.col("momox_price"), F.col("__p"))
+    found = F.col("__p") > 0
+    candidate = F.when(found, "resale_price_found").when(best["platform"].isNull() & F.col("status").isin(*FINAL_A), "no_resale_offer")
+    filled = lambda c: F.when(F.col(c) != "", F.col(c))
+    changes = {
+        "gibert_price": F.col("__p"), "gibert_title": F.coalesce(filled("__t"), "gibert_title"), "gibert_image_url": F.coalesce(filled("__i"), "gibert_image_url"), "gibert_status": F.col("__s"), "gibert_checked_at": as_of,
+        "profit_gibert": (F.col("__p") - F.col("cost").cast("decimal(10,2)")).cast("decimal(10,2)"), "best_resale_price": best["price"], "best_resale_platform": best["platform"],
+        "candidate_status": F.when(F.col("candidate_status").isin(*EDITION_MARKS), F.col("candidate_status")).otherwise(F.coalesce(candidate, F.col("candidate_status"))),
+        "admin_status": F.when(found & ~F.col("admin_status").isin("validated", "rejected", "pending_duplicate", "pending_edition_choice"), "new").otherwise(F.col("admin_status")),
+        "updated_at": as_of,
+    }
+    return j.select(*[F.when(F.col("__hit"), changes[c]).otherwise(F.col(c)).alias(c) if c in changes else F.col(c) for c in books.columns])
+
+
+def apply_provider_b_lookup(books: DataFrame, lookups: DataFrame, as_of: Column) -> DataFrame:
+    """SNK6: provider B's single lookups (book_id, ok, price) on the books.
+
+    A failed one sets its status and nothing else, so that it is tried again; one that went well sets the price, 0 for no
+    offer, and all that follows from it.
+    """
+    got = lookups.select("book_id", F.when(F.col("ok"), _as_price(F.col("price"))).alias("__p"), F.lit(True).alias("__hit"))
+    j = books.join(got, "book_id", "left")
+    p, best = F.col("__p"), best_offer(F.col("momox_price"), F.col("__p"))
+    keep = lambda c, new: F.when(p.isNull(), F.col(c)).otherwise(new)
+    changes = {
+        "gibert_price": F.coalesce(p, "gibert_price"), "gibert_status": F.when(p.isNull(), "gibert_failed").when(p > 0, "gibert_price_found").otherwise("gibert_non_repris"), "gibert_checked_at": keep("gibert_checked_at", as_of),
+        "profit_gibert": keep("profit_gibert", (p - F.col("cost").cast("decimal(10,2)")).cast("decimal(10,2)")), "best_resale_price": keep("best_resale_price", best["price"]), "best_resale_platform": keep("best_resale_platform", best["platform"]),
+        "status": F.when(p > 0, "gibert_price_found").otherwise(F.col("status")), "candidate_status": F.when(p > 0, "resale_price_found").otherwise(F.col("candidate_status")),
+        "admin_status": F.when((p > 0) & ~F.col("admin_status").isin("validated", "rejected"), "new").otherwise(F.col("admin_status")), "updated_at": as_of,
+    }
+    return j.select(*[F.when(F.col("__hit"), changes[c]).otherwise(F.col(c)).alias(c) if c in changes else F.col(c) for c in books.columns])
+
+
 def mark_failed(books: DataFrame, keys: DataFrame, on: Sequence[str], column: str, failed: str, unresolved: Sequence[str] = ("not_sent", "momox_pending", "gibert_pending")) -> DataFrame:
     """SNK7: unresolved rows become failed; human decisions stay."""
     open_ = F.coalesce(F.col(column), F.lit("not_sent")).isin(*unresolved) & ~F.coalesce(F.col("admin_status"), F.lit("")).isin("validated", "rejected")

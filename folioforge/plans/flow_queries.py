@@ -122,15 +122,6 @@ def composite_key_update(spark: SparkSession, d: str) -> DataFrame:
 # --- aggregates and order
 
 
-_DECIDED = {"decision": turn(1, "selected_exact_isbn", "selected_cover_ambiguous_isbn", "needs_verification", "no_match"), "eligible": turn(3, True, False), "compared": turn(5, 0, 1, 3, None)}
-
-
-@query(f"WITH {made_sql(_DECIDED)} SELECT ads_id, count(*) AS books, count(*) FILTER (decision = 'selected_exact_isbn') AS exact, count(*) FILTER (decision = 'no_match') AS no_match, count(*) FILTER (eligible) AS to_send, CAST(coalesce(sum(compared), 0) AS BIGINT) AS compared FROM r GROUP BY 1")
-def decision_totals(spark: SparkSession, d: str) -> DataFrame:
-    """AG3."""
-    return ledger.decision_totals(made(spark, d, _DECIDED)).select("ads_id", "books", F.col("selected_exact_isbn").alias("exact"), "no_match", "to_send", F.col("compared").cast("long"))
-
-
 _SHOWN = {"image": turn(1, None, "", "i1", "i2")}
 
 
@@ -160,16 +151,6 @@ def merged_flags(spark: SparkSession, d: str) -> DataFrame:
     return relational.merge_flags(made(spark, d, _MERGED), ["isbn"], ["ads_id", "line", "k"], "flag", ["title", "price"]).select("isbn", F.array_join("flags", ",").alias("flags"), "title", "price")
 
 
-_RUNS = {"processing_status": turn(1, "processed", "error", "rejected_non_book", "processed"), "detected": turn(3, 0, 1, 5, None), "accepted": turn(5, 0, 1)}
-
-
-@query(f"WITH {made_sql(_RUNS)} SELECT count(*) AS received, count(*) FILTER (processing_status = 'processed') AS processed, count(*) FILTER (processing_status = 'error') AS failed, count(*) FILTER (processing_status = 'rejected_non_book') AS rejected, CAST(sum(detected) AS BIGINT) AS detected, CAST(sum(accepted) AS BIGINT) AS accepted FROM r")
-def run_counters(spark: SparkSession, d: str) -> DataFrame:
-    """AG13."""
-    out = ledger.run_counters(made(spark, d, _RUNS))
-    return out.select("received", "processed", "failed", "rejected", F.col("detected").cast("long"), F.col("accepted").cast("long"))
-
-
 _PRICED = {"book_price_source": turn(1, "single_ad_price", "description", "title_per_unit", "none"), "provider_match_status": turn(3, "match", "mismatch", "not_checked")}
 
 

@@ -529,15 +529,16 @@ def relevance_filter(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH c AS (SELECT doc_id, quality, toxic, (doc_id % 120) / 100.0 AS raw FROM labels), n AS (SELECT *, CASE WHEN raw > 1 THEN round(raw / 100, 2) ELSE round(raw, 2) END AS conf FROM c)
-SELECT doc_id, conf, CASE WHEN quality = 0 THEN 'isbn_not_found' WHEN toxic = 1 THEN 'isbn_invalid' WHEN conf < 0.5 THEN 'isbn_weak' WHEN conf < 0.85 THEN 'isbn_medium' ELSE 'isbn_strong' END AS status,
+SELECT doc_id, conf, CASE WHEN quality = 0 THEN 'isbn_not_found' WHEN toxic = 1 THEN 'isbn_invalid' WHEN conf < 0.5 THEN 'isbn_weak' WHEN conf < 0.85 AND doc_id % 2 = 0 THEN 'isbn_medium_promoted' WHEN conf < 0.85 THEN 'isbn_medium' ELSE 'isbn_strong' END AS status,
+  CASE WHEN quality = 0 THEN 'No valid ISBN found' WHEN toxic = 1 THEN 'Invalid ISBN' WHEN conf < 0.5 THEN 'ISBN confidence below Momox threshold' WHEN conf < 0.85 AND doc_id % 2 = 0 THEN 'Medium ISBN promoted: main title prefix + author match' END AS skip_reason,
   CASE WHEN quality = 0 THEN 'no_isbn' WHEN toxic = 1 THEN 'isbn_invalid' WHEN conf >= 0.8 THEN 'strong_isbn' WHEN conf >= 0.5 THEN 'needs_verification_medium' ELSE 'needs_verification_low' END AS reason FROM n""")
 def confidence_ladder(spark: SparkSession, d: str) -> DataFrame:
     """NM1, CLS2, CLS3."""
     rows = read(spark, d, "labels").withColumn("conf", numbers.confidence((F.col("doc_id") % 120) / 100.0))
     number = F.when(F.col("quality") != 0, F.lit("x"))
-    cls = classify.candidate_class(number, F.col("toxic") != 1, F.col("conf"))
+    cls = classify.candidate_class(number, F.col("toxic") != 1, F.col("conf"), F.col("doc_id") % 2 == 0)
     why = classify.provider_eligibility(number, F.col("toxic") != 1, F.col("conf"), F.lit(""), F.lit(""))
-    return rows.select("doc_id", "conf", cls["status"].alias("status"), why["reason"].alias("reason"))
+    return rows.select("doc_id", "conf", cls["status"].alias("status"), cls["skip_reason"].alias("skip_reason"), why["reason"].alias("reason"))
 
 
 @query("""WITH b AS (SELECT p_partkey AS part, p_size / 100.0 AS x0, 0.1 AS y0, least(1.0, p_size / 100.0 + (p_partkey % 10) / 10.0) AS x1, 0.1 + (p_partkey % 7) / 10.0 AS y1 FROM part), a AS (SELECT part, round(abs(x1 - x0) * abs(y1 - y0), 9) AS area FROM b)
@@ -601,14 +602,6 @@ def offer_decision(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "lineitem").select(F.col("l_orderkey").alias("ads_id"), F.col("l_linenumber").alias("line"), st.alias("status"))
 
 
-@query("SELECT event_id, event_type, value, sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS NOT NULL AS seen FROM events WHERE event_type IN ('error', 'purchase') AND event_type IS DISTINCT FROM 'error'")
-def predicate_forms(spark: SparkSession, d: str) -> DataFrame:
-    """PRD1 to PRD9: IN lists, IS DISTINCT FROM, null tests."""
-    ev = read(spark, d, "events").filter(F.col("event_type").isin("error", "purchase") & ~F.col("event_type").eqNullSafe("error"))
-    seen = F.sum("value").over(Window.partitionBy("user_id").orderBy("ts", "event_id")).isNotNull()
-    return ev.select("event_id", "event_type", "value", seen.alias("seen"))
-
-
-from . import flow_queries, ladder_queries, metadata_queries, queue_queries, source_queries, text_queries, vector_queries  # noqa: E402, F401  they register their queries
+from . import counter_queries, flow_queries, ladder_queries, metadata_queries, queue_queries, source_queries, text_queries, vector_queries  # noqa: E402, F401  they register their queries
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
