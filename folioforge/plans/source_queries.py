@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import isbn
@@ -238,3 +238,25 @@ def scored_detail_pages(spark: SparkSession, d: str) -> DataFrame:
     p = parts(spark, d).select("part", page.alias("html"), name.alias("asked_title"), F.when(F.col("part") % 3 == 0, "Ann Bee").when(F.col("part") % 3 == 1, "Zoe Cay").alias("asked_author"))
     rows = pages.detail_pages(p, "part", "html")
     return pipelines.scored_pages(rows, p.select("part", "asked_title", "asked_author"), "part", 0.85, 0.15).select("part", "isbn", "score")
+
+
+@query("""WITH e AS (SELECT user_id % 40 AS batch, event_id, value, event_type, row_number() OVER (PARTITION BY user_id % 40 ORDER BY event_id) - 1 AS pos FROM events),
+b AS (SELECT batch, min(pos) AS stop FROM e WHERE event_type = 'error' AND value < 5 GROUP BY 1)
+SELECT CAST(batch AS VARCHAR) AS batch, CAST(pos AS INT) AS place, CAST(pos // 25 AS INT) AS page, event_id, coalesce(event_type = 'error' AND value < 5, false) AS blocked FROM e LEFT JOIN b USING (batch) WHERE pos < 200 AND pos <= coalesce(stop, pos) AND batch IN (3, 7, 11, 12, 13, 39)""")
+def paged_dataset_items(spark: SparkSession, d: str) -> DataFrame:
+    """SRC13, SRC14: recorded pages read in order by a data source, to the first block or 200 items (the cap is the feature); the filter chooses datasets before they are read."""
+    import uuid
+
+    from ..shipping import shared_dir
+    from ..sources import paged
+
+    ev = read(spark, d, "events")
+    path = f"{shared_dir(spark)}/pages-{uuid.uuid4().hex}"
+    path = path if "://" in path or path.startswith("/") else "/" + path.split(":", 1)[1].lstrip("/")
+    batch = (F.col("user_id") % 40).cast("string")
+    at = F.row_number().over(Window.partitionBy("batch").orderBy("event_id")) - 1
+    rows = ev.select(batch.alias("batch"), "event_id", F.to_json(F.struct("event_id", F.coalesce((F.col("event_type") == "error") & (F.col("value") < 5), F.lit(False)).alias("blocked"))).alias("item")).withColumn("page", F.floor(at / 25).cast("int"))
+    paged.record(rows, path, "batch", "page", "event_id", "item")
+    paged.register(spark)
+    got = spark.read.format("paged_dataset").option("path", path).option("most", 200).load().filter(F.col("batch").isin("3", "7", "11", "12", "13", "39"))
+    return got.select("batch", F.col("at").alias("place"), "page", F.get_json_object("item", "$.event_id").cast("long").alias("event_id"), "blocked")
