@@ -1,325 +1,206 @@
-"""HTML pages to rows.
+"""Pages of the sources to rows, by rules over :mod:`folioforge.sources.html`'s elements and texts.
 
-Pages are read with the standard library's tokenizer into a light tree, inside
-Arrow-batched UDFs; everything after that is columns. A page that cannot be
-read gives no rows.
+Everything is joins of positions, aggregates and columns. A page that holds nothing a rule asks for gives no
+rows; keys are distinct.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
-from html.parser import HTMLParser
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..shipping import ship
+from ..functions import isbn as I
+from ..functions.misc import absolute_url
+from .html import END, Pages, attr, has_class, squeezed
 
-VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-#: A new one of these closes an open one of the same kind.
-SELF_CLOSING = frozenset("li p tr td th option dt dd".split())
 
+def number(c: Column) -> Column:
+    """Digits and X of a text in upper case; null for none."""
+    n = F.upper(F.regexp_replace(c, "[^0-9Xx]", ""))
+    return F.when(n != "", n)
 
-class Node:
-    def __init__(self, tag: str, attrs: dict[str, str], parent: "Node | None") -> None:
-        self.tag, self.attrs, self.parent, self.parts = tag, attrs, parent, []
 
-    @property
-    def classes(self) -> list[str]:
-        return self.attrs.get("class", "").split()
+def _stated(text: Column, digits: int) -> Column:
+    """The number behind its label."""
+    return number(F.regexp_extract(text, rf"(?i)ISBN-?{digits}:\s*([0-9Xx-]+)", 1))
 
-    def walk(self) -> Iterator["Node"]:
-        for p in self.parts:
-            if isinstance(p, Node):
-                yield p
-                yield from p.walk()
 
-    def find(self, test: Callable[["Node"], bool]) -> "Node | None":
-        return next((n for n in self.walk() if test(n)), None)
-
-    def text(self) -> str:
-        return "".join(p if isinstance(p, str) else "" if p.tag in ("script", "style") else p.text() for p in self.parts)
-
-
-class _Tree(HTMLParser):
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.root = self.at = Node("", {}, None)
-
-    def handle_starttag(self, tag, attrs):
-        if tag in SELF_CLOSING:
-            n = self.at
-            while n.parent is not None and n.tag not in ("ul", "ol", "table", "tbody", "dl", "select"):
-                if n.tag == tag:
-                    self.at = n.parent
-                    break
-                n = n.parent
-        node = Node(tag, {k: v or "" for k, v in attrs}, self.at)
-        self.at.parts.append(node)
-        if tag not in VOID:
-            self.at = node
-
-    def handle_startendtag(self, tag, attrs):
-        self.at.parts.append(Node(tag, {k: v or "" for k, v in attrs}, self.at))
-
-    def handle_endtag(self, tag):
-        n = self.at
-        while n.parent is not None and n.tag != tag:
-            n = n.parent
-        if n.parent is not None:
-            self.at = n.parent
-
-    def handle_data(self, data):
-        self.at.parts.append(data)
-
-
-def tree(html: str | None) -> Node:
-    t = _Tree()
-    t.feed(html or "")
-    return t.root
+def _labelled(text: Column, label: str, *stops: str) -> Column:
+    """What follows "label:" on the line, up to a stop word."""
+    line = F.regexp_extract(text, rf"(?i){label}:[ \t]*([^\n\r]+)", 1)
+    for s in stops:
+        line = F.regexp_replace(line, rf"(?is){s}.*$", "")
+    return squeezed(line)
 
 
-def squeezed(text: str | None) -> str | None:
-    return " ".join((text or "").split()) or None
+def _link(url: Column, base: str) -> Column:
+    return absolute_url(url, base)
 
 
-def number(text: str | None) -> str | None:
-    return re.sub(r"[^0-9Xx]", "", text or "").upper() or None
+def search_pages(df: DataFrame, key: str, html: str, base: str = "https://isbnsearch.org") -> DataFrame:
+    """SRC3: list items that name a book number: numbers, title, authors, picture, link; the first of each number.
+
+    Items of the element ``searchresults`` where there is one, else of the page. The link is the first to a book's page
+    inside the item's ``bookinfo``, else inside the item.
+    """
+    p = Pages(df, key, html)
+    where = p.first(attr("id") == "searchresults", "r", p.whole())
+    items = p.inside(where, p.find(F.col("tag") == "li"), "r").select("k", F.col("pos").alias("li_pos"), F.col("end").alias("li_end"))
+    items = p.text(items, "li", "text").filter(F.col("text").rlike("(?i)ISBN-?1[03]:"))
+    info = p.first_inside(items, "li", has_class("bookinfo"), F.struct("pos", "end").alias("info"))
+    items = items.join(info, ["k", "li_pos"], "left")
+    a = p.find((F.col("tag") == "a") & F.contains(F.coalesce(attr("href"), F.lit("")), F.lit("/isbn/"))).select("k", "pos", "end", attr("href").alias("href"))
+    found = p.inside(items.select("k", "li_pos", "li_end", "info"), a, "li")
+    first = F.struct(~F.coalesce((F.col("pos") > F.col("info.pos")) & (F.col("pos") < F.col("info.end")), F.lit(False)), "pos")
+    link = found.groupBy("k", "li_pos").agg(F.min_by(F.struct("href", "pos", "end"), first).alias("a")).select("k", "li_pos", F.col("a.href").alias("href"), F.col("a.pos").alias("a_pos"), F.col("a.end").alias("a_end"))
+    link = p.text(link, "a", "link_text").drop("a_pos", "a_end")
+    img = p.first_inside(items, "li", F.col("tag") == "img", attr("src").alias("src"), attr("alt").alias("alt"))
+    rows = items.join(link, ["k", "li_pos"], "left").join(img, ["k", "li_pos"], "left")
+    text, from_link = F.col("text"), number(F.regexp_extract("href", "/isbn/([0-9Xx-]+)", 1))
+    thirteen, ten = _stated(text, 13), _stated(text, 10)
+    before = F.get(F.split(text, "(?i)Authors?:|ISBN-?1[03]:", 2), F.lit(0))
+    rows = rows.select(
+        "k", "li_pos", F.coalesce(thirteen, from_link, ten).alias("isbn"), F.coalesce(thirteen, from_link).alias("isbn13"), ten.alias("isbn10"),
+        F.coalesce(F.when(F.col("info").isNotNull(), squeezed(F.col("link_text"))), squeezed(before), squeezed(F.col("alt"))).alias("title"),
+        _labelled(text, "Authors?", "ISBN-?1[03]:", "View This Book").alias("authors"), _link(F.col("src"), base).alias("image_url"), _link(F.col("href"), base).alias("result_url"),
+    ).filter("isbn is not null")
+    return _ordered(rows, key, "li_pos")
+
+
+def _ordered(rows: DataFrame, key: str, at: str, number: str = "isbn") -> DataFrame:
+    """The first row of each number of a page, numbered from 0."""
+    once = rows.withColumn("__n", F.row_number().over(Window.partitionBy("k", number).orderBy(at))).filter("__n = 1").drop("__n")
+    return once.withColumn("ord", F.row_number().over(Window.partitionBy("k").orderBy(at)) - 1).drop(at).withColumnRenamed("k", key)
 
 
-def absolute(url: str | None, base: str) -> str | None:
-    """UR1."""
-    u = (url or "").strip()
-    if not u:
-        return None
-    if re.match(r"https?://", u):
-        return u
-    return f"https:{u}" if u.startswith("//") else f"{base}{u}" if u.startswith("/") else f"{base}/{u}"
+def detail_pages(df: DataFrame, key: str, html: str, requested: str | None = None, base: str = "https://isbnsearch.org") -> DataFrame:
+    """SRC4: the one book of a page, or no row; where the page has no number of thirteen, the requested one stands in."""
+    p = Pages(df, key, html)
+    info = p.text(p.first(has_class("bookinfo"), "i", p.whole()), "i", "text")
+    h1 = F.col("tag") == "h1"
+    inner = p.first_inside(info, "i", h1, F.struct("pos", "end").alias("h")).select("k", "h")
+    head = p.first(h1, "h").join(inner, "k", "left").select("k", F.coalesce("h.pos", "h_pos").alias("h_pos"), F.coalesce("h.end", "h_end").alias("h_end"))
+    head = p.text(head, "h", "head").select("k", "head")
+    holder = p.find(has_class("image")).select("k", F.col("pos").alias("d_pos"), F.col("end").alias("d_end"))
+    img = p.inside(holder, p.find(F.col("tag") == "img"), "d").groupBy("k").agg(F.min_by(attr("src"), F.col("pos")).alias("src"))
+    rows = info.join(head, "k", "left").join(img, "k", "left")
+    if requested is not None:
+        rows = rows.join(df.select(F.col(key).alias("k"), F.col(requested).alias("__r")), "k")
+    asked = F.lit(None).cast("string") if requested is None else F.col("__r")
+    text = F.col("text")
+    rows = rows.select("k", "src", _stated(text, 13).alias("isbn13"), _stated(text, 10).alias("isbn10"), squeezed(F.col("head")).alias("title"), text, number(asked).alias("asked")).filter("title is not null or isbn13 is not null or isbn10 is not null")
+    best = F.coalesce("isbn13", "asked", "isbn10")
+    return rows.select(
+        F.col("k").alias(key), F.lit(0).alias("ord"), best.alias("isbn"), "isbn13", "isbn10", "title", _labelled(text, "Authors?", "Binding:", "Publisher:", "Published:").alias("authors"), _labelled(text, "Publisher", "Published:").alias("publisher"),
+        _labelled(text, "Published").alias("published"), _link(F.col("src"), base).alias("image_url"), F.concat(F.lit(f"{base}/isbn/"), best).alias("result_url"),
+    )
+
+
+def euro(c: Column) -> Column:
+    """A French price: the first comma is the point; all but digits and points goes; empty is 0, two points are none."""
+    kept = F.regexp_replace(F.regexp_replace(c, "^([^,]*),", "$1."), "[^0-9.]", "")
+    return F.when(kept == "", 0.0).otherwise(F.when(kept.rlike("[0-9]"), kept.try_cast("double")))
 
 
-def _labelled(text: str, label: str, *stops: str) -> str | None:
-    """What follows "label:" on the line, up to a stop word."""
-    m = re.search(rf"{label}:[ \t]*([^\n\r]+)", text, re.I)
-    if not m:
-        return None
-    out = m.group(1)
-    for s in stops:
-        out = re.split(s, out, flags=re.I)[0]
-    return squeezed(out)
-
-
-def _by_class(name: str, tag: str = "") -> Callable[[Node], bool]:
-    return lambda n: name in n.classes and (not tag or n.tag == tag)
-
-
-def search_rows(html: str | None, base: str) -> list[dict]:
-    """SRC3: list items that name a book number: numbers, title, authors, picture, link; the first of each number."""
-    root, out, seen = tree(html), [], set()
-    results = root.find(lambda n: n.attrs.get("id") == "searchresults")
-    for li in (results or root).walk():
-        text = li.text() if li.tag == "li" else ""
-        if not re.search(r"ISBN-?1[03]:", text, re.I):
-            continue
-        info = li.find(_by_class("bookinfo"))
-        links = [a for a in (info or li).walk() if a.tag == "a" and "/isbn/" in a.attrs.get("href", "")]
-        link = links[0] if links else li.find(lambda n: n.tag == "a" and "/isbn/" in n.attrs.get("href", ""))
-        href = link.attrs["href"] if link else None
-        from_href = number((re.search(r"/isbn/([0-9Xx-]+)", href or "") or [None, None])[1])
-        thirteen, ten = (number((re.search(rf"ISBN-?{k}:\s*([0-9Xx-]+)", text, re.I) or [None, None])[1]) for k in (13, 10))
-        key = thirteen or from_href or ten
-        if not key or key in seen:
-            continue
-        seen.add(key)
-        img = li.find(lambda n: n.tag == "img")
-        title = squeezed(link.text() if link and info else None) or squeezed(re.split(r"Authors?:|ISBN-?1[03]:", text, flags=re.I)[0]) or squeezed(img.attrs.get("alt") if img else None)
-        out.append(
-            {
-                "isbn": key, "isbn13": thirteen or from_href, "isbn10": ten, "title": title,
-                "authors": _labelled(text, "Authors?", r"ISBN-?1[03]:", "View This Book"),
-                "image_url": absolute(img.attrs.get("src") if img else None, base), "result_url": absolute(href, base),
-            }
-        )
-    return out
-
-
-def detail_row(html: str | None, requested: str | None, base: str) -> list[dict]:
-    """SRC4: the one book of a page, or none."""
-    root = tree(html)
-    info = root.find(_by_class("bookinfo")) or root
-    text = info.text()
-    head = info.find(lambda n: n.tag == "h1") or root.find(lambda n: n.tag == "h1")
-    thirteen, ten = (number((re.search(rf"ISBN-?{k}:\s*([0-9Xx-]+)", text, re.I) or [None, None])[1]) for k in (13, 10))
-    title = squeezed(head.text() if head else None)
-    if not (title or thirteen or ten):
-        return []
-    img = root.find(lambda n: n.tag == "img" and n.parent is not None and "image" in n.parent.classes)
-    best = thirteen or number(requested) or ten
-    return [
-        {
-            "isbn": best, "isbn13": thirteen, "isbn10": ten, "title": title,
-            "authors": _labelled(text, "Authors?", "Binding:", "Publisher:", "Published:"),
-            "publisher": _labelled(text, "Publisher", "Published:"), "published": _labelled(text, "Published"),
-            "image_url": absolute(img.attrs.get("src") if img else None, base), "result_url": f"{base}/isbn/{best}" if best else None,
-        }
-    ]
-
-
-def euro(text: str | None) -> float | None:
-    """A French price: the first comma is the point; all but digits and points goes; empty is 0."""
-    if text is None:
-        return None
-    kept = re.sub(r"[^0-9.]", "", text.replace(",", ".", 1))
-    try:
-        return float(kept) if kept else 0.0
-    except ValueError:
-        return None
-
-
-def offer_rows(html: str | None) -> list[dict]:
+def offer_pages(df: DataFrame, key: str, html: str) -> DataFrame:
     """SRC6: rows of the offer table: number, title, picture, price or an explicit refusal; the first of each number."""
-    out, seen = [], set()
-    listed = tree(html).find(lambda n: n.attrs.get("id") == "product_list")
-    for row in listed.walk() if listed else ():
-        text = squeezed(row.text()) or "" if row.tag == "tr" else ""
-        m = re.search(r"\b97[89][0-9]{10}\b", text)
-        if not m or m.group(0) in seen:
-            continue
-        seen.add(m.group(0))
-        cell = next((n for n in row.walk() if n.tag == "td" and "repris" in n.classes), None)
-        shown = cell.find(_by_class("price")) if cell else None
-        refused = row.find(_by_class("non-repris", "td"))
-        price_text = squeezed(shown.text()) if shown else None
-        refusal = squeezed(refused.text()) if refused else None
-        name, img = row.find(_by_class("product-item-name")), row.find(_by_class("product-image-photo", "img"))
-        out.append(
-            {
-                "isbn": m.group(0), "title": squeezed(name.text()) if name else None, "image_url": img.attrs.get("src") if img else None,
-                "price": (euro(price_text) if price_text else 0.0) or 0.0, "price_text": price_text,
-                "status": "gibert_non_repris" if re.search("non repris", refusal or text, re.I) else "gibert_price_found",
-            }
-        )
-    return out
-
-
-def page_totals(html: str | None) -> dict:
-    """SRC6, SRC7: totals and count that an offer page states."""
-    root = tree(html)
-
-    def of(box: str) -> str | None:
-        holder = root.find(lambda n: n.attrs.get("id") == box)
-        shown = holder.find(_by_class("price")) if holder else None
-        return squeezed(shown.text()) if shown else None
-
-    count, left = root.find(lambda n: n.attrs.get("id") == "itemscount"), root.find(_by_class("remaining-amount"))
-    cash, voucher = of("total_amount"), of("totalTirelire")
-    return {
-        "total": euro(cash), "total_text": cash, "voucher": euro(voucher), "voucher_text": voucher,
-        "item_count": squeezed(count.text()) if count else None, "remaining": squeezed(left.text()) if left else None,
-    }
-
-
-def thirteen_of(raw: str | None) -> str | None:
-    """A number of ten or thirteen characters as thirteen digits, unchecked."""
-    s = number(raw) or ""
-    if re.fullmatch(r"\d{13}", s):
-        return s
-    if not re.fullmatch(r"\d{9}[\dX]", s):
-        return None
-    core = "978" + s[:9]
-    return core + str(-sum(int(c) * (3 if i % 2 else 1) for i, c in enumerate(core)) % 10)
-
-
-def catalog_rows(html: str | None, base: str, cover_host: str) -> list[dict]:
-    """SRC10: covers of a catalogue search page with what stands beside them; bare cover URLs only fill in."""
-    cover = re.compile(re.escape(cover_host) + r"/isbn/([0-9Xx]{10,13})-[^\s\"'<>,]*", re.I)
-    found: dict[str, dict] = {}
-    for img in tree(html).walk():
-        if img.tag != "img":
-            continue
-        urls = [part.strip().split(" ")[0] for a in ("src", "data-src", "data-original", "data-lazy", "srcset", "data-srcset") for part in img.attrs.get(a, "").split(",") if part.strip()]
-        covers = [u for u in urls if cover.search(u)]
-        if not covers:
-            continue
-        url = next((u for u in covers if re.search(r"\.jpe?g(\?|$)", u, re.I)), covers[0])
-        isbn = thirteen_of(cover.search(url).group(1))
-        if not isbn or isbn in found:
-            continue
-        box = img.parent
-        while box.parent is not None and box.tag not in ("li", "article", "tr") and "result" not in box.classes and box.attrs.get("data-cy") != "listing-item":
-            box = box.parent
-        box = box if box.parent is not None else img.parent
-
-        def first(*names: str, box: Node = box) -> str | None:
-            for name in names:
-                n = box.find(lambda n, name=name: n.attrs.get("data-cy") == f"listing-{name}" or n.attrs.get("itemprop") == name or name in n.classes)
-                if n and squeezed(n.attrs.get("content") or n.text()):
-                    return squeezed(n.attrs.get("content") or n.text())
-            return None
-
-        publisher = first("publisher", "result-publisher")
-        year = re.search(r"\b(1[5-9]\d\d|20\d\d)\b", publisher or "") or re.search(r"\b(1[5-9]\d\d|20\d\d)\b", box.text())
-        link = box.find(lambda n: n.tag == "a" and ("/servlet/" in n.attrs.get("href", "") or n.attrs.get("itemprop") == "url" or "title" in n.classes))
-        found[isbn] = {
-            "isbn13": isbn, "title": first("title", "name", "result-title") or squeezed(img.attrs.get("alt")), "author": first("author", "result-author"), "publisher": publisher,
-            "year": int(year.group(1)) if year else None, "language": first("language", "inLanguage"), "image_url": url, "listing_url": absolute(link.attrs.get("href") if link else None, base),
-        }
-    for m in cover.finditer(html or ""):
-        isbn = thirteen_of(m.group(1))
-        if isbn and isbn not in found and re.search(r"\.jpe?g$", m.group(0), re.I):
-            found[isbn] = {"isbn13": isbn, "image_url": f"https://{m.group(0)}"}
-    return list(found.values())
-
-
-SEARCH = "isbn string, isbn13 string, isbn10 string, title string, authors string, image_url string, result_url string"
-DETAIL = "isbn string, isbn13 string, isbn10 string, title string, authors string, publisher string, published string, image_url string, result_url string"
-OFFERS = "isbn string, title string, image_url string, price double, price_text string, status string"
-CATALOG = "isbn13 string, title string, author string, publisher string, year int, language string, image_url string, listing_url string"
-TOTALS = "total double, total_text string, voucher double, voucher_text string, item_count string, remaining string"
-
-
-def _names(schema: str) -> list[str]:
-    return [f.split()[0] for f in schema.split(", ")]
-
-
-def parse(df: DataFrame, key: str, html: str, rows: Callable[[str | None], list[dict]], schema: str) -> DataFrame:
-    """(key, ord, columns): the rows that ``rows`` reads from each page; ``ord`` is their order in the page."""
-    ship(df.sparkSession)
-    names = _names(schema)
-    kind = df.schema[key].dataType.simpleString()
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = [(k, i, *(r.get(n) for n in names)) for k, page in zip(frame[key], frame[html]) for i, r in enumerate(rows(page))]
-            yield pd.DataFrame(out, columns=[key, "ord", *names]).astype(object).where(lambda d: d.notna(), None)
-
-    return df.select(key, html).mapInPandas(run, f"{key} {kind}, ord int, {schema}")
-
-
-def search_pages(df: DataFrame, key: str, html: str, base: str = "https://isbnsearch.org") -> DataFrame:
-    return parse(df, key, html, lambda p: search_rows(p, base), SEARCH)
+    p = Pages(df, key, html)
+    listed = p.first(attr("id") == "product_list", "t")
+    rows = p.inside(listed, p.find(F.col("tag") == "tr"), "t").select("k", F.col("pos").alias("tr_pos"), F.col("end").alias("tr_end"))
+    rows = p.text(rows, "tr", "said").withColumn("text", F.coalesce(squeezed(F.col("said")), F.lit("")))
+    isbn = F.regexp_extract("text", r"\b97[89][0-9]{10}\b", 0)
+    rows = rows.withColumn("isbn", F.when(isbn != "", isbn)).filter("isbn is not null")
+
+    def part(outer: DataFrame, name: str, test: Column, into: str) -> DataFrame:
+        """Text of the first such element inside ``outer``, by row."""
+        e = p.first_inside(outer, name, test, F.struct("pos", "end").alias("e")).select("k", f"{name}_pos", F.col("e.pos").alias("p_pos"), F.col("e.end").alias("p_end"))
+        return p.text(e, "p", into).select("k", F.col(f"{name}_pos"), into)
+
+    td = F.col("tag") == "td"
+    cell = p.first_inside(rows, "tr", td & has_class("repris"), F.struct("pos", "end").alias("c")).select("k", "tr_pos", F.col("c.pos").alias("c_pos"), F.col("c.end").alias("c_end"))
+    price = cell.join(part(cell, "c", has_class("price"), "price_said"), ["k", "c_pos"]).select("k", "tr_pos", "price_said")
+    img = p.first_inside(rows, "tr", (F.col("tag") == "img") & has_class("product-image-photo"), attr("src").alias("image_url"))
+    for other in (price, part(rows, "tr", td & has_class("non-repris"), "refusal"), part(rows, "tr", has_class("product-item-name"), "name"), img):
+        rows = rows.join(other, ["k", "tr_pos"], "left")
+    text = squeezed(F.col("price_said"))
+    out = rows.select(
+        "k", "tr_pos", "isbn", squeezed(F.col("name")).alias("title"), "image_url", F.coalesce(euro(text), F.lit(0.0)).alias("price"), text.alias("price_text"),
+        F.when(F.coalesce(squeezed(F.col("refusal")), F.col("text")).rlike("(?i)non repris"), "gibert_non_repris").otherwise("gibert_price_found").alias("status"),
+    )
+    return _ordered(out, key, "tr_pos")
 
 
-def detail_pages(df: DataFrame, key: str, html: str, requested: str | None = None, base: str = "https://isbnsearch.org") -> DataFrame:
-    """SRC4; where the page has no number of thirteen, the requested one stands in."""
-    out = parse(df, key, html, lambda p: detail_row(p, None, base), DETAIL)
-    if requested is None:
-        return out
-    asked = df.select(key, F.col(requested).alias("__r"))
-    return out.join(asked, key).withColumn("isbn", F.coalesce("isbn13", "__r", "isbn10")).drop("__r")
+def offer_totals(df: DataFrame, key: str, html: str) -> DataFrame:
+    """SRC6, SRC7: totals and count that an offer page states; a row a page."""
+    p = Pages(df, key, html)
+    out = p.pages.distinct()
 
+    def said(holder: DataFrame, name: str, into: str) -> DataFrame:
+        return p.text(holder, name, "__s").select("k", squeezed(F.col("__s")).alias(into))
 
-def offer_pages(df: DataFrame, key: str, html: str) -> DataFrame:
-    return parse(df, key, html, offer_rows, OFFERS)
+    for box, into in (("total_amount", "total_text"), ("totalTirelire", "voucher_text")):
+        holder = p.first(attr("id") == box, "b")
+        shown = p.first_inside(holder, "b", has_class("price"), F.struct("pos", "end").alias("e")).select("k", F.col("e.pos").alias("s_pos"), F.col("e.end").alias("s_end"))
+        out = out.join(said(shown, "s", into), "k", "left")
+    for test, into in ((attr("id") == "itemscount", "item_count"), (has_class("remaining-amount"), "remaining")):
+        out = out.join(said(p.first(test, "e"), "e", into), "k", "left")
+    return out.select(F.col("k").alias(key), F.lit(0).alias("ord"), euro(F.col("total_text")).alias("total"), "total_text", euro(F.col("voucher_text")).alias("voucher"), "voucher_text", "item_count", "remaining")
 
 
-def offer_totals(df: DataFrame, key: str, html: str) -> DataFrame:
-    return parse(df, key, html, lambda p: [page_totals(p)], TOTALS)
+#: Attributes of a picture that may hold its address.
+PICTURES = ("src", "data-src", "data-original", "data-lazy", "srcset", "data-srcset")
 
 
 def catalog_pages(df: DataFrame, key: str, html: str, base: str = "https://www.abebooks.fr", cover_host: str = "pictures.abebooks.com") -> DataFrame:
-    return parse(df, key, html, lambda p: catalog_rows(p, base, cover_host), CATALOG)
+    """SRC10: covers of a catalogue search page with what stands beside them; bare cover URLs only fill in.
+
+    What stands beside a cover is inside the innermost list item, article, row or result around it, else inside the innermost
+    element. A value is that of the first name that has any, and of the first such element.
+    """
+    p = Pages(df, key, html)
+    cover = rf"(?i){re.escape(cover_host)}/isbn/([0-9Xx]{{10,13}})-[^\s\"'<>,]*"
+    raw = F.flatten(F.array(*[F.transform(F.split(F.coalesce(attr(a), F.lit("")), ","), lambda x: F.split(F.trim(x), " ")[0]) for a in PICTURES]))
+    covers = F.filter(raw, lambda u: u.rlike(cover))
+    jpg = F.filter(covers, lambda u: u.rlike(r"(?i)\.jpe?g(\?|$)"))
+    thirteen = lambda u: _thirteen(F.regexp_extract(u, cover, 1))
+    imgs = p.find(F.col("tag") == "img").select("k", F.col("pos").alias("img_pos"), F.coalesce(F.get(jpg, F.lit(0)), F.get(covers, F.lit(0))).alias("url"), attr("alt").alias("alt")).filter("url is not null")
+    imgs = imgs.withColumn("isbn13", thirteen(F.col("url"))).filter("isbn13 is not null")
+    around = p.elements.filter(F.col("end") > F.col("pos")).select("k", "pos", "end", F.coalesce(F.col("tag").isin("li", "article", "tr") | has_class("result") | (attr("data-cy") == "listing-item"), F.lit(False)).alias("good"))
+    boxes = imgs.join(around, "k", "left").filter("pos < img_pos and end > img_pos").groupBy("k", "img_pos", "url", "alt", "isbn13").agg(F.max(F.struct("good", "pos", "end")).alias("b"))
+    boxes = imgs.join(boxes.select("k", "img_pos", "b"), ["k", "img_pos"], "left").select("*", F.coalesce("b.pos", F.lit(-1)).alias("box_pos"), F.coalesce("b.end", F.lit(END)).alias("box_end")).drop("b")
+    boxes = p.text(boxes, "box", "said")
+
+    def value(names: tuple[str, ...], into: str) -> DataFrame:
+        rank = F.lit(None).cast("int")
+        for i, n in reversed(list(enumerate(names))):
+            rank = F.when(F.coalesce((attr("data-cy") == f"listing-{n}") | (attr("itemprop") == n) | has_class(n), F.lit(False)), i).otherwise(rank)
+        e = p.elements.withColumn("rank", rank).filter("rank is not null").select("k", F.col("pos").alias("v_pos"), F.col("end").alias("v_end"), "rank", attr("content").alias("content"))
+        e = p.text(e, "v", "v_said").withColumn("v", squeezed(F.when(F.coalesce("content", F.lit("")) != "", F.col("content")).otherwise(F.col("v_said")))).filter("v is not null")
+        own = boxes.select("k", "box_pos", "box_end").distinct().join(e, "k").filter("v_pos > box_pos and v_pos < box_end")
+        return own.groupBy("k", "box_pos").agg(F.min_by("v", F.struct("rank", "v_pos")).alias(into))
+
+    rows = boxes
+    for names, into in ((("title", "name", "result-title"), "title"), (("author", "result-author"), "author"), (("publisher", "result-publisher"), "publisher"), (("language", "inLanguage"), "language")):
+        rows = rows.join(value(names, into), ["k", "box_pos"], "left")
+    wanted = F.contains(F.coalesce(attr("href"), F.lit("")), F.lit("/servlet/")) | (attr("itemprop") == "url") | has_class("title")
+    link = p.first_inside(boxes, "box", (F.col("tag") == "a") & F.coalesce(wanted, F.lit(False)), attr("href").alias("href"))
+    rows = rows.join(link, ["k", "box_pos"], "left")
+    year = lambda c: F.regexp_extract(c, r"\b(1[5-9][0-9]{2}|20[0-9]{2})\b", 1).try_cast("int")
+    shown = rows.select(
+        "k", "img_pos", "isbn13", F.coalesce("title", squeezed(F.col("alt"))).alias("title"), "author", "publisher", F.coalesce(year("publisher"), year("said")).alias("year"), "language",
+        F.col("url").alias("image_url"), _link(F.col("href"), base).alias("listing_url"),
+    )
+    bare = df.select(F.col(key).alias("k"), F.posexplode(F.regexp_extract_all(html, F.lit(cover), F.lit(0))).alias("at", "u")).filter(F.col("u").rlike(r"(?i)\.jpe?g$"))
+    bare = bare.select("k", (F.col("at") + END).alias("img_pos"), thirteen(F.col("u")).alias("isbn13"), F.concat(F.lit("https://"), "u").alias("image_url")).filter("isbn13 is not null")
+    return _ordered(shown.unionByName(bare, allowMissingColumns=True), key, "img_pos", "isbn13")
+
+
+def _thirteen(c: Column) -> Column:
+    """A number of ten or thirteen characters as thirteen digits, unchecked."""
+    n = F.upper(c)
+    return F.when(n.rlike("^[0-9]{13}$"), n).when(n.rlike("^[0-9]{9}[0-9X]$"), I.ten_to_thirteen(n, check=False))
 
 
 # --- what needs no tree stays a column
