@@ -8,8 +8,8 @@ from ..sources import html
 from .registry import query
 from .tables import read
 
-#: References that the given pages hold, resolved; the ampersand last.
-_PLAIN = lambda x: f"replace(replace(replace(replace(replace(replace({x}, '&quot;', chr(34)), '&lt;', '<'), '&gt;', '>'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
+#: References that the given pages hold, resolved; the ampersand last, which a cut title may have without its semicolon.
+_PLAIN = lambda x: f"regexp_replace(replace(replace(replace(replace(replace({x}, '&quot;', chr(34)), '&lt;', '<'), '&gt;', '>'), '&copy;', '©'), '&middot;', '·'), '&amp;?', '&', 'g')"
 _SQUEEZE = lambda x: f"nullif(trim(regexp_replace({x}, '\\s+', ' ', 'g')), '')"
 
 
