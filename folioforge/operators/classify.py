@@ -50,14 +50,22 @@ NON_BOOK = (
 )
 
 
-def _signals(corpus: Column, words: tuple[str, ...]) -> Column:
-    return F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(corpus, F.concat(F.lit(" "), w, F.lit(" "))))
+def _signals(corpus: Column, tokens: Column, words: tuple[str, ...]) -> Column:
+    """The words that a corpus holds, in the order of ``words``: single ones by its set of tokens, phrases by search."""
+    listed = F.array(*map(F.lit, words))
+    phrases = [w for w in words if " " in w]
+    one = F.array_intersect(listed, tokens)
+    if not phrases:
+        return one
+    said = F.filter(F.array(*map(F.lit, phrases)), lambda w: F.contains(corpus, F.concat(F.lit(" "), w, F.lit(" "))))
+    return T.let(F.concat(one, said), lambda hit: F.when(F.size(hit) < 2, hit).otherwise(F.array_intersect(listed, hit)))
 
 
 def book_relevance(corpus: Column, strong=STRONG_BOOK, weak=WEAK_BOOK, other=NON_BOOK) -> Column:
     """CLS1: struct(relevant, confidence, reason, signals) of a padded corpus."""
-    found = lambda c: F.struct(*[_signals(c, w).alias(n) for n, w in (("strong", strong), ("other", other), ("weak", weak))])
-    return T.let(T.let(corpus, found), _verdict)
+    both = T.let(corpus, lambda c: F.struct(c.alias("c"), F.split(F.trim(c), " ").alias("t")))
+    found = lambda x: F.struct(*[_signals(x["c"], x["t"], w).alias(n) for n, w in (("strong", strong), ("other", other), ("weak", weak))])
+    return T.let(T.let(both, found), _verdict)
 
 
 def _verdict(found: Column) -> Column:
