@@ -130,6 +130,33 @@ def completed(books: DataFrame) -> DataFrame:
     return ledger.completion(ledger.state_counts(rows))
 
 
+def processed_payload(ads: DataFrame, bodies: DataFrame, detected: DataFrame, offers_a: DataFrame, offers_b: DataFrame, cfg: Config = DEFAULT) -> tuple[DataFrame, DataFrame]:
+    """QS16: one payload run from bodies to priced rows: (listings with their status, book rows with prices).
+
+    Listings are merged, those that are new are screened, the detected books of the others are graded, the numbers
+    that may go out are priced by both providers' recorded answers, and each listing's completion follows. ``detected`` has
+    ads_id, book_id, isbn, isbn_is_valid, isbn_confidence, isbn_source, visible_isbn and cost; the offers have isbn, price,
+    status and ord.
+    """
+    new = screened(ingest(ads, bodies).filter("status = 'new'")).select("ads_id", "title", F.col("processing_status").alias("screening"))
+    grade = classify.candidate_class(F.col("isbn"), F.col("isbn_is_valid"), F.col("isbn_confidence"), cfg=cfg)
+    null = lambda kind: F.lit(None).cast(kind)
+    rows = detected.join(new.filter("screening is null").select("ads_id"), "ads_id").withColumn("__g", grade).select("*", "__g.*").drop("__g")
+    rows = rows.withColumns({"momox_status": F.lit("not_sent"), "gibert_status": F.lit("not_sent"), "admin_status": F.lit("new"), "gibert_checked_at": null("timestamp"), "best_resale_platform": null("string"), **{c: null("decimal(10,2)") for c in ("momox_price", "gibert_price", "profit_momox", "profit_gibert", "best_resale_price")}})
+    send, held = send_list(rows, cfg)
+    key = ["ads_id", "isbn"]
+    price = F.col("price").cast("decimal(10,2)").alias("price")
+    a = send.join(relational.first_wins(offers_a, ["isbn"], ["ord"]).select("isbn", price, "status"), "isbn", "left")
+    a = a.select(*key, "price", F.when(F.col("status") == "offer", "momox_price_found").when(F.col("status") == "no_offer", "momox_no_offer").otherwise("momox_failed").alias("status"))
+    b = send.join(relational.first_wins(offers_b, ["isbn"], ["ord"]).select("isbn", price, "status"), "isbn", "left")
+    b = b.select(*key, F.coalesce("price", F.lit(0).cast("decimal(10,2)")).alias("price"), F.coalesce("status", F.lit("gibert_missing")).alias("status"))
+    books = merge.apply_provider_rows(merge.apply_provider_rows(rows, a, "momox", key), b, "gibert", key)
+    books = books.join(held.select("ads_id", "book_id", F.col("reason").alias("not_sent_reason")), ["ads_id", "book_id"], "left")
+    done = completed(books).select("ads_id", "processing_status")
+    status = F.coalesce("screening", "processing_status", F.lit("no_books_detected"))
+    return new.join(done, "ads_id", "left").select("ads_id", "title", status.alias("processing_status")), books
+
+
 def with_seller_prices(books: DataFrame, ads: DataFrame) -> DataFrame:
     """PR8 on the books of a run."""
     found = price.seller_prices(books, ads).select("ads_id", "book_no", F.col("price").alias("book_price"), F.col("source").alias("book_price_source"))

@@ -602,6 +602,6 @@ def offer_decision(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "lineitem").select(F.col("l_orderkey").alias("ads_id"), F.col("l_linenumber").alias("line"), st.alias("status"))
 
 
-from . import counter_queries, flow_queries, ladder_queries, metadata_queries, page_queries, queue_queries, source_queries, text_queries, vector_queries  # noqa: E402, F401  they register their queries
+from . import counter_queries, flow_queries, ladder_queries, metadata_queries, page_queries, queue_queries, run_queries, source_queries, text_queries, vector_queries  # noqa: E402, F401  they register their queries
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
