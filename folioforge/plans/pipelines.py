@@ -283,25 +283,32 @@ def recovered(held: DataFrame, suggestions: DataFrame, looked_up: DataFrame, see
     return s.select("book_id", "ord", F.col("n").alias("isbn13"), F.when(F.col("outcome") == "ok", F.when(first == 1, "merged").otherwise("not_tried")).otherwise(F.col("outcome")).alias("outcome"))
 
 
-def guarded_map(df: DataFrame, call: Callable[[pd.DataFrame], pd.DataFrame], schema: str, keys: Sequence[str]) -> DataFrame:
-    """UD2, QS11: ``call`` on Arrow batches; a batch that fails is tried row by row, and a row that fails becomes
-    one row with its keys and the error."""
+def guarded_map(df: DataFrame, call: Callable[[pd.DataFrame], pd.DataFrame], schema: str, keys: Sequence[str], at_once: int | None = None) -> DataFrame:
+    """UD2, QS11: ``call`` on Arrow batches; a batch that fails is halved until its failing rows stand alone, each of which
+    becomes one row with its keys and the error. So a failure costs twice the logarithm of a batch in calls, not a
+    call for each row. ``at_once`` bounds how many run at a time, as the number of partitions."""
     ship(df.sparkSession)
     names = [f.strip().split()[0] for f in schema.split(",")]
 
+    def tried(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        try:
+            out = call(frame)
+        except Exception as e:
+            if len(frame) > 1:
+                half = len(frame) // 2
+                yield from tried(frame.iloc[:half])
+                yield from tried(frame.iloc[half:])
+            else:
+                yield pd.DataFrame([{**dict.fromkeys(names), **{k: frame[k].iloc[0] for k in keys}, "error": f"{type(e).__name__}: {e}"[:2000]}])[[*names, "error"]]
+            return
+        yield out.assign(error=None)[[*names, "error"]]
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            try:
-                yield call(frame).assign(error=None)[[*names, "error"]]
-            except Exception:
-                for i in range(len(frame)):
-                    row = frame.iloc[i : i + 1]
-                    try:
-                        yield call(row).assign(error=None)[[*names, "error"]]
-                    except Exception as e:
-                        yield pd.DataFrame([{**dict.fromkeys(names), **{k: row[k].iloc[0] for k in keys}, "error": f"{type(e).__name__}: {e}"[:2000]}])[[*names, "error"]]
-
-    return df.mapInPandas(run, f"{schema}, error string")
+            if len(frame):
+                yield from tried(frame)
+
+    return (df if at_once is None else df.coalesce(at_once)).mapInPandas(run, f"{schema}, error string")
 
 
 def tracked_calls(calls: DataFrame, input_per_million: float, output_per_million: float) -> DataFrame:
