@@ -109,8 +109,10 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, least: int = 3, l1: float =
 def graded(rows: list[np.ndarray], toxic: np.ndarray, least: int = 5, odds: float = 3.0) -> np.ndarray:
     """Grades 0, 1, 2 from yes-or-no labels: the toxic half with more marker words is graded 2.
 
-    A marker is a word that toxic sample rows have at least exp(``odds``) times as often as others.
+    A marker is a word that toxic sample rows have at least exp(``odds``) times as often as others. Labels above 0 are
+    toxic, all others are not.
     """
+    toxic = (toxic > 0).astype(np.int64)
     x = _Rows(rows, least)
     yes = x.back(toxic.astype(float))
     no = x.back(1.0 - toxic)
