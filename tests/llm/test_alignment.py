@@ -7,7 +7,7 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
-from test_llm_operators import ROWS, docs, none, odd, prose  # noqa: F401
+from test_llm_operators import ROWS, docs, none, odd  # noqa: F401
 
 from folioforge.llm import alignment
 from folioforge.llm.queries import tokenizer_file

@@ -9,7 +9,7 @@ import re
 from collections import Counter
 
 import pytest
-from test_llm_operators import ROWS, docs, none, odd, prose  # noqa: F401
+from test_llm_operators import ROWS, docs, none, odd  # noqa: F401
 
 from folioforge.llm import pii
 

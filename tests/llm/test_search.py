@@ -3,14 +3,22 @@
 from __future__ import annotations
 
 import math
+import random
 import re
 from collections import Counter
 
 import pytest
-from test_llm_operators import ROWS, docs, none, odd, prose  # noqa: F401
+from test_llm_operators import ROWS, WORDS, docs, none, odd  # noqa: F401
 
 from folioforge.llm import search
 
+RNG = random.Random(21)
+
+
+def prose(n):
+    return " ".join(RNG.choice(WORDS) for _ in range(n))
+
+
 TERM = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -65,8 +73,6 @@ def test_ties_and_copies(spark):
 
 def test_seeds_prune_and_lose_nothing(spark):
     """On skewed terms most of an item's terms generate no candidates, and the lists stay whole."""
-    import random
-
     import numpy as np
 
     rng = random.Random(5)
