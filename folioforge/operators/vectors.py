@@ -89,7 +89,7 @@ def nearest(df: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str =
     length = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").select("n").limit(1)
     rows = rows.join(F.broadcast(length), F.size("v") == F.col("n")).drop("n")
     # classes of equal vectors: their first id stands for them, k + 1 members are enough for anybody's neighbours
-    ranked = rows.withColumn("rep", F.min("id").over(Window.partitionBy("v")))
+    ranked = rows.join(rows.groupBy("v").agg(F.min("id").alias("rep")), "v")
     member_rank = F.row_number().over(Window.partitionBy("v").orderBy("id"))
     members = _stored(rows.withColumn("at", member_rank).filter(F.col("at") <= k + 1).groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("members")).withColumn("rep", F.get("members", F.lit(0))), "classes")
     sample = members.orderBy(F.xxhash64("rep"), "rep").limit(pivots).select("v").toArrow()["v"].combine_chunks()
