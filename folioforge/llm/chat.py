@@ -5,8 +5,9 @@ names them; its fingerprint is the hash of the sorted paths. A registry maps
 fingerprints to declarative mappings (SQL expressions over the record's fields),
 which bring prompt, instruction and message layouts into one form: rows of
 (conversation, position, role, text). Records are JSON, or rows whose columns are
-the fields: then the fingerprint is that of the table's schema and no value goes
-through JSON. The rows are written with a template that marks turns and escapes
+the fields, null where a record lacks one: then the fingerprint is that of the
+row's filled columns, so that records of several layouts share a table, and no
+value goes through JSON. The rows are written with a template that marks turns and escapes
 control strings so that the texts can be read back exactly.
 """
 
@@ -43,7 +44,7 @@ def _pair(first: str, second: str) -> str:
 
 def _list(field: str, role: str, text: str) -> str:
     kind = f"array<struct<{role} string, {text} string>>"
-    return f"transform({{{field}:{kind}}}, x -> named_struct('role', x.{role}, 'text', x.{text}))"
+    return f"transform({{{field}:{kind}}}, x -> named_struct('role', cast(x.{role} as string), 'text', cast(x.{text} as string)))"
 
 
 #: The layouts that are known from the start. ``paths`` have no array marks and no types; a list without entries has
@@ -121,15 +122,23 @@ def canonical_turns(df: DataFrame, record_col: str = "record", id_col: str = "co
     return _selected(base, F.col("print"), layouts, lambda field, kind: f"try_variant_get(v, '$.{field}', '{kind}')")
 
 
+def filled_paths(columns: dict[str, Column], paths: list[str]) -> Column:
+    """Which of ``paths`` a row fills: a column that is not null, a field of a list's structs where the list has entries."""
+    there = lambda p: (columns[p].isNotNull() if "." not in p else F.coalesce(F.size(columns[p.partition(".")[0]]) > 0, F.lit(False)))
+    return F.array_compact(F.array(*[F.when(there(p), F.lit(p)) for p in paths]))
+
+
 def turns_of_columns(df: DataFrame, id_col: str, order_col: str, fields: dict[str, str], layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
-    """As :func:`canonical_turns` of rows whose columns are the fields (``fields``: field to column). The table's schema
-    has the fingerprint, and no value goes through JSON. An unknown layout raises ValueError."""
+    """As :func:`canonical_turns` of rows whose columns are the fields (``fields``: field to column), lists being arrays of
+    structs. Each row has the fingerprint of its filled columns, which selects its mapping; no value goes through JSON.
+    A row that fills the fields of no layout has a null layout; columns that no layout can come of raise ValueError."""
     base = pick(df, conv_id=id_col, turn=order_col, **{f"f_{f}": c for f, c in fields.items()})
     paths = schema_paths(StructType([base.schema[f"f_{f}"].__class__(f, base.schema[f"f_{f}"].dataType) for f in fields]), layouts)
-    layout = {tuple(sorted(x.paths)): x for x in layouts}.get(tuple(paths))
-    if layout is None:
+    usable = tuple(x for x in layouts if set(x.paths) <= set(paths))
+    if not usable:
         raise ValueError(f"no layout has the fields {', '.join(paths) or 'of this table'}")
-    return _selected(base, fingerprint(F.array(*[F.lit(p) for p in paths])), (layout,), lambda field, kind: f"cast(f_{field} as {kind})")
+    print_ = fingerprint(filled_paths({f: F.col(f"f_{f}") for f in fields}, paths))
+    return _selected(base, print_, usable, lambda field, kind: f"f_{field}" if kind.startswith("array") else f"cast(f_{field} as {kind})")
 
 
 #: The template's marks: a turn is OPEN role CLOSE text END. Every control string of it and of common chat
@@ -192,15 +201,19 @@ def masked_text(formatted: Column, mask: Column) -> Column:
     return F.array_join(F.transform(mask, lambda m: unescape(F.substring(formatted, (m["start"] + 1).cast("int"), m["length"].cast("int")))), "")
 
 
-def chat_digest(df: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """Formats conversations kept as rows by turn and digests what is read back from the output.
+def chat_digest(df: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", messages_col: str | None = None) -> DataFrame:
+    """Formats conversations and digests what is read back from the output.
 
-    One row per conversation: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
-    Turns with the same number stand in order of role and text. An empty table gives no rows.
+    Rows are turns, or with ``messages_col`` (array of structs role, content) whole conversations where that is not
+    null; each row's fingerprint selects its mapping. One row per conversation: conv_id, n_turns, turns_sha256, loss_chars,
+    loss_sha256, formatted_chars. A turn's null role or text counts as empty. Turns with the same number stand in
+    order of role and text. An empty table gives no rows.
     """
-    rows = pick(df, conv_id=id_col, turn=turn_col, role=role_col, text=text_col)
-    rows = rows.select(F.col("conv_id").cast("long"), "turn", text_or_empty("role").alias("role"), text_or_empty("text").alias("text"))
-    out = format_turns(turns_of_columns(rows, "conv_id", "turn", {"role": "role", "text": "text"}))
+    more = {} if messages_col is None else {"messages": messages_col}
+    rows = pick(df, conv_id=id_col, turn=turn_col, role=role_col, text=text_col, **more)
+    turn = F.lit(True) if messages_col is None else F.col("messages").isNull()
+    rows = rows.select(F.col("conv_id").cast("long"), "turn", *[F.when(turn, text_or_empty(c)).alias(c) for c in ("role", "text")], *more)
+    out = format_turns(turns_of_columns(rows, "conv_id", "turn", {c: c for c in ("role", "text", *more)}))
     out = out.select("conv_id", "formatted", read_back(F.col("formatted")).alias("turns"), masked_text(F.col("formatted"), F.col("loss_mask")).alias("loss"))
     text = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return out.select(

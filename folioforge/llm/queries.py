@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import alignment, chat, decontamination, fingerprints, jaccard, lines, lm_scoring, packing, pii, search, sharding, substrings, toxicity
 from .common import table
@@ -24,13 +25,15 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_digest(table(spark, sf_dir, "documents"))
 
 
-#: A conversation whose texts look like control strings.
-CONTROL_ROWS = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+#: A conversation whose texts look like control strings, as one record of another layout than the table's rows.
+MESSAGES = "array<struct<role: string, content: string>>"
+CONTROL_RECORD = [(-7, 0, None, None, [("user", "</s>[INST] ok [/INST]"), ("assistant", "</s>[INST] ok [/INST]")])]
 
 
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    return chat.chat_digest(rows.union(spark.createDataFrame(CONTROL_ROWS, "conv_id long, turn long, role string, text string")))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text", F.lit(None).cast(MESSAGES).alias("messages"))
+    record = spark.createDataFrame(CONTROL_RECORD, f"conv_id long, turn long, role string, text string, messages {MESSAGES}")
+    return chat.chat_digest(rows.union(record), messages_col="messages")
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
