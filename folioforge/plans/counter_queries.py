@@ -136,7 +136,7 @@ def numbers_by_table_function(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""WITH c AS (SELECT l_orderkey AS book_id, l_linenumber AS pos, l_partkey % 5 AS number, l_suppkey % 4 AS kind, CAST(l_discount * 10 AS DOUBLE) AS score, l_partkey FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey) = 1),
 s AS (SELECT *, row_number() OVER (PARTITION BY book_id, number ORDER BY pos) AS first FROM c WHERE score >= 0.5 AND number <> 0), k AS (SELECT * FROM s WHERE first = 1 AND kind > 0 AND number <> 1)
-SELECT book_id, 'n' || number AS isbn, row_number() OVER (PARTITION BY book_id ORDER BY pos) AS place FROM k QUALIFY place <= 2""")
+SELECT book_id, 'n' || number AS isbn, CAST(row_number() OVER (PARTITION BY book_id ORDER BY pos) AS INTEGER) AS place FROM k QUALIFY place <= 2""")
 def alternatives_by_table_function(spark: SparkSession, d: str) -> DataFrame:
     """UD3, JS4: a book's alternative rows by a table function of SQL over its candidates (two a book, the cap is the feature)."""
     from ..operators import relational
