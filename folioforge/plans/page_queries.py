@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources import html
 from .registry import query
@@ -34,3 +35,16 @@ FROM (SELECT *, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script
 def page_outline(spark: SparkSession, d: str) -> DataFrame:
     """SRC3 to SRC6 in shape: title, heading, language and number of elements of every page."""
     return html.outline(read(spark, d, "pages"), "page_id", "html")
+
+
+@query("""SELECT page_id, CAST(octet_length(encode(html)) + 1 AS BIGINT) AS length, substr(sha1(html || chr(10)), 1, 16) AS name FROM pages WHERE octet_length(encode(html)) + 1 <= 12000""")
+def downloaded_files(spark: SparkSession, d: str) -> DataFrame:
+    """SRC22, HS1: files as binary rows with their content names, those within the bound on size (the bound is the feature)."""
+    import uuid
+
+    from ..shipping import shared_dir
+    from ..sources import payloads
+
+    path = f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
+    read(spark, d, "pages").select("page_id", "html").repartition("page_id").write.partitionBy("page_id").text(path)
+    return payloads.images(spark, path, 12_000, "*.txt").select(F.col("page_id").cast("long").alias("page_id"), "length", "name")

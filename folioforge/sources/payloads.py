@@ -217,9 +217,16 @@ def probe_covers(probes: DataFrame, least_bytes: int = 2000) -> DataFrame:
     return first_wins(good, ["isbn"], ["try_no"])
 
 
-def images(spark, path: str) -> DataFrame:
-    """SRC22: image files as binary rows."""
-    return spark.read.format("binaryFile").load(path)
+def images(spark, path: str, most_bytes: int = 20_000_000, glob: str | None = None) -> DataFrame:
+    """SRC22: downloaded image files as rows: path, length, content, its content name, and what the folders' names say.
+
+    Files above ``most_bytes`` are not opened: the test of the length reaches the source.
+    """
+    from ..functions.misc import content_name
+
+    reader = spark.read.format("binaryFile")
+    files = (reader if glob is None else reader.option("pathGlobFilter", glob)).load(path).filter(F.col("length") <= most_bytes)
+    return files.withColumn("name", content_name(F.col("content")))
 
 
 def with_optional(df: DataFrame, columns: dict[str, str]) -> DataFrame:
