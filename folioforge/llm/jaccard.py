@@ -73,6 +73,8 @@ class Rule:
     pivots: int = 64
     rounds: int = 4
     core: float = 2.0
+    #: Documents up to which a region is joined whole; above, pivots cut it.
+    small: int = 2
     #: Whether the numbers of shingles of all texts are wanted.
     sized: bool = True
     #: Whether regions are ranked by their texts, and each text keeps its rarest.
@@ -360,8 +362,8 @@ class Pivots:
 class Cell:
     """Links inside one cell: regions, pivots, triangle inequality, union-find."""
 
-    #: Documents up to which a cell is one region; pivots whose distances are kept in a region.
-    SMALL, PIVOTS = 48, 8
+    #: Documents above which a pivot's distances to a region are kept, and the pivots whose distances are.
+    WINDOW, PIVOTS = 48, 8
 
     def __init__(self, sets: list[np.ndarray], rule: Rule) -> None:
         self.sets, self.rule = sets, rule
@@ -428,7 +430,7 @@ class Cell:
             region = todo.pop()
             if len(np.unique(self.roots(region))) == 1:
                 continue
-            if len(region) <= self.SMALL:
+            if len(region) <= self.rule.small:
                 self.join(region)
                 continue
             parts = self.voronoi(region)
@@ -480,7 +482,7 @@ class Cell:
             others = [q for q in region[open_].tolist() if (min(p, q), max(p, q)) not in self.apart]
             if not others:
                 continue
-            full = len(others) > self.SMALL and len(dist) < self.PIVOTS
+            full = len(others) > self.WINDOW and len(dist) < self.PIVOTS
             others = np.array(others)
             both = self.shared(p, region if full else others)
             if full:
