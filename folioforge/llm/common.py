@@ -96,3 +96,15 @@ def text_slices(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iter
         held += n
     if lo < batch.num_rows:
         yield batch.slice(lo)
+
+
+def release_memory() -> None:
+    """Give back what a reused worker's earlier stages have freed: Arrow's pool and the C library keep it otherwise."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)

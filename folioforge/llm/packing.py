@@ -17,10 +17,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pick, stored, worker_cache
+from .common import pick, release_memory, stored, worker_cache
 
 #: Entries of each of the two generations of a worker's cache from white-space separated chunk to its ids.
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 300_000
 #: Punctuation that is cut off a chunk's end; a run of it is one pre-token.
 TAIL = ".,;:!?"
 #: Texts on which a tokenizer that can be taken chunk by chunk gives the same ids as on the whole text.
@@ -95,6 +95,7 @@ class ChunkEncoder(dict):
 def worker_encoder(path: str) -> ChunkEncoder:
     held = worker_cache("packing")
     if path not in held:
+        release_memory()
         held[path] = ChunkEncoder(path)
     return held[path]
 
