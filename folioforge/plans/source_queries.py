@@ -211,8 +211,9 @@ def provider_b_pages(spark: SparkSession, d: str) -> DataFrame:
     row = joined("<tr><td>", F.col("isbn"), '</td> <td class="product-item-name">', F.col("p_name"), "</td> ", cell, "</tr>")
     page = joined('<html><body><table id="product_list"><tr><th>x</th></tr>', row, row, '</table><div id="total_amount"><span class="price">', money, '</span></div><div id="totalTirelire"><span class="price">2,25 €</span></div><span id="itemscount">1</span></body></html>')
     p = parts(spark, d).select("part", page.alias("html"))
-    rows = pages.offer_pages(p, "part", "html").select("part", "isbn", "title", "price", "status")
-    return rows.join(pages.offer_totals(p, "part", "html").select("part", "total", "voucher", "item_count"), "part")
+    held = pages.Pages(p, "part", "html")
+    rows = pages.offer_pages(p, "part", "html", held).select("part", "isbn", "title", "price", "status")
+    return rows.join(pages.offer_totals(p, "part", "html", held).select("part", "total", "voucher", "item_count"), "part")
 
 
 @query(f"SELECT p_partkey AS part, {_ISBN} AS isbn13 FROM part WHERE p_partkey % 4 <> 3")

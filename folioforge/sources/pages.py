@@ -104,9 +104,12 @@ def euro(c: Column) -> Column:
     return F.when(kept == "", 0.0).otherwise(F.when(kept.rlike("[0-9]"), kept.try_cast("double")))
 
 
-def offer_pages(df: DataFrame, key: str, html: str) -> DataFrame:
-    """SRC6: rows of the offer table: number, title, picture, price or an explicit refusal; the first of each number."""
-    p = Pages(df, key, html)
+def offer_pages(df: DataFrame, key: str, html: str, held: Pages | None = None) -> DataFrame:
+    """SRC6: rows of the offer table: number, title, picture, price or an explicit refusal; the first of each number.
+
+    ``held`` are the pages' elements where they are known already.
+    """
+    p = held or Pages(df, key, html)
     listed = p.first(attr("id") == "product_list", "t")
     rows = p.inside(listed, p.find(F.col("tag") == "tr"), "t").select("k", F.col("pos").alias("tr_pos"), F.col("end").alias("tr_end"))
     rows = p.text(rows, "tr", "said").withColumn("text", F.coalesce(squeezed(F.col("said")), F.lit("")))
@@ -132,9 +135,9 @@ def offer_pages(df: DataFrame, key: str, html: str) -> DataFrame:
     return _ordered(out, key, "tr_pos")
 
 
-def offer_totals(df: DataFrame, key: str, html: str) -> DataFrame:
-    """SRC6, SRC7: totals and count that an offer page states; a row a page."""
-    p = Pages(df, key, html)
+def offer_totals(df: DataFrame, key: str, html: str, held: Pages | None = None) -> DataFrame:
+    """SRC6, SRC7: totals and count that an offer page states; a row a page. ``held`` as in :func:`offer_pages`."""
+    p = held or Pages(df, key, html)
     out = p.pages.distinct()
 
     def said(holder: DataFrame, name: str, into: str) -> DataFrame:
