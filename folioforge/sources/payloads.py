@@ -220,7 +220,8 @@ def probe_covers(probes: DataFrame, least_bytes: int = 2000) -> DataFrame:
 def images(spark, path: str, most_bytes: int = 20_000_000, glob: str | None = None) -> DataFrame:
     """SRC22: downloaded image files as rows: path, length, content, its content name, and what the folders' names say.
 
-    Files above ``most_bytes`` are not opened: the test of the length reaches the source.
+    Files above ``most_bytes`` are not opened: the test of the length reaches the source. Each file is listed and opened
+    by itself; many small ones are better kept as rows, see :func:`downloads`.
     """
     from ..functions.misc import content_name
 
@@ -229,6 +230,15 @@ def images(spark, path: str, most_bytes: int = 20_000_000, glob: str | None = No
     return files.withColumn("name", content_name(F.col("content")))
 
 
+def downloads(rows: DataFrame, most_bytes: int = 20_000_000, content: str = "content") -> DataFrame:
+    """SRC22: downloads that are kept as rows of a table, with length and content name; those above ``most_bytes`` and those
+    without content are left out. As many rows lie in a file as the table has, so nothing is done for each download."""
+    from ..functions.misc import content_name
+
+    sized = rows.withColumn("length", F.octet_length(content).cast("long")).filter(F.col("length") <= most_bytes)
+    return sized.withColumn("name", content_name(F.col(content)))
+
+
 def with_optional(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """SRC23, SRC24, PRD2: optional columns that the table lacks, as typed nulls."""
     return df.withColumns({c: F.lit(None).cast(t) for c, t in columns.items() if c not in df.columns})
