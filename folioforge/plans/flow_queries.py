@@ -371,13 +371,8 @@ def guarded_calls(spark: SparkSession, d: str) -> DataFrame:
     """UD2: each item's parsed answer or its error; the answers of some events are no JSON."""
     import json
 
-    import pandas as pd
-
-    def call(frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"event_id": frame["event_id"], "k": [json.loads(p)["k"] for p in frame["answer"]]})
-
     answer = F.when((F.col("event_type") == "error") & (F.col("value") > 40), "<html>").otherwise(F.col("props"))
-    return pipelines.guarded_map(read(spark, d, "events").select("event_id", answer.alias("answer")), call, "event_id long, k long", ["event_id"])
+    return pipelines.guarded_each(read(spark, d, "events").select("event_id", answer.alias("answer")), lambda event_id, answer: (event_id, json.loads(answer)["k"]), "event_id long, k long", ["event_id"])
 
 
 @query("""WITH b AS (SELECT o_orderkey AS book_id, o_custkey, o_orderkey % 4 AS m FROM orders) SELECT book_id, CASE m WHEN 0 THEN 'visible_isbn' WHEN 1 THEN 'isbnsearch' WHEN 2 THEN 'ai_verified' ELSE 'volumes' END AS isbn_source, CAST(CASE m WHEN 0 THEN 1.0 WHEN 1 THEN 0.9 WHEN 2 THEN 0.6 ELSE 0.55 END AS DOUBLE) AS isbn_confidence FROM b WHERE NOT (m = 3 AND o_custkey % 2 = 0)""")

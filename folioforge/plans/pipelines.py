@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..config import DEFAULT, Config
 from ..functions import isbn as I  # noqa: E741
@@ -286,31 +289,59 @@ def recovered(held: DataFrame, suggestions: DataFrame, looked_up: DataFrame, see
 def guarded_map(df: DataFrame, call: Callable[[pd.DataFrame], pd.DataFrame], schema: str, keys: Sequence[str], at_once: int | None = None) -> DataFrame:
     """UD2, QS11: ``call`` on Arrow batches; a batch that fails is halved until its failing rows stand alone, each of which
     becomes one row with its keys and the error. So a failure costs twice the logarithm of a batch in calls, not a
-    call for each row. ``at_once`` bounds how many run at a time, as the number of partitions."""
+    call for each row; where many rows fail, or a call takes one row anyway, see :func:`guarded_each`. ``at_once``
+    bounds how many run at a time, as the number of partitions."""
     ship(df.sparkSession)
     names = [f.strip().split()[0] for f in schema.split(",")]
 
-    def tried(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    def tried(frame: pd.DataFrame, good: list[pd.DataFrame], bad: list[dict]) -> None:
         try:
-            out = call(frame)
+            good.append(call(frame))
         except Exception as e:
             if len(frame) > 1:
                 half = len(frame) // 2
-                yield from tried(frame.iloc[:half])
-                yield from tried(frame.iloc[half:])
+                tried(frame.iloc[:half], good, bad)
+                tried(frame.iloc[half:], good, bad)
             else:
-                yield pd.DataFrame([{**dict.fromkeys(names), **{k: frame[k].iloc[0] for k in keys}, "error": f"{type(e).__name__}: {e}"[:2000]}])[[*names, "error"]]
-            return
-        yield out.assign(error=None)[[*names, "error"]]
+                bad.append({**dict.fromkeys(names), **{k: frame[k].iloc[0] for k in keys}, "error": f"{type(e).__name__}: {e}"[:2000]})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             if len(frame):
-                yield from tried(frame)
+                good, bad = [], []
+                tried(frame, good, bad)
+                if good:  # pieces of several types are joined as objects, which keeps whole numbers whole
+                    good = [p[names] for p in good]
+                    same = all(p.dtypes.equals(good[0].dtypes) for p in good)
+                    yield pd.concat(good if same else [p.astype(object) for p in good], ignore_index=True).assign(error=None)
+                if bad:
+                    yield pd.DataFrame(bad)[[*names, "error"]]
 
     return (df if at_once is None else df.coalesce(at_once)).mapInPandas(run, f"{schema}, error string")
 
 
+def guarded_each(df: DataFrame, call: Callable[..., tuple], schema: str, keys: Sequence[str]) -> DataFrame:
+    """UD2, QS11: ``call`` on the columns of one row after another, each exactly once, gives the values of ``schema``; a row
+    that fails becomes one row with its keys and the error. A failure costs no more than a success."""
+    ship(df.sparkSession)
+    fields = StructType.fromDDL(f"{schema}, error string")
+    out, columns = to_arrow_schema(fields), df.columns
+    places = [columns.index(n) if n in keys else None for n in fields.names[:-1]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for row in zip(*[c.to_pylist() for c in batch.columns]):
+                try:
+                    rows.append((*call(*row), None))
+                except Exception as e:
+                    rows.append((*[None if i is None else row[i] for i in places], f"{type(e).__name__}: {e}"[:2000]))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*rows), out)], schema=out)
+
+    return df.mapInArrow(run, fields)
+
+
 def tracked_calls(calls: DataFrame, input_per_million: float, output_per_million: float) -> DataFrame:
     """UD7, NM4, AG8: recorded model calls with their cost."""
     from ..functions.numbers import token_usd
