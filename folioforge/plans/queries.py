@@ -17,7 +17,7 @@ from ..sources import pages
 from ..streaming import queue
 from .queue_queries import ROCKS, streamed
 from .registry import ORACLE_SQL, QUERIES, query
-from .tables import best_offers, book_states, line_measure, line_sides, offers, priced_books, read, token_sides
+from .tables import best_offers, book_states, line_measure, line_sides, offers, priced_books, read, spread, token_sides
 
 # --- SQL fragments
 
@@ -514,7 +514,7 @@ def price_text_parse(spark: SparkSession, d: str) -> DataFrame:
 def description_price_lines(spark: SparkSession, d: str) -> DataFrame:
     """PR5, PR6, UD3: two lines in each part's description, a row for each entry."""
     text = F.concat_ws("\n", F.concat(F.lit("- "), F.col("p_name"), F.lit(" tome 1 et 2 : "), F.col("p_size").cast("string"), F.lit(" €")), F.concat(F.lit("« "), F.col("p_brand"), F.lit(" » Auteur / 2,50€")), F.lit("Envoi rapide possible 3€"))
-    rows = read(spark, d, "part").select(F.col("p_partkey").alias("ads_id"), text.alias("description"))
+    rows = spread(read(spark, d, "part"), "p_partkey").select(F.col("p_partkey").alias("ads_id"), text.alias("description"))
     return price.description_entries(rows).select("ads_id", "ord", "title", "author", "volume", "price", "distributed", "group_size")
 
 

@@ -16,6 +16,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt by ``key`` to four tasks for each core, for work that costs much for each row: the few megabytes of a table of
+    millions of short rows are read by one task or two, which would then do all of it."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(ads_id, part, supplier, line, price): line items as provider offers; price is extended price × discount."""
     price = F.round(F.col("l_extendedprice").cast("decimal(12,2)") * F.col("l_discount").cast("decimal(4,2)"), 2).cast("decimal(12,2)")
