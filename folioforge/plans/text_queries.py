@@ -9,7 +9,7 @@ from ..functions import isbn, misc, similarity
 from ..functions import text as T
 from .ladder_queries import SIMILARITY_STOP, prefix_sql, similarity_sql, words_sql
 from .registry import made, made_sql, query, share, turn
-from .tables import read
+from .tables import read, spread
 
 _PLAIN = "strip_accents(replace(replace(lower(text), 'œ', 'oe'), 'æ', 'ae'))"
 _AZ = lambda x: f"trim(regexp_replace({x}, '[^a-z0-9]+', ' ', 'g'))"
@@ -127,6 +127,6 @@ def numbers_in_text(spark: SparkSession, d: str) -> DataFrame:
     ten = isbn.thirteen_to_ten(n)
     more = F.when(F.col("p_partkey") % 2 == 0, "; 123456789X").otherwise("; 1234567890")
     said = F.concat(F.lit("ISBN "), F.substring(n, 1, 3), F.lit("-"), F.substring(n, 4, 10), F.lit(" https://x.test/dp/"), ten, F.lit("?a=b, ou ("), ten, F.lit(")"), more)
-    rows = read(spark, d, "part").select(F.col("p_partkey").alias("part"), F.explode(isbn.find_in_text(said)).alias("f"))
+    rows = spread(read(spark, d, "part"), "p_partkey").select(F.col("p_partkey").alias("part"), F.explode(isbn.find_in_text(said)).alias("f"))
     # the product path's number also stands alone
     return rows.select("part", "f.via", "f.isbn13").distinct()
