@@ -9,7 +9,7 @@ from ..operators import classify, ledger, merge, relational
 from ..streaming import queue
 from . import pipelines
 from .registry import made, made_sql, query, share, turn
-from .tables import offers, read
+from .tables import offers, read, spread
 
 _O = "o AS (SELECT l_orderkey AS ads_id, l_partkey AS part, l_suppkey AS supplier, l_linenumber AS line, CAST(round(CAST(l_extendedprice AS DECIMAL(12,2)) * CAST(l_discount AS DECIMAL(4,2)), 2) AS DECIMAL(12,2)) AS price FROM lineitem)"
 
@@ -397,9 +397,10 @@ def seller_price_cascade(spark: SparkSession, d: str) -> DataFrame:
     from ..functions import price
 
     k, m = F.col("p_partkey"), F.col("p_partkey") % 4
-    ads = read(spark, d, "part").select(k.alias("ads_id"), F.when(m == 0, F.col("p_size") + F.lit(0.5)).alias("price_amount"), F.when(m == 2, "Lot de livres 3,50 € piece").otherwise("Livres").alias("title"), F.when(m == 1, F.concat(F.lit("« Premier grand livre » Ann Bee "), F.col("p_size"), F.lit(" €"))).alias("description"))
+    part = spread(read(spark, d, "part"), "p_partkey")
+    ads = part.select(k.alias("ads_id"), F.when(m == 0, F.col("p_size") + F.lit(0.5)).alias("price_amount"), F.when(m == 2, "Lot de livres 3,50 € piece").otherwise("Livres").alias("title"), F.when(m == 1, F.concat(F.lit("« Premier grand livre » Ann Bee "), F.col("p_size"), F.lit(" €"))).alias("description"))
     lone = lambda c: F.lit(None).cast("string").alias(c)
-    books = read(spark, d, "part").select(k.alias("ads_id"), F.explode(F.when(m == 0, F.array(F.lit(1))).otherwise(F.array(F.lit(1), F.lit(2)))).alias("book_no"))
+    books = part.select(k.alias("ads_id"), F.explode(F.when(m == 0, F.array(F.lit(1))).otherwise(F.array(F.lit(1), F.lit(2)))).alias("book_no"))
     books = books.select("ads_id", "book_no", F.when(F.col("book_no") == 1, "Premier grand livre").otherwise("Autre chose").alias("title"), lone("possible_corrected_title"), lone("lookup_title"), lone("raw_visible_text"), lone("author"), lone("lookup_authors"))
     return price.seller_prices(books, ads).select("ads_id", "book_no", "price", "source")
 

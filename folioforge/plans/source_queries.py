@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from ..functions import isbn
 from ..sources import payloads
 from .registry import query
-from .tables import read
+from .tables import read, spread
 from .text_queries import _ISBN
 
 
 def parts(spark: SparkSession, d: str) -> DataFrame:
     """Parts with the columns that all bodies are made of."""
-    return read(spark, d, "part").select(F.col("p_partkey").cast("long").alias("part"), "p_name", "p_brand", "p_size", F.pmod(F.col("p_partkey"), F.lit(6)).alias("m"), isbn.synthetic(F.col("p_partkey")).alias("isbn"))
+    return spread(read(spark, d, "part"), "p_partkey").select(F.col("p_partkey").cast("long").alias("part"), "p_name", "p_brand", "p_size", F.pmod(F.col("p_partkey"), F.lit(6)).alias("m"), isbn.synthetic(F.col("p_partkey")).alias("isbn"))
 
 
 def js(**fields: Column) -> Column:
