@@ -80,19 +80,21 @@ def after_failure(jobs: DataFrame, failures: DataFrame, as_of: Column, most: int
 
     While attempts are left a job is queued again after a delay, else it has failed for good. Either way its lock is
     freed, stage, error and time of change are set, progress stays (30 where there is none). Only queued or
-    running jobs change.
+    running jobs change. Messages are long and often the same, so jobs meet their digests and each message travels once.
     """
-    said = failures.select("job_id", F.col("error_code").alias("__code"), F.col("message").alias("__message"))
-    j = jobs.join(said, "job_id", "left")
+    digest = F.sha2("message", 256).alias("__digest")
+    said = failures.select("job_id", F.col("error_code").alias("__code"), digest)
+    texts = failures.select(digest, F.substring("message", 1, 2000).alias("__message")).filter("__digest is not null").distinct()
+    j = jobs.join(said, "job_id", "left").join(texts, "__digest", "left")
     on = F.col("__code").isNotNull() & F.col("status").isin("queued", "processing")
     again = F.col("attempts") < most
     state = F.when(again, "queued").otherwise("failed")
     changes = {
-        "status": state, "stage": state, "progress": F.coalesce("progress", F.lit(30)), "error_code": F.col("__code"), "error_message": F.substring("__message", 1, 2000),
+        "status": state, "stage": state, "progress": F.coalesce("progress", F.lit(30)), "error_code": F.col("__code"), "error_message": F.col("__message"),
         "next_run_at": F.when(again, F.timestamp_seconds(F.unix_timestamp(as_of) + retry_delay_seconds(F.col("attempts")))).otherwise(F.col("next_run_at")),
         "finished_at": F.when(again, F.col("finished_at")).otherwise(as_of),
     }
-    return _freed(j, on, as_of, changes).drop("__code", "__message")
+    return _freed(j, on, as_of, changes).select(*jobs.columns)
 
 
 def after_stale_lock(jobs: DataFrame, as_of: Column, minutes: int = 90, most: int = 3) -> DataFrame:
