@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import isbn
@@ -36,10 +36,10 @@ def _jobs(spark: SparkSession, d: str) -> DataFrame:
     return jobs.withColumns({"locked_at": at, "started_at": at, "locked_by": F.lit("w"), "error_message": F.lit("m"), "next_run_at": none("timestamp"), "finished_at": none("timestamp"), "updated_at": none("timestamp")}).drop("locked")
 
 
-def _shown(jobs: DataFrame) -> DataFrame:
-    """What a transition sets, with times in seconds from the clock."""
+def _shown(jobs: DataFrame, *more: Column) -> DataFrame:
+    """What a transition sets, with times in seconds from the clock, and ``more``."""
     second = lambda c: (F.unix_timestamp(c) - F.unix_timestamp(F.lit(_NOW).cast("timestamp"))).alias(c)
-    return jobs.select("job_id", "status", "stage", "progress", "error_code", F.col("error_message").alias("message"), F.col("locked_at").isNotNull().alias("locked"), F.col("locked_by").isNotNull().alias("owned"), second("next_run_at"), second("finished_at"), second("updated_at"))
+    return jobs.select("job_id", "status", "stage", "progress", "error_code", F.col("error_message").alias("message"), F.col("locked_at").isNotNull().alias("locked"), F.col("locked_by").isNotNull().alias("owned"), second("next_run_at"), second("finished_at"), second("updated_at"), *more)
 
 
 _FAILED = "(job_id % 3 = 0 AND status IN ('queued', 'processing'))"
@@ -87,8 +87,7 @@ def reconciled_runs(spark: SparkSession, d: str) -> DataFrame:
     said = F.get(F.array(*[F.lit(x) for x in ("RUNNING", " succeeded", "FAILED", "READY", "timed-out", "")]), (F.col("job_id") % 6).cast("int"))
     ended = F.when(F.col("job_id") % 2 == 0, F.timestamp_seconds(F.unix_timestamp(F.lit(_NOW).cast("timestamp")) - F.col("job_id") % 7 * 60))
     runs = jobs.filter("apify_run_id is not null").select("apify_run_id", said.alias("run_status"), ended.alias("run_finished_at"))
-    out = queue.after_run_check(jobs, runs, F.lit(_NOW).cast("timestamp"))
-    return _shown(out).join(out.select("job_id", F.col("apify_status").alias("run_status")), "job_id")
+    return _shown(queue.after_run_check(jobs, runs, F.lit(_NOW).cast("timestamp")), F.col("apify_status").alias("run_status"))
 
 
 # --- choices in order
