@@ -112,7 +112,7 @@ def raw_text_title(c: Column) -> Column:
 
 def main_title(c: Column) -> Column:
     """Text before the first of : ; ( [ (TX11)."""
-    return F.get(F.split(text(c), "[:;(\\[]"), F.lit(0))
+    return F.get(F.split(text(c), "[:;(\\[]", 2), F.lit(0))
 
 
 #: Stop words of the token sets (TX12).
@@ -132,8 +132,13 @@ def token_set(normal: Column, least: int = 1, stop: tuple[str, ...] = ()) -> Col
     return F.array_distinct(token_list(normal, least, stop))
 
 
+def normal_similarity_tokens(normal: Column) -> Column:
+    """:func:`similarity_tokens` of a text that :func:`normalize_unicode` made."""
+    return token_set(normal, 2, STOP_SIMILARITY)
+
+
 def similarity_tokens(c: Column) -> Column:
-    return token_set(normalize_unicode(c), 2, STOP_SIMILARITY)
+    return normal_similarity_tokens(normalize_unicode(c))
 
 
 def title_tokens(c: Column) -> Column:

@@ -11,14 +11,13 @@ is left is scored exactly.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..shipping import shared_dir
+from ..shipping import stored as _stored
 
 #: (shared, n, m) to a similarity that does not fall as shared grows.
 Measure = Callable[[Column, Column, Column], Column]
@@ -32,12 +31,6 @@ def jaccard(shared: Column, n: Column, m: Column) -> Column:
     return shared.cast("double") / (n + m - shared)
 
 
-def _stored(df: DataFrame, name: str) -> DataFrame:
-    path = f"{shared_dir(df.sparkSession)}/folioforge-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 @dataclass
 class TokenSets:
     """Both sides with their tokens as numbers: ``left`` (l, n, codes), ``right`` (r, m, codes), ``places`` (code, r, m,
@@ -66,14 +59,17 @@ class TokenSets:
         return TokenSets(lefts, rights, places.select("code", "r", "m", (F.col("size") - F.col("j")).alias("m_left")))
 
     def met(self, measure: Measure, left: DataFrame, bound: Column, rights: DataFrame | None = None) -> DataFrame:
-        """(l, r, n, m, shared) of the pairs that share one of the tokens ``left`` (l, n, n_left, code) asks for and whose measure can reach ``bound`` (over n, m, l and r's columns)."""
+        """(l, r, n, m, shared) of the pairs that share one of the tokens ``left`` (l, n, n_left, code) asks for and whose measure can reach ``bound`` (over n, m, l and r's columns)
+        with the tokens from the first that ``left`` asks for on; pairs that share earlier ones too may be left out."""
         places = self.places if rights is None else self.places.join(rights, "r")
         frequent = F.col("code") % 2 == 1
         salts = F.when(frequent, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
         asked = left.withColumn("salt", F.when(frequent, F.pmod(F.xxhash64("l"), F.lit(SALTS)).cast("int")).otherwise(0))
         pairs = asked.join(places.withColumn("salt", F.explode(salts)), ["code", "salt"])
         most = measure(F.least("n_left", "m_left"), F.col("n"), F.col("m"))
-        pairs = pairs.filter(most >= bound).groupBy("l", "r", "n", "m").agg(F.count("*").alias("__tokens"))
+        pairs = pairs.filter(most >= bound).groupBy("l", "r", "n", "m").agg(F.count("*").alias("__tokens"), F.min(F.least("n_left", "m_left")).alias("__rest"), F.max(bound).alias("__least"))
+        # what meets here comes first in both sets; after the last of it no more than its rest can follow
+        pairs = pairs.filter(measure(F.col("__tokens") + F.col("__rest") - 1, F.col("n"), F.col("m")) >= F.col("__least")).select("l", "r", "n", "m")
         full = pairs.join(self.left.select("l", F.col("codes").alias("x")), "l").join(self.right.select("r", F.col("codes").alias("y")), "r")
         return full.select("l", "r", "n", "m", F.size(F.array_intersect("x", "y")).alias("shared"))
 

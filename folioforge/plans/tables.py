@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import isbn, similarity
 from ..functions import text as T
 from ..operators.merge import best_offer
+from ..shipping import stored
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,15 +78,24 @@ def line_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
     (l, tokens) of the distinct lines, (r, tokens) of the items, (g, l) of the documents that have a line, and (l, r, score) of
     the pairs of which one's main title is the other's start; these meet on its first 12 characters.
     """
-    lines = read(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n", -1)).alias("title")).distinct().withColumn("l", F.xxhash64("title"))
+    lines = read(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n", -1)).alias("title")).withColumn("l", F.xxhash64("title"))
     items = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("r"), F.col("text").alias("title"))
-    sided = lambda df, key: df.select(key, T.similarity_tokens(F.col("title")).alias("tokens"), T.normalize_unicode(T.main_title(F.col("title"))).alias("main"))
-    left, right = sided(lines.select("l", "title").dropDuplicates(["l"]), "l"), sided(items, "r")
+
+    def sided(df: DataFrame, key: str) -> DataFrame:
+        title, normal = F.col("title"), F.col("normal")
+        # the main title is most often the whole one, which is normalised already
+        main = F.when(title.rlike("[:;(\\[]"), T.normalize_unicode(T.main_title(title))).otherwise(normal)
+        return df.withColumn("normal", T.normalize_unicode(title)).select(key, T.normal_similarity_tokens(normal).alias("tokens"), main.alias("main"))
+
+    # lines are cut into tokens once: every step below reads them several times
+    left = stored(sided(lines.select("l", "title").distinct(), "l"), "lines")
+    right = stored(sided(items, "r"), "items")
+    members = stored(lines.select(F.col("doc_id").alias("g"), "l").distinct(), "members")
     long = lambda df, key, size, main: df.filter((F.length("main") >= 12) & (F.size("tokens") > 0)).select(key, F.size("tokens").alias(size), F.col("tokens").alias(f"{size}_tokens"), F.col("main").alias(main), F.substring("main", 1, 12).alias("start"))
     started = long(left, "l", "n", "x").join(long(right, "r", "m", "y"), "start").filter(similarity.prefix_match(F.col("x"), F.col("y")))
     shared = F.size(F.array_intersect("n_tokens", "m_tokens"))
     scored = started.select("l", "r", similarity.counted_similarity(shared, F.col("n"), F.col("m"), F.lit(True)).alias("score"))
-    return left.select("l", "tokens"), right.select("r", "tokens"), lines.select(F.col("doc_id").alias("g"), "l"), scored
+    return left.select("l", "tokens"), right.select("r", "tokens"), members, stored(scored, "started")
 
 
 def line_measure(shared: Column, n: Column, m: Column) -> Column:

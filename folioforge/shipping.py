@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -40,3 +41,10 @@ def shared_dir(spark: SparkSession) -> str:
         path = tempfile.mkdtemp(prefix="folioforge-")
     spark.sparkContext.setCheckpointDir(path)
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a Parquet table of the shared folder: what several steps read is made once."""
+    path = f"{shared_dir(df.sparkSession)}/folioforge-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
