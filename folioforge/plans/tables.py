@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +24,14 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, key)
 
 
+def each_once(df: DataFrame, keys: list[str], *columns: Column) -> DataFrame:
+    """Adds ``columns``, which cost much and depend on ``keys`` alone: they are made once for each different combination of
+    keys, nulls included, and joined back."""
+    made = df.select(*keys).distinct().select(*[F.col(k).alias(f"__{k}") for k in keys], *columns)
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+    return df.join(made, same).drop(*[f"__{k}" for k in keys])
+
+
 def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(ads_id, part, supplier, line, price): line items as provider offers; price is extended price × discount."""
     price = F.round(F.col("l_extendedprice").cast("decimal(12,2)") * F.col("l_discount").cast("decimal(4,2)"), 2).cast("decimal(12,2)")

@@ -9,7 +9,7 @@ from ..functions import isbn, misc, similarity
 from ..functions import text as T
 from .ladder_queries import SIMILARITY_STOP, prefix_sql, similarity_sql, words_sql
 from .registry import made, made_sql, query, share, turn
-from .tables import read, spread
+from .tables import each_once, read, spread
 
 _PLAIN = "strip_accents(replace(replace(lower(text), 'œ', 'oe'), 'æ', 'ae'))"
 _AZ = lambda x: f"trim(regexp_replace({x}, '[^a-z0-9]+', ' ', 'g'))"
@@ -73,10 +73,11 @@ _KX, _KY = (f"array_to_string(list_sort(list_distinct({words_sql(c, 2, SIMILARIT
 def title_pairs(spark: SparkSession, d: str) -> DataFrame:
     """SIM1, SIM2, SIM4, SIM7, SIM10, SIM13."""
     a, b, s = F.col("a"), F.col("b"), similarity
-    return made(spark, d, _PAIR).select(
-        "ads_id", "line", s.token_similarity(a, b).alias("tokens"), s.provider_title_similarity(a, b).alias("provider"), s.union_title_similarity(a, b).alias("jaccard"), s.work_prefix_match(a, b).alias("prefix"),
+    return each_once(
+        made(spark, d, _PAIR).select("ads_id", "line", "a", "b"), ["a", "b"],
+        s.token_similarity(a, b).alias("tokens"), s.provider_title_similarity(a, b).alias("provider"), s.union_title_similarity(a, b).alias("jaccard"), s.work_prefix_match(a, b).alias("prefix"),
         s.title_only_score(a, b).alias("title_only"), s.exact_title(b, a).alias("exact"), s.article_insensitive_title(b, a).alias("same_words"),
-    )
+    ).drop("a", "b")
 
 
 @query(f"""WITH {made_sql(_PAIR)} SELECT ads_id, line, CASE WHEN coalesce(e, '') = '' THEN c WHEN coalesce(c, '') = '' OR length(e) > length(c) + 2 THEN e ELSE c END AS better,
