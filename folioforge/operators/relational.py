@@ -118,7 +118,7 @@ def _ranked(covers: DataFrame, group: str) -> DataFrame:
 def single_winner(covers: DataFrame, group: str, cfg: Config = DEFAULT) -> DataFrame:
     """WN5, CLS21: (group, decision, isbn13, best, gap): a strong best cover wins if it leads enough."""
     lead = F.lead("similarity").over(Window.partitionBy(group).orderBy("__rk"))
-    rows = _ranked(covers, group).withColumn("__gap", F.coalesce(F.round(F.col("similarity") - lead, 2), F.lit(1.0))).filter("__rk = 1")
+    rows = _ranked(covers, group).filter("__rk <= 2").withColumn("__gap", F.coalesce(F.round(F.col("similarity") - lead, 2), F.lit(1.0))).filter("__rk = 1")
     strong = strong_cover(F.col("match_status"), F.col("similarity"), F.col("confidence"), cfg)
     decision = F.when(strong & (F.col("__gap") >= cfg.cover_gap), "selected").when(F.col("similarity") < cfg.no_match_similarity, "no_match").otherwise("needs_verification")
     return rows.select(group, decision.alias("decision"), F.when(decision == "selected", F.col("isbn13")).alias("isbn13"), F.col("similarity").alias("best"), F.col("__gap").alias("gap"))
