@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import let, text
@@ -100,3 +100,59 @@ def from_url(c: Column) -> Column:
 def synthetic(number: Column) -> Column:
     """A valid book number made from a row number, for fixtures."""
     return _with_check(F.concat(F.lit("978"), F.lpad(F.pmod(number, F.lit(1_000_000_000)).cast("string"), 9, "0")))
+
+
+# --- the same over whole columns of a frame. Lambdas are interpreted for each row; here each step is bound as a column, so
+# that the arithmetic on whole numbers is compiled.
+
+
+def _bound(df: DataFrame, **cols: Column) -> DataFrame:
+    """``df`` with the columns, each computed once: Catalyst copies no expression through a generator."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in cols.items()]))))
+
+
+def _place(n: Column, i: int) -> Column:
+    """Digit i (from 1) of the twelve of a whole number."""
+    return F.call_function("div", n, F.lit(10 ** (12 - i))) % 10
+
+
+def _check13(n: Column) -> Column:
+    total = sum((_place(n, i) * (1 if i % 2 else 3) for i in range(1, 13)), F.lit(0))
+    return F.pmod(F.lit(10) - total, F.lit(10)).cast("string")
+
+
+def _sum10(n: Column) -> Column:
+    """Weighted sum of the last nine digits."""
+    return sum((_place(n, i + 3) * (11 - i) for i in range(1, 10)), F.lit(0))
+
+
+def with_normal(df: DataFrame, c: Column, name: str) -> DataFrame:
+    """``df`` with :func:`normalize` of ``c`` as the column ``name``."""
+    s, n, end = (F.col(f"__{x}") for x in ("s", "n", "end"))
+    kept = df.columns
+    df = _bound(df, __s=clean(c))
+    long, short = s.rlike("^[0-9]{13}$"), s.rlike("^[0-9]{9}[0-9X]$")
+    whole = F.when(long, F.substring(s, 1, 12).cast("long")).when(short, F.substring(s, 1, 9).cast("long") + 978_000_000_000)
+    last = F.when(long, F.substring(s, 13, 1)).when(short, F.substring(s, 10, 1))
+    df = _bound(df, __n=whole, __end=last)
+    df = _bound(df, __check=_check13(n), __sum=_sum10(n))
+    ten = F.pmod(F.col("__sum") + F.when(end == "X", 10).otherwise(end.try_cast("int")), F.lit(11)) == 0
+    of = F.when(F.length(s) == 13, F.when(F.col("__check") == end, s)).when(ten, F.concat(n.cast("string"), F.col("__check")))
+    return _bound(df, **{name: of}).select(*kept, name)
+
+
+def with_synthetic(df: DataFrame, number: Column, name: str) -> DataFrame:
+    """``df`` with :func:`synthetic` of ``number`` as the column ``name``."""
+    kept, n = df.columns, F.col("__n")
+    df = _bound(df, __n=F.pmod(number.cast("long"), F.lit(1_000_000_000)) + 978_000_000_000)
+    return _bound(df, **{name: F.concat(n.cast("string"), _check13(n))}).select(*kept, name)
+
+
+def with_ten(df: DataFrame, c: Column, name: str) -> DataFrame:
+    """``df`` with :func:`thirteen_to_ten` of ``c`` as the column ``name``."""
+    kept, n, d = df.columns, F.col("__n"), F.col("__d")
+    df = _bound(df, __s=c.cast("string"))
+    df = _bound(df, __n=F.when(F.col("__s").rlike("^978[0-9]{10}$"), F.substring("__s", 1, 12).cast("long")), __end=F.substring("__s", 13, 1))
+    df = _bound(df, __check=_check13(n), __d=F.pmod(F.lit(11) - F.pmod(_sum10(n), F.lit(11)), F.lit(11)))
+    of = F.when(F.col("__check") == F.col("__end"), F.concat(F.substring(n.cast("string"), 4, 9), F.when(d == 10, F.lit("X")).otherwise(d.cast("string"))))
+    return _bound(df, **{name: of}).select(*kept, name)

@@ -243,9 +243,9 @@ def mismatch_alternatives(books: DataFrame, candidates: DataFrame, cfg: Config =
     wrong = books.filter((F.col("provider_match_status") == "mismatch") & priced).drop("isbn", "provider_match_status", "momox_price", "gibert_price")
     same = F.coalesce("exact_title_match", F.lit(False)) | F.coalesce("article_insensitive_title_match", F.lit(False))
     # the first number that is stated is taken, as it is, and made a 13-digit one
-    number = I.normalize(T.first_filled(F.col("isbn13"), F.col("isbn"), F.col("isbn10")))
-    found = candidates.filter(same).select("book_id", "ord", number.alias("number"), F.col("title").alias("candidate_title")).filter("number is not null")
-    held = books.select("ads_id", I.normalize(F.col("isbn")).alias("number")).filter("number is not null").distinct()
+    stated = candidates.filter(same).select("book_id", "ord", T.first_filled(F.col("isbn13"), F.col("isbn"), F.col("isbn10")).alias("stated"), F.col("title").alias("candidate_title"))
+    found = I.with_normal(stated, F.col("stated"), "number").filter("number is not null").drop("stated")
+    held = I.with_normal(books.select("ads_id", "isbn"), F.col("isbn"), "number").filter("number is not null").select("ads_id", "number").distinct()
     fresh = relational.not_exists(wrong.join(found, "book_id"), held, ["ads_id", "number"])
     taken = relational.choose_in_order(fresh, ["ads_id"], "book_id", ["book_id", "ord"], "number", cfg.mismatch_per_book, cfg.mismatch_per_ad)
     new = {"isbn": F.col("number"), "title": T.first_filled(F.col("candidate_title"), F.col("lookup_title"), F.col("title")), "lookup_title": T.first_filled(F.col("candidate_title"), F.col("lookup_title"))}

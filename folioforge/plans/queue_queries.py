@@ -112,16 +112,17 @@ def mismatch_alternatives(spark: SparkSession, d: str) -> DataFrame:
     li = relational.first_wins(read(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"], ["l_partkey", "l_suppkey"])
     b = li.select(F.col("l_orderkey").alias("ads_id"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("book_id"), F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supplier"), F.col("l_linenumber").alias("line"))
     text = lambda c: F.lit(None).cast("string").alias(c)
-    books = b.select(
-        "ads_id", "book_id", isbn.synthetic(F.col("part") % 9).alias("isbn"), F.when((F.col("part") + F.col("supplier")) % 5 != 0, "mismatch").otherwise("match").alias("provider_match_status"),
+    books = isbn.with_synthetic(b, F.col("part") % 9, "isbn").select(
+        "ads_id", "book_id", "isbn", F.when((F.col("part") + F.col("supplier")) % 5 != 0, "mismatch").otherwise("match").alias("provider_match_status"),
         F.when(F.col("supplier") % 2 == 0, F.col("supplier") % 3).alias("momox_price"), F.when(F.col("supplier") % 2 != 0, 1).when(F.col("supplier") % 6 == 0, 0).otherwise(F.col("supplier") % 3).alias("gibert_price"), text("lookup_title"), text("title"), F.lit(1.0).alias("cost"), text("source_image_url"),
     )
     o, part = F.col("ord"), F.col("part")
     number = F.when(o == 0, part % 3).when(o == 1, F.col("supplier") % 4).when(o == 2, (part + F.col("line")) % 5).when(o == 3, part % 3).otherwise(5 + part % 4)
-    found = b.withColumn("ord", F.explode(F.sequence(F.lit(0), F.lit(4)))).withColumn("n", isbn.synthetic(number))
+    found = isbn.with_synthetic(b.withColumn("ord", F.explode(F.sequence(F.lit(0), F.lit(4)))), number, "n")
+    found = isbn.with_ten(found, F.when(o % 3 == 2, F.col("n")), "ten")
     same = (o + F.col("line")) % 4
     # one candidate in four has another title; numbers come under each of their three names
-    found = found.select("book_id", "ord", F.when(o % 3 == 0, F.col("n")).alias("isbn13"), F.when(o % 3 == 1, F.col("n")).otherwise("").alias("isbn"), F.when(o % 3 == 2, isbn.thirteen_to_ten(F.col("n"))).alias("isbn10"), text("title"), (same == 1).alias("exact_title_match"), (same > 1).alias("article_insensitive_title_match"))
+    found = found.select("book_id", "ord", F.when(o % 3 == 0, F.col("n")).alias("isbn13"), F.when(o % 3 == 1, F.col("n")).otherwise("").alias("isbn"), F.col("ten").alias("isbn10"), text("title"), (same == 1).alias("exact_title_match"), (same > 1).alias("article_insensitive_title_match"))
     out = pipelines.mismatch_alternatives(books, found)
     back = F.substring("isbn", 4, 9).cast("long")
     return out.select("ads_id", "book_id", "place", back.alias("number"), F.col("isbn_source").alias("source"))
