@@ -294,9 +294,10 @@ def choose_in_order(rows: DataFrame, group: Keys, owner: str, order: Sequence[st
     A row is taken unless its item was taken before in its group, or its owner has ``per_owner`` rows, or its group
     ``per_group``. ``order`` begins with the owner's place, so that an owner's rows follow each other; its columns break
     all ties. Items are not null. A fold over each group's sorted rows; before it, each owner's rows are cut to the first of
-    each item and to ``per_owner + per_group``, of which earlier owners can take ``per_group`` at most.
+    each item and to ``per_owner + per_group``, of which earlier owners can take ``per_group`` at most. Rows are dealt by
+    group once, which serves both cuts and the fold.
     """
-    once = first_wins(rows, [*group, owner, item], order)
+    once = first_wins(rows.repartition(*group), [*group, owner, item], order)
     useful = top_per_key(once, [*group, owner], order, per_owner + per_group)
     names = [c for c in useful.columns if c not in group]
     row = F.struct(*[F.col(c).alias(f"__o{i}") for i, c in enumerate(order)], F.struct(*names).alias("row"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import isbn
+from ..shipping import stored
 from ..streaming import queue
 from . import pipelines
 from .registry import query
@@ -111,6 +112,7 @@ def mismatch_alternatives(spark: SparkSession, d: str) -> DataFrame:
 
     li = relational.first_wins(read(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"], ["l_partkey", "l_suppkey"])
     b = li.select(F.col("l_orderkey").alias("ads_id"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("book_id"), F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supplier"), F.col("l_linenumber").alias("line"))
+    b = stored(b, "editions")  # read as books, as numbers that are held and for candidates
     text = lambda c: F.lit(None).cast("string").alias(c)
     books = isbn.with_synthetic(b, F.col("part") % 9, "isbn").select(
         "ads_id", "book_id", "isbn", F.when((F.col("part") + F.col("supplier")) % 5 != 0, "mismatch").otherwise("match").alias("provider_match_status"),

@@ -7,6 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 from folioforge.functions import isbn
+from folioforge.operators import relational
 from folioforge.plans import queue_queries
 
 ODD = [None, "", " ", "X", "x" * 13, "978", "9782070368228", "978-2-07-036822-8", "9792070368227", "9780000000002", "0000000000", "000000000X", "207036822X", "2070368222", "2-07-036822-x", "X070368228", "97820703682X8", "９782070368228", "123456789012345678901", "9782070368228\n", "a9782070368229", "1" * 10, "9" * 13, "0306406152", "080442957X", "-9782070368", "+978207036822"]
@@ -36,3 +37,9 @@ def test_columns_hold_what_the_functions_give(spark):
 def test_alternatives_are_computed_without_lambdas_over_digits(spark):
     plan = queue_queries.mismatch_alternatives(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "try_cast(substring(lambda" not in plan and plan.count("aggregate(") == 1
+
+
+def test_choices_deal_rows_by_group_once(spark):
+    rows = spark.range(100).selectExpr("id % 7 g", "id % 20 o", "id i", "id % 9 item")
+    plan = relational.choose_in_order(rows, ["g"], "o", ["o", "i"], "item", 2, 5)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(") == 1
